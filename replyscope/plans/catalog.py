@@ -100,3 +100,241 @@ def guess_labels(spark, sf):
 @query("guess_counts")
 def guess_counts(spark, sf):
     return report.guess_counts(scored_runs(spark, sf))
+
+
+# ------------------------------------------------------------------------------------------------ text functions
+
+from replyscope.functions import fixed  # noqa: E402
+from replyscope.functions import text as T  # noqa: E402
+from replyscope.operators import prompts as P  # noqa: E402
+from replyscope.operators import sampling, stats, timing  # noqa: E402
+from replyscope.sources import io  # noqa: E402
+from replyscope.streaming import inference as inf  # noqa: E402
+
+STATS_COHORTS = (coh.NATIVE, coh.STRICT, "western_native_or_not", "african_or_not")
+EVENT_COHORTS = ("western_native_or_not", "african_or_not", "student_or_not")
+
+
+@query("placeholder_fill")
+def placeholder_fill(spark, sf):
+    ann = fx.annotations(spark, sf)
+    return ann.select("row_id", "instruction", "prompt_en", T.fill_placeholder("instruction", "prompt_en").alias("final_prompt_en"))
+
+
+@query("strip_tags")
+def strip_tags(spark, sf):
+    return fx.annotations(spark, sf).select("row_id", T.strip_tags("instruction").alias("stripped"))
+
+
+def pair_text() -> F.Column:
+    """Fixture: replies stored as stringified (guess, reply) pairs, with single or double quotes, or plain."""
+    a, b = F.substring("prompt_en", 1, 20), F.substring("reply", 1, 30)
+    single = F.concat(F.lit("('"), a, F.lit("', '"), b, F.lit("')"))
+    double = F.concat(F.lit('("'), a, F.lit('", "'), b, F.lit('")'))
+    return F.when(F.col("row_id") % 3 == 0, single).when(F.col("row_id") % 3 == 1, double).otherwise(F.col("reply"))
+
+
+@query("unwrap_pair")
+def unwrap_pair(spark, sf):
+    df = fx.annotations(spark, sf).select("row_id", pair_text().alias("pair"))
+    return df.select("row_id", "pair", T.unwrap_pair("pair").alias("unwrapped"))
+
+
+@query("digit_sum")
+def digit_sum(spark, sf):
+    ann = fx.annotations(spark, sf)
+    return ann.select(
+        "row_id", "dataset_id",
+        T.digit_sum("reply").try_cast("bigint").alias("reply_digit_sum"),
+        T.digit_sum("prompt_en").try_cast("bigint").alias("prompt_digit_sum"),
+        acc.predicted_rating().try_cast("bigint").alias("predicted_rating"),
+    )
+
+
+@query("word_count_by_group")
+def word_count_by_group(spark, sf):
+    df = stats.with_word_counts(labeled(spark, sf))
+    long = coh.unpivot_cohorts(df, STATS_COHORTS, keep=["dataset_id", "word_count_annotation", "word_count_generated"])
+    return stats.mean_word_counts(long, ["cohort_type", "cohort", "dataset_id"])
+
+
+@query("task_suffix")
+def task_suffix(spark, sf):
+    return fx.annotations(spark, sf).select("row_id", "dataset_id", P.task_definition().alias("task_definition"))
+
+
+@query("temperature")
+def temperature(spark, sf):
+    return fx.annotations(spark, sf).select("row_id", "dataset_id", P.temperature().alias("temperature"))
+
+
+@query("judge_kind")
+def judge_kind(spark, sf):
+    gen, comp = P.judge_kind()
+    return fx.annotations(spark, sf).select("row_id", "nat_instr_id", gen.alias("doc_gen"), comp.alias("doc_comp"))
+
+
+# ------------------------------------------------------------------------------------------------ time, histograms
+
+
+def events_with_gap(spark, sf):
+    ev = fx.table(spark, sf, "events")
+    return timing.gap_to_previous(ev, user="user_id", ts="ts", tie=("event_id",))
+
+
+@query("annotation_gap")
+def annotation_gap(spark, sf):
+    return events_with_gap(spark, sf).select("event_id", "user_id", "ts", timing.GAP)
+
+
+def events_long(spark, sf):
+    ev = events_with_gap(spark, sf)
+    ev = coh.label_cohorts(ev, fx.cohorts(ev))
+    return coh.unpivot_cohorts(ev, EVENT_COHORTS, keep=[F.col("event_type").alias("set_id"), "user_id", timing.GAP])
+
+
+@query("mean_gap_by_group")
+def mean_gap_by_group(spark, sf):
+    return timing.mean_gap(events_long(spark, sf), ["set_id", "cohort_type", "cohort"])
+
+
+@query("total_time_by_group")
+def total_time_by_group(spark, sf):
+    return timing.total_time(events_long(spark, sf), ["set_id", "cohort_type", "cohort"])
+
+
+@query("rating_histogram")
+def rating_histogram(spark, sf):
+    df = acc.score_accuracy(labeled(spark, sf))
+    df = df.where((F.col("dataset_id") == 3) & (F.col("accuracy") == 0))
+    df = df.select(
+        *STATS_COHORTS,
+        acc.predicted_rating().cast("double").alias("predicted"),
+        F.col("req_output").try_cast("int").cast("double").alias("req_output"),
+    )
+    long = coh.unpivot_cohorts(df, STATS_COHORTS, keep=["predicted", "req_output"])
+    values = long.unpivot(["cohort_type", "cohort"], ["predicted", "req_output"], "source", "value")
+    return stats.histogram(values, "value", keys=["cohort_type", "cohort", "source"])
+
+
+# ------------------------------------------------------------------------------------------------ history sampling
+
+
+@query("history_sample_user")
+def history_sample_user(spark, sf):
+    return sampling.sample_history(fx.annotations(spark, sf), pool="user").select("row_id", "history")
+
+
+@query("history_sample_cohort")
+def history_sample_cohort(spark, sf):
+    return sampling.sample_history(fx.annotations(spark, sf), pool="native").select("row_id", "history")
+
+
+# ------------------------------------------------------------------------------------------------ chats
+
+
+def validated(spark, sf):
+    return fx.annotations(spark, sf).where(F.col("validated") == 1)
+
+
+def _flat(df, extra=("temperature",)):
+    return P.flatten_messages(df, keys=("row_id", *extra))
+
+
+@query("chat_standard")
+def chat_standard(spark, sf):
+    return _flat(P.build_messages(validated(spark, sf), mode="standard"))
+
+
+@query("chat_native")
+def chat_native(spark, sf):
+    return _flat(P.build_messages(validated(spark, sf), mode="add_all_native"))
+
+
+@query("chat_trial")
+def chat_trial(spark, sf):
+    return _flat(P.build_messages(validated(spark, sf), mode="standard", trial=True))
+
+
+def guess_fixture() -> F.Column:
+    return F.element_at(F.array(*[F.lit(t) for t in fx.GUESS_TEXTS]), (F.col("row_id") % len(fx.GUESS_TEXTS) + 1).cast("int"))
+
+
+@query("chat_guess")
+def chat_guess(spark, sf):
+    df = validated(spark, sf)
+    a = df.select("row_id", F.lit("a").alias("stage"), F.lit(0.0).alias("temperature"),
+                  P.guess_question_chat(P.system_prompt("guess_native"), F.col("prompt_en")).alias("messages"))
+    b = P.build_messages(df.withColumn("guess", guess_fixture()), mode="guess_native").select(
+        "row_id", F.lit("b").alias("stage"), "temperature", "messages")
+    return P.flatten_messages(a.unionByName(b), keys=("row_id", "stage", "temperature"))
+
+
+@query("chat_history")
+def chat_history(spark, sf):
+    df = sampling.sample_history(validated(spark, sf), pool="user").where(F.col("history").isNotNull())
+    return _flat(P.build_messages(df, mode="add_history"))
+
+
+@query("chat_gold")
+def chat_gold(spark, sf):
+    df = fx.annotations(spark, sf).withColumn("final_prompt_en", F.col("instruction"))
+    a = df.select("row_id", F.lit("model_a").alias("model"), F.lit("gold").alias("mode"),
+                  P.prompt_writer_chat(P.task_definition(), F.col("final_prompt_en"), F.col("req_output")).alias("messages"),
+                  F.lit(0.0).alias("temperature"))
+    written = inf.run_inference(a, inf.echo_model).select("row_id", F.col("reply").alias("written_prompt"))
+    b = df.join(written, "row_id").select(
+        "row_id", P.gold_answer_chat(P.task_definition(), F.col("final_prompt_en"), F.col("written_prompt")).alias("messages"),
+        P.temperature().alias("temperature"))
+    a2 = a.select("row_id", F.lit("a").alias("stage"), "temperature", "messages")
+    return P.flatten_messages(a2.unionByName(b.withColumn("stage", F.lit("b"))), keys=("row_id", "stage", "temperature"))
+
+
+# ------------------------------------------------------------------------------------------------ inference
+
+
+def standard_requests(spark, sf):
+    df = P.build_messages(validated(spark, sf), mode="standard")
+    return df.withColumn("model", F.lit("model_a")).withColumn("mode", F.lit("standard"))
+
+
+@query("infer_stub")
+def infer_stub(spark, sf):
+    return inf.run_inference(standard_requests(spark, sf), inf.echo_model)
+
+
+@query("resume_pending")
+def resume_pending(spark, sf):
+    """Rows still to run for five requested modes, given the finished runs."""
+    ann = validated(spark, sf)
+    wanted = ann.select("row_id", F.lit(fx.RUN_MODEL).alias("model"),
+                        F.explode(F.array(*[F.lit(m) for m in (*fx.RUN_MODES, "add_history")])).alias("mode"))
+    done = fx.runs(fx.annotations(spark, sf)).select("row_id", "model", "mode", "reply")
+    return inf.pending(wanted, done)
+
+
+# ------------------------------------------------------------------------------------------------ judge
+
+
+def judged_rows(spark, sf):
+    """Generation rows of the standard run with the prompt they answered."""
+    runs = fx.runs(fx.annotations(spark, sf)).where(
+        (F.col("mode") == "standard") & F.col("dataset_id").isin(*fixed.GENERATION_DATASETS))
+    return runs.withColumn("final_prompt_en", T.fill_placeholder("instruction", "prompt_en"))
+
+
+@query("judge_prompts")
+def judge_prompts(spark, sf):
+    return P.judge_prompts(judged_rows(spark, sf))
+
+
+@query("judge_requests_jsonl")
+def judge_requests_jsonl(spark, sf):
+    return io.judge_request_lines(P.judge_prompts(judged_rows(spark, sf)))
+
+
+@query("judge_regroup")
+def judge_regroup(spark, sf):
+    prompts = P.judge_messages(P.judge_prompts(judged_rows(spark, sf)))
+    answers = inf.run_inference(prompts, inf.echo_model, keys=("row_id", "k", "criterion"), params=inf.judge_params())
+    return P.regroup_judgements(answers.withColumnRenamed("reply", "answer"))

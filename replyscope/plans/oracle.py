@@ -153,3 +153,339 @@ SELECT model, count(*) AS n_rows, count_if(native_or_not = 'native') AS n_native
        count_if(correct AND native_or_not = 'non_native') AS n_correct_non_native
 FROM g GROUP BY model
 """
+
+
+# ------------------------------------------------------------------------------------------------ helpers (SQL text)
+
+from replyscope.functions import fixed  # noqa: E402
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def fill(template: str, prompt: str) -> str:
+    out = template
+    for form in fixed.PLACEHOLDER_FORMS:
+        out = f"replace({out}, {lit(form)}, {prompt})"
+    return out
+
+
+def strip_tags(x: str) -> str:
+    return f"replace(replace({x}, {lit(fixed.TAG_CLOSE)}, ''), {lit(fixed.TAG_OPEN)}, '')"
+
+
+def task_def(td: str = "task_def", ds: str = "dataset_id") -> str:
+    cases = " ".join(f"WHEN {k} THEN {td} || {lit(v)}" for k, v in fixed.TASK_SUFFIX.items())
+    return f"(CASE {ds} {cases} ELSE {td} END)"
+
+
+def temperature(ds: str = "dataset_id") -> str:
+    cases = " ".join(f"WHEN {k} THEN {v}" for k, v in fixed.TEMPERATURE.items())
+    return f"CAST(CASE {ds} {cases} END AS DOUBLE)"
+
+
+WS = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def word_count(x: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({x}, '{WS}+'), lambda t: t <> ''))"
+
+
+def strip_ws(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def echo(x: str) -> str:
+    """SQL twin of the stub model's reply for a last user turn x."""
+    y = f"coalesce({x}, '')"
+    return f"(CAST(length({y}) % 5 + 1 AS VARCHAR) || ' echo ' || CAST(length({y}) AS VARCHAR) || ': ' || substr({y}, 1, 40))"
+
+
+def md5_32(key: str) -> str:
+    return f"CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT)"
+
+
+def floyd(m: str, n: int, seed, row: str) -> list[str]:
+    chosen: list[str] = []
+    for i in range(n):
+        j = f"({m} - {n} + {i})"
+        t = f"({md5_32(lit(f'{seed}:') + f' || CAST({row} AS VARCHAR) || ' + lit(f':{i}'))} % ({j} + 1))"
+        c = f"(CASE WHEN {t} IN ({', '.join(chosen)}) THEN {j} ELSE {t} END)" if chosen else t
+        chosen.append(c)
+    return chosen
+
+
+def chat_rows(source: str, turns, keys=("row_id", "temperature"), where: str = "TRUE") -> str:
+    parts = []
+    for i, (role, content) in enumerate(turns):
+        parts.append(f"SELECT {', '.join(keys)}, {i} AS turn, {lit(role)} AS role, {content} AS content FROM {source} WHERE {where}")
+    return "\nUNION ALL ".join(parts)
+
+
+def cohort_rules(table: str) -> str:
+    return f"""
+SELECT user_id, cohort FROM (
+  SELECT user_id, unnest([CASE WHEN user_id % 5 = 0 THEN 'western' END,
+                          CASE WHEN user_id % 7 = 3 THEN 'african' END,
+                          CASE WHEN user_id % 3 = 1 THEN 'student' END]) AS cohort
+  FROM (SELECT DISTINCT user_id FROM {table} WHERE user_id IS NOT NULL)
+) WHERE cohort IS NOT NULL"""
+
+
+def membership(alias: str, cohorts: str) -> str:
+    return f"""CASE WHEN {alias}.user_id IN (SELECT user_id FROM {cohorts} WHERE cohort = 'western') THEN 'western native'
+       ELSE 'not western native' END AS western_native_or_not,
+  CASE WHEN {alias}.user_id IN (SELECT user_id FROM {cohorts} WHERE cohort = 'african') THEN 'african'
+       ELSE 'not african' END AS african_or_not,
+  CASE WHEN {alias}.user_id IN (SELECT user_id FROM {cohorts} WHERE cohort = 'student') THEN 'student'
+       ELSE 'not student' END AS student_or_not"""
+
+
+def unpivot(source: str, cohorts, cols: str) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT {lit(c)} AS cohort_type, {c} AS cohort, {cols} FROM {source}" for c in cohorts
+    )
+
+
+STATS4 = ("native_or_not", "strict_native_or_not", "western_native_or_not", "african_or_not")
+EVENT3 = ("western_native_or_not", "african_or_not", "student_or_not")
+
+# ------------------------------------------------------------------------------------------------ text queries
+
+SQL["placeholder_fill"] = with_views("annotations") + f"""
+SELECT row_id, instruction, prompt_en, {fill('instruction', 'prompt_en')} AS final_prompt_en FROM annotations
+"""
+
+SQL["strip_tags"] = with_views("annotations") + f"SELECT row_id, {strip_tags('instruction')} AS stripped FROM annotations"
+
+_PAIR = """CASE WHEN row_id % 3 = 0 THEN '(''' || substr(prompt_en, 1, 20) || ''', ''' || substr(reply, 1, 30) || ''')'
+  WHEN row_id % 3 = 1 THEN '("' || substr(prompt_en, 1, 20) || '", "' || substr(reply, 1, 30) || '")'
+  ELSE reply END"""
+
+SQL["unwrap_pair"] = with_views("annotations") + f"""
+SELECT row_id, pair,
+  CASE WHEN contains(pair, ', ''') THEN replace(string_split(pair, ', ''')[2], ''')', '')
+       WHEN contains(pair, ', "') THEN replace(string_split(pair, ', "')[2], '")', '')
+       ELSE pair END AS unwrapped
+FROM (SELECT row_id, {_PAIR} AS pair FROM annotations)
+"""
+
+SQL["digit_sum"] = with_views("annotations") + f"""
+SELECT row_id, dataset_id, TRY_CAST({digit_sum('reply')} AS BIGINT) AS reply_digit_sum,
+  TRY_CAST({digit_sum('prompt_en')} AS BIGINT) AS prompt_digit_sum,
+  CASE WHEN dataset_id = 3 THEN TRY_CAST({digit_sum('reply')} AS BIGINT) END AS predicted_rating
+FROM annotations
+"""
+
+SQL["word_count_by_group"] = with_views("annotations", "cohorts", "labeled") + f"""
+, w AS (SELECT *, {word_count('prompt_en')} AS wp, {word_count('reply')} AS wr FROM labeled),
+long AS ({unpivot('w', STATS4, 'dataset_id, wp, wr')})
+SELECT cohort_type, cohort, dataset_id, avg(wp) AS avg_words_prompt, avg(wr) AS avg_words_reply
+FROM long WHERE cohort IS NOT NULL AND dataset_id IS NOT NULL GROUP BY cohort_type, cohort, dataset_id
+"""
+
+SQL["task_suffix"] = with_views("annotations") + f"SELECT row_id, dataset_id, {task_def()} AS task_definition FROM annotations"
+
+SQL["temperature"] = with_views("annotations") + f"SELECT row_id, dataset_id, {temperature()} AS temperature FROM annotations"
+
+
+def judge_kind_sql(t: str = "nat_instr_id") -> tuple[str, str]:
+    gen = " ".join(f"WHEN contains({t}, {lit(k)}) THEN {lit(g)}" for k, g, _ in fixed.JUDGE_TASK_KINDS)
+    comp = " ".join(f"WHEN contains({t}, {lit(k)}) THEN {lit(c)}" for k, _, c in fixed.JUDGE_TASK_KINDS)
+    return f"(CASE {gen} ELSE 'other' END)", f"(CASE {comp} ELSE 'other' END)"
+
+
+_GEN, _COMP = judge_kind_sql()
+SQL["judge_kind"] = with_views("annotations") + f"SELECT row_id, nat_instr_id, {_GEN} AS doc_gen, {_COMP} AS doc_comp FROM annotations"
+
+# ------------------------------------------------------------------------------------------------ time, histogram
+
+_GAPS = """SELECT *, CASE WHEN user_id IS NOT NULL AND g < 600.0 THEN g ELSE 600.0 END AS gap_seconds
+FROM (SELECT *, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts NULLS LAST, event_id NULLS LAST), ts)
+                / 1e6 AS g FROM events)"""
+
+SQL["annotation_gap"] = f"WITH gaps AS ({_GAPS})\nSELECT event_id, user_id, ts, gap_seconds FROM gaps"
+
+_EVENT_LONG = f"""WITH gaps AS ({_GAPS}),
+ecoh AS ({cohort_rules('events')}),
+lab AS (SELECT g.*, {membership('g', 'ecoh')} FROM gaps g),
+long AS ({unpivot('lab', EVENT3, 'event_type AS set_id, user_id, gap_seconds')})
+"""
+
+SQL["mean_gap_by_group"] = _EVENT_LONG + """
+SELECT set_id, cohort_type, cohort, avg(gap_seconds) AS mean_gap_seconds FROM long
+WHERE set_id IS NOT NULL AND cohort IS NOT NULL GROUP BY set_id, cohort_type, cohort
+"""
+
+SQL["total_time_by_group"] = _EVENT_LONG + """
+, per_user AS (SELECT set_id, cohort_type, cohort, user_id, sum(gap_seconds) AS total FROM long
+  WHERE set_id IS NOT NULL AND cohort IS NOT NULL AND user_id IS NOT NULL GROUP BY set_id, cohort_type, cohort, user_id)
+SELECT set_id, cohort_type, cohort, avg(total) AS mean_total_seconds FROM per_user GROUP BY set_id, cohort_type, cohort
+"""
+
+SQL["rating_histogram"] = with_views("annotations", "cohorts", "labeled") + f"""
+, scored AS (SELECT *, {accuracy()} AS acc FROM labeled),
+vals AS (SELECT {', '.join(STATS4)},
+   CAST(CASE WHEN dataset_id = 3 THEN {digit_sum('reply')} END AS DOUBLE) AS predicted,
+   CAST(TRY_CAST(req_output AS INT) AS DOUBLE) AS req_output
+   FROM scored WHERE dataset_id = 3 AND acc = 0),
+long1 AS ({unpivot('vals', STATS4, 'predicted, req_output')}),
+long AS (SELECT cohort_type, cohort, 'predicted' AS source, predicted AS value FROM long1
+         UNION ALL SELECT cohort_type, cohort, 'req_output', req_output FROM long1),
+binned AS (SELECT *, CASE WHEN value >= 0 AND value < 1 THEN 0 WHEN value >= 1 AND value < 2 THEN 1
+                          WHEN value >= 2 AND value < 3 THEN 2 WHEN value >= 3 AND value < 4 THEN 3
+                          WHEN value >= 4 AND value < 5 THEN 4 WHEN value >= 5 AND value <= 6 THEN 5 END AS bin FROM long),
+grid AS (SELECT cohort_type, cohort, source, CAST(unnest(range(0, 6)) AS INT) AS bin
+         FROM (SELECT DISTINCT cohort_type, cohort, source FROM long)),
+counts AS (SELECT cohort_type, cohort, source, bin, count(*) AS n FROM binned WHERE bin IS NOT NULL
+           GROUP BY cohort_type, cohort, source, bin)
+SELECT g.cohort_type, g.cohort, g.source, g.bin, coalesce(c.n, 0) AS n
+FROM grid g LEFT JOIN counts c ON c.cohort_type = g.cohort_type AND c.cohort = g.cohort AND c.source = g.source AND c.bin = g.bin
+"""
+
+# ------------------------------------------------------------------------------------------------ history sampling
+
+_BUCKET = f"({md5_32('CAST(row_id AS VARCHAR)')} % 1024)"
+
+
+def history_sql(source: str, pool: str, n: int = 5, seed=fixed.SEED) -> str:
+    """Views ``pool`` and ``hist(row_id, history)`` over ``source`` (a view name)."""
+    if pool == "user":
+        pool_sql = f"""SELECT row_id, user_id AS pool, prompt_en,
+   row_number() OVER (PARTITION BY user_id ORDER BY {_BUCKET}, row_id) - 1 AS pos,
+   count(*) OVER (PARTITION BY user_id) AS size
+   FROM {source} WHERE user_id IS NOT NULL"""
+        rows = "SELECT row_id, pool, pos AS own, size - 1 AS m FROM pool"
+    else:
+        pool_sql = f"""SELECT row_id, 'native' AS pool, prompt_en,
+   row_number() OVER (ORDER BY {_BUCKET}, row_id) - 1 AS pos, count(*) OVER () AS size
+   FROM {source} WHERE contains(nat_lang, 'en')"""
+        rows = f"""SELECT s.row_id, 'native' AS pool, p.pos AS own,
+   (SELECT count(*) FROM pool) - CASE WHEN p.pos IS NULL THEN 0 ELSE 1 END AS m
+   FROM {source} s LEFT JOIN pool p ON p.row_id = s.row_id"""
+    draws = floyd("m", n, seed, "row_id")
+    qs = [f"({d} + CASE WHEN own IS NOT NULL AND {d} >= own THEN 1 ELSE 0 END)" for d in draws]
+    return f""", pool AS ({pool_sql}),
+rows_ AS ({rows}),
+picks AS (SELECT row_id, pool, unnest(range({n})) AS i, unnest([{', '.join(qs)}]) AS q FROM rows_ WHERE m >= {n}),
+hist AS (SELECT k.row_id, string_agg(p.prompt_en, ', ' ORDER BY k.i) AS history
+         FROM picks k JOIN pool p ON p.pool = k.pool AND p.pos = k.q GROUP BY k.row_id)
+"""
+
+
+SQL["history_sample_user"] = with_views("annotations") + history_sql("annotations", "user") + """
+SELECT a.row_id, h.history FROM annotations a LEFT JOIN hist h ON h.row_id = a.row_id
+"""
+
+SQL["history_sample_cohort"] = with_views("annotations") + history_sql("annotations", "native") + """
+SELECT a.row_id, h.history FROM annotations a LEFT JOIN hist h ON h.row_id = a.row_id
+"""
+
+# ------------------------------------------------------------------------------------------------ chats
+
+_FINAL = fill("instruction", "prompt_en")
+_VALID = f"(SELECT *, {temperature()} AS temperature FROM annotations WHERE validated = 1)"
+
+SQL["chat_standard"] = with_views("annotations") + chat_rows(_VALID + " v", [
+    ("system", lit(fixed.SYSTEM_DEFAULT)), ("user", task_def()), ("assistant", lit(fixed.ACK_UNDERSTOOD)), ("user", _FINAL)])
+
+SQL["chat_native"] = with_views("annotations") + chat_rows(_VALID + " v", [
+    ("system", lit(fixed.SYSTEM_NATIVE)), ("user", task_def()), ("assistant", lit(fixed.ACK_UNDERSTOOD)), ("user", _FINAL)])
+
+SQL["chat_trial"] = with_views("annotations") + chat_rows(_VALID + " v", [
+    ("system", f"{lit(fixed.SYSTEM_DEFAULT + ' ')} || {task_def()}"), ("user", _FINAL)])
+
+_GUESS = "(['a native one', 'a non-native writer', 'non-native, not a native', 'unclear'])[row_id % 4 + 1]"
+_GQ = f"{lit(fixed.GUESS_QUESTION)} || prompt_en"
+SQL["chat_guess"] = with_views("annotations") + chat_rows(
+    f"(SELECT row_id, 'a' AS stage, 0.0::DOUBLE AS temperature, prompt_en FROM annotations WHERE validated = 1) v",
+    [("system", lit(fixed.SYSTEM_DEFAULT)), ("user", _GQ)], keys=("row_id", "stage", "temperature"),
+) + "\nUNION ALL " + chat_rows(
+    f"(SELECT *, 'b' AS stage FROM {_VALID}) v",
+    [("system", lit(fixed.SYSTEM_DEFAULT)), ("user", _GQ), ("assistant", _GUESS),
+     ("user", f"{lit(fixed.GUESS_FOLLOW_UP)} || {task_def()}"), ("assistant", lit(fixed.ACK_UNDERSTOOD)), ("user", _FINAL)],
+    keys=("row_id", "stage", "temperature"),
+)
+
+SQL["chat_history"] = with_views("annotations") + f", valid AS {_VALID}" + history_sql("valid", "user") + f"""
+, hv AS (SELECT v.*, h.history FROM valid v JOIN hist h ON h.row_id = v.row_id)
+""" + chat_rows("hv", [
+    ("system", lit(fixed.SYSTEM_DEFAULT)), ("user", f"{lit(fixed.HISTORY_INTRO)} || history"),
+    ("assistant", lit(fixed.ACK_OK)), ("user", task_def()), ("assistant", lit(fixed.ACK_UNDERSTOOD)), ("user", _FINAL)])
+
+_WRITER_USER = (f"{lit(fixed.WRITER_TASK)} || {task_def()} || {lit(fixed.WRITER_INSTRUCTION)} || {strip_tags('instruction')}"
+                f" || {lit(fixed.WRITER_DESIRED)} || req_output")
+SQL["chat_gold"] = with_views("annotations") + f"""
+, ga AS (SELECT *, 'a' AS stage, 0.0::DOUBLE AS temperature, {_WRITER_USER} AS wu FROM annotations),
+gb AS (SELECT * EXCLUDE (stage, temperature), 'b' AS stage, {temperature()} AS temperature, {echo('wu')} AS written FROM ga)
+""" + chat_rows("ga", [("system", lit(fixed.SYSTEM_PROMPT_WRITER)), ("user", "wu")], keys=("row_id", "stage", "temperature")) + \
+    "\nUNION ALL " + chat_rows("(SELECT row_id, stage, temperature, task_def, dataset_id, instruction, written FROM gb) b", [
+        ("system", lit(fixed.SYSTEM_DEFAULT)), ("user", task_def()), ("assistant", lit(fixed.ACK_UNDERSTOOD)),
+        ("user", fill("instruction", "written"))], keys=("row_id", "stage", "temperature"))
+
+# ------------------------------------------------------------------------------------------------ inference
+
+SQL["infer_stub"] = with_views("annotations") + f"""
+SELECT row_id, 'model_a' AS model, 'standard' AS mode, {echo(_FINAL)} AS reply, CAST(NULL AS VARCHAR) AS error
+FROM annotations WHERE validated = 1
+"""
+
+SQL["resume_pending"] = with_views("annotations", "runs") + """
+, wanted AS (SELECT row_id, 'model_a' AS model,
+   unnest(['standard', 'add_all_native', 'add_all_non_native', 'guess_native', 'add_history']) AS mode
+   FROM annotations WHERE validated = 1)
+SELECT row_id, model, mode FROM wanted w
+WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.row_id = w.row_id AND r.model = w.model AND r.mode = w.mode
+                  AND r.reply IS NOT NULL)
+"""
+
+# ------------------------------------------------------------------------------------------------ judge
+
+
+def render(template: str, gen: str = "gen", comp: str = "comp") -> str:
+    parts = []
+    for piece in template.split("{gen}"):
+        sub = piece.split("{comp}")
+        parts.append(f" || {comp} || ".join(lit(s) for s in sub))
+    return "(" + f" || {gen} || ".join(parts) + ")"
+
+
+_HEAD_ONE = f"{render(fixed.JUDGE_INTRO_ONE)} || {lit(chr(10) * 2)} || gen || {lit(': ' + chr(10))} || reply || {lit(' ' + chr(10) * 2 + ' ')}"
+_HEAD_TWO = (f"{render(fixed.JUDGE_INTRO_TWO)} || {lit(chr(10) * 2)} || gen || {lit(': ' + chr(10))} || reply || "
+             f"{lit(' ' + chr(10) * 2 + ' ')} || comp || {lit(': ' + chr(10) + ' ')} || final || {lit(' ' + chr(10) * 2 + ' ')}")
+_COH = (f"CASE WHEN contains(gen, 'article') THEN {render(fixed.JUDGE_COHERENCE_ARTICLE)} "
+        f"WHEN contains(gen, 'closing') THEN {render(fixed.JUDGE_COHERENCE_STORY)} "
+        f"WHEN contains(gen, 'paraphrased') THEN {render(fixed.JUDGE_COHERENCE_PARAPHRASE)} END")
+_REL = (f"CASE WHEN contains(gen, 'closing') THEN {render(fixed.JUDGE_RELEVANCE_STORY)} "
+        f"WHEN gen <> 'other' THEN {render(fixed.JUDGE_RELEVANCE)} END")
+
+_JUDGED = f"""
+, judged AS (SELECT row_id, reply, {fill('instruction', 'prompt_en')} AS final, {_GEN} AS gen, {_COMP} AS comp
+             FROM runs WHERE mode = 'standard' AND dataset_id IN (1, 6, 7, 8)),
+jp AS (SELECT row_id, 0 AS k, 'fluency' AS criterion,
+              CASE WHEN gen <> 'other' THEN {_HEAD_ONE} || {render(fixed.JUDGE_FLUENCY)} END AS prompt FROM judged
+       UNION ALL SELECT row_id, 1, 'coherence', CASE WHEN gen <> 'other' THEN {_HEAD_TWO} || ({_COH}) END FROM judged
+       UNION ALL SELECT row_id, 2, 'relevance', CASE WHEN gen <> 'other' THEN {_HEAD_TWO} || ({_REL}) END FROM judged)
+"""
+
+SQL["judge_prompts"] = with_views("annotations", "runs") + _JUDGED + "SELECT row_id, k, criterion, prompt FROM jp"
+
+SQL["judge_requests_jsonl"] = with_views("annotations", "runs") + _JUDGED + f"""
+SELECT row_id - (row_id % 20) AS shard, 'request-' || CAST(row_id AS VARCHAR) || '-' || CAST(k AS VARCHAR) AS custom_id,
+  CAST(json_object('custom_id', 'request-' || CAST(row_id AS VARCHAR) || '-' || CAST(k AS VARCHAR),
+              'method', 'POST', 'url', {lit(fixed.JUDGE_REQUEST_URL)},
+              'body', json_object('model', {lit(fixed.JUDGE_REQUEST_MODEL)},
+                                  'messages', json_array(json_object('role', 'system', 'content', {lit(fixed.JUDGE_SYSTEM_REQUESTS)}),
+                                                         json_object('role', 'user', 'content', prompt)),
+                                  'max_tokens', {fixed.JUDGE_REQUEST_MAX_TOKENS})) AS VARCHAR) AS line
+FROM jp WHERE prompt IS NOT NULL
+"""
+
+SQL["judge_regroup"] = with_views("annotations", "runs") + _JUDGED + f"""
+, ans AS (SELECT row_id, criterion, {strip_ws(echo('prompt'))} AS answer FROM jp)
+SELECT row_id, max(CASE WHEN criterion = 'fluency' THEN answer END) AS fluency,
+       max(CASE WHEN criterion = 'coherence' THEN answer END) AS coherence,
+       max(CASE WHEN criterion = 'relevance' THEN answer END) AS relevance
+FROM ans GROUP BY row_id
+"""
