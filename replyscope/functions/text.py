@@ -88,8 +88,9 @@ def request_id(row, k) -> Column:
 
 
 def char_tokens(x) -> Column:
-    """Characters (code points) of a text, in order."""
-    return F.split(_c(x), "")
+    """Characters (code points) of a text, in order; ``[]`` for ''."""
+    c = _c(x)
+    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.split(c, ""))
 
 
 def rouge_tokens(x) -> Column:

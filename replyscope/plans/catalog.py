@@ -338,3 +338,56 @@ def judge_regroup(spark, sf):
     prompts = P.judge_messages(P.judge_prompts(judged_rows(spark, sf)))
     answers = inf.run_inference(prompts, inf.echo_model, keys=("row_id", "k", "criterion"), params=inf.judge_params())
     return P.regroup_judgements(answers.withColumnRenamed("reply", "answer"))
+
+
+# ------------------------------------------------------------------------------------------------ overlap metrics
+
+from replyscope.operators import joins, overlap  # noqa: E402
+
+RUN_KEYS = ("row_id", "model", "mode")
+COMPARED_METRICS = ("accuracy", "bleu", "rouge_1", "rouge_2", "rouge_l")
+
+
+def _overlap_rows(spark, sf, **kw):
+    return overlap.score_overlap(fx.annotations(spark, sf), reply="reply", gold="req_output", **kw)
+
+
+query("char_bleu")(lambda spark, sf: _overlap_rows(spark, sf, rouge_n=False).select("row_id", "dataset_id", "bleu"))
+query("rouge1")(lambda spark, sf: _overlap_rows(spark, sf, bleu=False).select("row_id", "dataset_id", "rouge_1"))
+query("rouge2")(lambda spark, sf: _overlap_rows(spark, sf, bleu=False).select("row_id", "dataset_id", "rouge_2"))
+query("rouge_l")(lambda spark, sf: _overlap_rows(spark, sf, bleu=False, rouge_n=False, rouge_l=True)
+                 .select("row_id", "dataset_id", "rouge_l"))
+query("rouge_lsum")(lambda spark, sf: _overlap_rows(spark, sf, bleu=False, rouge_n=False, rouge_lsum=True)
+                    .select("row_id", "dataset_id", "rouge_lsum"))
+
+
+@query("gold_join")
+def gold_join(spark, sf):
+    ann = fx.annotations(spark, sf)
+    return joins.join_gold(ann, fx.gold(ann)).select("row_id", "nat_instr_id", "generated_req_output")
+
+
+def scored_runs_full(spark, sf):
+    """Runs scored against the generated gold (approach 2): accuracy on the original gold, overlap metrics against
+    the gold join's answer, cohort and guess labels."""
+    ann = fx.annotations(spark, sf)
+    runs = joins.join_gold(fx.runs(ann), fx.gold(ann))
+    runs = report.with_guess(coh.label_cohorts(runs))
+    runs = acc.score_accuracy(runs)
+    return overlap.score_overlap(runs, reply="reply", gold="generated_req_output", keys=RUN_KEYS, rouge_l=True)
+
+
+@query("run_comparison")
+def run_comparison(spark, sf):
+    return report.compare_runs(scored_runs_full(spark, sf), metrics=COMPARED_METRICS)
+
+
+@query("comparison_pivot")
+def comparison_pivot(spark, sf):
+    long = report.compare_runs(scored_runs_full(spark, sf), metrics=COMPARED_METRICS)
+    return report.comparison_table(long, metrics=COMPARED_METRICS, models=[fx.RUN_MODEL])
+
+
+@query("missing_counts")
+def missing_counts(spark, sf):
+    return report.missing_counts(scored_runs_full(spark, sf))

@@ -489,3 +489,133 @@ SELECT row_id, max(CASE WHEN criterion = 'fluency' THEN answer END) AS fluency,
        max(CASE WHEN criterion = 'relevance' THEN answer END) AS relevance
 FROM ans GROUP BY row_id
 """
+
+
+# ------------------------------------------------------------------------------------------------ overlap metrics
+
+
+def rtok(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
+
+
+def overlap_sql(name: str, src: str, keys: str, hyp: str, ref: str, kind: str, orders) -> str:
+    """CTE ``name`` (keys..., o_<n>...) of clipped n-gram overlaps; ``src`` rows must be the applicable ones."""
+    def grams(x):
+        if kind == "char":
+            return f"list_transform(range(1, length({x}) - n + 2), lambda i: substr({x}, i, n))"
+        t = rtok(x)
+        return f"list_transform(range(1, len({t}) - n + 2), lambda i: array_to_string(list_slice({t}, i, i + n - 1), ' '))"
+    ns = f"(SELECT unnest([{', '.join(str(n) for n in orders)}]) AS n) ns"
+    ks = " AND ".join(f"h.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
+    pivots = ", ".join(f"coalesce(sum(CASE WHEN n = {n} THEN o END), 0) AS o_{n}" for n in orders)
+    return f""", {name}_h AS (SELECT {keys}, n, g, count(*) AS c FROM (SELECT {keys}, n, unnest({grams(hyp)}) AS g FROM {src}, {ns})
+                GROUP BY ALL),
+{name}_r AS (SELECT {keys}, n, g, count(*) AS c FROM (SELECT {keys}, n, unnest({grams(ref)}) AS g FROM {src}, {ns})
+                GROUP BY ALL),
+{name}_o AS (SELECT {', '.join('h.' + k.strip() for k in keys.split(','))}, h.n, sum(least(h.c, r.c)) AS o
+             FROM {name}_h h JOIN {name}_r r ON {ks} AND h.n = r.n AND h.g = r.g GROUP BY ALL),
+{name} AS (SELECT {keys}, {pivots} FROM {name}_o GROUP BY ALL)
+"""
+
+
+def bleu_expr(o: str, hyp: str, ref: str) -> str:
+    c, r = f"length({hyp})", f"length({ref})"
+    terms = " + ".join(
+        f"0.25 * ln(CASE WHEN coalesce({o}.o_{n}, 0) > 0 THEN coalesce({o}.o_{n}, 0) / greatest({c} - {n - 1}, 1)::DOUBLE "
+        f"ELSE 2.2250738585072014e-308 END)" for n in (1, 2, 3, 4))
+    bp = f"(CASE WHEN {c} > {r} THEN 1.0 WHEN {c} = 0 THEN 0.0 ELSE exp(1 - {r}::DOUBLE / {c}) END)"
+    return f"(CASE WHEN coalesce({o}.o_1, 0) = 0 THEN 0.0 ELSE {bp} * exp({terms}) END)"
+
+
+def f1(p: str, r: str) -> str:
+    return f"(CASE WHEN ({p}) + ({r}) > 0 THEN 2 * ({p}) * ({r}) / (({p}) + ({r})) ELSE 0.0 END)"
+
+
+def rouge_n_expr(o: str, hyp: str, ref: str, n: int) -> str:
+    ht, rt = f"greatest(len({rtok(hyp)}) - {n - 1}, 0)", f"greatest(len({rtok(ref)}) - {n - 1}, 0)"
+    p = f"coalesce({o}.o_{n}, 0) / greatest({ht}, 1)::DOUBLE"
+    r = f"coalesce({o}.o_{n}, 0) / greatest({rt}, 1)::DOUBLE"
+    return f1(p, r)
+
+
+def lcs_expr(h: str, r: str) -> str:
+    return (f"list_reduce({h}, lambda prev, tok: list_reduce(range(1, len({r}) + 1), lambda acc, j: list_append(acc, "
+            f"CASE WHEN tok = {r}[j] THEN prev[j] + 1 ELSE greatest(acc[j], prev[j + 1]) END), [0]), "
+            f"list_transform(range(len({r}) + 1), lambda x: 0))[-1]")
+
+
+def rouge_l_expr(hyp: str, ref: str) -> str:
+    h, r = rtok(hyp), rtok(ref)
+    lcs = lcs_expr(h, r)
+    return f"(CASE WHEN len({h}) = 0 OR len({r}) = 0 THEN 0.0 ELSE {f1(f'({lcs}) / len({h})::DOUBLE', f'({lcs}) / len({r})::DOUBLE')} END)"
+
+
+_APPL = "(reply IS NOT NULL AND req_output IS NOT NULL AND dataset_id IN (1, 6, 7, 8))"
+_APPL_SRC = f"(SELECT * FROM annotations WHERE {_APPL}) s"
+
+SQL["char_bleu"] = with_views("annotations") + overlap_sql("oc", _APPL_SRC, "row_id", "reply", "req_output", "char", (1, 2, 3, 4)) + f"""
+SELECT a.row_id, a.dataset_id, CASE WHEN {_APPL} THEN {bleu_expr('oc', 'reply', 'req_output')} END AS bleu
+FROM annotations a LEFT JOIN oc ON oc.row_id = a.row_id
+"""
+
+for _n in (1, 2):
+    SQL[f"rouge{_n}"] = with_views("annotations") + overlap_sql("ow", _APPL_SRC, "row_id", "reply", "req_output", "word", (1, 2)) + f"""
+SELECT a.row_id, a.dataset_id, CASE WHEN {_APPL} THEN {rouge_n_expr('ow', 'reply', 'req_output', _n)} END AS rouge_{_n}
+FROM annotations a LEFT JOIN ow ON ow.row_id = a.row_id
+"""
+
+SQL["rouge_l"] = with_views("annotations") + f"""
+SELECT row_id, dataset_id, CASE WHEN {_APPL} THEN {rouge_l_expr('reply', 'req_output')} END AS rouge_l FROM annotations
+"""
+
+SQL["gold_join"] = with_views("annotations", "gold") + """
+SELECT a.row_id, a.nat_instr_id, g.generated_req_output FROM annotations a JOIN gold g ON g.nat_instr_id = a.nat_instr_id
+"""
+
+_RUN_APPL = "(reply IS NOT NULL AND generated_req_output IS NOT NULL AND dataset_id IN (1, 6, 7, 8))"
+_RUN_SRC = f"(SELECT * FROM lab WHERE {_RUN_APPL}) s"
+_SCORED_RUNS = with_views("annotations", "gold", "runs") + f"""
+, lab AS (SELECT r.*, g.generated_req_output,
+     CASE WHEN contains(r.nat_lang, 'en') THEN 'native' ELSE 'non_native' END AS native_or_not,
+     {accuracy()} AS accuracy
+   FROM runs r JOIN gold g ON g.nat_instr_id = r.nat_instr_id)
+""" + overlap_sql("oc", _RUN_SRC, "row_id, model, mode", "reply", "generated_req_output", "char", (1, 2, 3, 4)) \
+    + overlap_sql("ow", _RUN_SRC, "row_id, model, mode", "reply", "generated_req_output", "word", (1, 2)) + f"""
+, scored AS (
+  SELECT l.*, coalesce({guess_label('l.side_output')} = l.native_or_not, false) AS correct,
+    CASE WHEN {_RUN_APPL} THEN {bleu_expr('oc', 'reply', 'generated_req_output')} END AS bleu,
+    CASE WHEN {_RUN_APPL} THEN {rouge_n_expr('ow', 'reply', 'generated_req_output', 1)} END AS rouge_1,
+    CASE WHEN {_RUN_APPL} THEN {rouge_n_expr('ow', 'reply', 'generated_req_output', 2)} END AS rouge_2,
+    CASE WHEN {_RUN_APPL} THEN {rouge_l_expr('reply', 'generated_req_output')} END AS rouge_l
+  FROM lab l
+  LEFT JOIN oc ON oc.row_id = l.row_id AND oc.model = l.model AND oc.mode = l.mode
+  LEFT JOIN ow ON ow.row_id = l.row_id AND ow.model = l.model AND ow.mode = l.mode)
+"""
+
+_METRICS5 = ("accuracy", "bleu", "rouge_1", "rouge_2", "rouge_l")
+_RUN_LONG = _SCORED_RUNS + f"""
+, ex AS (SELECT *, unnest(CASE WHEN mode = 'guess_native' AND correct THEN ['guess_native', 'guess_native_correct']
+                               ELSE [CASE mode WHEN 'standard' THEN 'standard' WHEN 'add_all_native' THEN 'native'
+                                               WHEN 'add_all_non_native' THEN 'non_native' ELSE mode END] END) AS run
+         FROM scored),
+per_ex AS (SELECT model, run, native_or_not, example_id, {', '.join(f'avg({m}) AS {m}' for m in _METRICS5)}
+           FROM ex WHERE example_id IS NOT NULL GROUP BY model, run, native_or_not, example_id),
+long AS (SELECT model, run, native_or_not, {', '.join(f'avg({m}) AS {m}' for m in _METRICS5)}
+         FROM per_ex GROUP BY model, run, native_or_not)
+"""
+
+SQL["run_comparison"] = _RUN_LONG + "SELECT * FROM long"
+
+_PIVOT_COLS = [(r, c) for r in fixed.RUN_LABELS for c in fixed.NATIVE_LABELS]
+SQL["comparison_pivot"] = _RUN_LONG + "\nUNION ALL ".join(
+    f"SELECT '{m}' AS metric, " + ", ".join(
+        f"round_even(max(CASE WHEN run = '{r}' AND native_or_not = '{c}' THEN {m} END) * 100, 0) / 100 AS model_a_{r}_{c}"
+        for r, c in _PIVOT_COLS) + " FROM long"
+    for m in _METRICS5)
+SQL["comparison_pivot"] = SQL["comparison_pivot"].replace(_RUN_LONG, _RUN_LONG + "SELECT * FROM (", 1) + ")"
+
+SQL["missing_counts"] = _SCORED_RUNS + """
+SELECT model, mode, count_if(dataset_id IN (0, 2, 3, 4, 5, 9) AND accuracy IS NULL) AS missing_accuracy,
+       count_if(dataset_id IN (1, 6, 7, 8) AND bleu IS NULL) AS missing_bleu
+FROM scored GROUP BY model, mode
+"""
