@@ -90,10 +90,14 @@ def score_overlap(df: DataFrame, reply: str = "reply", gold: str = "req_output",
     if datasets is not None:
         applicable = applicable & F.col("dataset_id").isin(*datasets)
     rows = df.repartition(*keys)
-    tok = rows.where(applicable).select(
+    # No filter on this branch: a filter would be pushed below the repartition and make its exchange differ from
+    # the one of ``rows``; with empty token arrays for other rows both branches reuse one shuffle.
+    empty = F.array().cast("array<string>")
+    tok = rows.select(
         *keys,
-        text.char_tokens(reply).alias("__hc"), text.char_tokens(gold).alias("__rc"),
-        text.rouge_tokens(reply).alias("__hw"), text.rouge_tokens(gold).alias("__rw"),
+        *[F.when(applicable, f(c)).otherwise(empty).alias(a) for f, c, a in (
+            (text.char_tokens, reply, "__hc"), (text.char_tokens, gold, "__rc"),
+            (text.rouge_tokens, reply, "__hw"), (text.rouge_tokens, gold, "__rw"))],
     )
     out = rows
     if bleu:

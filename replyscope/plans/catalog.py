@@ -391,3 +391,52 @@ def comparison_pivot(spark, sf):
 @query("missing_counts")
 def missing_counts(spark, sf):
     return report.missing_counts(scored_runs_full(spark, sf))
+
+
+# ------------------------------------------------------------------------------------------------ model-based scores
+
+from replyscope.operators import modelscores as ms  # noqa: E402
+from replyscope.operators import vectors as vx  # noqa: E402
+
+
+@query("greedy_match_score")
+def greedy_match_score(spark, sf):
+    return ms.score_embedding_match(fx.token_vectors(fx.conversation_pairs(spark, sf)))
+
+
+@query("loglik_score")
+def loglik_score(spark, sf):
+    lp = fx.token_logprobs(fx.conversation_pairs(spark, sf)).where(F.col("ref_idx") == 0)
+    return ms.loglik_f1(lp)
+
+
+@query("multi_ref_score")
+def multi_ref_score(spark, sf):
+    lp = fx.token_logprobs(fx.conversation_pairs(spark, sf)).where(F.col("direction") == "precision")
+    per_ref = ms.mean_loglik(lp, keys=("row_id", "ref_idx"))
+    mean = report.multi_ref(per_ref, agg="mean").withColumnRenamed("score", "mean_score")
+    best = report.multi_ref(per_ref, agg="max").withColumnRenamed("score", "max_score")
+    return mean.join(best, "row_id")
+
+
+# ------------------------------------------------------------------------------------------------ embeddings
+
+
+def scaled_embeddings(spark, sf):
+    return vx.standardize(fx.table(spark, sf, "embeddings"), vec="embedding", group="label")
+
+
+@query("standardize_vectors")
+def standardize_vectors(spark, sf):
+    return scaled_embeddings(spark, sf).select(
+        "vec_id", "label", F.posexplode("scaled").alias("dim", "value"))
+
+
+@query("cosine_knn")
+def cosine_knn(spark, sf):
+    return vx.cosine_knn(scaled_embeddings(spark, sf), k=15).select("label", "vec_id", "rank", "neighbor_id")
+
+
+@query("pca_2d")
+def pca_2d(spark, sf):
+    return vx.project_2d(scaled_embeddings(spark, sf))

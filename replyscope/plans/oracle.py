@@ -619,3 +619,72 @@ SELECT model, mode, count_if(dataset_id IN (0, 2, 3, 4, 5, 9) AND accuracy IS NU
        count_if(dataset_id IN (1, 6, 7, 8) AND bleu IS NULL) AS missing_bleu
 FROM scored GROUP BY model, mode
 """
+
+
+# ------------------------------------------------------------------------------------------------ model-based scores
+
+
+def hash_unit(*parts: str) -> str:
+    key = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"(CAST(('0x' || substr(md5({key}), 1, 4)) AS INT) / 65535.0 - 0.5)"
+
+
+_PAIRS = """pairs AS (SELECT a.conv_id * 1000 + a.turn AS row_id, a.text AS reply, u.text AS gold
+  FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user'
+  WHERE a.role = 'assistant'),
+side_text AS (SELECT row_id, 'reply' AS side, reply AS t FROM pairs UNION ALL SELECT row_id, 'gold', gold FROM pairs),
+toks AS (SELECT row_id, side, CAST(unnest(range(len(tk))) AS INT) AS pos, unnest(tk) AS token
+         FROM (SELECT row_id, side, """ + rtok("t") + """ AS tk FROM side_text))"""
+
+_TV = f"""tv AS (SELECT *, list_transform(range(0, 8), lambda i: CAST({hash_unit('token', 'i')} AS FLOAT)) AS vec FROM toks)"""
+
+SQL["greedy_match_score"] = f"WITH {_PAIRS},\n{_TV}" + """,
+sims AS (SELECT r.row_id, r.pos AS rp, g.pos AS gp, list_cosine_similarity(CAST(r.vec AS DOUBLE[]), CAST(g.vec AS DOUBLE[])) AS s
+         FROM tv r JOIN tv g ON g.row_id = r.row_id AND r.side = 'reply' AND g.side = 'gold'),
+p AS (SELECT row_id, avg(m) AS precision FROM (SELECT row_id, rp, max(s) AS m FROM sims GROUP BY row_id, rp) GROUP BY row_id),
+r AS (SELECT row_id, avg(m) AS recall FROM (SELECT row_id, gp, max(s) AS m FROM sims GROUP BY row_id, gp) GROUP BY row_id)
+SELECT k.row_id, p.precision, r.recall,
+       CASE WHEN p.precision + r.recall <> 0 THEN 2 * p.precision * r.recall / (p.precision + r.recall) END AS f1
+FROM (SELECT DISTINCT row_id FROM tv) k LEFT JOIN p ON p.row_id = k.row_id LEFT JOIN r ON r.row_id = k.row_id
+"""
+
+_LP = f"""lp AS (SELECT s.row_id, s.direction, s.ref_idx, t.pos,
+     ({hash_unit('s.direction', 's.ref_idx', 's.row_id', 't.pos', 't.token')} - 0.5) * 8.0 AS logprob,
+     {hash_unit("'pad'", 's.row_id', 's.direction', 's.ref_idx', 't.pos')} > 0.4 AS is_pad
+   FROM (SELECT row_id, d.direction, d.side, unnest([0, 1]) AS ref_idx FROM pairs,
+         (SELECT 'faithful' AS direction, 'reply' AS side UNION ALL SELECT 'precision', 'reply'
+          UNION ALL SELECT 'recall', 'gold') d) s
+   JOIN toks t ON t.row_id = s.row_id AND t.side = s.side)"""
+
+SQL["loglik_score"] = f"WITH {_PAIRS},\n{_LP}" + """,
+per AS (SELECT row_id, direction, sum(CASE WHEN NOT is_pad THEN logprob END) / nullif(count_if(NOT is_pad), 0) AS score
+        FROM lp WHERE ref_idx = 0 GROUP BY row_id, direction),
+w AS (SELECT row_id, max(CASE WHEN direction = 'faithful' THEN score END) AS faithful,
+             max(CASE WHEN direction = 'precision' THEN score END) AS precision,
+             max(CASE WHEN direction = 'recall' THEN score END) AS recall FROM per GROUP BY row_id)
+SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) END AS f1 FROM w
+"""
+
+SQL["multi_ref_score"] = f"WITH {_PAIRS},\n{_LP}" + """,
+per AS (SELECT row_id, ref_idx, sum(CASE WHEN NOT is_pad THEN logprob END) / nullif(count_if(NOT is_pad), 0) AS score
+        FROM lp WHERE direction = 'precision' GROUP BY row_id, ref_idx)
+SELECT row_id, avg(score) AS mean_score, max(score) AS max_score FROM per GROUP BY row_id
+"""
+
+# ------------------------------------------------------------------------------------------------ embeddings
+
+_SCALED = """e AS (SELECT vec_id, label, CAST(unnest(range(len(embedding))) AS INT) AS dim, unnest(embedding) AS x
+                   FROM embeddings WHERE embedding IS NOT NULL),
+st AS (SELECT label, dim, avg(x) AS m, stddev_pop(x) AS s FROM e GROUP BY label, dim),
+scaled AS (SELECT e.vec_id, e.label, e.dim, (e.x - st.m) / CASE WHEN st.s = 0 THEN 1 ELSE st.s END AS value
+           FROM e JOIN st ON st.label = e.label AND st.dim = e.dim)"""
+
+SQL["standardize_vectors"] = f"WITH {_SCALED}\nSELECT vec_id, label, dim, value FROM scaled"
+
+SQL["cosine_knn"] = f"WITH {_SCALED}" + """,
+sc AS (SELECT vec_id, label, list(value ORDER BY dim) AS v FROM scaled GROUP BY vec_id, label),
+pairs AS (SELECT a.label, a.vec_id, b.vec_id AS neighbor_id, list_cosine_similarity(a.v, b.v) AS sim
+          FROM sc a JOIN sc b ON a.label = b.label AND a.vec_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label, vec_id ORDER BY sim DESC, neighbor_id) AS rank FROM pairs)
+SELECT label, vec_id, CAST(rank AS INT) AS rank, neighbor_id FROM ranked WHERE rank <= 15
+"""

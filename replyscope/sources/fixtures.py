@@ -8,7 +8,7 @@ The annotation view is one SQL text that runs unchanged on Spark SQL and DuckDB.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASE_TABLES = (
@@ -104,3 +104,61 @@ def cohorts(ann: DataFrame) -> DataFrame:
     users = ann.select("user_id").where(F.col("user_id").isNotNull()).distinct()
     tags = F.array(*[F.when(F.col("user_id") % m == r, F.lit(name)) for name, (m, r) in COHORT_RULES.items()])
     return users.select("user_id", F.explode(tags).alias("cohort")).where(F.col("cohort").isNotNull())
+
+
+# ------------------------------------------------------------------------------------------------ token tables
+
+TOKEN_DIM = 8
+
+
+def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply/gold pairs from chat logs: each assistant turn is a reply, the user turn before it its gold text.
+    ``row_id = conv_id * 1000 + turn``."""
+    conv = table(spark, sf_dir, "conversations")
+    a = conv.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("reply"))
+    u = conv.where(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("gold"))
+    return a.join(u, ["conv_id", "turn"]).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "reply", "gold")
+
+
+def _hash_unit(*parts) -> Column:
+    """A value in [-0.5, 0.5] from the first 4 hex digits of md5(parts joined by ':')."""
+    key = F.concat_ws(":", *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("double") / F.lit(65535.0) - F.lit(0.5)
+
+
+def _side_tokens(pairs: DataFrame) -> DataFrame:
+    from replyscope.functions.text import rouge_tokens
+
+    sides = F.explode(F.array(
+        F.struct(F.lit("reply").alias("side"), F.col("reply").alias("t")),
+        F.struct(F.lit("gold").alias("side"), F.col("gold").alias("t")),
+    ))
+    s = pairs.select("row_id", sides.alias("s")).select("row_id", "s.side", "s.t")
+    return s.select("row_id", "side", F.posexplode(rouge_tokens("t")).alias("pos", "token"))
+
+
+def token_vectors(pairs: DataFrame, dim: int = TOKEN_DIM) -> DataFrame:
+    """Stand-in for an encoder's token embeddings: (row_id, side, pos, token, vec ARRAY<FLOAT>), vectors from token
+    hashes (equal tokens get equal vectors)."""
+    toks = _side_tokens(pairs)
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: _hash_unit(F.col("token"), i).cast("float"))
+    return toks.withColumn("vec", vec)
+
+
+def token_logprobs(pairs: DataFrame) -> DataFrame:
+    """Stand-in for a scorer's target-token log-probabilities: (row_id, direction, ref_idx, pos, logprob, is_pad)
+    for directions faithful/precision (target = reply) and recall (target = gold), two references each."""
+    toks = _side_tokens(pairs)
+    dirs = F.explode(F.array(
+        F.struct(F.lit("faithful").alias("d"), F.lit("reply").alias("side")),
+        F.struct(F.lit("precision").alias("d"), F.lit("reply").alias("side")),
+        F.struct(F.lit("recall").alias("d"), F.lit("gold").alias("side")),
+    ))
+    spec = pairs.select("row_id", dirs.alias("x")).select("row_id", F.col("x.d").alias("direction"), F.col("x.side").alias("side"))
+    spec = spec.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("ref_idx"))
+    j = spec.join(toks, ["row_id", "side"])
+    h = _hash_unit(F.col("direction"), F.col("ref_idx"), F.col("row_id"), F.col("pos"), F.col("token"))
+    pad = _hash_unit(F.lit("pad"), F.col("row_id"), F.col("direction"), F.col("ref_idx"), F.col("pos"))
+    return j.select("row_id", "direction", "ref_idx", "pos",
+                    ((h - F.lit(0.5)) * F.lit(8.0)).alias("logprob"), (pad > F.lit(0.4)).alias("is_pad"))
