@@ -21,31 +21,49 @@ from pyspark.sql import types as T
 from replyscope.functions import fixed, text
 
 
-def _ngrams(tokens: Column, n: int, sep: str) -> Column:
-    """All contiguous n-grams of a token array, joined by ``sep`` (empty when the array is shorter than n)."""
-    size = F.size(tokens)
-    starts = F.sequence(F.lit(1), size - F.lit(n - 1))
-    grams = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), sep))
-    return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
+def char_ngrams(x, orders: Sequence[int]) -> Column:
+    """All overlapping character n-grams (code points, newlines included) of a text for every n in ``orders``,
+    concatenated. One regex look-ahead pass per n, JVM-side."""
+    c = F.col(x) if isinstance(x, str) else x
+    # (?!\p{Cs}) skips positions inside a surrogate pair, so grams are code points as in Python strings.
+    return F.concat(*[F.regexp_extract_all(c, F.lit(f"(?s)(?!\\p{{Cs}})(?=(.{{{n}}}))"), 1) for n in orders])
+
+
+def word_string(x) -> Column:
+    """A text as ROUGE word tokens joined by single spaces."""
+    c = F.col(x) if isinstance(x, str) else x
+    return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
+
+
+def word_ngrams(words: Column, orders: Sequence[int]) -> Column:
+    """All contiguous word n-grams (tokens joined by one space) of a ``word_string``, for every n in ``orders``."""
+    tok = "[a-z0-9]+"
+    return F.concat(*[
+        F.regexp_extract_all(words, F.lit(f"(?<![a-z0-9])(?=({tok}(?: {tok}){{{n - 1}}}))"), 1) for n in orders
+    ])
+
 
+def char_order(g: Column) -> Column:
+    return F.length(g)
 
-def overlap_counts(df: DataFrame, keys: Sequence[str], hyp_tokens: Column, ref_tokens: Column,
-                   orders: Sequence[int], sep: str = " ") -> DataFrame:
+
+def word_order(g: Column) -> Column:
+    return F.length(g) - F.length(F.replace(g, F.lit(" "), F.lit(""))) + F.lit(1)
+
+
+def overlap_counts(df: DataFrame, keys: Sequence[str], hyp_grams: str, ref_grams: str, orders: Sequence[int],
+                   order_of=char_order) -> DataFrame:
     """Clipped n-gram overlap per row: ``(*keys, o_<n> ...)`` with o_n = sum over n-grams of min(count in hyp,
-    count in ref). Rows without any common n-gram are absent (treat as 0)."""
+    count in ref). ``hyp_grams``/``ref_grams`` name array columns of n-grams of all orders; ``order_of`` gives a
+    gram's n. One explode of ``hyp ++ ref`` (the side is the position), one count per (row, gram), one sum per
+    row. Rows without any common n-gram are absent (treat as 0)."""
     keys = list(keys)
-    def tag(n: int, is_hyp: bool):
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(is_hyp).alias("h"))
-
-    items = []
-    for n in orders:
-        for is_hyp, toks in ((True, hyp_tokens), (False, ref_tokens)):
-            items.append(F.transform(_ngrams(toks, n, sep), tag(n, is_hyp)))
-    grams = df.select(*keys, F.explode(F.concat(*items)).alias("x")).select(*keys, "x.n", "x.g", "x.h")
-    per_gram = grams.groupBy(*keys, "n", "g").agg(
-        F.count_if(F.col("h")).alias("ch"), F.count_if(~F.col("h")).alias("cr")
-    )
-    clipped = per_gram.where((F.col("ch") > 0) & (F.col("cr") > 0)).select(*keys, "n", F.least("ch", "cr").alias("o"))
+    grams = df.select(*keys, F.size(hyp_grams).alias("__nh"),
+                      F.posexplode(F.concat(F.col(hyp_grams), F.col(ref_grams))).alias("__p", "g"))
+    per_gram = grams.groupBy(*keys, "g").agg(
+        F.count_if(F.col("__p") < F.col("__nh")).alias("ch"), F.count_if(F.col("__p") >= F.col("__nh")).alias("cr"))
+    clipped = per_gram.where((F.col("ch") > 0) & (F.col("cr") > 0)).select(
+        *keys, order_of(F.col("g")).alias("n"), F.least("ch", "cr").alias("o"))
     return clipped.groupBy(*keys).agg(
         *[F.sum(F.when(F.col("n") == n, F.col("o")).otherwise(0)).alias(f"o_{n}") for n in orders]
     )
@@ -82,33 +100,39 @@ def rouge_n_from_counts(o: Column, hyp_len: Column, ref_len: Column, n: int) ->
 
 def score_overlap(df: DataFrame, reply: str = "reply", gold: str = "req_output", keys: Sequence[str] = ("row_id",),
                   datasets: Sequence[int] | None = fixed.GENERATION_DATASETS, bleu: bool = True, rouge_n: bool = True,
-                  rouge_l: bool = False, rouge_lsum: bool = False) -> DataFrame:
+                  rouge_l: bool = False, rouge_lsum: bool = False, partitions: int | None = None) -> DataFrame:
     """Add ``bleu``, ``rouge_1``, ``rouge_2`` (and optionally ``rouge_l``, ``rouge_lsum``) to every row; rows outside
-    ``datasets`` (generation tasks by default) and rows with a NULL text get NULL. ``keys`` must identify a row."""
+    ``datasets`` (generation tasks by default) and rows with a NULL text get NULL. ``keys`` must identify a row.
+
+    The rows are hash-partitioned by ``keys`` into ``partitions`` (default ``spark.sql.shuffle.partitions``)
+    partitions. The number is explicit on purpose: the n-gram explode multiplies a partition's size about 20-fold,
+    so the partitioning must follow the configured parallelism rather than be coalesced by input size."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     applicable = F.col(reply).isNotNull() & F.col(gold).isNotNull()
     if datasets is not None:
         applicable = applicable & F.col("dataset_id").isin(*datasets)
-    rows = df.repartition(*keys)
-    # No filter on this branch: a filter would be pushed below the repartition and make its exchange differ from
-    # the one of ``rows``; with empty token arrays for other rows both branches reuse one shuffle.
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(n_parts, *keys)
     empty = F.array().cast("array<string>")
-    tok = rows.select(
-        *keys,
-        *[F.when(applicable, f(c)).otherwise(empty).alias(a) for f, c, a in (
-            (text.char_tokens, reply, "__hc"), (text.char_tokens, gold, "__rc"),
-            (text.rouge_tokens, reply, "__hw"), (text.rouge_tokens, gold, "__rw"))],
-    )
     out = rows
+    if bleu or rouge_n:
+        named = []
+        if bleu:
+            named += [("__hc", char_ngrams(reply, (1, 2, 3, 4))), ("__rc", char_ngrams(gold, (1, 2, 3, 4)))]
+        if rouge_n:
+            named += [("__hw", word_ngrams(word_string(reply), (1, 2))), ("__rw", word_ngrams(word_string(gold), (1, 2)))]
+        # Non-applicable rows get empty gram arrays rather than being filtered, so no filter is pushed below
+        # the repartition.
+        tok = rows.select(*keys, *[F.when(applicable, c).otherwise(empty).alias(n) for n, c in named])
     if bleu:
-        oc = overlap_counts(tok, keys, F.col("__hc"), F.col("__rc"), (1, 2, 3, 4), sep="").select(
+        oc = overlap_counts(tok, keys, "__hc", "__rc", (1, 2, 3, 4), char_order).select(
             *keys, *[F.col(f"o_{n}").alias(f"__c{n}") for n in (1, 2, 3, 4)])
         out = out.join(oc, keys, "left")
         o = [F.coalesce(F.col(f"__c{n}"), F.lit(0)) for n in (1, 2, 3, 4)]
-        val = bleu_from_counts(o, F.size(text.char_tokens(reply)), F.size(text.char_tokens(gold)))
+        val = bleu_from_counts(o, F.length(reply), F.length(gold))
         out = out.withColumn("bleu", F.when(applicable, val)).drop(*[f"__c{n}" for n in (1, 2, 3, 4)])
     if rouge_n:
-        ow = overlap_counts(tok, keys, F.col("__hw"), F.col("__rw"), (1, 2), sep=" ").select(
+        ow = overlap_counts(tok, keys, "__hw", "__rw", (1, 2), word_order).select(
             *keys, F.col("o_1").alias("__w1"), F.col("o_2").alias("__w2"))
         out = out.join(ow, keys, "left")
         hl, rl = F.size(text.rouge_tokens(reply)), F.size(text.rouge_tokens(gold))
