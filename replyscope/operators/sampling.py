@@ -84,8 +84,14 @@ def sample_history(df: DataFrame, pool: str = "user", n: int = 5, seed=fixed.SEE
 
     rows = df.select(F.col(key).alias("__k"), pool_expr.alias("__pool")).where(F.col("__pool").isNotNull())
     own = positioned.select("__k", "__pool", F.col("__pos").alias("__own"))
-    rows = rows.join(own, ["__k", "__pool"], "left").join(checked_broadcast(sizes, max_broadcast_rows), "__pool", "left")
-    m = F.coalesce(F.col("__size"), F.lit(0)) - F.when(F.col("__own").isNotNull(), 1).otherwise(0)
+    rows = rows.join(own, ["__k", "__pool"], "left")
+    if pool == "user":
+        rows = rows.join(checked_broadcast(sizes, max_broadcast_rows), "__pool", "left")
+        size = F.coalesce(F.col("__size"), F.lit(0))
+    else:
+        # One pool: its size is a single number (read once), not a join against a one-row table.
+        size = F.lit(int(sizes.agg(F.sum("__size")).first()[0] or 0))
+    m = size - F.when(F.col("__own").isNotNull(), 1).otherwise(0)
     rows = rows.withColumn("__m", m)
     draws = floyd_draws(F.col("__m"), n, seed, F.col("__k"))
     skip = [d + F.when(F.col("__own").isNotNull() & (d >= F.col("__own")), 1).otherwise(0) for d in draws]

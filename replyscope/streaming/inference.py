@@ -89,7 +89,8 @@ def run_inference(df: DataFrame, fn: ModelFn, keys: Sequence[str] = KEYS, messag
     ``partitions`` caps the number of concurrent calls (a rate limit): the input is repartitioned to that many
     tasks by key hash."""
     p = params if params is not None else decoding_params()
-    src = df.select(*keys, F.to_json(messages).alias("__messages"), F.to_json(p).alias("__params"))
+    keep_nulls = {"ignoreNullFields": "false"}  # every parameter key reaches the function, NULL as None
+    src = df.select(*keys, F.to_json(messages, keep_nulls).alias("__messages"), F.to_json(p, keep_nulls).alias("__params"))
     if partitions:
         src = src.repartition(partitions, *keys)
     schema = T.StructType(
