@@ -188,3 +188,29 @@ HISTOGRAM_EDGES = (0, 1, 2, 3, 4, 5, 6)
 
 # Smallest positive normal double: the value a zero n-gram precision is smoothed to.
 FLOAT_MIN = 2.2250738585072014e-308
+
+# Model aliases: (command-line alias, column/display name, checkpoint or hosted model id).
+MODEL_ALIASES = (
+    ("gpt3", "gpt3.5", "gpt-3.5-turbo-0125"),
+    ("gpt3.5", "gpt3.5", "gpt-3.5-turbo-0125"),
+    ("gpt4", "gpt4", "gpt-4-0125-preview"),
+    ("gpt4_o", "gpt4_o", "gpt-4o-2024-05-13"),
+    ("haiku", "haiku", "claude-3-haiku-20240307"),
+    ("sonnet", "sonnet", "claude-3-sonnet-20240229"),
+    ("opus", "opus", "claude-3-opus-20240229"),
+    ("qwen0.5B_chat", "Qwen1.5-0.5B-Chat", "Qwen/Qwen1.5-0.5B-Chat"),
+    ("qwen7B_chat", "Qwen1.5-7B-Chat", "Qwen/Qwen1.5-7B-Chat"),
+    ("llama2_7B_chat", "meta-llama/Llama-2-7b-chat-hf", "meta-llama/Llama-2-7b-chat-hf"),
+)
+
+# Wide result files: column suffix of the reply column by mode, and the side-output column of a mode.
+REPLY_SUFFIX = {
+    "standard": "",
+    "add_all_native": "_all_native",
+    "add_all_non_native": "_all_non_native",
+    "guess_native": "_guess_native",
+    "add_history": "_history",
+    "add_history_native": "_history",
+}
+SIDE_OUTPUT_COLUMN = {"guess_native": "{model} guessed_native", "add_history": "added_history",
+                      "add_history_native": "added_history", "gold": "{model} prompt"}

@@ -96,3 +96,8 @@ def char_tokens(x) -> Column:
 def rouge_tokens(x) -> Column:
     """Word tokens for ROUGE: lower case, every run of characters outside ``[a-z0-9]`` is a separator."""
     return F.filter(F.split(F.lower(_c(x)), r"[^a-z0-9]+"), lambda t: t != F.lit(""))
+
+
+def logprobs_json(x) -> Column:
+    """Token log-probabilities (an array of structs) serialised as one JSON text."""
+    return F.to_json(_c(x))
