@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
-def checked_broadcast(dim: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(dim)`` if it has at most ``max_rows`` rows, else ``dim`` unchanged (the planner then shuffles
-    both sides; AQE may still convert at run time and splits skewed keys).
+# Dimensions up to this many rows are materialised once and broadcast from that copy, so the plan that produced
+# them is not run a second time for the join.
+DEFAULT_LOCAL_ROWS = 100_000
 
-    The count reads only as many rows as needed to decide (``limit(max_rows + 1)``)."""
+
+def checked_broadcast(dim: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      local_rows: int = DEFAULT_LOCAL_ROWS) -> DataFrame:
+    """A join side that is broadcast only when its size is known to be small, else ``dim`` unchanged (the planner
+    then shuffles both sides; AQE may still convert at run time and splits skewed keys).
+
+    Up to ``local_rows`` rows the dimension is computed once and the broadcast uses those rows; up to ``max_rows``
+    rows it is counted (reading at most ``max_rows + 1`` rows) and broadcast; beyond, it stays a shuffle join."""
+    head = dim.limit(local_rows + 1).collect()
+    if len(head) <= local_rows:
+        return F.broadcast(dim.sparkSession.createDataFrame(head, dim.schema))
     n = dim.limit(max_rows + 1).count()
     return F.broadcast(dim) if n <= max_rows else dim
 

@@ -98,20 +98,28 @@ def rouge_n_from_counts(o: Column, hyp_len: Column, ref_len: Column, n: int) ->
     return _f1(p, r)
 
 
+def explode_partitions(df: DataFrame, factor: int = 4) -> int:
+    """Partitions for a stage that explodes its input: at least ``spark.sql.shuffle.partitions``, and ``factor``
+    times the input's own partition count (which follows the input size through ``spark.sql.files.maxPartitionBytes``)
+    so each exploded partition stays near the size of an input split."""
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, factor * df.rdd.getNumPartitions())
+
+
 def score_overlap(df: DataFrame, reply: str = "reply", gold: str = "req_output", keys: Sequence[str] = ("row_id",),
                   datasets: Sequence[int] | None = fixed.GENERATION_DATASETS, bleu: bool = True, rouge_n: bool = True,
                   rouge_l: bool = False, rouge_lsum: bool = False, partitions: int | None = None) -> DataFrame:
     """Add ``bleu``, ``rouge_1``, ``rouge_2`` (and optionally ``rouge_l``, ``rouge_lsum``) to every row; rows outside
     ``datasets`` (generation tasks by default) and rows with a NULL text get NULL. ``keys`` must identify a row.
 
-    The rows are hash-partitioned by ``keys`` into ``partitions`` (default ``spark.sql.shuffle.partitions``)
-    partitions. The number is explicit on purpose: the n-gram explode multiplies a partition's size about 20-fold,
-    so the partitioning must follow the configured parallelism rather than be coalesced by input size."""
+    The rows are hash-partitioned by ``keys`` into ``partitions`` partitions (default ``explode_partitions``). The
+    number is explicit on purpose: the n-gram explode multiplies a partition's size about 20-fold, so the
+    partitioning must not be coalesced by the (pre-explode) input size."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     applicable = F.col(reply).isNotNull() & F.col(gold).isNotNull()
     if datasets is not None:
         applicable = applicable & F.col("dataset_id").isin(*datasets)
-    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = partitions or explode_partitions(df)
     rows = df.repartition(n_parts, *keys)
     empty = F.array().cast("array<string>")
     out = rows

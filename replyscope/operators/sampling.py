@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from replyscope.functions import fixed, text
 from replyscope.operators.cohorts import NATIVE, native_label
-from replyscope.operators.joins import DEFAULT_BROADCAST_ROWS, checked_broadcast
+from replyscope.operators.joins import DEFAULT_BROADCAST_ROWS
 
 DEFAULT_BUCKETS = 1024
 
@@ -32,8 +32,9 @@ def pool_positions(pool_rows: DataFrame, pool: str, key: str = "row_id", buckets
                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Dense positions 0..size-1 within each pool, ordered by (hash bucket, key).
 
-    Returns ``(positioned, sizes)``: ``positioned`` has ``__pos`` added, ``sizes`` is ``(pool, __size)``. The
-    window runs per (pool, bucket), never over a whole pool; the offset table has at most pools x buckets rows."""
+    Returns ``(positioned, sizes)``: ``positioned`` has ``__pos`` and the pool's ``__size`` added, ``sizes`` is
+    ``(pool, __size)``. The window runs per (pool, bucket), never over a whole pool; the offset table has at most
+    pools x buckets rows and is the only table that moves for the join back."""
     b = pool_rows.withColumn("__b", bucket_of(F.col(key), buckets))
     ranked = b.withColumn("__r", F.row_number().over(Window.partitionBy(pool, "__b").orderBy(key)) - 1)
     counts = b.groupBy(pool, "__b").agg(F.count(F.lit(1)).alias("__n"))
@@ -42,11 +43,12 @@ def pool_positions(pool_rows: DataFrame, pool: str, key: str = "row_id", buckets
         pool, "__b",
         F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
     )
-    positioned = ranked.join(checked_broadcast(offsets, max_broadcast_rows), [pool, "__b"]).select(
-        *pool_rows.columns, (F.col("__off") + F.col("__r")).alias("__pos")
+    offsets = offsets.join(counts.groupBy(pool).agg(F.sum("__n").alias("__size")), pool)
+    # ``ranked`` is already hash-partitioned by (pool, bucket) by its window, so only the small offset table moves.
+    positioned = ranked.join(offsets, [pool, "__b"]).select(
+        *pool_rows.columns, (F.col("__off") + F.col("__r")).alias("__pos"), "__size"
     )
-    sizes = counts.groupBy(pool).agg(F.sum("__n").alias("__size"))
-    return positioned, sizes
+    return positioned, offsets.select(pool, "__size").distinct()
 
 
 def floyd_draws(m: Column, n: int, seed, row_id: Column) -> list[Column]:
@@ -83,14 +85,14 @@ def sample_history(df: DataFrame, pool: str = "user", n: int = 5, seed=fixed.SEE
                                        max_broadcast_rows=max_broadcast_rows)
 
     rows = df.select(F.col(key).alias("__k"), pool_expr.alias("__pool")).where(F.col("__pool").isNotNull())
-    own = positioned.select("__k", "__pool", F.col("__pos").alias("__own"))
+    own = positioned.select("__k", "__pool", F.col("__pos").alias("__own"), "__size")
     rows = rows.join(own, ["__k", "__pool"], "left")
     if pool == "user":
-        rows = rows.join(checked_broadcast(sizes, max_broadcast_rows), "__pool", "left")
+        # Every row belongs to its writer's pool, so the pool size arrives with the row's own position.
         size = F.coalesce(F.col("__size"), F.lit(0))
     else:
         # One pool: its size is a single number (read once), not a join against a one-row table.
-        size = F.lit(int(sizes.agg(F.sum("__size")).first()[0] or 0))
+        size = F.lit(int(sizes.agg(F.max("__size")).first()[0] or 0))
     m = size - F.when(F.col("__own").isNotNull(), 1).otherwise(0)
     rows = rows.withColumn("__m", m)
     draws = floyd_draws(F.col("__m"), n, seed, F.col("__k"))
@@ -103,9 +105,8 @@ def sample_history(df: DataFrame, pool: str = "user", n: int = 5, seed=fixed.SEE
         .agg(F.array_sort(F.collect_list(F.struct("__i", "__text"))).alias("__picked"))
         .select("__k", text.join_texts(F.col("__picked.__text")).alias(out))
     )
-    result = df.join(picks, df[key] == picks["__k"], "left").drop("__k")
-    sized = rows.select(F.col("__k").alias("__k2"), "__m")
-    result = result.join(sized, result[key] == sized["__k2"], "left").drop("__k2")
+    per_row = rows.select("__k", "__m").join(picks, "__k", "left")
+    result = df.join(per_row, df[key] == per_row["__k"], "left").drop("__k")
     return result.withColumn(
         f"{out}_error",
         F.when(F.coalesce(F.col("__m"), F.lit(0)) < n, F.lit(f"fewer than {n} other rows in the {pool} pool")),
