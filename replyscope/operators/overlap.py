@@ -51,22 +51,50 @@ def word_order(g: Column) -> Column:
     return F.length(g) - F.length(F.replace(g, F.lit(" "), F.lit(""))) + F.lit(1)
 
 
-def overlap_counts(df: DataFrame, keys: Sequence[str], hyp_grams: str, ref_grams: str, orders: Sequence[int],
-                   order_of=char_order) -> DataFrame:
-    """Clipped n-gram overlap per row: ``(*keys, o_<n> ...)`` with o_n = sum over n-grams of min(count in hyp,
-    count in ref). ``hyp_grams``/``ref_grams`` name array columns of n-grams of all orders; ``order_of`` gives a
-    gram's n. One explode of ``hyp ++ ref`` (the side is the position), one count per (row, gram), one sum per
-    row. Rows without any common n-gram are absent (treat as 0)."""
+def overlap_counts(df: DataFrame, keys: Sequence[str], parts) -> DataFrame:
+    """Clipped n-gram overlap per row for one or more gram families in one pass.
+
+    ``parts`` is a list of ``(name, hyp_col, ref_col, orders, order_of)``: array columns of n-grams of all orders
+    of one family (e.g. characters, words) and a function giving a gram's n. The result has
+    ``(*keys, <name>_<n> ...)`` with the sum over n-grams of min(count in hyp, count in ref).
+
+    All families are exploded together (``posexplode`` of hyp arrays ++ ref arrays; the family and the side follow
+    from the position), counted once per (row, family, gram) and summed once per row. Rows without any common
+    n-gram are absent (treat as 0)."""
     keys = list(keys)
-    grams = df.select(*keys, F.size(hyp_grams).alias("__nh"),
-                      F.posexplode(F.concat(F.col(hyp_grams), F.col(ref_grams))).alias("__p", "g"))
-    per_gram = grams.groupBy(*keys, "g").agg(
-        F.count_if(F.col("__p") < F.col("__nh")).alias("ch"), F.count_if(F.col("__p") >= F.col("__nh")).alias("cr"))
+    hyp_sizes = [F.size(h) for _, h, _, _, _ in parts]
+    ref_sizes = [F.size(r) for _, _, r, _, _ in parts]
+    arr = F.concat(*[F.col(h) for _, h, _, _, _ in parts], *[F.col(r) for _, _, r, _, _ in parts])
+    grams = df.select(*keys, *[x.alias(f"__h{i}") for i, x in enumerate(hyp_sizes)],
+                      *[x.alias(f"__r{i}") for i, x in enumerate(ref_sizes)],
+                      F.posexplode(arr).alias("__p", "g"))
+    p = F.col("__p")
+    cum_h, cum_r = [], []
+    for i in range(len(parts)):
+        cum_h.append(F.col(f"__h{i}") if i == 0 else cum_h[-1] + F.col(f"__h{i}"))
+        cum_r.append(F.col(f"__r{i}") if i == 0 else cum_r[-1] + F.col(f"__r{i}"))
+    total_h = cum_h[-1]
+    q = p - total_h
+    fam_h = F.lit(len(parts) - 1)
+    fam_r = F.lit(len(parts) - 1)
+    for i in range(len(parts) - 2, -1, -1):
+        fam_h = F.when(p < cum_h[i], F.lit(i)).otherwise(fam_h)
+        fam_r = F.when(q < cum_r[i], F.lit(i)).otherwise(fam_r)
+    is_h = p < total_h
+    tagged = grams.select(*keys, "g", is_h.alias("__is_h"), F.when(is_h, fam_h).otherwise(fam_r).alias("__fam"))
+    per_gram = tagged.groupBy(*keys, "__fam", "g").agg(
+        F.count_if(F.col("__is_h")).alias("ch"), F.count_if(~F.col("__is_h")).alias("cr"))
+    order = F.lit(None).cast("int")
+    for i, (_, _, _, _, order_of) in enumerate(parts):
+        order = F.when(F.col("__fam") == i, order_of(F.col("g"))).otherwise(order)
     clipped = per_gram.where((F.col("ch") > 0) & (F.col("cr") > 0)).select(
-        *keys, order_of(F.col("g")).alias("n"), F.least("ch", "cr").alias("o"))
-    return clipped.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("n") == n, F.col("o")).otherwise(0)).alias(f"o_{n}") for n in orders]
-    )
+        *keys, "__fam", order.alias("n"), F.least("ch", "cr").alias("o"))
+    sums = []
+    for i, (name, _, _, orders, _) in enumerate(parts):
+        for n in orders:
+            hit = (F.col("__fam") == i) & (F.col("n") == n)
+            sums.append(F.sum(F.when(hit, F.col("o")).otherwise(0)).alias(f"{name}_{n}"))
+    return clipped.groupBy(*keys).agg(*sums)
 
 
 def _f1(p: Column, r: Column) -> Column:
@@ -120,39 +148,40 @@ def score_overlap(df: DataFrame, reply: str = "reply", gold: str = "req_output",
     if datasets is not None:
         applicable = applicable & F.col("dataset_id").isin(*datasets)
     n_parts = partitions or explode_partitions(df)
-    rows = df.repartition(n_parts, *keys)
+    # One struct key, computed below the exchange: the aggregates and joins below then see exactly the
+    # partitioning expression of the repartition, even when a key column is a constant that Catalyst would fold.
+    row_keys = keys
+    keys = ["__key"]
+    rows = df.withColumn("__key", F.struct(*row_keys)).repartition(n_parts, "__key")
     empty = F.array().cast("array<string>")
     out = rows
     if bleu or rouge_n:
-        named = []
+        named, parts = [], []
         if bleu:
             named += [("__hc", char_ngrams(reply, (1, 2, 3, 4))), ("__rc", char_ngrams(gold, (1, 2, 3, 4)))]
+            parts.append(("__c", "__hc", "__rc", (1, 2, 3, 4), char_order))
         if rouge_n:
             named += [("__hw", word_ngrams(word_string(reply), (1, 2))), ("__rw", word_ngrams(word_string(gold), (1, 2)))]
+            parts.append(("__w", "__hw", "__rw", (1, 2), word_order))
         # Non-applicable rows get empty gram arrays rather than being filtered, so no filter is pushed below
         # the repartition.
         tok = rows.select(*keys, *[F.when(applicable, c).otherwise(empty).alias(n) for n, c in named])
-    if bleu:
-        oc = overlap_counts(tok, keys, "__hc", "__rc", (1, 2, 3, 4), char_order).select(
-            *keys, *[F.col(f"o_{n}").alias(f"__c{n}") for n in (1, 2, 3, 4)])
-        out = out.join(oc, keys, "left")
-        o = [F.coalesce(F.col(f"__c{n}"), F.lit(0)) for n in (1, 2, 3, 4)]
-        val = bleu_from_counts(o, F.length(reply), F.length(gold))
-        out = out.withColumn("bleu", F.when(applicable, val)).drop(*[f"__c{n}" for n in (1, 2, 3, 4)])
-    if rouge_n:
-        ow = overlap_counts(tok, keys, "__hw", "__rw", (1, 2), word_order).select(
-            *keys, F.col("o_1").alias("__w1"), F.col("o_2").alias("__w2"))
-        out = out.join(ow, keys, "left")
-        hl, rl = F.size(text.rouge_tokens(reply)), F.size(text.rouge_tokens(gold))
-        for n in (1, 2):
-            v = rouge_n_from_counts(F.coalesce(F.col(f"__w{n}"), F.lit(0)), hl, rl, n)
-            out = out.withColumn(f"rouge_{n}", F.when(applicable, v))
-        out = out.drop("__w1", "__w2")
+        counts = overlap_counts(tok, keys, parts)
+        out = out.join(counts, keys, "left")
+        cnt = lambda c: F.coalesce(F.col(c), F.lit(0))
+        if bleu:
+            val = bleu_from_counts([cnt(f"__c_{n}") for n in (1, 2, 3, 4)], F.length(reply), F.length(gold))
+            out = out.withColumn("bleu", F.when(applicable, val))
+        if rouge_n:
+            hl, rl = F.size(text.rouge_tokens(reply)), F.size(text.rouge_tokens(gold))
+            for n in (1, 2):
+                out = out.withColumn(f"rouge_{n}", F.when(applicable, rouge_n_from_counts(cnt(f"__w_{n}"), hl, rl, n)))
+        out = out.drop(*[c for c in counts.columns if c not in keys])
     if rouge_l:
         out = out.withColumn("rouge_l", F.when(applicable, rouge_l_udf(text.rouge_tokens(reply), text.rouge_tokens(gold))))
     if rouge_lsum:
         out = out.withColumn("rouge_lsum", F.when(applicable, rouge_lsum_udf(line_tokens(reply), line_tokens(gold))))
-    return out
+    return out.drop("__key")
 
 
 def line_tokens(x) -> Column:

@@ -440,3 +440,10 @@ def cosine_knn(spark, sf):
 @query("pca_2d")
 def pca_2d(spark, sf):
     return vx.project_2d(scaled_embeddings(spark, sf))
+
+
+@query("comparison_pivot_dataset")
+def comparison_pivot_dataset(spark, sf):
+    """U2 in dataset mode: one row per (dataset, metric), columns per run and cohort."""
+    long = report.compare_runs(scored_runs_full(spark, sf), by=("dataset_id",), metrics=COMPARED_METRICS)
+    return report.comparison_table(long, by=("dataset_id",), metrics=COMPARED_METRICS, models=[fx.RUN_MODEL])

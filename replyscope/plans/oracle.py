@@ -688,3 +688,22 @@ pairs AS (SELECT a.label, a.vec_id, b.vec_id AS neighbor_id, list_cosine_similar
 ranked AS (SELECT *, row_number() OVER (PARTITION BY label, vec_id ORDER BY sim DESC, neighbor_id) AS rank FROM pairs)
 SELECT label, vec_id, CAST(rank AS INT) AS rank, neighbor_id FROM ranked WHERE rank <= 15
 """
+
+
+_RUN_LONG_DS = _SCORED_RUNS + f"""
+, ex AS (SELECT *, unnest(CASE WHEN mode = 'guess_native' AND correct THEN ['guess_native', 'guess_native_correct']
+                               ELSE [CASE mode WHEN 'standard' THEN 'standard' WHEN 'add_all_native' THEN 'native'
+                                               WHEN 'add_all_non_native' THEN 'non_native' ELSE mode END] END) AS run
+         FROM scored),
+per_ex AS (SELECT model, run, native_or_not, dataset_id, example_id, {', '.join(f'avg({m}) AS {m}' for m in _METRICS5)}
+           FROM ex WHERE example_id IS NOT NULL AND dataset_id IS NOT NULL
+           GROUP BY model, run, native_or_not, dataset_id, example_id),
+long AS (SELECT model, run, native_or_not, dataset_id, {', '.join(f'avg({m}) AS {m}' for m in _METRICS5)}
+         FROM per_ex GROUP BY model, run, native_or_not, dataset_id)
+"""
+
+SQL["comparison_pivot_dataset"] = _RUN_LONG_DS + "SELECT * FROM (" + "\nUNION ALL ".join(
+    f"SELECT dataset_id, '{m}' AS metric, " + ", ".join(
+        f"round_even(max(CASE WHEN run = '{r}' AND native_or_not = '{c}' THEN {m} END) * 100, 0) / 100 AS model_a_{r}_{c}"
+        for r, c in _PIVOT_COLS) + " FROM long GROUP BY dataset_id"
+    for m in _METRICS5) + ")"
