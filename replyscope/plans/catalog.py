@@ -8,10 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from replyscope.functions import fixed
+from replyscope.functions import text as T
 from replyscope.operators import accuracy as acc
 from replyscope.operators import cohorts as coh
-from replyscope.operators import report
+from replyscope.operators import joins, overlap, report, sampling, stats, timing
+from replyscope.operators import modelscores as ms
+from replyscope.operators import prompts as P
+from replyscope.operators import vectors as vx
+from replyscope.operators import wide
 from replyscope.sources import fixtures as fx
+from replyscope.sources import io
+from replyscope.streaming import inference as inf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,12 +112,6 @@ def guess_counts(spark, sf):
 
 # ------------------------------------------------------------------------------------------------ text functions
 
-from replyscope.functions import fixed  # noqa: E402
-from replyscope.functions import text as T  # noqa: E402
-from replyscope.operators import prompts as P  # noqa: E402
-from replyscope.operators import sampling, stats, timing  # noqa: E402
-from replyscope.sources import io  # noqa: E402
-from replyscope.streaming import inference as inf  # noqa: E402
 
 STATS_COHORTS = (coh.NATIVE, coh.STRICT, "western_native_or_not", "african_or_not")
 EVENT_COHORTS = ("western_native_or_not", "african_or_not", "student_or_not")
@@ -342,7 +344,6 @@ def judge_regroup(spark, sf):
 
 # ------------------------------------------------------------------------------------------------ overlap metrics
 
-from replyscope.operators import joins, overlap  # noqa: E402
 
 RUN_KEYS = ("row_id", "model", "mode")
 COMPARED_METRICS = ("accuracy", "bleu", "rouge_1", "rouge_2", "rouge_l")
@@ -395,9 +396,6 @@ def missing_counts(spark, sf):
 
 # ------------------------------------------------------------------------------------------------ model-based scores
 
-from replyscope.operators import modelscores as ms  # noqa: E402
-from replyscope.operators import vectors as vx  # noqa: E402
-
 
 @query("greedy_match_score")
 def greedy_match_score(spark, sf):
@@ -447,3 +445,40 @@ def comparison_pivot_dataset(spark, sf):
     """U2 in dataset mode: one row per (dataset, metric), columns per run and cohort."""
     long = report.compare_runs(scored_runs_full(spark, sf), by=("dataset_id",), metrics=COMPARED_METRICS)
     return report.comparison_table(long, by=("dataset_id",), metrics=COMPARED_METRICS, models=[fx.RUN_MODEL])
+
+
+# ------------------------------------------------------------------------------------------------ wide files, E1, S9
+
+WIDE_MODEL = "gpt3"
+
+
+@query("wide_results_roundtrip")
+def wide_results_roundtrip(spark, sf):
+    """The runs written in the original wide layout (one reply column per mode, a guess column), read
+    back to long rows."""
+    runs = fx.runs(fx.annotations(spark, sf))
+    name = wide.display_name(WIDE_MODEL)
+    w = runs.groupBy("row_id").pivot("mode", list(fx.RUN_MODES)).agg(
+        F.first("reply").alias("r"), F.first("side_output").alias("s"))
+    wide_df = w.select("row_id", *[F.col(f"{m}_r").alias(f"{name} replies{fixed.REPLY_SUFFIX[m]}") for m in fx.RUN_MODES],
+                       F.col("guess_native_s").alias(f"{name} guessed_native"))
+    return wide.wide_to_long(wide_df, WIDE_MODEL).select("row_id", "model", "mode", "reply", "side_output")
+
+
+def text_features(texts: list) -> list:
+    """Stand-in encoder for tests: (characters, spaces, newlines) of each text."""
+    return [[float(len(t)), float(t.count(" ")), float(t.count("\n"))] for t in texts]
+
+
+@query("embed_texts")
+def embed_texts(spark, sf):
+    docs = fx.table(spark, sf, "documents")
+    return vx.embed(docs.select("doc_id", "text"), "text", text_features).select(
+        "doc_id", F.posexplode("embedding").alias("dim", "value"))
+
+
+@query("judge_request_manifest")
+def judge_request_manifest(spark, sf):
+    lines = io.judge_request_lines(P.judge_prompts(judged_rows(spark, sf)))
+    return lines.groupBy("shard").agg(F.count(F.lit(1)).alias("n_requests"),
+                                      F.sum(F.octet_length("line") + F.lit(1)).alias("n_bytes"))

@@ -6,6 +6,7 @@ generated from the Spark code."""
 
 from __future__ import annotations
 
+from replyscope.functions import fixed
 from replyscope.sources import fixtures as fx
 
 # ------------------------------------------------------------------------------------------------ views
@@ -157,8 +158,6 @@ FROM g GROUP BY model
 
 # ------------------------------------------------------------------------------------------------ helpers (SQL text)
 
-from replyscope.functions import fixed  # noqa: E402
-
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -707,3 +706,21 @@ SQL["comparison_pivot_dataset"] = _RUN_LONG_DS + "SELECT * FROM (" + "\nUNION AL
         f"round_even(max(CASE WHEN run = '{r}' AND native_or_not = '{c}' THEN {m} END) * 100, 0) / 100 AS model_a_{r}_{c}"
         for r, c in _PIVOT_COLS) + " FROM long GROUP BY dataset_id"
     for m in _METRICS5) + ")"
+
+
+# ------------------------------------------------------------------------------------------------ wide files, E1, S9
+
+SQL["wide_results_roundtrip"] = with_views("annotations", "runs") + """
+SELECT row_id, 'gpt3' AS model, mode, reply, side_output FROM runs
+"""
+
+SQL["embed_texts"] = """
+SELECT doc_id, CAST(unnest(range(3)) AS INT) AS dim,
+       unnest([CAST(length(coalesce(text, '')) AS FLOAT),
+               CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS FLOAT),
+               CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS FLOAT)]) AS value
+FROM documents
+"""
+
+SQL["judge_request_manifest"] = "SELECT shard, count(*) AS n_requests, sum(strlen(line) + 1) AS n_bytes FROM (" + \
+    SQL["judge_requests_jsonl"] + ") GROUP BY shard"
