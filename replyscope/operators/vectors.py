@@ -139,7 +139,8 @@ def cosine_knn(df: DataFrame, vec: str = "scaled", group: str = "label", key: st
     cands = pairs.mapInPandas(_block_topk(k), KNN_SCHEMA)
     w = Window.partitionBy("grp", "vec_id").orderBy(F.col("sim").desc(), F.col("neighbor_id"))
     ranked = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(F.col("grp").alias(group), F.col("vec_id").alias(key), "rank", "neighbor_id", "sim")
+    return ranked.select(F.col("grp").cast(df.schema[group].dataType).alias(group),
+                         F.col("vec_id").cast(df.schema[key].dataType).alias(key), "rank", "neighbor_id", "sim")
 
 
 # ------------------------------------------------------------------------------------------------ E4

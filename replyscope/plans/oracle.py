@@ -149,9 +149,9 @@ SELECT row_id, side_output, {guess_label('side_output')} AS final_guess FROM run
 
 SQL["guess_counts"] = with_views("annotations", "runs", "runs_labeled") + f"""
 , g AS (SELECT *, {guess_label('side_output')} = native_or_not AS correct FROM runs_labeled WHERE mode = 'guess_native')
-SELECT model, count(*) AS n_rows, count_if(native_or_not = 'native') AS n_native,
-       count_if(correct AND native_or_not = 'native') AS n_correct_native,
-       count_if(correct AND native_or_not = 'non_native') AS n_correct_non_native
+SELECT model, count(*) AS n_rows, CAST(count_if(native_or_not = 'native') AS BIGINT) AS n_native,
+       CAST(count_if(correct AND native_or_not = 'native') AS BIGINT) AS n_correct_native,
+       CAST(count_if(correct AND native_or_not = 'non_native') AS BIGINT) AS n_correct_non_native
 FROM g GROUP BY model
 """
 
@@ -614,8 +614,8 @@ SQL["comparison_pivot"] = _RUN_LONG + "\nUNION ALL ".join(
 SQL["comparison_pivot"] = SQL["comparison_pivot"].replace(_RUN_LONG, _RUN_LONG + "SELECT * FROM (", 1) + ")"
 
 SQL["missing_counts"] = _SCORED_RUNS + """
-SELECT model, mode, count_if(dataset_id IN (0, 2, 3, 4, 5, 9) AND accuracy IS NULL) AS missing_accuracy,
-       count_if(dataset_id IN (1, 6, 7, 8) AND bleu IS NULL) AS missing_bleu
+SELECT model, mode, CAST(count_if(dataset_id IN (0, 2, 3, 4, 5, 9) AND accuracy IS NULL) AS BIGINT) AS missing_accuracy,
+       CAST(count_if(dataset_id IN (1, 6, 7, 8) AND bleu IS NULL) AS BIGINT) AS missing_bleu
 FROM scored GROUP BY model, mode
 """
 
@@ -722,5 +722,5 @@ SELECT doc_id, CAST(unnest(range(3)) AS INT) AS dim,
 FROM documents
 """
 
-SQL["judge_request_manifest"] = "SELECT shard, count(*) AS n_requests, sum(strlen(line) + 1) AS n_bytes FROM (" + \
+SQL["judge_request_manifest"] = "SELECT shard, count(*) AS n_requests, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes FROM (" + \
     SQL["judge_requests_jsonl"] + ") GROUP BY shard"

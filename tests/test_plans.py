@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 SMOKE = "/root/testdata/sf0.001"
-PYTHON_OK = {"rouge_l", "rouge_lsum", "run_comparison", "comparison_pivot", "greedy_match_score",
+PYTHON_OK = {"rouge_l", "rouge_lsum", "run_comparison", "comparison_pivot", "comparison_pivot_dataset", "greedy_match_score",
              "cosine_knn", "pca_2d", "infer_stub", "chat_gold", "judge_regroup", "embed_texts"}
 
 
