@@ -126,12 +126,11 @@ def rouge_n_from_counts(o: Column, hyp_len: Column, ref_len: Column, n: int) ->
     return _f1(p, r)
 
 
-def explode_partitions(df: DataFrame, factor: int = 4) -> int:
-    """Partitions for a stage that explodes its input: at least ``spark.sql.shuffle.partitions``, and ``factor``
-    times the input's own partition count (which follows the input size through ``spark.sql.files.maxPartitionBytes``)
-    so each exploded partition stays near the size of an input split."""
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(configured, factor * df.rdd.getNumPartitions())
+def explode_partitions(df: DataFrame) -> int:
+    """Partitions for a stage that explodes its input: ``spark.sql.shuffle.partitions``, the knob a deployment
+    already sizes to its data (the input's own partition count is not used: reading it would execute the plan
+    under adaptive execution). Pass ``partitions`` to ``score_overlap`` to override per call."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def score_overlap(df: DataFrame, reply: str = "reply", gold: str = "req_output", keys: Sequence[str] = ("row_id",),

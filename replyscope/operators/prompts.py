@@ -58,6 +58,11 @@ def final_prompt(gold_mode="False", instruction="instruction", prompt="prompt_en
     raise ValueError(f"unknown gold mode {gold_mode!r}")
 
 
+def full_instruction(task_def="task_def", prompt="final_prompt_en") -> Column:
+    """``task_def + ' ' + prompt`` (the source text of the faithfulness score); NULL if either is NULL."""
+    return F.concat(_c(task_def), F.lit(" "), _c(prompt))
+
+
 def msg(role: str, content) -> Column:
     return F.struct(F.lit(role).alias("role"), _c(content).cast("string").alias("content"))
 

@@ -42,8 +42,8 @@ def pool_positions(pool_rows: DataFrame, pool: str, key: str = "row_id", buckets
     offsets = counts.select(
         pool, "__b",
         F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
+        F.sum("__n").over(Window.partitionBy(pool)).alias("__size"),
     )
-    offsets = offsets.join(counts.groupBy(pool).agg(F.sum("__n").alias("__size")), pool)
     # ``ranked`` is already hash-partitioned by (pool, bucket) by its window, so only the small offset table moves.
     positioned = ranked.join(offsets, [pool, "__b"]).select(
         *pool_rows.columns, (F.col("__off") + F.col("__r")).alias("__pos"), "__size"

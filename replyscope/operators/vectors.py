@@ -150,14 +150,16 @@ PCA_PARTIAL = T.StructType([
 ])
 
 
-def _partial_moments(dim: int):
-    """Per partition and group: count, sums and cross-products, flattened as (grp, index, value) rows."""
+def _partial_moments():
+    """Per partition and group: count, sums and cross-products, flattened as (grp, index, value) rows. The
+    dimension is read from the vectors themselves."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict = {}
         for pdf in it:
             for g, sub in pdf.groupby("grp"):
                 x = np.vstack(sub["v"].to_numpy()).astype(np.float64)
-                n, s, xx = acc.get(g, (0, np.zeros(dim), np.zeros((dim, dim))))
+                d = x.shape[1]
+                n, s, xx = acc.get(g, (0, np.zeros(d), np.zeros((d, d))))
                 acc[g] = (n + len(x), s + x.sum(axis=0), xx + x.T @ x)
         for g, (n, s, xx) in acc.items():
             vals = np.concatenate([[n], s, xx.ravel()])
@@ -166,20 +168,18 @@ def _partial_moments(dim: int):
     return run
 
 
-def project_2d(df: DataFrame, vec: str = "scaled", group: str = "label", key: str = "vec_id", dim: int | None = None
-               ) -> DataFrame:
+def project_2d(df: DataFrame, vec: str = "scaled", group: str = "label", key: str = "vec_id") -> DataFrame:
     """E4 (stands in for the single-machine layout step): per group, the projection on the two leading principal
     components. Moments are summed from per-partition partials (groups x dim^2 numbers), the 2 x dim components
     per group are solved on that small table and joined back behind a size check. Component signs are arbitrary."""
     base = df.where(F.col(vec).isNotNull()).select(
         F.col(group).cast("long").alias("grp"), F.col(key).alias("__k"), F.col(vec).alias("v"))
-    if dim is None:
-        dim = base.select(F.max(F.size("v"))).first()[0] or 0
-    partials = base.select("grp", "v").mapInPandas(_partial_moments(dim), PCA_PARTIAL)
+    partials = base.select("grp", "v").mapInPandas(_partial_moments(), PCA_PARTIAL)
     moments = partials.groupBy("grp", "i").agg(F.sum("v").alias("v"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         vals = pdf.sort_values("i")["v"].to_numpy()
+        dim = int(round((np.sqrt(4 * len(vals) - 3) - 1) / 2))  # len = 1 + dim + dim^2
         n, s, xx = vals[0], vals[1:1 + dim], vals[1 + dim:].reshape(dim, dim)
         mean = s / n
         cov = (xx - n * np.outer(mean, mean)) / max(n - 1, 1)
