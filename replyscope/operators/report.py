@@ -139,15 +139,17 @@ def fill_missing_accuracy(scores: DataFrame) -> DataFrame:
 
 
 def multi_ref(scores: DataFrame, key: str = "row_id", ref: str = "ref_idx", score: str = "score",
-              agg: str = "mean") -> DataFrame:
-    """Combine the scores of several references per row by mean or max. Every row must have the same number
-    of references; this is checked with one small aggregate and raises otherwise."""
-    if agg not in ("mean", "max"):
+              agg="mean") -> DataFrame:
+    """Combine the scores of several references per row by mean or max (``agg`` may also be a sequence,
+    giving one ``<score>_<agg>`` column each, from one aggregate). Every row must have the same number of
+    references; this is checked with one small aggregate over the per-row table and raises otherwise."""
+    aggs = [agg] if isinstance(agg, str) else list(agg)
+    if any(a not in ("mean", "max") for a in aggs):
         raise NotImplementedError(agg)
+    fns = {"mean": F.avg, "max": F.max}
+    names = [score] if isinstance(agg, str) else [f"{score}_{a}" for a in aggs]
     per_row = scores.groupBy(key).agg(
-        F.count(F.col(ref)).alias("n_refs"),
-        (F.avg(score) if agg == "mean" else F.max(score)).alias(score),
-    )
+        F.count(F.col(ref)).alias("n_refs"), *[fns[a](score).alias(n) for a, n in zip(aggs, names)])
     n_distinct = per_row.agg(F.count_distinct("n_refs").alias("k")).first()["k"]
     if n_distinct > 1:
         raise ValueError("rows have different numbers of references")

@@ -412,9 +412,8 @@ def loglik_score(spark, sf):
 def multi_ref_score(spark, sf):
     lp = fx.token_logprobs(fx.conversation_pairs(spark, sf)).where(F.col("direction") == "precision")
     per_ref = ms.mean_loglik(lp, keys=("row_id", "ref_idx"))
-    mean = report.multi_ref(per_ref, agg="mean").withColumnRenamed("score", "mean_score")
-    best = report.multi_ref(per_ref, agg="max").withColumnRenamed("score", "max_score")
-    return mean.join(best, "row_id")
+    both = report.multi_ref(per_ref, agg=("mean", "max"))
+    return both.select("row_id", F.col("score_mean").alias("mean_score"), F.col("score_max").alias("max_score"))
 
 
 # ------------------------------------------------------------------------------------------------ embeddings
