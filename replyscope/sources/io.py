@@ -100,3 +100,16 @@ def write_request_shards(lines: DataFrame, path: str) -> DataFrame:
     )
     manifest.write.mode("append").parquet(f"{path.rstrip('/')}/_manifest")
     return manifest
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write ``df`` once as Parquet under the cluster's shared ``spark.checkpoint.dir`` and read it
+    back, so later reports over the same table (e.g. scores used by several comparisons) do not recompute it, and a
+    lost executor only re-reads files. Each call writes a fresh folder."""
+    import uuid
+
+    from replyscope.session import shared_dir
+
+    path = shared_dir(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

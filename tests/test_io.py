@@ -34,3 +34,12 @@ def test_partitioned_scores_pruning(spark):
     assert [r["row_id"] for r in got.collect()] == [1]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan
+
+
+def test_materialize_cuts_lineage(spark):
+    df = spark.range(100).selectExpr("id", "id * 2 AS x").where("id % 3 = 0")
+    m = io.materialize(df, "unit")
+    assert sorted(r[0] for r in m.collect()) == sorted(r[0] for r in df.collect())
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan and "FileScan" in plan
+    assert spark.conf.get("spark.checkpoint.dir") in m.inputFiles()[0].replace("file:", "")
