@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from replyscope.functions import fixed, text
 from replyscope.operators.cohorts import NATIVE, native_label
-from replyscope.operators.joins import DEFAULT_BROADCAST_ROWS
 
 DEFAULT_BUCKETS = 1024
 
@@ -28,8 +27,8 @@ def bucket_of(row_id: Column, buckets: int) -> Column:
     return F.pmod(hash32(row_id), F.lit(buckets))
 
 
-def pool_positions(pool_rows: DataFrame, pool: str, key: str = "row_id", buckets: int = DEFAULT_BUCKETS,
-                   max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+def pool_positions(pool_rows: DataFrame, pool: str, key: str = "row_id", buckets: int = DEFAULT_BUCKETS
+                   ) -> tuple[DataFrame, DataFrame]:
     """Dense positions 0..size-1 within each pool, ordered by (hash bucket, key).
 
     Returns ``(positioned, sizes)``: ``positioned`` has ``__pos`` and the pool's ``__size`` added, ``sizes`` is
@@ -65,7 +64,7 @@ def floyd_draws(m: Column, n: int, seed, row_id: Column) -> list[Column]:
 
 def sample_history(df: DataFrame, pool: str = "user", n: int = 5, seed=fixed.SEED, text_col: str = "prompt_en",
                    key: str = "row_id", user: str = "user_id", buckets: int = DEFAULT_BUCKETS,
-                   out: str = "history", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                   out: str = "history") -> DataFrame:
     """Add ``out`` (n texts of other pool rows joined with ', ') and ``out + '_error'``.
 
     ``pool``: ``user`` (other rows of the same writer), ``native`` or ``non_native`` (other rows of that cohort,
@@ -81,8 +80,7 @@ def sample_history(df: DataFrame, pool: str = "user", n: int = 5, seed=fixed.SEE
         raise ValueError("pool must be user, native or non_native")
 
     members = pool_rows.select(F.col(key).alias("__k"), pool_expr.alias("__pool"), F.col(text_col).alias("__text"))
-    positioned, sizes = pool_positions(members, "__pool", key="__k", buckets=buckets,
-                                       max_broadcast_rows=max_broadcast_rows)
+    positioned, sizes = pool_positions(members, "__pool", key="__k", buckets=buckets)
 
     rows = df.select(F.col(key).alias("__k"), pool_expr.alias("__pool")).where(F.col("__pool").isNotNull())
     own = positioned.select("__k", "__pool", F.col("__pos").alias("__own"), "__size")

@@ -24,18 +24,24 @@ from replyscope.operators.sampling import hash32
 # ------------------------------------------------------------------------------------------------ E1
 
 
-def embed(df: DataFrame, text_col: str, encoder: Callable[[list], list], out: str = "embedding",
-          batch_size: int = 32) -> DataFrame:
+def embed(df: DataFrame, text_col: str, encoder: Callable[[list], list] | None = None, out: str = "embedding",
+          batch_size: int = 32, encoder_factory: Callable[[], Callable[[list], list]] | None = None) -> DataFrame:
     """``out`` = encoder(texts) in batches of ``batch_size`` inside an iterator pandas UDF. ``encoder`` maps a
-    list of strings to a list of float vectors; it is created once per Python worker by the caller's closure."""
+    list of strings to a list of float vectors; with ``encoder_factory`` instead, the encoder (e.g. a loaded model)
+    is built once per Python worker."""
+    if (encoder is None) == (encoder_factory is None):
+        raise ValueError("pass exactly one of encoder and encoder_factory")
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def enc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from replyscope.streaming.inference import per_worker
+
+        fn = encoder if encoder is not None else per_worker(encoder_factory)
         for s in it:
             vals = []
             texts = s.tolist()
             for i in range(0, len(texts), batch_size):
-                vals.extend(encoder([t if t is not None else "" for t in texts[i:i + batch_size]]))
+                vals.extend(fn([t if t is not None else "" for t in texts[i:i + batch_size]]))
             yield pd.Series([np.asarray(v, dtype=np.float32) for v in vals])
 
     return df.withColumn(out, enc(F.col(text_col)))

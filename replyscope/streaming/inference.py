@@ -53,8 +53,23 @@ def judge_params():
     )
 
 
-def _call_batches(fn: ModelFn, keys: Sequence[str], batch_size: int, retries: int, backoff: float):
+# Objects built by a caller's factory, one per Python worker process (workers are reused across tasks), so a
+# model is loaded once per worker instead of being pickled into every task.
+_WORKER_OBJECTS: dict = {}
+
+
+def per_worker(factory: Callable[[], object], name: str | None = None):
+    """The result of ``factory()``, built at most once in each Python worker process."""
+    key = name or f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
+    if key not in _WORKER_OBJECTS:
+        _WORKER_OBJECTS[key] = factory()
+    return _WORKER_OBJECTS[key]
+
+
+def _call_batches(fn: ModelFn | None, keys: Sequence[str], batch_size: int, retries: int, backoff: float,
+                  fn_factory: Callable[[], ModelFn] | None = None):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = fn if fn is not None else per_worker(fn_factory)
         for pdf in it:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size]
@@ -63,7 +78,7 @@ def _call_batches(fn: ModelFn, keys: Sequence[str], batch_size: int, retries: in
                 replies, error = None, None
                 for attempt in range(retries + 1):
                     try:
-                        replies = list(fn(chats, params))
+                        replies = list(model(chats, params))
                         if len(replies) != len(chats):
                             raise ValueError(f"model function returned {len(replies)} replies for {len(chats)} chats")
                         error = None
@@ -81,13 +96,16 @@ def _call_batches(fn: ModelFn, keys: Sequence[str], batch_size: int, retries: in
     return run
 
 
-def run_inference(df: DataFrame, fn: ModelFn, keys: Sequence[str] = KEYS, messages: str = "messages",
+def run_inference(df: DataFrame, fn: ModelFn | None = None, keys: Sequence[str] = KEYS, messages: str = "messages",
                   params=None, batch_size: int = fixed.JUDGE_BATCH_SIZE, retries: int = 1, backoff_seconds: float = 5.0,
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, fn_factory: Callable[[], ModelFn] | None = None) -> DataFrame:
     """One reply per input row: ``(*keys, reply, error)``.
 
-    ``partitions`` caps the number of concurrent calls (a rate limit): the input is repartitioned to that many
-    tasks by key hash."""
+    Pass either ``fn`` (a light function, pickled with the task) or ``fn_factory`` (called once per Python worker,
+    e.g. to load a model). ``partitions`` caps the number of concurrent calls (a rate limit): the input is
+    repartitioned to that many tasks by key hash."""
+    if (fn is None) == (fn_factory is None):
+        raise ValueError("pass exactly one of fn and fn_factory")
     p = params if params is not None else decoding_params()
     keep_nulls = {"ignoreNullFields": "false"}  # every parameter key reaches the function, NULL as None
     src = df.select(*keys, F.to_json(messages, keep_nulls).alias("__messages"), F.to_json(p, keep_nulls).alias("__params"))
@@ -97,7 +115,7 @@ def run_inference(df: DataFrame, fn: ModelFn, keys: Sequence[str] = KEYS, messag
         [df.schema[k] for k in keys]
         + [T.StructField("reply", T.StringType(), True), T.StructField("error", T.StringType(), True)]
     )
-    return src.mapInPandas(_call_batches(fn, list(keys), batch_size, retries, backoff_seconds), schema)
+    return src.mapInPandas(_call_batches(fn, list(keys), batch_size, retries, backoff_seconds, fn_factory), schema)
 
 
 def pending(df: DataFrame, done: DataFrame | None, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -1,9 +1,9 @@
 """Inference stage: batching, failures as rows, resumable reruns, streaming form."""
 
-import os
 import tempfile
 
 import pytest
+
 from pyspark.sql import functions as F
 
 from replyscope.operators import prompts
@@ -77,3 +77,19 @@ def test_streaming_available_now(spark):
     inf.stream_inference(spark, src, req.schema, inf.echo_model, sink, ckpt)
     out = spark.read.parquet(sink)
     assert out.count() == 30 and out.select("row_id").distinct().count() == 30
+
+
+def test_factory_built_once_per_worker(spark):
+    def factory():
+        import os as _os
+        import time as _t
+
+        tag = f"{_os.getpid()}:{_t.time_ns()}"
+        return lambda chats, params: [tag] * len(chats)
+
+    out = inf.run_inference(_requests(spark, 40).repartition(8), fn_factory=factory, batch_size=3).collect()
+    tags = {r["reply"] for r in out}
+    pids = {t.split(":")[0] for t in tags}
+    assert len(tags) == len(pids)  # one model object per worker process, however many tasks and batches
+    with pytest.raises(ValueError):
+        inf.run_inference(_requests(spark, 2))

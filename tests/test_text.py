@@ -1,6 +1,5 @@
 """Hand-worked values for the string functions."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from replyscope.functions import text

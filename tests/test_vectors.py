@@ -1,7 +1,6 @@
 """Embeddings: standardisation, exact kNN and 2-D projection against numpy brute force."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from replyscope.operators import vectors
