@@ -24,3 +24,19 @@ def test_plan_shape(spark, name):
     # Python only in the row-local cores that need it (its stage may also run while a small dimension is
     # materialised, leaving none in the final plan).
     assert not python or name in PYTHON_OK, name
+
+
+def _formatted(df):
+    return df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_column_pruning_reaches_scan(spark):
+    plan = _formatted(entry.queries()["task_suffix"](spark, SMOKE))
+    schemas = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert schemas and all("text" not in s for s in schemas), schemas
+
+
+def test_filter_pushed_to_scan(spark):
+    plan = _formatted(entry.queries()["loglik_score"](spark, SMOKE))
+    assert "EqualTo(role,assistant)" in plan and "EqualTo(role,user)" in plan
