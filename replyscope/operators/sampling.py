@@ -83,8 +83,10 @@ def sample_history(df: DataFrame, pool: str = "user", n: int = 5, seed=fixed.SEE
     positioned, sizes = pool_positions(members, "__pool", key="__k", buckets=buckets)
 
     rows = df.select(F.col(key).alias("__k"), pool_expr.alias("__pool")).where(F.col("__pool").isNotNull())
-    own = positioned.select("__k", "__pool", F.col("__pos").alias("__own"), "__size")
-    rows = rows.join(own, ["__k", "__pool"], "left")
+    # Both uses of ``positioned`` keep the same columns, so its exchange and window are computed once and reused.
+    positioned = positioned.select("__k", "__pool", "__pos", "__size", "__text")
+    own = positioned.select("__k", "__pool", F.col("__pos").alias("__own"), "__size", "__text")
+    rows = rows.join(own, ["__k", "__pool"], "left").drop("__text")
     if pool == "user":
         # Every row belongs to its writer's pool, so the pool size arrives with the row's own position.
         size = F.coalesce(F.col("__size"), F.lit(0))
@@ -95,15 +97,17 @@ def sample_history(df: DataFrame, pool: str = "user", n: int = 5, seed=fixed.SEE
     rows = rows.withColumn("__m", m)
     draws = floyd_draws(F.col("__m"), n, seed, F.col("__k"))
     skip = [d + F.when(F.col("__own").isNotNull() & (d >= F.col("__own")), 1).otherwise(0) for d in draws]
-    picks = (
-        rows.where(F.col("__m") >= n)
-        .select("__k", "__pool", F.posexplode(F.array(*skip)).alias("__i", "__pos"))
-        .join(positioned.select("__pool", "__pos", "__text"), ["__pool", "__pos"])
+    # Every row passes through one explode (outer: rows with too few candidates keep one empty line), one join to
+    # fetch the picked texts and one aggregate, so ``rows`` is consumed once.
+    exploded = rows.select("__k", "__pool", "__m", F.posexplode_outer(
+        F.when(F.col("__m") >= n, F.array(*skip))).alias("__i", "__pos"))
+    picked = F.when(F.col("__i").isNotNull(), F.struct("__i", "__text"))
+    per_row = (
+        exploded.join(positioned.drop("__k", "__size"), ["__pool", "__pos"], "left")
         .groupBy("__k")
-        .agg(F.array_sort(F.collect_list(F.struct("__i", "__text"))).alias("__picked"))
-        .select("__k", text.join_texts(F.col("__picked.__text")).alias(out))
+        .agg(F.first("__m").alias("__m"), F.array_sort(F.collect_list(picked)).alias("__picked"))
+        .select("__k", "__m", F.when(F.col("__m") >= n, text.join_texts(F.col("__picked.__text"))).alias(out))
     )
-    per_row = rows.select("__k", "__m").join(picks, "__k", "left")
     result = df.join(per_row, df[key] == per_row["__k"], "left").drop("__k")
     return result.withColumn(
         f"{out}_error",

@@ -64,3 +64,18 @@ def test_uniform_draws(spark):
             counts[p % 100] += 1
     freq = [counts[j] / 200 for j in range(1, 11)]
     assert all(0.3 < f < 0.7 for f in freq), freq
+
+
+def test_hot_writer(spark):
+    """One writer holds a third of the rows: results stay exact, and no window is keyed by the writer alone."""
+    rows = [(i, 0 if i % 3 == 0 else i % 97 + 1, "{en}", f"t{i}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "row_id long, user_id long, nat_lang string, prompt_en string")
+    out = sampling.sample_history(df)
+    user = {r[0]: r[1] for r in rows}
+    for r in out.collect():
+        picked = _parse(r["history"])
+        assert len(set(picked)) == 5 and r["row_id"] not in picked and all(user[p] == user[r["row_id"]] for p in picked)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "Window [row_number()" in line:
+            assert "__b" in line.split("windowspecdefinition(")[1].split(",")[1], line
