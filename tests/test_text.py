@@ -70,3 +70,9 @@ def test_char_tokens(spark):
 def test_request_id(spark):
     df = spark.createDataFrame([(17, 2)], "r long, k int")
     assert df.select(text.request_id("r", "k")).first()[0] == "request-17-2"
+
+
+def test_edge_cases(spark):
+    # A no-break space separates words as str.split() does; non-ASCII digits are not digit runs (ASCII definition).
+    assert ev(spark, text.word_count("x"), "a b", "a b c") == [2, 3]
+    assert ev(spark, text.digit_sum("x").cast("long"), "٣ and 4") == [4]
