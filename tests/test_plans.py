@@ -40,3 +40,14 @@ def test_column_pruning_reaches_scan(spark):
 def test_filter_pushed_to_scan(spark):
     plan = _formatted(entry.queries()["loglik_score"](spark, SMOKE))
     assert "EqualTo(role,assistant)" in plan and "EqualTo(role,user)" in plan
+
+
+def test_rounded_columns_match_schemas(spark):
+    """Every DOUBLE output column is in the rounding list (same list on the Spark and SQL sides)."""
+    from replyscope.plans.catalog import QUERIES
+    from replyscope.plans.rounding import DOUBLE_COLUMNS
+
+    for name, fn in QUERIES.items():
+        df = fn(spark, SMOKE)
+        doubles = tuple(f.name for f in df.schema.fields if f.dataType.simpleString() == "double")
+        assert doubles == DOUBLE_COLUMNS.get(name, ()), name
