@@ -83,10 +83,9 @@ def sample_history(df: DataFrame, pool: str = "user", n: int = 5, seed=fixed.SEE
     positioned, sizes = pool_positions(members, "__pool", key="__k", buckets=buckets)
 
     rows = df.select(F.col(key).alias("__k"), pool_expr.alias("__pool")).where(F.col("__pool").isNotNull())
-    # Both uses of ``positioned`` keep the same columns, so its exchange and window are computed once and reused.
-    positioned = positioned.select("__k", "__pool", "__pos", "__size", "__text")
-    own = positioned.select("__k", "__pool", F.col("__pos").alias("__own"), "__size", "__text")
-    rows = rows.join(own, ["__k", "__pool"], "left").drop("__text")
+    # ``positioned`` is read twice: for each row's own position and pool size, and to fetch the picked texts.
+    own = positioned.select("__k", "__pool", F.col("__pos").alias("__own"), "__size")
+    rows = rows.join(own, ["__k", "__pool"], "left")
     if pool == "user":
         # Every row belongs to its writer's pool, so the pool size arrives with the row's own position.
         size = F.coalesce(F.col("__size"), F.lit(0))
@@ -103,7 +102,7 @@ def sample_history(df: DataFrame, pool: str = "user", n: int = 5, seed=fixed.SEE
         F.when(F.col("__m") >= n, F.array(*skip))).alias("__i", "__pos"))
     picked = F.when(F.col("__i").isNotNull(), F.struct("__i", "__text"))
     per_row = (
-        exploded.join(positioned.drop("__k", "__size"), ["__pool", "__pos"], "left")
+        exploded.join(positioned.select("__pool", "__pos", "__text"), ["__pool", "__pos"], "left")
         .groupBy("__k")
         .agg(F.first("__m").alias("__m"), F.array_sort(F.collect_list(picked)).alias("__picked"))
         .select("__k", "__m", F.when(F.col("__m") >= n, text.join_texts(F.col("__picked.__text"))).alias(out))
