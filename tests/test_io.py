@@ -43,3 +43,17 @@ def test_materialize_cuts_lineage(spark):
     plan = m._jdf.queryExecution().executedPlan().toString()
     assert "Range" not in plan and "FileScan" in plan
     assert spark.conf.get("spark.checkpoint.dir") in m.inputFiles()[0].replace("file:", "")
+
+
+def test_read_runs_and_csv_report(spark):
+    base = tempfile.mkdtemp(prefix="rs-runs-")
+    df = spark.createDataFrame([(1, "standard", "m1", "1", "a"), (2, "guess_native", "m1", "1", "b"),
+                                (3, "standard", "m1", "2", "c")],
+                               "row_id long, mode string, model string, run string, reply string")
+    io.write_table(df, f"{base}/runs", partition_by=("mode", "model", "run"))
+    got = io.read_runs(spark, f"{base}/runs", mode="standard", model="m1", run="1")
+    assert [r["row_id"] for r in got.collect()] == [1]
+    io.write_report_csv(got.select("row_id", "reply"), f"{base}/report")
+    files = [f for f in os.listdir(f"{base}/report") if f.endswith(".csv")]
+    assert len(files) == 1
+    assert open(f"{base}/report/{files[0]}").read().splitlines() == ["row_id,reply", "1,a"]
