@@ -94,9 +94,11 @@ def write_request_shards(lines: DataFrame, path: str) -> DataFrame:
     S9 manifest ``(shard, n_requests, n_bytes)`` (appended as Parquet under ``path/_manifest``)."""
     lines.repartition("shard").sortWithinPartitions("custom_id").select("shard", "line").write.mode(
         "overwrite").partitionBy("shard").text(path)
-    manifest = lines.groupBy("shard").agg(
+    # The manifest is counted from the files just written, not by recomputing the request lines.
+    written = lines.sparkSession.read.text(path)
+    manifest = written.groupBy("shard").agg(
         F.count(F.lit(1)).alias("n_requests"),
-        F.sum(F.octet_length("line") + F.lit(1)).alias("n_bytes"),
+        F.sum(F.octet_length("value") + F.lit(1)).alias("n_bytes"),
     )
     manifest.write.mode("append").parquet(f"{path.rstrip('/')}/_manifest")
     return manifest
