@@ -11,6 +11,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from replyscope.llm.suffix_dedup import digest, remove_repeats
+
+    return digest(remove_repeats(documents(spark, sf_dir)))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from replyscope.llm.simhash import simhash_components
 
@@ -18,6 +24,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 SQL: dict[str, str] = {}
