@@ -17,6 +17,16 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(documents(spark, sf_dir)))
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from replyscope.llm.cross_polytope import near_vectors
+
+    return near_vectors(embeddings(spark, sf_dir))
+
+
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from replyscope.llm.simhash import simhash_components
 
@@ -25,6 +35,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 SQL: dict[str, str] = {}
