@@ -4,16 +4,17 @@ A suffix's bucket identifier at depth 1 is a fixed number for its byte. The buck
 identifiers at depth h of the suffix itself and of the suffix h bytes later, so every refinement reuses the
 identifiers that the one before it updated, for all suffixes of a text at once. Because an identifier is a
 64-bit hash of the pair, equal strings get equal identifiers in any document and on any worker, and sorting on
-identifiers needs no shuffle until the depth is worth one. Three global refinements follow, each over what the one before
-left in a bucket of two or more:
-
-1. Suffixes at minimizers. Every start of a ``length``-byte string belongs to the leftmost smallest 16-byte bucket in the
-   ``spread`` positions from it; the consecutive starts of one minimizer are a block. A block's bucket is the identifier
-   of the ``length - spread + 1`` or so bytes behind its minimizer, which all strings of the block hold. A bucket
-   of one block is left out: nothing in it repeats.
-2. Whole blocks: within a bucket, blocks with the same identifier for all of their bytes repeat entirely.
-3. Single starts: buckets that hold different blocks are refined to each start's identifier at the full depth, taking every
-   different block once.
+identifiers needs no shuffle until the depth is worth one. Three global refinements follow, each over the blocks of
+neighbouring suffixes that the one before could not settle:
+
+1. Every start of a ``length``-byte string belongs to the leftmost smallest 16-byte bucket among the ``spread`` positions from
+   it; the consecutive starts of one such minimizer are a block.
+2. Blocks of at most ``step`` starts, cut at fixed distances from the minimizer.
+3. Single starts.
+
+A block's bucket is the identifier of the bytes that all its strings hold. A bucket with one block is left out: nothing
+in it repeats. Blocks of one bucket with the same identifier for all of their bytes repeat entirely. Buckets that hold different
+blocks go on to the next refinement, each different block once.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replyscope.llm.common import row_key, save, text_bytes
+from replyscope.llm.common import groups, row_key, save, save_by_key, text_bytes
 
 GRAM = 16
 SEGMENT = 1 << 20
@@ -91,7 +92,7 @@ def segments(texts: Iterator[tuple[int, bytes]], length: int) -> Iterator[tuple[
 
 
 def blocks(data: np.ndarray, where: list[tuple[int, int, int, int]], length: int, spread: int) -> tuple[np.ndarray, ...]:
-    """Blocks of one segment array: index into ``where``, first start, number of starts, bucket, whole identifier."""
+    """Blocks of one segment array: index into ``where``, first start, shape, bucket, identifier of the whole block."""
     behind = length - spread + 1
     ids = refine(data, {GRAM, *powers(behind), *powers(length)})
     n = len(data) - length + 1
@@ -119,71 +120,82 @@ def blocks(data: np.ndarray, where: list[tuple[int, int, int, int]], length: int
     size = nxt - first
     bucket = at_depth(ids, behind, least[first])
     whole = pair(pair(at_depth(ids, length, first), at_depth(ids, length, nxt - 1)), size.astype(np.uint64))
-    return np.searchsorted(offset, first, "right") - 1, first, size, bucket, whole
+    return np.searchsorted(offset, first, "right") - 1, first, (least[first] - first) << 16 | size, bucket, whole
 
 
 def _pack(k2: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (k2.astype(np.int64) << 32) | start
 
 
+NAMES = ["bucket", "whole", "k", "p", "shape"]
+TABLE = "bucket long, whole long, k long, p long, shape int"
+
+
 def block_table(docs: DataFrame, length: int, spread: int) -> DataFrame:
-    """(bucket, whole, k, p, size) of every block; ``p`` holds the key's second half and the first start."""
+    """The blocks of ``docs`` (k, k2, t): bucket, whole, k, ``p`` (k2 and the first start) and ``shape`` (the minimizer's distance
+    from the first start, and the number of starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             texts = ((i, t.as_py()) for i, t in enumerate(b.column(2)))
             for data, where in segments(texts, length):
-                w, first, size, bucket, whole = blocks(data, where, length, spread)
+                w, first, shape, bucket, whole = blocks(data, where, length, spread)
                 row, offset, lo = (np.array(x)[w] for x in list(zip(*where, strict=True))[:3])
-                cols = [bucket.view(np.int64), whole.view(np.int64), k[row], _pack(k2[row], first - offset + lo), size.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "whole", "k", "p", "size"])
+                cols = [bucket.view(np.int64), whole.view(np.int64), k[row], _pack(k2[row], first - offset + lo), shape.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], NAMES)
+
+    return docs.mapInArrow(run, TABLE)
 
-    return docs.mapInArrow(run, "bucket long, whole long, k long, p long, size int")
 
+def finer(text: np.ndarray, bucket: np.ndarray, start: np.ndarray, shape: np.ndarray, length: int, step: int) -> tuple[np.ndarray, ...]:
+    """Blocks of at most ``step`` starts that make up the given blocks of one text: bucket, whole, first start, shape."""
+    gap, size = shape >> 16, (shape & 0xFFFF).astype(np.int64)
+    lo = int(start.min())
+    ids = refine(text[lo : int((start + size).max()) + length - 1], {*powers(length - step + 1), *powers(length)})
+    of = np.repeat(np.arange(len(start)), size)
+    each = np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+    left = start[of] + gap[of] - each  # distance to the minimizer
+    part = left // step
+    edge = groups([of, part])
+    first, last = edge[:-1], edge[1:] - 1
+    common = at_depth(ids, length - step + 1, each[first] + left[first] - part[first] * step - lo)
+    own = pair(pair(bucket[of[first]].view(np.uint64), part[first].astype(np.uint64)), common)
+    n = last - first + 1
+    whole = pair(pair(at_depth(ids, length, each[first] - lo), at_depth(ids, length, each[last] - lo)), n.astype(np.uint64))
+    return own, whole, each[first], left[first] << 16 | n
 
-def start_table(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(bucket, id, k, p, alone) of every start in the blocks ``wanted`` (k, k2, blocks: array of bucket, start, size, alone)."""
+
+def finer_table(docs: DataFrame, wanted: DataFrame, length: int, step: int) -> DataFrame:
+    """The finer blocks of the blocks ``wanted`` (k, k2, blocks: array of bucket, start, shape) of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists = batch.column(3)
             at, flat = lists.offsets.to_numpy(), lists.flatten()
-            bucket, start, size, alone = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("bucket", "start", "size", "alone"))
+            bucket, start, shape = (flat.field(f).to_numpy() for f in ("bucket", "start", "shape"))
             for i in range(batch.num_rows):
                 text = np.frombuffer(batch.column(2)[i].as_py(), np.uint8)
                 own = np.arange(at[i] - at[0], at[i + 1] - at[0])
                 own = own[np.argsort(start[own], kind="stable")]
-                while len(own):
-                    lo = int(start[own[0]])
-                    here = np.searchsorted(start[own], lo + SEGMENT)
-                    part, own = own[:here], own[here:]
-                    hi = int(start[part[-1]] + size[part[-1]])
-                    ids = refine(text[lo : hi + length - 1], set(powers(length)))
-                    n = size[part].astype(np.int64)
-                    each = np.repeat(start[part].astype(np.int64) - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    cols = [
-                        np.repeat(bucket[part], n),
-                        at_depth(ids, length, each - lo).view(np.int64),
-                        np.full(len(each), k[i]),
-                        _pack(np.full(len(each), k2[i]), each),
-                        np.repeat(alone[part], n),
-                    ]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "id", "k", "p", "alone"])
-
-    src = docs.join(wanted, ["k", "k2"]).select("k", "k2", "t", "blocks")
-    return src.mapInArrow(run, "bucket long, id long, k long, p long, alone boolean")
-
-
-def split_p(p: str = "p") -> list:
-    return [F.shiftright(p, 32).cast("int").alias("k2"), F.col(p).bitwiseAND(F.lit((1 << 32) - 1)).alias("start")]
-
-
-def repeated_spans(docs: DataFrame, length: int = 400, spread: int = 192) -> DataFrame:
-    """(k, k2, spans: array of (start, n)): runs of starts in ``docs`` (k, k2, t binary) whose ``length`` bytes also start
-    elsewhere; runs may touch."""
-    a = save(block_table(docs, length, spread))
+                while len(own):  # a stretch of a long text at a time
+                    here = np.searchsorted(start[own], int(start[own[0]]) + SEGMENT)
+                    now, own = own[:here], own[here:]
+                    b, w, first, new = finer(text, bucket[now], start[now].astype(np.int64), shape[now], length, step)
+                    cols = [b.view(np.int64), w.view(np.int64), np.full(len(b), k[i]), _pack(np.full(len(b), k2[i]), first), new.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], NAMES)
+
+    return docs.join(wanted, ["k", "k2"]).select("k", "k2", "t", "blocks").mapInArrow(run, TABLE)
+
+
+def split_p() -> list:
+    return [F.shiftright("p", 32).cast("int").alias("k2"), F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start")]
+
+
+def settle(a: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of saved blocks: those that repeat entirely (k, p, shape), and for the next refinement one of each different
+    block in buckets that hold several (k, k2, blocks)."""
     shared = (
         a.groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
@@ -191,24 +203,23 @@ def repeated_spans(docs: DataFrame, length: int = 400, spread: int = 192) -> Dat
         .select("bucket", (F.col("lo") != F.col("hi")).alias("mixed"))
     )
     b = save(a.join(shared, "bucket"))
-    whole = (
-        b.where("mixed")
-        .groupBy("bucket", "whole")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "p", "size")).alias("one"))
-    )
-    wanted = (
-        whole.select("bucket", (F.col("n") == 1).alias("alone"), "one.k", "one.size", *split_p("one.p"))
-        .groupBy("k", "k2")
-        .agg(F.collect_list(F.struct("bucket", F.col("start").cast("int").alias("start"), "size", "alone")).alias("blocks"))
-    )
-    s = save(start_table(docs, wanted, length))
-    twice = s.groupBy("bucket", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    single = s.where("alone").join(twice, ["bucket", "id"], "left_semi").select("k", "p", F.lit(1).alias("size"))
-    equal = b.where("mixed").join(whole.where("n > 1"), ["bucket", "whole"], "left_semi")
-    spans = b.where("not mixed").select("k", "p", "size").unionByName(equal.select("k", "p", "size")).unionByName(single)
-    return spans.select("k", *split_p(), "size").groupBy("k", "k2").agg(
-        F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("size").alias("n"))).alias("spans")
-    )
+    mixed = b.where("mixed")
+    whole = mixed.groupBy("bucket", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "p", "shape")).alias("one"))
+    equal = mixed.join(whole.where("n > 1"), ["bucket", "whole"], "left_semi")
+    done = b.where("not mixed").select("k", "p", "shape").unionByName(equal.select("k", "p", "shape"))
+    rest = whole.select("bucket", "one.*").select("bucket", "k", "shape", *split_p())
+    return done, rest.groupBy("k", "k2").agg(F.collect_list(F.struct("bucket", "start", "shape")).alias("blocks"))
+
+
+def repeated_spans(docs: DataFrame, length: int, spread: int, step: int) -> DataFrame:
+    """(k, k2, spans: array of (start, n)): runs of starts in ``docs`` (k, k2, t binary) whose ``length`` bytes also start
+    elsewhere; runs may touch."""
+    done, rest = settle(save(block_table(docs, length, spread)))
+    for s in (step, 1):
+        more, rest = settle(save(finer_table(docs, rest, length, s)))
+        done = done.unionByName(more)
+    size = F.col("shape").bitwiseAND(F.lit(0xFFFF))
+    return done.select("k", *split_p(), size.alias("n")).groupBy("k", "k2").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +230,7 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, spread: int = 257, step: int = 16) -> DataFrame:
     """Remove from each text (as UTF-8 bytes; null: empty) every byte covered by a ``length``-byte string that also starts
     anywhere else in the table, the same text included.
 
@@ -228,7 +239,8 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     input) and ``kept`` (the rest, binary). Repeated rows count as occurrences of each other, so both lose what they share; rows
     that share only an id, or have none, are texts of their own. Texts shorter than ``length`` are kept whole."""
     src = docs.select(F.col("doc_id").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), text_bytes().alias("t"))
-    spans = repeated_spans(src.select("k", "k2", "t"), length)
+    src = save_by_key(src, ["k", "k2"])
+    spans = repeated_spans(src.select("k", "k2", "t"), length, spread, step)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
