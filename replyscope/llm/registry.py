@@ -17,6 +17,20 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(documents(spark, sf_dir)))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from replyscope.llm.mixing import mix_sources, taken
+
+    return taken(*mix_sources(documents(spark, sf_dir)))
+
+
+def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from replyscope.llm.packing import digest, pack_documents
+
+    return digest(pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
@@ -35,6 +49,8 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op4_mix_sources": op4_mix_sources,
+    "op7_harmonic_packing": op7_harmonic_packing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
