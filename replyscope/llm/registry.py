@@ -19,6 +19,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(documents(spark, sf_dir)))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from replyscope.llm.toxicity import score_documents
+
+    return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from replyscope.llm.mixing import mix_sources, taken
 
@@ -51,6 +57,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_toxicity": op2_toxicity,
     "op4_mix_sources": op4_mix_sources,
     "op7_harmonic_packing": op7_harmonic_packing,
     "op9_embedding_dedup": op9_embedding_dedup,

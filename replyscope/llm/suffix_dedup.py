@@ -202,9 +202,10 @@ def settle(a: DataFrame) -> tuple[DataFrame, DataFrame]:
         .where("n > 1")
         .select("bucket", (F.col("lo") != F.col("hi")).alias("mixed"))
     )
-    b = save(a.join(shared, "bucket"))
+    # Aggregates are saved before they are joined: a join of two plain shuffles can be split at a hot bucket.
+    b = save(a.join(save(shared), "bucket"))
     mixed = b.where("mixed")
-    whole = mixed.groupBy("bucket", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "p", "shape")).alias("one"))
+    whole = save(mixed.groupBy("bucket", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "p", "shape")).alias("one")))
     equal = mixed.join(whole.where("n > 1"), ["bucket", "whole"], "left_semi")
     done = b.where("not mixed").select("k", "p", "shape").unionByName(equal.select("k", "p", "shape"))
     rest = whole.select("bucket", "one.*").select("bucket", "k", "shape", *split_p())
