@@ -1,14 +1,16 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. The toxic one is trained on what
-the ordinary sample does not share: words of several toxic texts most of whose 5-byte strings never occur in it. A text is cut into windows of a few words; each window is
+the ordinary sample does not share: words of several toxic texts that are either made of 5-byte strings that it lacks, or far
+more frequent than in it. A text is cut into windows of a few words; each window is
 compressed with the ordinary dictionary alone and with the toxic one before it, so that the difference of the two lengths is what the
-toxic dictionary saves. A text is judged by its largest savings and its number of windows; the sizes of the toxic dictionary's
-parts and the plane that parts the classes are calibrated on labelled texts that trained no dictionary.
+toxic dictionary saves. A text is judged by its largest savings and its number of windows; the rule for these words, the sizes of the toxic
+dictionary's parts and the plane that parts the classes are calibrated on labelled texts that trained no dictionary.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -24,8 +26,9 @@ from replyscope.llm.common import text_bytes
 #: Lower-cases A-Z and turns ASCII signs into blanks.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 GRAM, TOP = 5, 3
-#: Toxic texts that a word of the toxic dictionary's samples is in, at least.
-SUPPORT = 3
+#: A word of the toxic dictionary's samples is in so many toxic texts at least, and by the second rule in so many times the share of
+#: texts that it has among ordinary ones.
+SUPPORT, EXCESS = 3, 8
 ORDINARY_BYTES = 1 << 14
 TOXIC_BYTES = (512, 768, 1024, 1536, 2048, 4096)
 SEGMENT_BYTES = (16, 24, 32)
@@ -118,24 +121,27 @@ def fit(toxic: list[bytes], ordinary: list[bytes], share: float | None = None, w
             seen[w] = 2 * len(g - known) > len(g)
         return seen[w]
 
-    often = Counter(w for t in train[0] for w in set(t))
-    left = [x for x in ([w for w in t if often[w] >= SUPPORT and unshared(w)] for t in train[0]) if x]
+    often, usual = (Counter(w for t in ts for w in set(t)) for ts in train)
+
+    def frequent(w: bytes) -> bool:
+        return often[w] / len(train[0]) >= EXCESS * (usual[w] + 1) / len(train[1])
+
+    kept = [[x for x in ([w for w in t if often[w] >= SUPPORT and rule(w)] for t in train[0]) if x] for rule in (unshared, frequent)]
     common = dictionary([spaced(t) for t in train[1]], ORDINARY_BYTES, 64)
     label = np.repeat([1, 0], [len(hold[0]), len(hold[1])])
     texts = [b" ".join(t) for part in hold for t in part]
     weight = np.where(label == 1, share / label.mean(), (1 - share) / (1 - label.mean()))
     best, least = plain, np.inf
-    for size in TOXIC_BYTES:
-        for segment in SEGMENT_BYTES:
-            model = replace(plain, ordinary=common, toxic=dictionary([spaced(t) for t in left], size, segment))
-            if not model.toxic:
-                continue
-            x = model.features(texts)
-            plane = part(x, label, weight)
-            p = logistic(x, plane)
-            loss = float(-(weight * np.log(np.where(label == 1, p, 1 - p) + 1e-9)).mean())
-            if loss < least:
-                best, least = replace(model, plane=tuple(plane.tolist())), loss
+    for left, size, segment in itertools.product(kept, TOXIC_BYTES, SEGMENT_BYTES):
+        model = replace(plain, ordinary=common, toxic=dictionary([spaced(t) for t in left], size, segment))
+        if not model.toxic:
+            continue
+        x = model.features(texts)
+        plane = part(x, label, weight)
+        p = logistic(x, plane)
+        loss = float(-(weight * np.log(np.where(label == 1, p, 1 - p) + 1e-9)).mean())
+        if loss < least:
+            best, least = replace(model, plane=tuple(plane.tolist())), loss
     return best
 
 
