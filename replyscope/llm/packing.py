@@ -10,6 +10,7 @@ then is bounded by the classes alone and is laid end to end, cut where a sequenc
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -23,63 +24,87 @@ from pyspark.sql import functions as F
 
 from replyscope.llm.common import save, text_bytes
 
-#: Texts of so many bytes are tokenized together; a cache of so many words is started anew.
-BATCH_BYTES, CACHE_WORDS = 1 << 21, 400_000
+#: Texts of so many bytes are tokenized together; words that a worker remembers.
+BATCH_BYTES, CACHE_WORDS = 1 << 21, 350_000
+SIGNS = ".,;:!?"
 _WORKER: dict = {}
 
 
+class Recent(dict):
+    """A cache of at most about twice ``limit`` entries: what was not asked for since it last filled up is let go."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.old = limit, {}
+
+    def missing(self, keys: set) -> set:
+        """Those of ``keys`` that are not held; the others can be looked up afterwards."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        new = keys.difference(self)
+        back = new.intersection(self.old)
+        self.update((k, self.old[k]) for k in back)
+        return new - back
+
+
 class WordTokenizer:
     """Ids of texts by a word-level BPE file: white space only parts words, so a text's ids are those of its words, and each
-    different word is tokenized once. The file's own rules cut and fold words; those of plain Latin letters and signs are cut
-    here by the file's pattern first, so that what is left to the file is a short list of different pieces."""
+    different word is tokenized once. Words of plain Latin letters and signs are lower-cased and cut by the file's pattern
+    here, so that the library is left with the different pieces; it gets all other words as they are."""
 
-    plain = regex.compile(r"[!-~¡-ſ]+")
+    # The lower case of the letter left out is two.
+    plain = re.compile(r"[\n!-~¡-įı-ſ]*")
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         spec = json.loads(Path(path).read_text())
         self.whole = Tokenizer.from_str(json.dumps(spec))
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.last = np.zeros(1 << 16, bool)
         end = spec["model"]["end_of_word_suffix"]
         self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(end)]] = True
         spec["normalizer"] = None
-        spec["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        spec["pre_tokenizer"] = {"type": "WhitespaceSplit"}
         self.pieces = Tokenizer.from_str(json.dumps(spec))
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_level = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x180)}
+        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
 
-    def _learn_parts(self, new: list[str]) -> None:
+    def _learn_parts(self, every: set[str]) -> None:
+        new = list(self.parts.missing(every))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            ids = np.array(self.pieces.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
+            text = " ".join(part).translate(self.byte_level)
+            ids = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
             stop = 2 * (np.flatnonzero(self.last[ids]) + 1)
             raw, at = ids.tobytes(), [0, *stop.tolist()]
             self.parts.update((p, raw[a:b]) for p, a, b in zip(part, at[:-1], at[1:], strict=True))
 
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words, self.parts = {}, {}
-        cut = {}
-        for w in new:
-            s = w.decode()
-            if self.plain.fullmatch(s) and not any(t in w for t in self.special):
-                cut[w] = self.pattern.findall(s.lower())
-            else:
-                self.words[w] = np.array(self.whole.encode(s, add_special_tokens=False).ids, "<u2").tobytes()
-        self._learn_parts(list(set().union(*cut.values()).difference(self.parts)))
-        for w, parts in cut.items():
-            self.words[w] = b"".join([self.parts[p] for p in parts])
+    def _learn(self, every: set[bytes]) -> None:
+        new = list(self.words.missing(every))
+        if not new:
+            return
+        text = b"\n".join(new).decode()
+        if not self.plain.fullmatch(text) or any(t in text for t in self.special):
+            fine = [bool(self.plain.fullmatch(s)) and not any(t in s for t in self.special) for s in text.split("\n")]
+            for w, ok in zip(new, fine, strict=True):
+                if not ok:
+                    self.words[w] = np.array(self.whole.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+            new = [w for w, ok in zip(new, fine, strict=True) if ok]
+            text = b"\n".join(new).decode()
+        low = text.lower().split("\n") if new else []
+        head = [s if s.isalpha() else s[:-1] if s[-1] in SIGNS and s[:-1].isalpha() else "" for s in low]
+        odd = {w: self.pattern.findall(s) for w, s, h in zip(new, low, head, strict=True) if not h}
+        self._learn_parts({*head, *SIGNS}.union(*odd.values()) - {""})
+        known = self.parts
+        self.words.update((w, known[h] if len(h) == len(s) else known[h] + known[s[-1]]) for w, s, h in zip(new, low, head, strict=True) if h)
+        self.words.update((w, b"".join([known[p] for p in parts])) for w, parts in odd.items())
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         words = [t.split() for t in texts]
-        every = set().union(*words)
-        new = every.difference(self.words)
-        if len(self.words) > CACHE_WORDS and new:
-            new = every
-        self._learn(new)
+        self._learn(set().union(*words))
         return [np.frombuffer(b"".join(map(self.words.__getitem__, w)), "<u2") for w in words]
 
 
