@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from replyscope.llm.oracle import SQL  # noqa: F401
 
@@ -31,6 +32,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(*mix_sources(documents(spark, sf_dir)))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from replyscope.llm.ball_tree import top_k
+
+    return top_k(embeddings(spark, sf_dir), F.col("vec_id") % 20 == 0)
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_mix_sources": op4_mix_sources,
+    "op5_exact_top_k": op5_exact_top_k,
     "op7_harmonic_packing": op7_harmonic_packing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
