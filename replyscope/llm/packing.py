@@ -9,6 +9,7 @@ then is bounded by the classes alone and is laid end to end, cut where a sequenc
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,33 +26,24 @@ from pyspark.sql import functions as F
 
 from replyscope.llm.common import save, text_bytes
 
-#: Texts of so many bytes are tokenized together; words that a worker remembers.
-BATCH_BYTES, CACHE_WORDS = 1 << 21, 350_000
+#: Texts of so many bytes are tokenized together.
+BATCH_BYTES = 1 << 25
 SIGNS = ".,;:!?"
 _WORKER: dict = {}
 
 
-class Recent(dict):
-    """A cache of at most about twice ``limit`` entries: what was not asked for since it last filled up is let go."""
-
-    def __init__(self, limit: int) -> None:
-        self.limit, self.old = limit, {}
-
-    def missing(self, keys: set) -> set:
-        """Those of ``keys`` that are not held; the others can be looked up afterwards."""
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-        new = keys.difference(self)
-        back = new.intersection(self.old)
-        self.update((k, self.old[k]) for k in back)
-        return new - back
+def ragged(values: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists ``at`` of the ragged array (values, offsets), joined, and their offsets."""
+    size = (offsets[1:] - offsets[:-1])[at]
+    new = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(new[-1]) + np.repeat(offsets[at] - new[:-1], size)
+    return values[place], new
 
 
 class WordTokenizer:
-    """Ids of texts by a word-level BPE file: white space only parts words, so a text's ids are those of its words, and each
-    different word is tokenized once. Words of plain Latin letters and signs are lower-cased and cut by the file's pattern
-    here, so that the library is left with the different pieces; it gets all other words as they are."""
+    """Ids of texts by a word-level BPE file: white space only parts words, so a text's ids are those of its words, and each word
+    that differs in a batch is tokenized once. Words of plain Latin letters and signs are lower-cased and cut by the file's
+    pattern here, so that the library is left with the pieces that differ; it gets all other words as they are."""
 
     # The lower case of the letter left out is two.
     plain = re.compile(r"[\n!-~¡-įı-ſ]*")
@@ -70,42 +63,60 @@ class WordTokenizer:
         self.pieces = Tokenizer.from_str(json.dumps(spec))
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte_level = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x180)}
-        self.words, self.parts = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
-
-    def _learn_parts(self, every: set[str]) -> None:
-        new = list(self.parts.missing(every))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            text = " ".join(part).translate(self.byte_level)
-            ids = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
-            stop = 2 * (np.flatnonzero(self.last[ids]) + 1)
-            raw, at = ids.tobytes(), [0, *stop.tolist()]
-            self.parts.update((p, raw[a:b]) for p, a, b in zip(part, at[:-1], at[1:], strict=True))
-
-    def _learn(self, every: set[bytes]) -> None:
-        new = list(self.words.missing(every))
-        if not new:
-            return
-        text = b"\n".join(new).decode()
-        if not self.plain.fullmatch(text) or any(t in text for t in self.special):
-            fine = [bool(self.plain.fullmatch(s)) and not any(t in s for t in self.special) for s in text.split("\n")]
-            for w, ok in zip(new, fine, strict=True):
-                if not ok:
-                    self.words[w] = np.array(self.whole.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
-            new = [w for w, ok in zip(new, fine, strict=True) if ok]
-            text = b"\n".join(new).decode()
-        low = text.lower().split("\n") if new else []
-        head = [s if s.isalpha() else s[:-1] if s[-1] in SIGNS and s[:-1].isalpha() else "" for s in low]
-        odd = {w: self.pattern.findall(s) for w, s, h in zip(new, low, head, strict=True) if not h}
-        self._learn_parts({*head, *SIGNS}.union(*odd.values()) - {""})
-        known = self.parts
-        self.words.update((w, known[h] if len(h) == len(s) else known[h] + known[s[-1]]) for w, s, h in zip(new, low, head, strict=True) if h)
-        self.words.update((w, b"".join([known[p] for p in parts])) for w, parts in odd.items())
+
+    def _cut(self, words: list[str]) -> list[tuple[str, ...] | None]:
+        """Pieces of each word, or None where only the library can tell."""
+        text = "\n".join(words)
+        hard = any(t in text for t in self.special) or not self.plain.fullmatch(text)
+        out = []
+        for w, s in zip(words, text.lower().split("\n") if not hard else words, strict=True):
+            if hard:
+                if not self.plain.fullmatch(w) or any(t in w for t in self.special):
+                    out.append(None)
+                    continue
+                s = w.lower()
+            if s.isalpha():
+                out.append((s,))
+            elif s and s[-1] in SIGNS and s[:-1].isalpha():
+                out.append((s[:-1], s[-1]))
+            else:
+                out.append(tuple(self.pattern.findall(s)))
+        return out
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces of plain words, as a ragged array."""
+        values, stops, n = [], [np.zeros(1, np.int64)], 0
+        for i in range(0, len(pieces), 20_000):
+            text = " ".join(pieces[i : i + 20_000])
+            text = text if text.isascii() else text.translate(self.byte_level)
+            ids = np.array(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+            values.append(ids)
+            stops.append(np.flatnonzero(self.last[ids]) + 1 + n)
+            n += len(ids)
+        return np.concatenate(values) if values else np.zeros(0, np.uint16), np.concatenate(stops)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different words, as a ragged array."""
+        cut = self._cut(words)
+        number = dict.fromkeys(itertools.chain.from_iterable(c for c in cut if c is not None))
+        values, offsets = self._encode(list(number))
+        number = dict(zip(number, range(len(number)), strict=True))
+        other = [np.array(self.whole.encode(w, add_special_tokens=False).ids, np.uint16) for w, c in zip(words, cut, strict=True) if c is None]
+        values = np.concatenate([values, *other])
+        offsets = np.concatenate([offsets, offsets[-1] + np.cumsum([len(o) for o in other], dtype=np.int64)])
+        free = itertools.count(len(number))
+        parts = [[next(free)] if c is None else [number[p] for p in c] for c in cut]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        flat = np.fromiter(itertools.chain.from_iterable(parts), np.int64, int(size.sum()))
+        values, offsets = ragged(values, offsets, flat)
+        return values, offsets[np.concatenate([[0], np.cumsum(size)])]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
-        self._learn(set().union(*words))
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, w)), "<u2") for w in words]
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        ids, offsets = ragged(*self._words(coded.dictionary.to_pylist()), coded.indices.to_numpy())
+        stops = offsets[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
 
 
 def tokenizer(path: str) -> WordTokenizer:
