@@ -26,6 +26,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from replyscope.llm.licenses import license_scan
+
+    return license_scan(documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from replyscope.llm.mixing import mix_sources, taken
 
@@ -38,6 +44,12 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(embeddings(spark, sf_dir), F.col("vec_id") % 20 == 0)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from replyscope.llm.line_dedup import digest, remove_lines
+
+    return digest(remove_lines(documents(spark, sf_dir)))
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +62,14 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def op8_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from replyscope.llm.bfd_packing import pack_rows
+
+    return pack_rows(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from replyscope.llm.cross_polytope import near_vectors
 
@@ -65,9 +85,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_license_scan": op3_license_scan,
     "op4_mix_sources": op4_mix_sources,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_line_dedup": op6_line_dedup,
     "op7_harmonic_packing": op7_harmonic_packing,
+    "op8_bfd_packing": op8_bfd_packing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
