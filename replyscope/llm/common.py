@@ -49,6 +49,11 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(doc_id, text).alias("k"), F.hash(text, doc_id).alias("k2")]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` as (doc, k, k2): all columns in one struct, so that none clashes with those added."""
+    return docs.select(F.struct("*").alias("doc"), *row_key(F.col("doc_id"), F.col("text")))
+
+
 def text_bytes(text: str | Column = "text") -> Column:
     """Text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("binary")

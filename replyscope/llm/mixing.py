@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from replyscope.llm.common import row_key, save
+from replyscope.llm.common import keyed, row_key, save
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
@@ -131,13 +131,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     sized = got.join(rows.select("no", "at", "size", "k", "k2").where("size > 0"), ["no", "at", "k", "k2"])
     # Rows that agree in key are equal in id and text: their takes are counted, and the rows ranked to match them.
     per = sized.groupBy("k", "k2", "words", "size").agg(F.count(F.lit(1)).alias("times")).groupBy("k", "k2")
-    takes = per.agg(F.collect_list(F.struct("words", "size", "times")).alias("takes"), F.sum("times").alias("all"))
-    one = W.partitionBy("_k", "_k2").orderBy(F.lit(0))
-    src = docs.select("*", *[c.alias(n) for c, n in zip(row_key(F.col("doc_id"), F.col("text")), ("_k", "_k2"), strict=True)])
-    kept = src.join(takes.withColumnsRenamed({"k": "_k", "k2": "_k2", "takes": "_t", "all": "_n"}), ["_k", "_k2"])
-    kept = kept.withColumn("_i", F.row_number().over(one)).where("_i = 1").withColumn("_t", F.explode("_t"))
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("_t.words").cast("int")), " ")
-    text = F.when(F.col("_t.words") < F.col("_t.size"), part).otherwise(F.col("text"))
-    out = kept.withColumn("_x", text).withColumn("_e", F.explode(F.sequence(F.lit(1), F.col("_t.times").cast("int"))))
-    new = {"text": F.col("_x"), "n_chars": F.length("_x").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return out.select(*[(new.get(c) if new.get(c) is not None else F.col(c)).alias(c) for c in docs.columns])
+    takes = per.agg(F.collect_list(F.struct("words", "size", "times")).alias("takes"))
+    one = W.partitionBy("k", "k2").orderBy(F.lit(0))
+    kept = keyed(docs).join(takes, ["k", "k2"]).withColumn("i", F.row_number().over(one)).where("i = 1")
+    kept = kept.select("doc", F.explode("takes").alias("take"))
+    first = F.slice(F.regexp_extract_all("doc.text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("take.words").cast("int"))
+    text = F.when(F.col("take.words") < F.col("take.size"), F.array_join(first, " ")).otherwise(F.col("doc.text"))
+    out = kept.select("doc", text.alias("text"), F.explode(F.sequence(F.lit(1), F.col("take.times").cast("int"))).alias("nth"))
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    cols = {"text": F.col("text"), "n_chars": n_chars}
+    return out.select(*[(cols[c] if c in cols else F.col("doc").getField(c)).alias(c) for c in docs.columns])

@@ -79,7 +79,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from replyscope.llm.simhash import simhash_components
 
-    return simhash_components(documents(spark, sf_dir))
+    return simhash_components(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

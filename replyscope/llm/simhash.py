@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from replyscope.llm.common import save, spanning_labels, text_bytes, whole_groups
+from replyscope.llm.common import keyed, row_key, save, spanning_labels, text_bytes, whole_groups
 from replyscope.llm.components import connected_components
 
 BITS = 64
@@ -56,15 +57,16 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id long, fp long) of every row of ``docs``; null texts count as empty."""
+    """(doc_id long, k, k2, fp long) of every row of ``docs``; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, words) for t in b.column(3).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(fp)], ["doc_id", "k", "k2", "fp"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("t"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    keys = row_key(F.col("doc_id"), F.col("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys, text_bytes().alias("t"))
+    return src.mapInArrow(run, "doc_id long, k long, k2 int, fp long")
 
 
 def link_fingerprints(fps: DataFrame, radius: int = 3, hot: int = 1024) -> DataFrame:
@@ -102,7 +104,8 @@ def link_fingerprints(fps: DataFrame, radius: int = 3, hot: int = 1024) -> DataF
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, any further columns): doc_id, fingerprint (16 hex digits), component_id.
+    """One row per row of ``docs`` (doc_id, text, any further columns): doc_id, fingerprint (16 hex digits), component_id, and
+    the row's key (k, k2; see ``row_key``) and component by its smallest fingerprint (root).
 
     Equal fingerprints form one class first, so copies are never paired. Null and empty texts have fingerprint zero and
     are linked like any others. Rows that share a doc_id are fingerprinted one by one; a null doc_id is never the
@@ -112,6 +115,16 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3) -> Data
     roots = connected_components(link_fingerprints(classes.select("fp"), radius))
     c = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     low = c.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = c.join(low, "root").select("fp", "component_id")
-    out = fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-    return out
+    named = c.join(low, "root").select("fp", "component_id", "root")
+    hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return fps.join(named, "fp").select("doc_id", hexed, "component_id", "k", "k2", "root")
+
+
+def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id (null ids last), then the smallest key; of rows equal in id
+    and text one stays."""
+    parts = simhash_components(docs, words, radius)
+    first = parts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k", "k2")).alias("one"))
+    copy = W.partitionBy("k", "k2").orderBy(F.lit(0))
+    kept = keyed(docs).join(first.select("one.k", "one.k2"), ["k", "k2"]).withColumn("i", F.row_number().over(copy))
+    return kept.where("i = 1").select("doc.*")

@@ -23,11 +23,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from replyscope.llm.common import groups, row_key, save, save_by_key, text_bytes
+from replyscope.llm.common import groups, keyed, save, save_by_key, text_bytes
 
 GRAM = 16
 SEGMENT = 1 << 20
@@ -235,13 +236,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, spread: int = 257, step:
     """Remove from each text (as UTF-8 bytes; null: empty) every byte covered by a ``length``-byte string that also starts
     anywhere else in the table, the same text included.
 
-    ``docs`` has doc_id and text; further columns are ignored here. One row per row: doc_id, ``k`` and ``k2`` (the
-    row's key, see ``row_key``), ``n_bytes``, ``removed`` (array of (start, stop), the maximal removed runs in offsets of the
-    input) and ``kept`` (the rest, binary). Repeated rows count as occurrences of each other, so both lose what they share; rows
-    that share only an id, or have none, are texts of their own. Texts shorter than ``length`` are kept whole."""
-    src = docs.select(F.col("doc_id").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), text_bytes().alias("t"))
-    src = save_by_key(src, ["k", "k2"])
+    One row per row of ``docs`` (doc_id, text, any further columns): ``doc`` (the row as a struct), ``n_bytes``, ``removed`` (array of
+    (start, stop), the maximal removed runs in offsets of the input) and ``kept`` (the rest, binary). Repeated rows count as
+    occurrences of each other, so both lose what they share; rows that share only an id, or have none, are texts of their own. Texts
+    shorter than ``length`` are kept whole. An empty table gives no row."""
+    src = save_by_key(keyed(docs).withColumn("t", text_bytes("doc.text")).withColumn("doc", F.col("doc").dropFields("text")), ["k", "k2"])
     spans = repeated_spans(src.select("k", "k2", "t"), length, spread, step)
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,32 +253,39 @@ def remove_repeats(docs: DataFrame, length: int = 400, spread: int = 257, step:
             for i, t in enumerate(batch.column("t")):
                 t = t.as_py()
                 lo, hi = at[i] - at[0], at[i + 1] - at[0]
-                runs = []
-                if hi > lo:
-                    a, b = merged(start[lo:hi], start[lo:hi] + n[lo:hi] + length - 1)
-                    runs = [{"start": int(x), "stop": int(y)} for x, y in zip(a, b, strict=True)]
-                    edges = [0, *(x for r in runs for x in r.values()), len(t)]
-                    t_kept = b"".join(t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))
                 n_bytes.append(len(t))
-                kept.append(t_kept if runs else t)
-                removed.append(runs)
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            keys = [batch.column(c) for c in ("doc_id", "k", "k2")]
-            yield pa.RecordBatch.from_arrays(
-                [*keys, pa.array(n_bytes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())],
-                ["doc_id", "k", "k2", "n_bytes", "removed", "kept"],
-            )
+                if hi == lo:
+                    removed.append([])
+                    kept.append(t)
+                    continue
+                a, b = merged(start[lo:hi], start[lo:hi] + n[lo:hi] + length - 1)
+                removed.append([{"start": int(x), "stop": int(y)} for x, y in zip(a, b, strict=True)])
+                kept.append(b"".join(t[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(t)], strict=True)))
+            cols = [batch.column("doc"), pa.array(n_bytes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "n_bytes", "removed", "kept"])
 
     empty = F.array().cast("array<struct<start:int,n:int>>")
-    joined = src.join(spans, ["k", "k2"], "left").select("doc_id", "k", "k2", "t", F.coalesce("spans", empty).alias("spans"))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {id_type}, k long, k2 int, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary"
-    return joined.mapInArrow(run, out)
+    joined = src.join(spans, ["k", "k2"], "left").select("doc", "t", F.coalesce("spans", empty).alias("spans"))
+    kind_of = src.schema["doc"].dataType.simpleString()
+    return joined.mapInArrow(run, f"doc {kind_of}, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
 
 
 def digest(removed: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of ``remove_repeats``."""
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, r: acc + r["stop"] - r["start"])
-    return removed.select(
-        "doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
-    )
+    spans = F.size("removed").cast("long").alias("n_spans")
+    return removed.select("doc.doc_id", "n_bytes", gone.alias("n_removed"), spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def clean_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the texts that ``remove_repeats`` leaves, and n_chars, if there is one, to match. A character cut by a removed run
+    goes with it; null texts become empty."""
+
+    @F.pandas_udf("string")
+    def decoded(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    new = remove_repeats(docs, **options).select("doc", decoded("kept").alias("text"))
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    cols = {"text": F.col("text"), "n_chars": n_chars}
+    return new.select(*[(cols[c] if c in cols else F.col("doc").getField(c)).alias(c) for c in docs.columns])
