@@ -55,6 +55,7 @@ def codes(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int) -> np
             cost += loss[:, pick]
             code = code * (2 * d) + own[:, pick]
         best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+        best = np.pad(best, ((0, 0), (0, probes - best.shape[1])), mode="edge")  # few dimensions have fewer codes
         out[:, t] = np.take_along_axis(code, best, 1)
     return out.reshape(n, -1)
 
@@ -177,7 +178,7 @@ def near_vectors(
         .agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
     )
     c = save(hashed(classes.select("h", "h2", "low", "n", "v"), tables, hashes, probes, seed))
-    entries = c.select("h", "h2", F.explode("codes").alias("code"))
+    entries = c.select("h", "h2", F.explode(F.array_distinct("codes")).alias("code"))
     buckets = entries.groupBy("code").agg(F.count(F.lit(1)).alias("s")).where("s > 1")
     parts = F.ceil(F.col("s") / block).cast("int")
     mine = F.pmod(F.col("h"), parts).cast("int")

@@ -69,7 +69,7 @@ class WordTokenizer:
         text = "\n".join(words)
         hard = any(t in text for t in self.special) or not self.plain.fullmatch(text)
         out = []
-        for w, s in zip(words, text.lower().split("\n") if not hard else words, strict=True):
+        for w, s in zip(words, text.lower().split("\n") if words and not hard else words, strict=True):
             if hard:
                 if not self.plain.fullmatch(w) or any(t in w for t in self.special):
                     out.append(None)
