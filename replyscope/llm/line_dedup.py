@@ -85,7 +85,8 @@ def remove_lines(docs: DataFrame, min_bytes: int = 24) -> DataFrame:
 
 
 def digest(removed: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_units, n_removed (bytes), n_spans, removed and kept_sha256 of ``remove_lines``."""
+    """doc_id, n_bytes, n_units, n_removed (bytes), n_spans, removed ([start, stop] pairs) and kept_sha256 of ``remove_lines``."""
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, r: acc + r["stop"] - r["start"])
     spans = F.size("removed").cast("long").alias("n_spans")
-    return removed.select("doc_id", "n_bytes", "n_units", gone.alias("n_removed"), spans, "removed", F.sha2("kept", 256).alias("kept_sha256"))
+    pairs = F.transform("removed", lambda r: F.array(r["start"], r["stop"])).alias("removed")
+    return removed.select("doc_id", "n_bytes", "n_units", gone.alias("n_removed"), spans, pairs, F.sha2("kept", 256).alias("kept_sha256"))

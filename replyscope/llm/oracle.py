@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from replyscope.llm.licenses import RULES, SENTENCES
+
 MIX = r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('7:' || CAST(doc_id AS VARCHAR)) AS r
@@ -26,4 +28,87 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-SQL = {"op4_mix_sources": MIX}
+TOP_K = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64.0::DOUBLE * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+NEAR = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), low AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), n AS (
+  SELECT a, count(*) AS n_links FROM link GROUP BY a
+)
+SELECT e.vec_id, COALESCE(n.n_links, 0) AS n_links, COALESCE(low.component_id, e.vec_id) AS component_id,
+       COALESCE(e.vec_id = COALESCE(low.component_id, e.vec_id), false) AS kept
+FROM embeddings e LEFT JOIN low ON e.vec_id = low.a LEFT JOIN n ON e.vec_id = n.a
+"""
+
+LINES = r"""
+WITH doc AS (
+  SELECT doc_id, COALESCE(text, '') AS t FROM documents
+), line AS (
+  SELECT doc_id, i, part, strlen(t) AS n, len(parts) AS n_parts,
+         trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm
+  FROM (SELECT doc_id, t, string_split(t, chr(10)) AS parts FROM doc), LATERAL (SELECT unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i)
+), placed AS (
+  SELECT *, CAST(sum(strlen(part) + 1) OVER (PARTITION BY doc_id ORDER BY i) - strlen(part) - 1 AS BIGINT) AS start FROM line
+), ranked AS (
+  SELECT *, strlen(norm) >= 24 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS gone,
+         least(start + strlen(part) + 1, n) AS stop
+  FROM placed
+)
+SELECT doc_id, any_value(n) AS n_bytes, CASE WHEN any_value(n) > 0 THEN any_value(n_parts) ELSE 0 END AS n_units,
+       CAST(COALESCE(sum(stop - start) FILTER (gone), 0) AS BIGINT) AS n_removed, count(*) FILTER (gone) AS n_spans,
+       COALESCE(list([start, stop] ORDER BY start) FILTER (gone), []) AS removed,
+       sha256(COALESCE(string_agg(part || CASE WHEN i < n_parts THEN chr(10) ELSE '' END, '' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id
+"""
+
+
+def _scan() -> str:
+    quoted = ", ".join(f"'{s}'" for s in SENTENCES.values())
+    ids = ", ".join(f"'{i}'" for i in SENTENCES)
+    sql = f"""
+WITH known AS (SELECT [{quoted}] AS sentences, [{ids}] AS ids),
+seq AS (
+  SELECT doc_id, list_filter(list_transform(
+      string_split(regexp_replace(COALESCE(text, ''), '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)),
+      lambda s: ids[list_position(sentences, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')))]), lambda x: x IS NOT NULL) AS sentence_ids
+  FROM documents, known
+), r0 AS (
+  SELECT doc_id, sentence_ids, '|' || array_to_string(list_transform(sentence_ids, lambda x: '<' || x || '>'), '') AS rest, CAST([] AS VARCHAR[]) AS found FROM seq
+)"""
+    for i, (name, run) in enumerate(RULES):
+        part = "".join(f"<{x}>" for x in run)
+        sql += f""", r{i + 1} AS (
+  SELECT doc_id, sentence_ids, replace(rest, '{part}', '|') AS rest, CASE WHEN contains(rest, '{part}') THEN list_append(found, '{name}') ELSE found END AS found
+  FROM r{i}
+)"""
+    licenses = "list_filter(found, lambda x, i: list_position(found, x) = i)"
+    return sql + f"\nSELECT doc_id, sentence_ids, {licenses} AS licenses, regexp_extract_all(rest, '<([^>]*)>', 1) AS unmatched FROM r{len(RULES)}"
+
+
+SQL = {
+    "op3_license_scan": _scan(),
+    "op4_mix_sources": MIX,
+    "op5_exact_top_k": TOP_K,
+    "op6_line_dedup": LINES,
+    "op9_embedding_dedup": NEAR,
+}
