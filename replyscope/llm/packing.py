@@ -64,24 +64,29 @@ class WordTokenizer:
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte_level = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x180)}
 
-    def _cut(self, words: list[str]) -> list[tuple[str, ...] | None]:
-        """Pieces of each word, or None where only the library can tell."""
+    def _cut(self, words: list[str]) -> tuple[list[str | None], list[int]]:
+        """Pieces of the words, one after the other, and each word's number of them; None where only the library can tell."""
         text = "\n".join(words)
         hard = any(t in text for t in self.special) or not self.plain.fullmatch(text)
-        out = []
+        pieces, size = [], []
         for w, s in zip(words, text.lower().split("\n") if words and not hard else words, strict=True):
             if hard:
                 if not self.plain.fullmatch(w) or any(t in w for t in self.special):
-                    out.append(None)
+                    pieces.append(None)
+                    size.append(1)
                     continue
                 s = w.lower()
             if s.isalpha():
-                out.append((s,))
+                pieces.append(s)
+                size.append(1)
             elif s and s[-1] in SIGNS and s[:-1].isalpha():
-                out.append((s[:-1], s[-1]))
+                pieces += s[:-1], s[-1]
+                size.append(2)
             else:
-                out.append(tuple(self.pattern.findall(s)))
-        return out
+                found = self.pattern.findall(s)
+                pieces += found
+                size.append(len(found))
+        return pieces, size
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of different pieces of plain words, as a ragged array."""
@@ -97,19 +102,20 @@ class WordTokenizer:
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of different words, as a ragged array."""
-        cut = self._cut(words)
-        number = dict.fromkeys(itertools.chain.from_iterable(c for c in cut if c is not None))
+        pieces, size = self._cut(words)
+        first = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        number = dict.fromkeys(pieces)
+        number.pop(None, None)
         values, offsets = self._encode(list(number))
         number = dict(zip(number, range(len(number)), strict=True))
-        other = [np.array(self.whole.encode(w, add_special_tokens=False).ids, np.uint16) for w, c in zip(words, cut, strict=True) if c is None]
+        odd = [i for i, p in enumerate(pieces) if p is None]
+        other = [np.array(self.whole.encode(words[w], add_special_tokens=False).ids, np.uint16) for w in np.searchsorted(first, odd, "right") - 1]
         values = np.concatenate([values, *other])
         offsets = np.concatenate([offsets, offsets[-1] + np.cumsum([len(o) for o in other], dtype=np.int64)])
         free = itertools.count(len(number))
-        parts = [[next(free)] if c is None else [number[p] for p in c] for c in cut]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter(itertools.chain.from_iterable(parts), np.int64, int(size.sum()))
+        flat = np.fromiter((next(free) if p is None else number[p] for p in pieces), np.int64, len(pieces))
         values, offsets = ragged(values, offsets, flat)
-        return values, offsets[np.concatenate([[0], np.cumsum(size)])]
+        return values, offsets[first]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))

@@ -23,7 +23,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from replyscope.llm.common import groups, keyed, save, save_by_key, text_bytes
 
 GRAM = 16
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -232,12 +231,13 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, spread: int = 257, step: int = 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, spread: int = 257, step: int = 16, as_text: bool = False) -> DataFrame:
     """Remove from each text (as UTF-8 bytes; null: empty) every byte covered by a ``length``-byte string that also starts
     anywhere else in the table, the same text included.
 
     One row per row of ``docs`` (doc_id, text, any further columns): ``doc`` (the row as a struct), ``n_bytes``, ``removed`` (array of
-    (start, stop), the maximal removed runs in offsets of the input) and ``kept`` (the rest, binary). Repeated rows count as
+    (start, stop), the maximal removed runs in offsets of the input) and ``kept`` (the rest, binary; ``as_text``: decoded, without
+    characters of which only a part is left). Repeated rows count as
     occurrences of each other, so both lose what they share; rows that share only an id, or have none, are texts of their own. Texts
     shorter than ``length`` are kept whole. An empty table gives no row."""
     src = save_by_key(keyed(docs).withColumn("t", text_bytes("doc.text")).withColumn("doc", F.col("doc").dropFields("text")), ["k", "k2"])
@@ -261,13 +261,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, spread: int = 257, step:
                 a, b = merged(start[lo:hi], start[lo:hi] + n[lo:hi] + length - 1)
                 removed.append([{"start": int(x), "stop": int(y)} for x, y in zip(a, b, strict=True)])
                 kept.append(b"".join(t[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(t)], strict=True)))
-            cols = [batch.column("doc"), pa.array(n_bytes, pa.int64()), pa.array(removed, kind), pa.array(kept, pa.binary())]
+            rest = pa.array([t.decode("utf-8", "ignore") for t in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            cols = [batch.column("doc"), pa.array(n_bytes, pa.int64()), pa.array(removed, kind), rest]
             yield pa.RecordBatch.from_arrays(cols, ["doc", "n_bytes", "removed", "kept"])
 
     empty = F.array().cast("array<struct<start:int,n:int>>")
     joined = src.join(spans, ["k", "k2"], "left").select("doc", "t", F.coalesce("spans", empty).alias("spans"))
     kind_of = src.schema["doc"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc {kind_of}, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary")
+    return joined.mapInArrow(run, f"doc {kind_of}, n_bytes long, removed array<struct<start:long,stop:long>>, kept {'string' if as_text else 'binary'}")
 
 
 def digest(removed: DataFrame) -> DataFrame:
@@ -280,12 +281,7 @@ def digest(removed: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the texts that ``remove_repeats`` leaves, and n_chars, if there is one, to match. A character cut by a removed run
     goes with it; null texts become empty."""
-
-    @F.pandas_udf("string")
-    def decoded(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    new = remove_repeats(docs, **options).select("doc", decoded("kept").alias("text"))
+    new = remove_repeats(docs, as_text=True, **options).select("doc", F.col("kept").alias("text"))
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     cols = {"text": F.col("text"), "n_chars": n_chars}
     return new.select(*[(cols[c] if c in cols else F.col("doc").getField(c)).alias(c) for c in docs.columns])

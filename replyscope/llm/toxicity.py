@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -186,10 +186,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes:
 def toxicity(model: Model, text: str = "text") -> Column:
     """Score of a text column, 0 to 1; null and empty texts score as texts without any window."""
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in parts:
-            yield pd.Series(model.scores([bytes(t) for t in part]))
+            yield pa.array(model.scores(part.to_pylist()))
 
     return score(text_bytes(text))
 
