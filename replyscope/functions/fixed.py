@@ -157,6 +157,16 @@ JUDGE_RELEVANCE_STORY = (
     "(scores ONLY):\n\n- Relevance:"
 )
 
+# Blanks before the generated kind and before the reply, by kind and criterion.
+JUDGE_BLANKS = {
+    ("article", "coherence"): ("", ""),
+    ("article", "relevance"): (" ", " "),
+    ("closing", "coherence"): (" ", " "),
+    ("closing", "relevance"): (" ", ""),
+    ("paraphrased", "coherence"): (" ", ""),
+    ("paraphrased", "relevance"): (" ", ""),
+}
+
 # Cohort labels (value when the rule holds / otherwise).
 NATIVE_LABELS = ("native", "non_native")
 STRICT_NATIVE_LABELS = ("strict native", "not strict native")
@@ -210,7 +220,7 @@ REPLY_SUFFIX = {
     "add_all_non_native": "_all_non_native",
     "guess_native": "_guess_native",
     "add_history": "_history",
-    "add_history_native": "_history",
+    "add_history_native": "_history_native",
 }
 SIDE_OUTPUT_COLUMN = {"guess_native": "{model} guessed_native", "add_history": "added_history",
-                      "add_history_native": "added_history", "gold": "{model} prompt"}
+                      "add_history_native": "added_history_native"}

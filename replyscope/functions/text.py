@@ -57,6 +57,27 @@ def digit_sum(x) -> Column:
     )
 
 
+def digit_sum_text(x) -> Column:
+    """T5 without a limit: the sum of all digit runs as decimal text. Sums beyond 38 digits are added in limbs of nine
+    digits, lowest first, with one carry pass."""
+    runs = digit_runs(x)
+    limbs = F.ceil(F.array_max(F.transform(runs, F.length)) / 9).cast("int") + 2
+    width = limbs * 9
+
+    def limb(run: Column, i: Column) -> Column:
+        return F.substring(F.lpad(run, width, F.lit("0")), width - i * 9 - 8, F.lit(9)).cast("bigint")
+
+    columns = F.transform(F.sequence(F.lit(0), limbs - 1), lambda i: F.aggregate(runs, F.lit(0).cast("bigint"), lambda acc, r: acc + limb(r, i)))
+    start = F.struct(F.lit(0).cast("bigint").alias("carry"), F.lit("").alias("digits"))
+
+    def add(acc: Column, s: Column) -> Column:
+        t = acc["carry"] + s
+        return F.struct(F.floor(t / F.lit(10**9)).cast("bigint").alias("carry"), F.concat(F.lpad((t % F.lit(10**9)).cast("string"), 9, "0"), acc["digits"]).alias("digits"))
+
+    long = F.ltrim(F.aggregate(columns, start, add, lambda acc: acc["digits"]), F.lit("0"))
+    return F.coalesce(digit_sum(x).cast("string"), F.when(long == "", F.lit("0")).otherwise(long))
+
+
 def first_digit(x) -> Column:
     """The first single digit of a text as INT; NULL when there is none."""
     return F.nullif(F.regexp_extract(_c(x), r"(\d)", 1), F.lit("")).try_cast("int")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replyscope.functions import fixed
-from replyscope.operators.joins import DEFAULT_BROADCAST_ROWS, checked_broadcast
 
 NATIVE = "native_or_not"
 STRICT = "strict_native_or_not"
@@ -30,12 +29,12 @@ def strict_native_label(nat_lang="nat_lang") -> Column:
 
 
 def label_cohorts(df: DataFrame, cohorts: DataFrame | None = None, nat_lang: str = "nat_lang",
-                  user: str = "user_id", max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                  user: str = "user_id") -> DataFrame:
     """Add the cohort columns.
 
     ``native_or_not`` and ``strict_native_or_not`` come from ``nat_lang``. With a membership table
     ``cohorts(user_id, cohort)`` (cohort in ``western``, ``african``, ``student``) the three membership columns are
-    added by one left join on the user id; the per-user flag table is broadcast only when its size is checked small.
+    added by one left join of the per-user flags on the user id.
     """
     out = df
     if nat_lang in df.columns:
@@ -45,7 +44,7 @@ def label_cohorts(df: DataFrame, cohorts: DataFrame | None = None, nat_lang: str
     flags = cohorts.where(F.col(user).isNotNull()).groupBy(F.col(user).alias("__u")).agg(
         *[F.max((F.col("cohort") == name).cast("int")).alias(f"__{col}") for col, name, _, _ in fixed.MEMBERSHIP_COHORTS]
     )
-    out = out.join(checked_broadcast(flags, max_broadcast_rows), out[user] == F.col("__u"), "left")
+    out = out.join(flags, out[user] == F.col("__u"), "left")
     for col, _, yes, no in fixed.MEMBERSHIP_COHORTS:
         out = out.withColumn(col, F.when(F.col(f"__{col}") == 1, F.lit(yes)).otherwise(F.lit(no)))
     return out.drop("__u", *[f"__{c}" for c in MEMBERSHIP_COLUMNS])

@@ -1,40 +1,17 @@
-"""Join helpers: broadcast only behind a size check, shuffle join (with AQE skew splitting) beyond it."""
+"""Join helpers. Joins are plain equi-joins: AQE broadcasts a side whose measured bytes are small and splits hot keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a dimension may have to be broadcast. Dimensions here are a few narrow columns (ids, short labels),
-# so this keeps the broadcast well under the executors' memory.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-# Dimensions up to this many rows are materialised once and broadcast from that copy, so the plan that produced
-# them is not run a second time for the join.
-DEFAULT_LOCAL_ROWS = 100_000
-
-
-def checked_broadcast(dim: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      local_rows: int = DEFAULT_LOCAL_ROWS) -> DataFrame:
-    """A join side that is broadcast only when its size is known to be small, else ``dim`` unchanged (the planner
-    then shuffles both sides; AQE may still convert at run time and splits skewed keys).
-
-    Up to ``local_rows`` rows the dimension is computed once and the broadcast uses those rows; up to ``max_rows``
-    rows it is counted (reading at most ``max_rows + 1`` rows) and broadcast; beyond, it stays a shuffle join."""
-    head = dim.limit(local_rows + 1).collect()
-    if len(head) <= local_rows:
-        return F.broadcast(dim.sparkSession.createDataFrame(head, dim.schema))
-    n = dim.limit(max_rows + 1).count()
-    return F.broadcast(dim) if n <= max_rows else dim
-
 
 def join_gold(df: DataFrame, gold: DataFrame, key: str = "nat_instr_id", gold_col: str = "generated_req_output",
-              null_safe: bool = False, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+              null_safe: bool = False) -> DataFrame:
     """Inner join of rows to their gold answer on ``key``. Unmatched rows are dropped; a duplicated gold key
     multiplies rows, as a hash merge does. ``null_safe=True`` also matches NULL keys to each other (the pandas
     merge behaviour)."""
-    g = checked_broadcast(gold.select(F.col(key).alias("__gk"), gold_col), max_broadcast_rows)
+    g = gold.select(F.col(key).alias("__gk"), gold_col)
     cond = df[key].eqNullSafe(g["__gk"]) if null_safe else df[key] == g["__gk"]
     return df.join(g, cond, "inner").drop("__gk")
 

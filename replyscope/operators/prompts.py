@@ -213,47 +213,54 @@ def _fill(template: str, gen: Column, comp: Column) -> Column:
 
 
 def judge_prompts(df: DataFrame, reply: str = "reply", source: str = "final_prompt_en",
-                  task_id: str = "nat_instr_id") -> DataFrame:
-    """C11 + U4: three rubric prompts per row, one row each: (row_id, k, criterion, prompt).
+                  task_id: str = "nat_instr_id", keys=("row_id",)) -> DataFrame:
+    """C11 + U4: three rubric prompts per row, one row each: (*keys, k, criterion, prompt); ``keys`` name the judged
+    row, its model and mode when several runs are judged together.
 
-    Whitespace around the pasted texts is normalised to one layout for every kind. Rows of kind ``other`` get
+    Blanks around the pasted texts differ by kind and criterion as in ``fixed.JUDGE_BLANKS``. Rows of kind ``other`` get
     NULL prompts (the original fails on them)."""
     gen, comp = judge_kind(task_id)
     r, s = F.col(reply), F.col(source)
     one = _fill(fixed.JUDGE_INTRO_ONE, gen, comp)
     two = _fill(fixed.JUDGE_INTRO_TWO, gen, comp)
     head_one = F.concat(one, F.lit("\n\n"), gen, F.lit(": \n"), r, F.lit(" \n\n "))
-    head_two = F.concat(two, F.lit("\n\n"), gen, F.lit(": \n"), r, F.lit(" \n\n "), comp, F.lit(": \n "), s, F.lit(" \n\n "))
-    coherence = (
-        F.when(gen.contains("article"), _fill(fixed.JUDGE_COHERENCE_ARTICLE, gen, comp))
-        .when(gen.contains("closing"), _fill(fixed.JUDGE_COHERENCE_STORY, gen, comp))
-        .when(gen.contains("paraphrased"), _fill(fixed.JUDGE_COHERENCE_PARAPHRASE, gen, comp))
-    )
-    relevance = F.when(gen.contains("closing"), _fill(fixed.JUDGE_RELEVANCE_STORY, gen, comp)).when(
-        gen != "other", _fill(fixed.JUDGE_RELEVANCE, gen, comp)
-    )
-    known = gen != "other"
+
+    def head_two(kind: str, criterion: str) -> Column:
+        before, after = fixed.JUDGE_BLANKS[kind, criterion]
+        return F.concat(two, F.lit(f"\n\n{before}"), gen, F.lit(f": \n{after}"), r, F.lit(" \n\n "), comp, F.lit(": \n "), s, F.lit(" \n\n "))
+
+    rubric = {
+        ("article", "coherence"): fixed.JUDGE_COHERENCE_ARTICLE, ("article", "relevance"): fixed.JUDGE_RELEVANCE,
+        ("closing", "coherence"): fixed.JUDGE_COHERENCE_STORY, ("closing", "relevance"): fixed.JUDGE_RELEVANCE_STORY,
+        ("paraphrased", "coherence"): fixed.JUDGE_COHERENCE_PARAPHRASE, ("paraphrased", "relevance"): fixed.JUDGE_RELEVANCE,
+    }
+
+    def pasted(criterion: str) -> Column:
+        out = F.lit(None).cast("string")
+        for kind in ("paraphrased", "closing", "article"):
+            out = F.when(gen.contains(kind), F.concat(head_two(kind, criterion), _fill(rubric[kind, criterion], gen, comp))).otherwise(out)
+        return out
+
     prompts = F.array(
-        F.when(known, F.concat(head_one, _fill(fixed.JUDGE_FLUENCY, gen, comp))),
-        F.when(known, F.concat(head_two, coherence)),
-        F.when(known, F.concat(head_two, relevance)),
+        F.when(gen != "other", F.concat(head_one, _fill(fixed.JUDGE_FLUENCY, gen, comp))), pasted("coherence"), pasted("relevance"),
     )
     criteria = F.array(*[F.lit(c) for c in fixed.JUDGE_CRITERIA])
     return df.select(
-        "row_id", F.posexplode(F.arrays_zip(criteria.alias("criterion"), prompts.alias("prompt"))).alias("k", "z")
-    ).select("row_id", "k", F.col("z.criterion").alias("criterion"), F.col("z.prompt").alias("prompt"))
+        *keys, F.posexplode(F.arrays_zip(criteria.alias("criterion"), prompts.alias("prompt"))).alias("k", "z")
+    ).select(*keys, "k", F.col("z.criterion").alias("criterion"), F.col("z.prompt").alias("prompt"))
 
 
 def judge_messages(prompts: DataFrame, system: str = fixed.JUDGE_SYSTEM) -> DataFrame:
-    """The two-message chat of each judge prompt."""
-    return prompts.withColumn("messages", chat(msg("system", F.lit(system)), msg("user", F.col("prompt"))))
+    """The two-message chat of each judge prompt; NULL for a NULL prompt, which is not sent."""
+    messages = chat(msg("system", F.lit(system)), msg("user", F.col("prompt")))
+    return prompts.withColumn("messages", F.when(F.col("prompt").isNotNull(), messages))
 
 
-def regroup_judgements(answers: DataFrame, key: str = "row_id") -> DataFrame:
-    """Three answers (criterion, answer) per row -> one row with ``fluency``, ``coherence``, ``relevance``
+def regroup_judgements(answers: DataFrame, keys=("row_id",)) -> DataFrame:
+    """Three answers (criterion, answer) per judged row (``keys``) -> one row with ``fluency``, ``coherence``, ``relevance``
     (whitespace-stripped text). A row without exactly one answer per criterion fails the job (raise_error inside
     the plan, no extra pass)."""
-    wide = answers.groupBy(key).pivot("criterion", list(fixed.JUDGE_CRITERIA)).agg(
+    wide = answers.groupBy(*keys).pivot("criterion", list(fixed.JUDGE_CRITERIA)).agg(
         F.first(text.strip_ws("answer")).alias("a"), F.count(F.lit(1)).alias("n")
     )
     ok = F.lit(True)
@@ -261,5 +268,5 @@ def regroup_judgements(answers: DataFrame, key: str = "row_id") -> DataFrame:
         ok = ok & (F.coalesce(F.col(f"{c}_n"), F.lit(0)) == 1)
     guard = F.when(~ok, F.raise_error(F.lit("Mismatch between number of rows and responses generated.")))
     return wide.select(
-        key, *[F.coalesce(guard.cast("string"), F.col(f"{c}_a")).alias(c) for c in fixed.JUDGE_CRITERIA]
+        *keys, *[F.coalesce(guard.cast("string"), F.col(f"{c}_a")).alias(c) for c in fixed.JUDGE_CRITERIA]
     )

@@ -98,12 +98,10 @@ def round_half_even(c: Column, digits: int = 2) -> Column:
 
 def comparison_table(long: DataFrame, cohort: str = NATIVE, by: Sequence[str] = (),
                      metrics: Sequence[str] = fixed.ALL_METRICS, cohort_values: Sequence[str] = fixed.NATIVE_LABELS,
-                     runs: Sequence[str] = fixed.RUN_LABELS, models: Sequence[str] | None = None) -> DataFrame:
+                     runs: Sequence[str] = fixed.RUN_LABELS, *, models: Sequence[str]) -> DataFrame:
     """Transpose the long comparison to one row per metric (per ``by`` group) and one column per
-    ``{model}_{run}_{cohort}``, values rounded to two places. Pivot values are given, so no extra job runs to
-    discover them; ``models`` defaults to the distinct models of ``long`` (a handful of rows)."""
-    if models is None:
-        models = sorted(r[0] for r in long.select("model").distinct().collect())
+    ``{model}_{run}_{cohort}``, values rounded to two places. All pivot values are given, so no job runs to
+    discover them."""
     values = [f"{m}_{r}_{c}" for m in models for r in runs for c in cohort_values]
     stacked = long.unpivot(["model", "run", cohort, *by], list(metrics), "metric", "value")
     keyed = stacked.withColumn("column", F.concat_ws("_", "model", "run", cohort))
@@ -142,7 +140,7 @@ def multi_ref(scores: DataFrame, key: str = "row_id", ref: str = "ref_idx", scor
               agg="mean") -> DataFrame:
     """Combine the scores of several references per row by mean or max (``agg`` may also be a sequence,
     giving one ``<score>_<agg>`` column each, from one aggregate). Every row must have the same number of
-    references; this is checked with one small aggregate over the per-row table and raises otherwise."""
+    references; the plan compares each row's number with the largest and fails the job otherwise."""
     aggs = [agg] if isinstance(agg, str) else list(agg)
     if any(a not in ("mean", "max") for a in aggs):
         raise NotImplementedError(agg)
@@ -150,7 +148,6 @@ def multi_ref(scores: DataFrame, key: str = "row_id", ref: str = "ref_idx", scor
     names = [score] if isinstance(agg, str) else [f"{score}_{a}" for a in aggs]
     per_row = scores.groupBy(key).agg(
         F.count(F.col(ref)).alias("n_refs"), *[fns[a](score).alias(n) for a, n in zip(aggs, names)])
-    n_distinct = per_row.agg(F.count_distinct("n_refs").alias("k")).first()["k"]
-    if n_distinct > 1:
-        raise ValueError("rows have different numbers of references")
-    return per_row.drop("n_refs")
+    most = scores.groupBy(key).agg(F.count(F.col(ref)).alias("n")).agg(F.max("n")).scalar()
+    guard = F.when(F.col("n_refs") != most, F.raise_error(F.lit("rows have different numbers of references")).cast("double"))
+    return per_row.select(key, *[F.coalesce(guard, F.col(n)).alias(n) for n in names])

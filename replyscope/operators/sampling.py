@@ -3,7 +3,8 @@ drawn uniformly without replacement, joined with ', '.
 
 No pair of pool rows is ever materialised. Each pool gets dense positions (two phases: a window over
 (pool, hash bucket) plus per-bucket offsets, so a hot pool is spread over many tasks); each row then draws n
-positions with Floyd's algorithm from seeded md5 hashes (exactly uniform subsets, reproducible, portable to SQL);
+positions with Floyd's algorithm from seeded 60-bit md5 hashes (uniform to within 2^-60 of the pool size, reproducible,
+portable to SQL);
 one equi-join on (pool, position) fetches the texts. Cost is linear in rows: n draws per row."""
 
 from __future__ import annotations
@@ -14,27 +15,28 @@ from pyspark.sql import functions as F
 from replyscope.functions import fixed, text
 from replyscope.operators.cohorts import NATIVE, native_label
 
-DEFAULT_BUCKETS = 1024
+BUCKET_ROWS = 4096
 
 
-def hash32(*parts) -> Column:
-    """An unsigned 32-bit integer from the first 8 hex digits of md5(parts joined by ':')."""
+def hash60(*parts) -> Column:
+    """An unsigned 60-bit integer from the first 15 hex digits of md5(parts joined by ':')."""
     key = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
 
 
-def bucket_of(row_id: Column, buckets: int) -> Column:
-    return F.pmod(hash32(row_id), F.lit(buckets))
+def pool_positions(pool_rows: DataFrame, pool: str, key: str = "row_id", bucket_rows: int = BUCKET_ROWS,
+                   size: Column | None = None) -> DataFrame:
+    """Dense positions ``__pos`` 0..size-1 within each pool, ordered by (hash bucket, key), and the pool's ``__size``.
+    ``size`` is given when there is one pool only.
 
-
-def pool_positions(pool_rows: DataFrame, pool: str, key: str = "row_id", buckets: int = DEFAULT_BUCKETS
-                   ) -> tuple[DataFrame, DataFrame]:
-    """Dense positions 0..size-1 within each pool, ordered by (hash bucket, key).
-
-    Returns ``(positioned, sizes)``: ``positioned`` has ``__pos`` and the pool's ``__size`` added, ``sizes`` is
-    ``(pool, __size)``. The window runs per (pool, bucket), never over a whole pool; the offset table has at most
-    pools x buckets rows and is the only table that moves for the join back."""
-    b = pool_rows.withColumn("__b", bucket_of(F.col(key), buckets))
+    A pool has a bucket for every ``bucket_rows`` of its rows. The window runs per (pool, bucket), never over a whole
+    pool; the offset table has one row per bucket and is the only table that moves for the join back."""
+    if size is None:
+        sized = pool_rows.join(pool_rows.groupBy(pool).agg(F.count(F.lit(1)).alias("__size")), pool)
+    else:
+        sized = pool_rows.withColumn("__size", size)
+    buckets = F.ceil(F.col("__size") / F.lit(bucket_rows)).cast("bigint")
+    b = sized.withColumn("__b", F.pmod(hash60(F.col(key)), buckets)).drop("__size")
     ranked = b.withColumn("__r", F.row_number().over(Window.partitionBy(pool, "__b").orderBy(key)) - 1)
     counts = b.groupBy(pool, "__b").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(pool).orderBy("__b")
@@ -44,10 +46,9 @@ def pool_positions(pool_rows: DataFrame, pool: str, key: str = "row_id", buckets
         F.sum("__n").over(Window.partitionBy(pool)).alias("__size"),
     )
     # ``ranked`` is already hash-partitioned by (pool, bucket) by its window, so only the small offset table moves.
-    positioned = ranked.join(offsets, [pool, "__b"]).select(
+    return ranked.join(offsets, [pool, "__b"]).select(
         *pool_rows.columns, (F.col("__off") + F.col("__r")).alias("__pos"), "__size"
     )
-    return positioned, offsets.select(pool, "__size").distinct()
 
 
 def floyd_draws(m: Column, n: int, seed, row_id: Column) -> list[Column]:
@@ -56,14 +57,14 @@ def floyd_draws(m: Column, n: int, seed, row_id: Column) -> list[Column]:
     chosen: list[Column] = []
     for i in range(n):
         j = m - F.lit(n) + F.lit(i)
-        t = F.pmod(hash32(F.lit(str(seed)), row_id, F.lit(i)), j + F.lit(1))
+        t = F.pmod(hash60(F.lit(str(seed)), row_id, F.lit(i)), j + F.lit(1))
         c = F.when(t.isin(*chosen), j).otherwise(t) if chosen else t
         chosen.append(c)
     return chosen
 
 
 def sample_history(df: DataFrame, pool: str = "user", n: int = 5, seed=fixed.SEED, text_col: str = "prompt_en",
-                   key: str = "row_id", user: str = "user_id", buckets: int = DEFAULT_BUCKETS,
+                   key: str = "row_id", user: str = "user_id", bucket_rows: int = BUCKET_ROWS,
                    out: str = "history") -> DataFrame:
     """Add ``out`` (n texts of other pool rows joined with ', ') and ``out + '_error'``.
 
@@ -80,18 +81,17 @@ def sample_history(df: DataFrame, pool: str = "user", n: int = 5, seed=fixed.SEE
         raise ValueError("pool must be user, native or non_native")
 
     members = pool_rows.select(F.col(key).alias("__k"), pool_expr.alias("__pool"), F.col(text_col).alias("__text"))
-    positioned, sizes = pool_positions(members, "__pool", key="__k", buckets=buckets)
-
-    rows = df.select(F.col(key).alias("__k"), pool_expr.alias("__pool")).where(F.col("__pool").isNotNull())
-    # ``positioned`` is read twice: for each row's own position and pool size, and to fetch the picked texts.
+    # A cohort is one pool, whose size is a scalar subquery of the plan.
+    whole = None if pool == "user" else F.coalesce(members.agg(F.count(F.lit(1))).scalar(), F.lit(0))
+    positioned = pool_positions(members, "__pool", "__k", bucket_rows, whole)
     own = positioned.select("__k", "__pool", F.col("__pos").alias("__own"), "__size")
-    rows = rows.join(own, ["__k", "__pool"], "left")
     if pool == "user":
-        # Every row belongs to its writer's pool, so the pool size arrives with the row's own position.
-        size = F.coalesce(F.col("__size"), F.lit(0))
+        # Every row with a writer is a row of its pool: its position and pool size are there already.
+        rows, size = own, F.col("__size")
     else:
-        # One pool: its size is a single number (read once), not a join against a one-row table.
-        size = F.lit(int(sizes.agg(F.max("__size")).first()[0] or 0))
+        # Rows outside the pool have no own position.
+        rows = df.select(F.col(key).alias("__k"), F.lit(pool).alias("__pool")).join(own, ["__k", "__pool"], "left")
+        size = whole
     m = size - F.when(F.col("__own").isNotNull(), 1).otherwise(0)
     rows = rows.withColumn("__m", m)
     draws = floyd_draws(F.col("__m"), n, seed, F.col("__k"))

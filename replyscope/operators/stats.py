@@ -41,9 +41,9 @@ def histogram_bin(value: Column, edges: Sequence[float] = fixed.HISTOGRAM_EDGES)
 
 
 def histogram(df: DataFrame, value: str, keys: Sequence[str] = (), edges: Sequence[float] = fixed.HISTOGRAM_EDGES) -> DataFrame:
-    """A10: counts per bin and group, every bin present (0 when empty). Groups are those present in ``df``."""
-    binned = df.withColumn("bin", histogram_bin(F.col(value), edges))
-    counts = binned.where(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
-    groups = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
-    grid = groups.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(len(edges) - 2))).alias("bin"))
-    return grid.join(counts, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    """A10: counts per bin and group, every bin present (0 when empty), from one aggregate. Groups are those present in
+    ``df``."""
+    n_bins = len(edges) - 1
+    counts = df.groupBy(*keys).agg(*[F.count_if(histogram_bin(F.col(value), edges) == i).alias(f"n{i}") for i in range(n_bins)])
+    bins = F.posexplode(F.array(*[F.col(f"n{i}") for i in range(n_bins)])).alias("bin", "n")
+    return counts.select(*keys, bins)

@@ -8,6 +8,7 @@ data is n * blocks * d and the candidate rows are n * k * blocks."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,8 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from replyscope.operators.joins import checked_broadcast
-from replyscope.operators.sampling import hash32
+from replyscope.operators.sampling import hash60
 
 # ------------------------------------------------------------------------------------------------ E1
 
@@ -32,11 +32,13 @@ def embed(df: DataFrame, text_col: str, encoder: Callable[[list], list] | None =
     if (encoder is None) == (encoder_factory is None):
         raise ValueError("pass exactly one of encoder and encoder_factory")
 
+    name = uuid.uuid4().hex
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def enc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from replyscope.streaming.inference import per_worker
 
-        fn = encoder if encoder is not None else per_worker(encoder_factory)
+        fn = encoder if encoder is not None else per_worker(encoder_factory, name)
         for s in it:
             vals = []
             texts = s.tolist()
@@ -53,7 +55,7 @@ def embed(df: DataFrame, text_col: str, encoder: Callable[[list], list] | None =
 def standardize(df: DataFrame, vec: str = "embedding", group: str = "label", out: str = "scaled") -> DataFrame:
     """Per group, subtract the mean and divide by the population standard deviation of every dimension (a
     zero deviation divides by 1). Group statistics come from one vectorised aggregate (``Summarizer``), not from
-    exploding the vectors; the per-group table (groups x dim) is joined back behind a size check."""
+    exploding the vectors; the per-group table (groups x dim) is joined back."""
     v = array_to_vector(F.col(vec))
     stats = df.where(F.col(vec).isNotNull()).groupBy(group).agg(
         Summarizer.metrics("mean", "variance", "count").summary(v).alias("s")
@@ -68,7 +70,7 @@ def standardize(df: DataFrame, vec: str = "embedding", group: str = "label", out
         "__g", "__mean",
         F.transform("__var", lambda x: F.sqrt(x * (F.col("__n") - 1) / F.col("__n"))).alias("__std"),
     )
-    joined = df.join(checked_broadcast(stats), df[group] == F.col("__g"), "left")
+    joined = df.join(stats, df[group] == F.col("__g"), "left")
     scaled = F.zip_with(
         F.zip_with(F.col(vec), F.col("__mean"), lambda x, m: x - m), F.col("__std"),
         lambda d, s: d / F.when(s == 0, F.lit(1.0)).otherwise(s),
@@ -84,21 +86,12 @@ def normalize(vec) -> F.Column:
 
 # ------------------------------------------------------------------------------------------------ E3
 
-KNN_SCHEMA = T.StructType([
-    T.StructField("grp", T.LongType()),
-    T.StructField("vec_id", T.LongType()),
-    T.StructField("neighbor_id", T.LongType()),
-    T.StructField("sim", T.DoubleType()),
-])
-
-
 def _block_topk(k: int):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
             for row in pdf.itertuples(index=False):
-                ids_a = np.asarray(row.ids_a, dtype=np.int64)
-                ids_b = np.asarray(row.ids_b, dtype=np.int64)
+                ids_a, ids_b = np.asarray(row.ids_a), np.asarray(row.ids_b)
                 a = np.vstack(row.vecs_a).astype(np.float64)
                 b = np.vstack(row.vecs_b).astype(np.float64)
                 sims = a @ b.T
@@ -130,10 +123,10 @@ def cosine_knn(df: DataFrame, vec: str = "scaled", group: str = "label", key: st
     """For every vector its k most cosine-similar other vectors of the same group: ``(group, key, rank,
     neighbor_id, sim)``, ties broken by the smaller neighbour id."""
     base = df.where(F.col(vec).isNotNull() & F.col(group).isNotNull()).select(
-        F.col(group).cast("long").alias("grp"), F.col(key).cast("long").alias("id"), normalize(vec).alias("v"))
+        F.col(group).alias("grp"), F.col(key).alias("id"), normalize(vec).alias("v"))
     sizes = base.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).select(
         "grp", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("long").alias("nb"))
-    blocked = base.join(checked_broadcast(sizes), "grp").withColumn("b", F.pmod(hash32(F.col("id")), F.col("nb")))
+    blocked = base.join(sizes, "grp").withColumn("b", F.pmod(hash60(F.col("id")), F.col("nb")))
     blocks = blocked.groupBy("grp", "b", "nb").agg(
         F.collect_list("id").alias("ids"), F.collect_list("v").alias("vecs"))
     # Pair keys (i <= j): block i is sent to pairs (i, j>=i), block j to pairs (i<=j, j); one row per pair each side.
@@ -142,20 +135,16 @@ def cosine_knn(df: DataFrame, vec: str = "scaled", group: str = "label", key: st
     right = blocks.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("bi"),
                           F.col("b").alias("bj"), F.col("ids").alias("ids_b"), F.col("vecs").alias("vecs_b"))
     pairs = left.join(right, ["grp", "bi", "bj"])
-    cands = pairs.mapInPandas(_block_topk(k), KNN_SCHEMA)
+    kinds = [df.schema[c].dataType for c in (group, key, key)] + [T.DoubleType()]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(("grp", "vec_id", "neighbor_id", "sim"), kinds)])
+    cands = pairs.mapInPandas(_block_topk(k), schema)
     w = Window.partitionBy("grp", "vec_id").orderBy(F.col("sim").desc(), F.col("neighbor_id"))
     ranked = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(F.col("grp").cast(df.schema[group].dataType).alias(group),
-                         F.col("vec_id").cast(df.schema[key].dataType).alias(key), "rank", "neighbor_id", "sim")
+    return ranked.select(F.col("grp").alias(group), F.col("vec_id").alias(key), "rank", "neighbor_id", "sim")
 
 
 # ------------------------------------------------------------------------------------------------ E4
 
-PCA_PARTIAL = T.StructType([
-    T.StructField("grp", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("v", T.DoubleType()),
-])
-
-
 def _partial_moments():
     """Per partition and group: count, sums and cross-products, flattened as (grp, index, value) rows. The
     dimension is read from the vectors themselves."""
@@ -177,10 +166,11 @@ def _partial_moments():
 def project_2d(df: DataFrame, vec: str = "scaled", group: str = "label", key: str = "vec_id") -> DataFrame:
     """E4 (stands in for the single-machine layout step): per group, the projection on the two leading principal
     components. Moments are summed from per-partition partials (groups x dim^2 numbers), the 2 x dim components
-    per group are solved on that small table and joined back behind a size check. Component signs are arbitrary."""
+    per group are solved on that small table and joined back. Each component's largest loading is positive."""
     base = df.where(F.col(vec).isNotNull()).select(
-        F.col(group).cast("long").alias("grp"), F.col(key).alias("__k"), F.col(vec).alias("v"))
-    partials = base.select("grp", "v").mapInPandas(_partial_moments(), PCA_PARTIAL)
+        F.col(group).alias("grp"), F.col(key).alias("__k"), F.col(vec).alias("v"))
+    grp = df.schema[group].dataType.simpleString()
+    partials = base.select("grp", "v").mapInPandas(_partial_moments(), f"grp {grp}, i int, v double")
     moments = partials.groupBy("grp", "i").agg(F.sum("v").alias("v"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -191,12 +181,13 @@ def project_2d(df: DataFrame, vec: str = "scaled", group: str = "label", key: st
         cov = (xx - n * np.outer(mean, mean)) / max(n - 1, 1)
         w, v = np.linalg.eigh(cov)
         comps = v[:, np.argsort(w)[::-1][:2]].T
+        comps = comps * np.sign(comps[np.arange(len(comps)), np.abs(comps).argmax(axis=1)])[:, None]
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "mean": [mean.tolist()],
                              "c1": [comps[0].tolist()], "c2": [comps[1].tolist() if len(comps) > 1 else [0.0] * dim]})
 
     comps = moments.groupBy("grp").applyInPandas(
-        solve, "grp long, mean array<double>, c1 array<double>, c2 array<double>")
-    j = base.join(checked_broadcast(comps), "grp")
+        solve, f"grp {grp}, mean array<double>, c1 array<double>, c2 array<double>")
+    j = base.join(comps, "grp")
     centered = F.zip_with(F.col("v"), F.col("mean"), lambda x, m: x - m)
     dot = lambda c: F.aggregate(F.zip_with(centered, F.col(c), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return j.select(F.col("grp").alias(group), F.col("__k").alias(key), dot("c1").alias("pc1"), dot("c2").alias("pc2"))

@@ -24,6 +24,7 @@ from replyscope.streaming import inference as inf
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+RUN_KEYS = ("row_id", "model", "mode")
 REPORT_COHORTS = (coh.NATIVE, coh.STRICT, "western_native_or_not")
 
 
@@ -114,7 +115,7 @@ def guess_counts(spark, sf):
 
 
 STATS_COHORTS = (coh.NATIVE, coh.STRICT, "western_native_or_not", "african_or_not")
-EVENT_COHORTS = ("western_native_or_not", "african_or_not", "student_or_not")
+EVENT_COHORTS = (coh.NATIVE, coh.STRICT, "western_native_or_not", "african_or_not")
 
 
 @query("placeholder_fill")
@@ -130,7 +131,7 @@ def strip_tags(spark, sf):
 
 def pair_text() -> F.Column:
     """Fixture: replies stored as stringified (guess, reply) pairs, with single or double quotes, or plain."""
-    a, b = F.substring("prompt_en", 1, 20), F.substring("reply", 1, 30)
+    a, b = F.col("prompt_en"), F.col("reply")
     single = F.concat(F.lit("('"), a, F.lit("', '"), b, F.lit("')"))
     double = F.concat(F.lit('("'), a, F.lit('", "'), b, F.lit('")'))
     return F.when(F.col("row_id") % 3 == 0, single).when(F.col("row_id") % 3 == 1, double).otherwise(F.col("reply"))
@@ -147,9 +148,9 @@ def digit_sum(spark, sf):
     ann = fx.annotations(spark, sf)
     return ann.select(
         "row_id", "dataset_id",
-        T.digit_sum("reply").try_cast("bigint").alias("reply_digit_sum"),
-        T.digit_sum("prompt_en").try_cast("bigint").alias("prompt_digit_sum"),
-        acc.predicted_rating().try_cast("bigint").alias("predicted_rating"),
+        T.digit_sum_text("reply").alias("reply_digit_sum"),
+        T.digit_sum_text("prompt_en").alias("prompt_digit_sum"),
+        acc.predicted_rating().cast("string").alias("predicted_rating"),
     )
 
 
@@ -191,7 +192,7 @@ def annotation_gap(spark, sf):
 
 def events_long(spark, sf):
     ev = events_with_gap(spark, sf)
-    ev = coh.label_cohorts(ev, fx.cohorts(ev))
+    ev = coh.label_cohorts(ev.withColumn("nat_lang", fx.event_language()), fx.cohorts(ev))
     return coh.unpivot_cohorts(ev, EVENT_COHORTS, keep=[F.col("event_type").alias("set_id"), "user_id", timing.GAP])
 
 
@@ -232,6 +233,11 @@ def history_sample_cohort(spark, sf):
     return sampling.sample_history(fx.annotations(spark, sf), pool="native").select("row_id", "history")
 
 
+@query("history_sample_non_native")
+def history_sample_non_native(spark, sf):
+    return sampling.sample_history(fx.annotations(spark, sf), pool="non_native").select("row_id", "history")
+
+
 # ------------------------------------------------------------------------------------------------ chats
 
 
@@ -278,6 +284,18 @@ def chat_history(spark, sf):
     return _flat(P.build_messages(df, mode="add_history"))
 
 
+@query("chat_history_native")
+def chat_history_native(spark, sf):
+    """The chat of every row with texts of the native pool."""
+    df = sampling.sample_history(validated(spark, sf), pool="native").where(F.col("history").isNotNull())
+    return _flat(P.build_messages(df, mode="add_history_native"))
+
+
+@query("chat_non_native")
+def chat_non_native(spark, sf):
+    return _flat(P.build_messages(validated(spark, sf), mode="add_all_non_native"))
+
+
 @query("chat_gold")
 def chat_gold(spark, sf):
     df = fx.annotations(spark, sf).withColumn("final_prompt_en", F.col("instruction"))
@@ -305,6 +323,13 @@ def infer_stub(spark, sf):
     return inf.run_inference(standard_requests(spark, sf), inf.echo_model)
 
 
+@query("guess_two_stage")
+def guess_two_stage(spark, sf):
+    """C3 chained: the stub's guess goes into the second chat, and both answers are kept."""
+    df = validated(spark, sf).withColumn("model", F.lit(fx.RUN_MODEL)).withColumn("mode", F.lit("guess_native"))
+    return inf.run_guess_two_stage(df, inf.echo_model).select(*RUN_KEYS, "temperature", "side_output", "reply", "error")
+
+
 @query("resume_pending")
 def resume_pending(spark, sf):
     """Rows still to run for five requested modes, given the finished runs."""
@@ -319,33 +344,32 @@ def resume_pending(spark, sf):
 
 
 def judged_rows(spark, sf):
-    """Generation rows of the standard run with the prompt they answered."""
+    """Generation rows of two runs with the prompt they answered."""
     runs = fx.runs(fx.annotations(spark, sf)).where(
-        (F.col("mode") == "standard") & F.col("dataset_id").isin(*fixed.GENERATION_DATASETS))
+        F.col("mode").isin("standard", "add_all_native") & F.col("dataset_id").isin(*fixed.GENERATION_DATASETS))
     return runs.withColumn("final_prompt_en", T.fill_placeholder("instruction", "prompt_en"))
 
 
 @query("judge_prompts")
 def judge_prompts(spark, sf):
-    return P.judge_prompts(judged_rows(spark, sf))
+    return P.judge_prompts(judged_rows(spark, sf), keys=RUN_KEYS)
 
 
 @query("judge_requests_jsonl")
 def judge_requests_jsonl(spark, sf):
-    return io.judge_request_lines(P.judge_prompts(judged_rows(spark, sf)))
+    return io.judge_request_lines(P.judge_prompts(judged_rows(spark, sf), keys=RUN_KEYS), keys=RUN_KEYS)
 
 
 @query("judge_regroup")
 def judge_regroup(spark, sf):
-    prompts = P.judge_messages(P.judge_prompts(judged_rows(spark, sf)))
-    answers = inf.run_inference(prompts, inf.echo_model, keys=("row_id", "k", "criterion"), params=inf.judge_params())
-    return P.regroup_judgements(answers.withColumnRenamed("reply", "answer"))
+    prompts = P.judge_messages(P.judge_prompts(judged_rows(spark, sf), keys=RUN_KEYS))
+    answers = inf.run_inference(prompts, inf.echo_model, keys=(*RUN_KEYS, "k", "criterion"), params=inf.judge_params())
+    return P.regroup_judgements(answers.withColumnRenamed("reply", "answer"), keys=RUN_KEYS)
 
 
 # ------------------------------------------------------------------------------------------------ overlap metrics
 
 
-RUN_KEYS = ("row_id", "model", "mode")
 COMPARED_METRICS = ("accuracy", "bleu", "rouge_1", "rouge_2", "rouge_l")
 
 
@@ -404,8 +428,7 @@ def greedy_match_score(spark, sf):
 
 @query("loglik_score")
 def loglik_score(spark, sf):
-    lp = fx.token_logprobs(fx.conversation_pairs(spark, sf)).where(F.col("ref_idx") == 0)
-    return ms.loglik_f1(lp)
+    return ms.loglik_f1(fx.token_logprobs(fx.conversation_pairs(spark, sf), refs=1))
 
 
 @query("multi_ref_score")
@@ -478,6 +501,6 @@ def embed_texts(spark, sf):
 
 @query("judge_request_manifest")
 def judge_request_manifest(spark, sf):
-    lines = io.judge_request_lines(P.judge_prompts(judged_rows(spark, sf)))
-    return lines.groupBy("shard").agg(F.count(F.lit(1)).alias("n_requests"),
+    lines = io.judge_request_lines(P.judge_prompts(judged_rows(spark, sf), keys=RUN_KEYS), keys=RUN_KEYS)
+    return lines.groupBy("model", "mode", "shard").agg(F.count(F.lit(1)).alias("n_requests"),
                                       F.sum(F.octet_length("line") + F.lit(1)).alias("n_bytes"))

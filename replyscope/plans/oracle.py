@@ -198,18 +198,18 @@ def strip_ws(x: str) -> str:
 def echo(x: str) -> str:
     """SQL twin of the stub model's reply for a last user turn x."""
     y = f"coalesce({x}, '')"
-    return f"(CAST(length({y}) % 5 + 1 AS VARCHAR) || ' echo ' || CAST(length({y}) AS VARCHAR) || ': ' || substr({y}, 1, 40))"
+    return f"(CAST(length({y}) % 5 + 1 AS VARCHAR) || ' echo ' || CAST(length({y}) AS VARCHAR) || ': ' || {y})"
 
 
-def md5_32(key: str) -> str:
-    return f"CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT)"
+def md5_60(key: str) -> str:
+    return f"CAST(('0x' || substr(md5({key}), 1, 15)) AS BIGINT)"
 
 
 def floyd(m: str, n: int, seed, row: str) -> list[str]:
     chosen: list[str] = []
     for i in range(n):
         j = f"({m} - {n} + {i})"
-        t = f"({md5_32(lit(f'{seed}:') + f' || CAST({row} AS VARCHAR) || ' + lit(f':{i}'))} % ({j} + 1))"
+        t = f"({md5_60(lit(f'{seed}:') + f' || CAST({row} AS VARCHAR) || ' + lit(f':{i}'))} % ({j} + 1))"
         c = f"(CASE WHEN {t} IN ({', '.join(chosen)}) THEN {j} ELSE {t} END)" if chosen else t
         chosen.append(c)
     return chosen
@@ -248,7 +248,7 @@ def unpivot(source: str, cohorts, cols: str) -> str:
 
 
 STATS4 = ("native_or_not", "strict_native_or_not", "western_native_or_not", "african_or_not")
-EVENT3 = ("western_native_or_not", "african_or_not", "student_or_not")
+EVENT4 = ("native_or_not", "strict_native_or_not", "western_native_or_not", "african_or_not")
 
 # ------------------------------------------------------------------------------------------------ text queries
 
@@ -258,8 +258,8 @@ SELECT row_id, instruction, prompt_en, {fill('instruction', 'prompt_en')} AS fin
 
 SQL["strip_tags"] = with_views("annotations") + f"SELECT row_id, {strip_tags('instruction')} AS stripped FROM annotations"
 
-_PAIR = """CASE WHEN row_id % 3 = 0 THEN '(''' || substr(prompt_en, 1, 20) || ''', ''' || substr(reply, 1, 30) || ''')'
-  WHEN row_id % 3 = 1 THEN '("' || substr(prompt_en, 1, 20) || '", "' || substr(reply, 1, 30) || '")'
+_PAIR = """CASE WHEN row_id % 3 = 0 THEN '(''' || prompt_en || ''', ''' || reply || ''')'
+  WHEN row_id % 3 = 1 THEN '("' || prompt_en || '", "' || reply || '")'
   ELSE reply END"""
 
 SQL["unwrap_pair"] = with_views("annotations") + f"""
@@ -271,9 +271,9 @@ FROM (SELECT row_id, {_PAIR} AS pair FROM annotations)
 """
 
 SQL["digit_sum"] = with_views("annotations") + f"""
-SELECT row_id, dataset_id, TRY_CAST({digit_sum('reply')} AS BIGINT) AS reply_digit_sum,
-  TRY_CAST({digit_sum('prompt_en')} AS BIGINT) AS prompt_digit_sum,
-  CASE WHEN dataset_id = 3 THEN TRY_CAST({digit_sum('reply')} AS BIGINT) END AS predicted_rating
+SELECT row_id, dataset_id, CAST({digit_sum('reply')} AS VARCHAR) AS reply_digit_sum,
+  CAST({digit_sum('prompt_en')} AS VARCHAR) AS prompt_digit_sum,
+  CASE WHEN dataset_id = 3 THEN CAST({digit_sum('reply')} AS VARCHAR) END AS predicted_rating
 FROM annotations
 """
 
@@ -308,8 +308,10 @@ SQL["annotation_gap"] = f"WITH gaps AS ({_GAPS})\nSELECT event_id, user_id, ts,
 
 _EVENT_LONG = f"""WITH gaps AS ({_GAPS}),
 ecoh AS ({cohort_rules('events')}),
-lab AS (SELECT g.*, {membership('g', 'ecoh')} FROM gaps g),
-long AS ({unpivot('lab', EVENT3, 'event_type AS set_id, user_id, gap_seconds')})
+lab AS (SELECT g.*, CASE WHEN g.user_id % 4 IN (0, 1) THEN 'native' ELSE 'non_native' END AS native_or_not,
+  CASE WHEN g.user_id % 4 = 0 THEN 'strict native' ELSE 'not strict native' END AS strict_native_or_not,
+  {membership('g', 'ecoh')} FROM gaps g),
+long AS ({unpivot('lab', EVENT4, 'event_type AS set_id, user_id, gap_seconds')})
 """
 
 SQL["mean_gap_by_group"] = _EVENT_LONG + """
@@ -345,24 +347,23 @@ FROM grid g LEFT JOIN counts c ON c.cohort_type = g.cohort_type AND c.cohort = g
 
 # ------------------------------------------------------------------------------------------------ history sampling
 
-_BUCKET = f"({md5_32('CAST(row_id AS VARCHAR)')} % 1024)"
+def _bucket(size: str) -> str:
+    return f"({md5_60('CAST(row_id AS VARCHAR)')} % CAST(ceil({size} / 4096.0) AS BIGINT))"
 
 
 def history_sql(source: str, pool: str, n: int = 5, seed=fixed.SEED) -> str:
     """Views ``pool`` and ``hist(row_id, history)`` over ``source`` (a view name)."""
     if pool == "user":
-        pool_sql = f"""SELECT row_id, user_id AS pool, prompt_en,
-   row_number() OVER (PARTITION BY user_id ORDER BY {_BUCKET}, row_id) - 1 AS pos,
-   count(*) OVER (PARTITION BY user_id) AS size
-   FROM {source} WHERE user_id IS NOT NULL"""
+        own = f"(SELECT *, user_id AS pool, count(*) OVER (PARTITION BY user_id) AS size FROM {source} WHERE user_id IS NOT NULL)"
         rows = "SELECT row_id, pool, pos AS own, size - 1 AS m FROM pool"
     else:
-        pool_sql = f"""SELECT row_id, 'native' AS pool, prompt_en,
-   row_number() OVER (ORDER BY {_BUCKET}, row_id) - 1 AS pos, count(*) OVER () AS size
-   FROM {source} WHERE contains(nat_lang, 'en')"""
-        rows = f"""SELECT s.row_id, 'native' AS pool, p.pos AS own,
+        member = ("" if pool == "native" else "NOT ") + "contains(nat_lang, 'en')"
+        own = f"(SELECT *, {lit(pool)} AS pool, count(*) OVER () AS size FROM {source} WHERE {member})"
+        rows = f"""SELECT s.row_id, {lit(pool)} AS pool, p.pos AS own,
    (SELECT count(*) FROM pool) - CASE WHEN p.pos IS NULL THEN 0 ELSE 1 END AS m
    FROM {source} s LEFT JOIN pool p ON p.row_id = s.row_id"""
+    pool_sql = f"""SELECT row_id, pool, prompt_en, row_number() OVER (PARTITION BY pool ORDER BY {_bucket('size')}, row_id) - 1 AS pos, size
+   FROM {own}"""
     draws = floyd("m", n, seed, "row_id")
     qs = [f"({d} + CASE WHEN own IS NOT NULL AND {d} >= own THEN 1 ELSE 0 END)" for d in draws]
     return f""", pool AS ({pool_sql}),
@@ -381,6 +382,10 @@ SQL["history_sample_cohort"] = with_views("annotations") + history_sql("annotati
 SELECT a.row_id, h.history FROM annotations a LEFT JOIN hist h ON h.row_id = a.row_id
 """
 
+SQL["history_sample_non_native"] = with_views("annotations") + history_sql("annotations", "non_native") + """
+SELECT a.row_id, h.history FROM annotations a LEFT JOIN hist h ON h.row_id = a.row_id
+"""
+
 # ------------------------------------------------------------------------------------------------ chats
 
 _FINAL = fill("instruction", "prompt_en")
@@ -413,6 +418,15 @@ SQL["chat_history"] = with_views("annotations") + f", valid AS {_VALID}" + histo
     ("system", lit(fixed.SYSTEM_DEFAULT)), ("user", f"{lit(fixed.HISTORY_INTRO)} || history"),
     ("assistant", lit(fixed.ACK_OK)), ("user", task_def()), ("assistant", lit(fixed.ACK_UNDERSTOOD)), ("user", _FINAL)])
 
+SQL["chat_history_native"] = with_views("annotations") + f", valid AS {_VALID}" + history_sql("valid", "native") + f"""
+, hv AS (SELECT v.*, h.history FROM valid v JOIN hist h ON h.row_id = v.row_id)
+""" + chat_rows("hv", [
+    ("system", lit(fixed.SYSTEM_DEFAULT)), ("user", f"{lit(fixed.HISTORY_INTRO)} || history"),
+    ("assistant", lit(fixed.ACK_OK)), ("user", task_def()), ("assistant", lit(fixed.ACK_UNDERSTOOD)), ("user", _FINAL)])
+
+SQL["chat_non_native"] = with_views("annotations") + chat_rows(_VALID + " v", [
+    ("system", lit(fixed.SYSTEM_NON_NATIVE)), ("user", task_def()), ("assistant", lit(fixed.ACK_UNDERSTOOD)), ("user", _FINAL)])
+
 _WRITER_USER = (f"{lit(fixed.WRITER_TASK)} || {task_def()} || {lit(fixed.WRITER_INSTRUCTION)} || {strip_tags('instruction')}"
                 f" || {lit(fixed.WRITER_DESIRED)} || req_output")
 SQL["chat_gold"] = with_views("annotations") + f"""
@@ -430,6 +444,12 @@ SELECT row_id, 'model_a' AS model, 'standard' AS mode, {echo(_FINAL)} AS reply,
 FROM annotations WHERE validated = 1
 """
 
+SQL["guess_two_stage"] = with_views("annotations") + f"""
+SELECT row_id, 'model_a' AS model, 'guess_native' AS mode, {temperature()} AS temperature, {echo(_GQ)} AS side_output, {echo(_FINAL)} AS reply,
+       CAST(NULL AS VARCHAR) AS error
+FROM annotations WHERE validated = 1
+"""
+
 SQL["resume_pending"] = with_views("annotations", "runs") + """
 , wanted AS (SELECT row_id, 'model_a' AS model,
    unnest(['standard', 'add_all_native', 'add_all_non_native', 'guess_native', 'add_history']) AS mode
@@ -451,28 +471,37 @@ def render(template: str, gen: str = "gen", comp: str = "comp") -> str:
 
 
 _HEAD_ONE = f"{render(fixed.JUDGE_INTRO_ONE)} || {lit(chr(10) * 2)} || gen || {lit(': ' + chr(10))} || reply || {lit(' ' + chr(10) * 2 + ' ')}"
-_HEAD_TWO = (f"{render(fixed.JUDGE_INTRO_TWO)} || {lit(chr(10) * 2)} || gen || {lit(': ' + chr(10))} || reply || "
-             f"{lit(' ' + chr(10) * 2 + ' ')} || comp || {lit(': ' + chr(10) + ' ')} || final || {lit(' ' + chr(10) * 2 + ' ')}")
-_COH = (f"CASE WHEN contains(gen, 'article') THEN {render(fixed.JUDGE_COHERENCE_ARTICLE)} "
-        f"WHEN contains(gen, 'closing') THEN {render(fixed.JUDGE_COHERENCE_STORY)} "
-        f"WHEN contains(gen, 'paraphrased') THEN {render(fixed.JUDGE_COHERENCE_PARAPHRASE)} END")
-_REL = (f"CASE WHEN contains(gen, 'closing') THEN {render(fixed.JUDGE_RELEVANCE_STORY)} "
-        f"WHEN gen <> 'other' THEN {render(fixed.JUDGE_RELEVANCE)} END")
+
+
+def _head_two(kind: str, criterion: str) -> str:
+    before, after = {"article": {"coherence": ("", ""), "relevance": (" ", " ")}, "closing": {"coherence": (" ", " "), "relevance": (" ", "")},
+                     "paraphrased": {"coherence": (" ", ""), "relevance": (" ", "")}}[kind][criterion]
+    return (f"{render(fixed.JUDGE_INTRO_TWO)} || {lit(chr(10) * 2 + before)} || gen || {lit(': ' + chr(10) + after)} || reply || "
+            f"{lit(' ' + chr(10) * 2 + ' ')} || comp || {lit(': ' + chr(10) + ' ')} || final || {lit(' ' + chr(10) * 2 + ' ')}")
+
+
+_COH = (f"CASE WHEN contains(gen, 'article') THEN {_head_two('article', 'coherence')} || {render(fixed.JUDGE_COHERENCE_ARTICLE)} "
+        f"WHEN contains(gen, 'closing') THEN {_head_two('closing', 'coherence')} || {render(fixed.JUDGE_COHERENCE_STORY)} "
+        f"WHEN contains(gen, 'paraphrased') THEN {_head_two('paraphrased', 'coherence')} || {render(fixed.JUDGE_COHERENCE_PARAPHRASE)} END")
+_REL = (f"CASE WHEN contains(gen, 'article') THEN {_head_two('article', 'relevance')} || {render(fixed.JUDGE_RELEVANCE)} "
+        f"WHEN contains(gen, 'closing') THEN {_head_two('closing', 'relevance')} || {render(fixed.JUDGE_RELEVANCE_STORY)} "
+        f"WHEN contains(gen, 'paraphrased') THEN {_head_two('paraphrased', 'relevance')} || {render(fixed.JUDGE_RELEVANCE)} END")
 
 _JUDGED = f"""
-, judged AS (SELECT row_id, reply, {fill('instruction', 'prompt_en')} AS final, {_GEN} AS gen, {_COMP} AS comp
-             FROM runs WHERE mode = 'standard' AND dataset_id IN (1, 6, 7, 8)),
-jp AS (SELECT row_id, 0 AS k, 'fluency' AS criterion,
+, judged AS (SELECT row_id, model, mode, reply, {fill('instruction', 'prompt_en')} AS final, {_GEN} AS gen, {_COMP} AS comp
+             FROM runs WHERE mode IN ('standard', 'add_all_native') AND dataset_id IN (1, 6, 7, 8)),
+jp AS (SELECT row_id, model, mode, 0 AS k, 'fluency' AS criterion,
               CASE WHEN gen <> 'other' THEN {_HEAD_ONE} || {render(fixed.JUDGE_FLUENCY)} END AS prompt FROM judged
-       UNION ALL SELECT row_id, 1, 'coherence', CASE WHEN gen <> 'other' THEN {_HEAD_TWO} || ({_COH}) END FROM judged
-       UNION ALL SELECT row_id, 2, 'relevance', CASE WHEN gen <> 'other' THEN {_HEAD_TWO} || ({_REL}) END FROM judged)
+       UNION ALL SELECT row_id, model, mode, 1, 'coherence', {_COH} FROM judged
+       UNION ALL SELECT row_id, model, mode, 2, 'relevance', {_REL} FROM judged)
 """
 
-SQL["judge_prompts"] = with_views("annotations", "runs") + _JUDGED + "SELECT row_id, k, criterion, prompt FROM jp"
+SQL["judge_prompts"] = with_views("annotations", "runs") + _JUDGED + "SELECT row_id, model, mode, k, criterion, prompt FROM jp"
 
+_REQUEST_ID = "'request-' || CAST(row_id AS VARCHAR) || '-' || CAST(k AS VARCHAR) || '-' || model || '-' || mode"
 SQL["judge_requests_jsonl"] = with_views("annotations", "runs") + _JUDGED + f"""
-SELECT row_id - (row_id % 20) AS shard, 'request-' || CAST(row_id AS VARCHAR) || '-' || CAST(k AS VARCHAR) AS custom_id,
-  CAST(json_object('custom_id', 'request-' || CAST(row_id AS VARCHAR) || '-' || CAST(k AS VARCHAR),
+SELECT model, mode, row_id - (row_id % 20) AS shard, {_REQUEST_ID} AS custom_id,
+  CAST(json_object('custom_id', {_REQUEST_ID},
               'method', 'POST', 'url', {lit(fixed.JUDGE_REQUEST_URL)},
               'body', json_object('model', {lit(fixed.JUDGE_REQUEST_MODEL)},
                                   'messages', json_array(json_object('role', 'system', 'content', {lit(fixed.JUDGE_SYSTEM_REQUESTS)}),
@@ -482,11 +511,11 @@ FROM jp WHERE prompt IS NOT NULL
 """
 
 SQL["judge_regroup"] = with_views("annotations", "runs") + _JUDGED + f"""
-, ans AS (SELECT row_id, criterion, {strip_ws(echo('prompt'))} AS answer FROM jp)
-SELECT row_id, max(CASE WHEN criterion = 'fluency' THEN answer END) AS fluency,
+, ans AS (SELECT row_id, model, mode, criterion, CASE WHEN prompt IS NOT NULL THEN {strip_ws(echo('prompt'))} END AS answer FROM jp)
+SELECT row_id, model, mode, max(CASE WHEN criterion = 'fluency' THEN answer END) AS fluency,
        max(CASE WHEN criterion = 'coherence' THEN answer END) AS coherence,
        max(CASE WHEN criterion = 'relevance' THEN answer END) AS relevance
-FROM ans GROUP BY row_id
+FROM ans GROUP BY row_id, model, mode
 """
 
 
@@ -497,21 +526,28 @@ def rtok(x: str) -> str:
     return f"list_filter(regexp_split_to_array(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
 
 
-def overlap_sql(name: str, src: str, keys: str, hyp: str, ref: str, kind: str, orders) -> str:
-    """CTE ``name`` (keys..., o_<n>...) of clipped n-gram overlaps; ``src`` rows must be the applicable ones."""
-    def grams(x):
-        if kind == "char":
-            return f"list_transform(range(1, length({x}) - n + 2), lambda i: substr({x}, i, n))"
-        t = rtok(x)
-        return f"list_transform(range(1, len({t}) - n + 2), lambda i: array_to_string(list_slice({t}, i, i + n - 1), ' '))"
-    ns = f"(SELECT unnest([{', '.join(str(n) for n in orders)}]) AS n) ns"
+def tokens_sql(name: str, src: str, keys: str, hyp: str, ref: str) -> str:
+    """CTE ``name`` (keys..., hc, rc, ht, rt): characters and words of both texts, split once per row."""
+    chars = "CASE WHEN length({0}) = 0 THEN [] ELSE string_split({0}, '') END"
+    return f""", {name} AS MATERIALIZED (SELECT {keys}, {chars.format(hyp)} AS hc, {chars.format(ref)} AS rc, {rtok(hyp)} AS ht, {rtok(ref)} AS rt FROM {src})
+"""
+
+
+def overlap_sql(name: str, tokens: str, keys: str, kind: str, orders) -> str:
+    """CTE ``name`` (keys..., o_<n>...) of clipped n-gram overlaps from ``tokens_sql`` rows: one row per token, joined with
+    those behind it."""
+    sep, col = ("", "c") if kind == "char" else (" ", "t")
+    window = f"OVER (PARTITION BY {keys} ORDER BY i)"
     ks = " AND ".join(f"h.{k.strip()} = r.{k.strip()}" for k in keys.split(","))
     pivots = ", ".join(f"coalesce(sum(CASE WHEN n = {n} THEN o END), 0) AS o_{n}" for n in orders)
-    return f""", {name}_h AS (SELECT {keys}, n, g, count(*) AS c FROM (SELECT {keys}, n, unnest({grams(hyp)}) AS g FROM {src}, {ns})
-                GROUP BY ALL),
-{name}_r AS (SELECT {keys}, n, g, count(*) AS c FROM (SELECT {keys}, n, unnest({grams(ref)}) AS g FROM {src}, {ns})
-                GROUP BY ALL),
-{name}_o AS (SELECT {', '.join('h.' + k.strip() for k in keys.split(','))}, h.n, sum(least(h.c, r.c)) AS o
+    out = ""
+    for side in ("h", "r"):
+        grams = ", ".join(" || ".join(["x"] + [f"{lit(sep)} || lead(x, {k}) {window}" for k in range(1, n)]) + f" AS g{n}" for n in orders)
+        each = " UNION ALL ".join(f"SELECT {keys}, {n} AS n, g{n} AS g, count(*) AS c FROM {name}_{side}w WHERE g{n} IS NOT NULL GROUP BY ALL" for n in orders)
+        out += f""", {name}_{side}w AS MATERIALIZED (SELECT {keys}, {grams} FROM (SELECT {keys}, unnest({side}{col}) AS x, generate_subscripts({side}{col}, 1) AS i FROM {tokens})),
+{name}_{side} AS ({each})
+"""
+    return out + f""", {name}_o AS (SELECT {', '.join('h.' + k.strip() for k in keys.split(','))}, h.n, sum(least(h.c, r.c)) AS o
              FROM {name}_h h JOIN {name}_r r ON {ks} AND h.n = r.n AND h.g = r.g GROUP BY ALL),
 {name} AS (SELECT {keys}, {pivots} FROM {name}_o GROUP BY ALL)
 """
@@ -530,8 +566,8 @@ def f1(p: str, r: str) -> str:
     return f"(CASE WHEN ({p}) + ({r}) > 0 THEN 2 * ({p}) * ({r}) / (({p}) + ({r})) ELSE 0.0 END)"
 
 
-def rouge_n_expr(o: str, hyp: str, ref: str, n: int) -> str:
-    ht, rt = f"greatest(len({rtok(hyp)}) - {n - 1}, 0)", f"greatest(len({rtok(ref)}) - {n - 1}, 0)"
+def rouge_n_expr(o: str, t: str, n: int) -> str:
+    ht, rt = f"greatest(len({t}.ht) - {n - 1}, 0)", f"greatest(len({t}.rt) - {n - 1}, 0)"
     p = f"coalesce({o}.o_{n}, 0) / greatest({ht}, 1)::DOUBLE"
     r = f"coalesce({o}.o_{n}, 0) / greatest({rt}, 1)::DOUBLE"
     return f1(p, r)
@@ -543,28 +579,34 @@ def lcs_expr(h: str, r: str) -> str:
             f"list_transform(range(len({r}) + 1), lambda x: 0))[-1]")
 
 
-def rouge_l_expr(hyp: str, ref: str) -> str:
-    h, r = rtok(hyp), rtok(ref)
-    lcs = lcs_expr(h, r)
-    return f"(CASE WHEN len({h}) = 0 OR len({r}) = 0 THEN 0.0 ELSE {f1(f'({lcs}) / len({h})::DOUBLE', f'({lcs}) / len({r})::DOUBLE')} END)"
+def rouge_l_expr(t: str) -> str:
+    """From the longest common subsequence ``lcs`` of ``lcs_sql``."""
+    return f"(CASE WHEN len({t}.ht) = 0 OR len({t}.rt) = 0 THEN 0.0 ELSE {f1(f'{t}.lcs / len({t}.ht)::DOUBLE', f'{t}.lcs / len({t}.rt)::DOUBLE')} END)"
+
+
+def lcs_sql(name: str, tokens: str) -> str:
+    """CTE ``name``: the ``tokens_sql`` rows with the length of their longest common subsequence of words."""
+    return f", {name} AS MATERIALIZED (SELECT *, CASE WHEN len(ht) > 0 AND len(rt) > 0 THEN {lcs_expr('ht', 'rt')} ELSE 0 END AS lcs FROM {tokens})\n"
 
 
 _APPL = "(reply IS NOT NULL AND req_output IS NOT NULL AND dataset_id IN (1, 6, 7, 8))"
 _APPL_SRC = f"(SELECT * FROM annotations WHERE {_APPL}) s"
 
-SQL["char_bleu"] = with_views("annotations") + overlap_sql("oc", _APPL_SRC, "row_id", "reply", "req_output", "char", (1, 2, 3, 4)) + f"""
+_TOK = with_views("annotations") + tokens_sql("tok", _APPL_SRC, "row_id", "reply", "req_output")
+SQL["char_bleu"] = _TOK + overlap_sql("oc", "tok", "row_id", "char", (1, 2, 3, 4)) + f"""
 SELECT a.row_id, a.dataset_id, CASE WHEN {_APPL} THEN {bleu_expr('oc', 'reply', 'req_output')} END AS bleu
 FROM annotations a LEFT JOIN oc ON oc.row_id = a.row_id
 """
 
 for _n in (1, 2):
-    SQL[f"rouge{_n}"] = with_views("annotations") + overlap_sql("ow", _APPL_SRC, "row_id", "reply", "req_output", "word", (1, 2)) + f"""
-SELECT a.row_id, a.dataset_id, CASE WHEN {_APPL} THEN {rouge_n_expr('ow', 'reply', 'req_output', _n)} END AS rouge_{_n}
-FROM annotations a LEFT JOIN ow ON ow.row_id = a.row_id
+    SQL[f"rouge{_n}"] = _TOK + overlap_sql("ow", "tok", "row_id", "word", (1, 2)) + f"""
+SELECT a.row_id, a.dataset_id, CASE WHEN {_APPL} THEN {rouge_n_expr('ow', 'tok', _n)} END AS rouge_{_n}
+FROM annotations a LEFT JOIN ow ON ow.row_id = a.row_id LEFT JOIN tok ON tok.row_id = a.row_id
 """
 
-SQL["rouge_l"] = with_views("annotations") + f"""
-SELECT row_id, dataset_id, CASE WHEN {_APPL} THEN {rouge_l_expr('reply', 'req_output')} END AS rouge_l FROM annotations
+SQL["rouge_l"] = _TOK + lcs_sql("lcs", "tok") + f"""
+SELECT a.row_id, a.dataset_id, CASE WHEN {_APPL} THEN {rouge_l_expr('lcs')} END AS rouge_l
+FROM annotations a LEFT JOIN lcs ON lcs.row_id = a.row_id
 """
 
 SQL["gold_join"] = with_views("annotations", "gold") + """
@@ -578,17 +620,19 @@ _SCORED_RUNS = with_views("annotations", "gold", "runs") + f"""
      CASE WHEN contains(r.nat_lang, 'en') THEN 'native' ELSE 'non_native' END AS native_or_not,
      {accuracy()} AS accuracy
    FROM runs r JOIN gold g ON g.nat_instr_id = r.nat_instr_id)
-""" + overlap_sql("oc", _RUN_SRC, "row_id, model, mode", "reply", "generated_req_output", "char", (1, 2, 3, 4)) \
-    + overlap_sql("ow", _RUN_SRC, "row_id, model, mode", "reply", "generated_req_output", "word", (1, 2)) + f"""
+""" + tokens_sql("tok", _RUN_SRC, "row_id, model, mode", "reply", "generated_req_output") + lcs_sql("lcs", "tok") \
+    + overlap_sql("oc", "tok", "row_id, model, mode", "char", (1, 2, 3, 4)) \
+    + overlap_sql("ow", "tok", "row_id, model, mode", "word", (1, 2)) + f"""
 , scored AS (
   SELECT l.*, coalesce({guess_label('l.side_output')} = l.native_or_not, false) AS correct,
     CASE WHEN {_RUN_APPL} THEN {bleu_expr('oc', 'reply', 'generated_req_output')} END AS bleu,
-    CASE WHEN {_RUN_APPL} THEN {rouge_n_expr('ow', 'reply', 'generated_req_output', 1)} END AS rouge_1,
-    CASE WHEN {_RUN_APPL} THEN {rouge_n_expr('ow', 'reply', 'generated_req_output', 2)} END AS rouge_2,
-    CASE WHEN {_RUN_APPL} THEN {rouge_l_expr('reply', 'generated_req_output')} END AS rouge_l
+    CASE WHEN {_RUN_APPL} THEN {rouge_n_expr('ow', 'lcs', 1)} END AS rouge_1,
+    CASE WHEN {_RUN_APPL} THEN {rouge_n_expr('ow', 'lcs', 2)} END AS rouge_2,
+    CASE WHEN {_RUN_APPL} THEN {rouge_l_expr('lcs')} END AS rouge_l
   FROM lab l
   LEFT JOIN oc ON oc.row_id = l.row_id AND oc.model = l.model AND oc.mode = l.mode
-  LEFT JOIN ow ON ow.row_id = l.row_id AND ow.model = l.model AND ow.mode = l.mode)
+  LEFT JOIN ow ON ow.row_id = l.row_id AND ow.model = l.model AND ow.mode = l.mode
+  LEFT JOIN lcs ON lcs.row_id = l.row_id AND lcs.model = l.model AND lcs.mode = l.mode)
 """
 
 _METRICS5 = ("accuracy", "bleu", "rouge_1", "rouge_2", "rouge_l")
@@ -628,7 +672,7 @@ def hash_unit(*parts: str) -> str:
     return f"(CAST(('0x' || substr(md5({key}), 1, 4)) AS INT) / 65535.0 - 0.5)"
 
 
-_PAIRS = """pairs AS (SELECT a.conv_id * 1000 + a.turn AS row_id, a.text AS reply, u.text AS gold
+_PAIRS = """pairs AS (SELECT CAST(a.conv_id AS VARCHAR) || ':' || CAST(a.turn AS VARCHAR) AS row_id, a.text AS reply, u.text AS gold
   FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user'
   WHERE a.role = 'assistant'),
 side_text AS (SELECT row_id, 'reply' AS side, reply AS t FROM pairs UNION ALL SELECT row_id, 'gold', gold FROM pairs),
@@ -722,5 +766,5 @@ SELECT doc_id, CAST(unnest(range(3)) AS INT) AS dim,
 FROM documents
 """
 
-SQL["judge_request_manifest"] = "SELECT shard, count(*) AS n_requests, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes FROM (" + \
-    SQL["judge_requests_jsonl"] + ") GROUP BY shard"
+SQL["judge_request_manifest"] = "SELECT model, mode, shard, count(*) AS n_requests, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes FROM (" + \
+    SQL["judge_requests_jsonl"] + ") GROUP BY model, mode, shard"

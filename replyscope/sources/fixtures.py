@@ -31,21 +31,22 @@ SELECT x.doc_id AS row_id,
   CASE x.k % 3 WHEN 0 THEN 'Answer: <markprompt>[Your Prompt]</markprompt>.'
        WHEN 1 THEN 'Complete <markprompt>[Your Prompt]</markprompt>? Thanks'
        ELSE 'Text <markprompt>[Your Prompt]</markprompt> end' END AS instruction,
-  substr(x.text, 1, 120) AS prompt_en,
+  x.text AS prompt_en,
   CASE WHEN x.doc_id % 10 = 3 THEN CAST(1 + x.k % 5 AS STRING)
        WHEN x.doc_id % 10 IN (0, 2) THEN 'Option ' || CAST(1 + x.k % 2 AS STRING)
        WHEN x.doc_id % 10 IN (4, 5) THEN CASE WHEN x.k % 2 = 0 THEN 'Yes.' ELSE 'No.' END
        WHEN x.doc_id % 10 = 9 THEN substr('ABC', CAST(1 + x.k % 3 AS INT), 1)
-       ELSE substr(b.text, 1, 200) END AS req_output,
+       ELSE b.text END AS req_output,
   CASE WHEN x.doc_id % 10 = 3 THEN 'I rate it ' || CAST(1 + x.k % 4 AS STRING)
             || CASE WHEN x.k % 6 = 0 THEN ' of 5' ELSE '' END
        WHEN x.doc_id % 10 IN (0, 2) THEN CASE WHEN x.k % 4 = 0 THEN 'neither' ELSE 'option ' || CAST(1 + x.k % 3 AS STRING) END
        WHEN x.doc_id % 10 IN (4, 5) THEN CASE x.k % 4 WHEN 0 THEN 'YES' WHEN 1 THEN 'I know' WHEN 2 THEN 'yes and no' ELSE 'maybe' END
        WHEN x.doc_id % 10 = 9 THEN CASE x.k % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B. not A' WHEN 2 THEN 'A or C' ELSE 'C: yes' END
-       ELSE substr(x.text, 1, 200) END AS reply
-FROM (SELECT doc_id, text, lang, CAST((doc_id - doc_id % 10) / 10 AS BIGINT) AS k FROM documents) x
+       ELSE x.text END AS reply
+FROM (SELECT doc_id, text, lang, CAST((doc_id - doc_id % 10) / 10 AS BIGINT) AS k,
+        doc_id % (SELECT max(item_id) + 1 FROM benchmark) AS item FROM documents) x
 LEFT JOIN labels l ON l.doc_id = x.doc_id
-LEFT JOIN benchmark b ON b.item_id = x.doc_id % 40
+LEFT JOIN benchmark b ON b.item_id = x.item
 """
 
 # Invented surrogate data: run modes and their reply variants, guess texts, membership cohorts.
@@ -58,6 +59,12 @@ GUESS_TEXTS = ("a native one", "a non-native writer", "non-native, not a native"
 COHORT_RULES = {"western": (5, 0), "african": (7, 3), "student": (3, 1)}
 
 
+def event_language() -> Column:
+    """Invented language of an event's writer."""
+    u = F.col("user_id")
+    return F.when(u % 4 == 0, F.lit("{en}")).when(u % 4 == 1, F.lit("{en,nl}")).otherwise(F.lit("{nl}"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -113,12 +120,12 @@ TOKEN_DIM = 8
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reply/gold pairs from chat logs: each assistant turn is a reply, the user turn before it its gold text.
-    ``row_id = conv_id * 1000 + turn``."""
+    ``row_id`` is the text ``conv_id:turn``."""
     conv = table(spark, sf_dir, "conversations")
     a = conv.where(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("reply"))
     u = conv.where(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("gold"))
     return a.join(u, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "reply", "gold")
+        F.concat_ws(":", "conv_id", "turn").alias("row_id"), "reply", "gold")
 
 
 def _hash_unit(*parts) -> Column:
@@ -146,9 +153,9 @@ def token_vectors(pairs: DataFrame, dim: int = TOKEN_DIM) -> DataFrame:
     return toks.withColumn("vec", vec)
 
 
-def token_logprobs(pairs: DataFrame) -> DataFrame:
+def token_logprobs(pairs: DataFrame, refs: int = 2) -> DataFrame:
     """Stand-in for a scorer's target-token log-probabilities: (row_id, direction, ref_idx, pos, logprob, is_pad)
-    for directions faithful/precision (target = reply) and recall (target = gold), two references each."""
+    for directions faithful/precision (target = reply) and recall (target = gold), ``refs`` references each."""
     toks = _side_tokens(pairs)
     dirs = F.explode(F.array(
         F.struct(F.lit("faithful").alias("d"), F.lit("reply").alias("side")),
@@ -156,7 +163,7 @@ def token_logprobs(pairs: DataFrame) -> DataFrame:
         F.struct(F.lit("recall").alias("d"), F.lit("gold").alias("side")),
     ))
     spec = pairs.select("row_id", dirs.alias("x")).select("row_id", F.col("x.d").alias("direction"), F.col("x.side").alias("side"))
-    spec = spec.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("ref_idx"))
+    spec = spec.select("*", F.explode(F.array(*map(F.lit, range(refs)))).alias("ref_idx"))
     j = spec.join(toks, ["row_id", "side"])
     h = _hash_unit(F.col("direction"), F.col("ref_idx"), F.col("row_id"), F.col("pos"), F.col("token"))
     pad = _hash_unit(F.lit("pad"), F.col("row_id"), F.col("direction"), F.col("ref_idx"), F.col("pos"))

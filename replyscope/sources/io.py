@@ -57,8 +57,8 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:
-    """A small report (tens of rows) as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A small report (tens of rows) as one CSV file with a header; only the finished rows move to one task."""
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def shard_of(row: Column, rows_per_shard: int = fixed.JUDGE_ROWS_PER_SHARD) -> Column:
@@ -67,43 +67,52 @@ def shard_of(row: Column, rows_per_shard: int = fixed.JUDGE_ROWS_PER_SHARD) -> C
 
 
 def judge_request_lines(prompts: DataFrame, model: str = fixed.JUDGE_REQUEST_MODEL,
-                        rows_per_shard: int = fixed.JUDGE_ROWS_PER_SHARD) -> DataFrame:
+                        rows_per_shard: int = fixed.JUDGE_ROWS_PER_SHARD, keys: Sequence[str] = ("row_id",)) -> DataFrame:
     """S8 + T13: one JSON request line per judge prompt: ``{custom_id, method, url, body: {model, messages,
-    max_tokens}}`` with ``custom_id = request-{row}-{k}``; ``shard`` groups rows by blocks of 20 ids."""
+    max_tokens}}``. ``custom_id`` is ``request-{row}-{k}``, followed by the other ``keys`` (the run), so ids of several runs stay
+    apart; ``shard`` groups the rows of a run by blocks of ``rows_per_shard`` ids."""
     messages = F.array(
         F.struct(F.lit("system").alias("role"), F.lit(fixed.JUDGE_SYSTEM_REQUESTS).alias("content")),
         F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")),
     )
     body = F.struct(F.lit(model).alias("model"), messages.alias("messages"),
                     F.lit(fixed.JUDGE_REQUEST_MAX_TOKENS).alias("max_tokens"))
+    run = [k for k in keys if k != "row_id"]
+    custom_id = F.concat_ws("-", text.request_id(F.col("row_id"), F.col("k")), *run)
     req = F.struct(
-        text.request_id(F.col("row_id"), F.col("k")).alias("custom_id"),
+        custom_id.alias("custom_id"),
         F.lit("POST").alias("method"),
         F.lit(fixed.JUDGE_REQUEST_URL).alias("url"),
         body.alias("body"),
     )
     return prompts.where(F.col("prompt").isNotNull()).select(
+        *run,
         shard_of(F.col("row_id"), rows_per_shard).alias("shard"),
-        text.request_id(F.col("row_id"), F.col("k")).alias("custom_id"),
+        custom_id.alias("custom_id"),
         F.to_json(req).alias("line"),
     )
 
 
 def write_request_shards(lines: DataFrame, path: str) -> DataFrame:
-    """Write the request lines as text files, one folder per shard (``shard=<first row id>``), and return the
-    S9 manifest ``(shard, n_requests, n_bytes)`` (appended as Parquet under ``path/_manifest``)."""
-    lines.repartition("shard").sortWithinPartitions("custom_id").select("shard", "line").write.mode(
-        "overwrite").partitionBy("shard").text(path)
-    # The manifest is counted from the files just written, not by recomputing the request lines.
-    written = lines.sparkSession.read.text(path)
-    manifest = written.groupBy("shard").agg(
+    """S8 + S9: append request lines to ``path/requests`` (Parquet, ``shard`` a column, rows of a shard together and in
+    order) and their manifest ``(*run, shard, n_requests, n_bytes)`` to ``path/manifest``; returns the manifest of these lines.
+    Earlier writes stay."""
+    base = path.rstrip("/")
+    run = [c for c in lines.columns if c not in ("shard", "custom_id", "line")]
+    lines.repartition(*run, "shard").sortWithinPartitions(*run, "shard", "custom_id").write.mode("append").parquet(f"{base}/requests")
+    manifest = lines.groupBy(*run, "shard").agg(
         F.count(F.lit(1)).alias("n_requests"),
-        F.sum(F.octet_length("value") + F.lit(1)).alias("n_bytes"),
+        F.sum(F.octet_length("line") + F.lit(1)).alias("n_bytes"),
     )
-    manifest.write.mode("append").parquet(f"{path.rstrip('/')}/_manifest")
+    manifest.write.mode("append").parquet(f"{base}/manifest")
     return manifest
 
 
+def read_request_shard(spark: SparkSession, path: str, shard: int) -> DataFrame:
+    """The request lines of one shard, one JSON text per row; the filter reaches the files."""
+    return spark.read.parquet(f"{path.rstrip('/')}/requests").where(F.col("shard") == shard)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once as Parquet under the cluster's shared ``spark.checkpoint.dir`` and read it
     back, so later reports over the same table (e.g. scores used by several comparisons) do not recompute it, and a

@@ -3,8 +3,8 @@
 The model function is the caller's: ``fn(chats, params) -> list[str]`` receives a list of chats (each a list of
 ``{"role", "content"}`` dicts) and a list of parameter dicts, and returns one reply per chat. It runs inside
 ``mapInPandas`` on the executors, in batches of ``batch_size`` chats; nothing is collected to the driver. A failing
-batch is retried with back-off; rows that still fail come back with a NULL reply and the error text, and stay
-pending for the next run. Results are keyed by (row_id, model, mode), so a rerun recomputes only missing keys
+batch is retried with back-off and then chat by chat; rows that still fail come back with a NULL reply and the error text,
+and stay pending for the next run. Results are keyed by (row_id, model, mode), so a rerun recomputes only missing keys
 (``pending``) and appends; a lost task is simply recomputed by Spark.
 """
 
@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,44 +56,60 @@ def judge_params():
     )
 
 
-# Objects built by a caller's factory, one per Python worker process (workers are reused across tasks), so a
-# model is loaded once per worker instead of being pickled into every task.
-_WORKER_OBJECTS: dict = {}
-
-
-def per_worker(factory: Callable[[], object], name: str | None = None):
-    """The result of ``factory()``, built at most once in each Python worker process."""
-    key = name or f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}"
-    if key not in _WORKER_OBJECTS:
-        _WORKER_OBJECTS[key] = factory()
-    return _WORKER_OBJECTS[key]
-
-
-def _call_batches(fn: ModelFn | None, keys: Sequence[str], batch_size: int, retries: int, backoff: float,
-                  fn_factory: Callable[[], ModelFn] | None = None):
+# Objects built by a caller's factory, by the name of the call that ships it: a model is loaded once per Python worker and
+# call instead of being pickled into every task. Only the latest few stay.
+_WORKER_OBJECTS: OrderedDict = OrderedDict()
+WORKER_OBJECTS_KEPT = 4
+
+
+def per_worker(factory: Callable[[], object], name: str):
+    """The result of ``factory()``, built at most once for ``name`` in each Python worker process. ``name`` is made on the driver for
+    each call, so two factories never share an object."""
+    if name not in _WORKER_OBJECTS:
+        _WORKER_OBJECTS[name] = factory()
+        while len(_WORKER_OBJECTS) > WORKER_OBJECTS_KEPT:
+            _WORKER_OBJECTS.popitem(last=False)
+    _WORKER_OBJECTS.move_to_end(name)
+    return _WORKER_OBJECTS[name]
+
+
+def _answers(model: ModelFn, chats: list, params: list, retries: int, backoff: float) -> list[tuple]:
+    """(answer, error) of each chat. A batch that still fails after its retries is sent again chat by chat, so that one bad chat
+    costs no other its answer."""
+    error = None
+    for attempt in range(retries + 1):
+        try:
+            replies = list(model(chats, params))
+            if len(replies) != len(chats):
+                raise ValueError(f"model function returned {len(replies)} replies for {len(chats)} chats")
+            return [(r, None) for r in replies]
+        except Exception as e:  # noqa: BLE001 - any model failure becomes a pending row
+            error = f"{type(e).__name__}: {e}"
+            if attempt < retries:
+                time.sleep(backoff * (2 ** attempt))
+    if len(chats) == 1:
+        return [(None, error)]
+    return [a for c, p in zip(chats, params) for a in _answers(model, [c], [p], 0, backoff)]
+
+
+def _call_batches(fn: ModelFn | None, kept: Sequence[str], batch_size: int, retries: int, backoff: float,
+                  fn_factory: Callable[[], ModelFn] | None, name: str):
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = fn if fn is not None else per_worker(fn_factory)
+        model = fn if fn is not None else per_worker(fn_factory, name)
         for pdf in it:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size]
-                chats = [json.loads(m) if m is not None else [] for m in part["__messages"]]
-                params = [json.loads(p) if p is not None else {} for p in part["__params"]]
-                replies, error = None, None
-                for attempt in range(retries + 1):
-                    try:
-                        replies = list(model(chats, params))
-                        if len(replies) != len(chats):
-                            raise ValueError(f"model function returned {len(replies)} replies for {len(chats)} chats")
-                        error = None
-                        break
-                    except Exception as e:  # noqa: BLE001 - any model failure becomes a pending row
-                        error = f"{type(e).__name__}: {e}"
-                        replies = None
-                        if attempt < retries:
-                            time.sleep(backoff * (2 ** attempt))
-                out = part[list(keys)].copy()
-                out["reply"] = [None if r is None else str(r) for r in replies] if replies is not None else None
-                out["error"] = error
+                sent = [i for i, m in enumerate(part["__messages"]) if m is not None]
+                chats = [json.loads(part["__messages"].iloc[i]) for i in sent]
+                params = [json.loads(part["__params"].iloc[i] or "{}") for i in sent]
+                got: list[tuple] = [(None, None)] * len(part)
+                for i, answer in zip(sent, _answers(model, chats, params, retries, backoff) if sent else []):
+                    got[i] = answer
+                full = [r if isinstance(r, dict) else {"reply": r} for r, _ in got]
+                out = part[list(kept)].copy()
+                out["reply"] = [None if r.get("reply") is None else str(r["reply"]) for r in full]
+                out["logprobs"] = [None if r.get("logprobs") is None else json.dumps(r["logprobs"]) for r in full]
+                out["error"] = [e for _, e in got]
                 yield out
 
     return run
@@ -98,12 +117,14 @@ def _call_batches(fn: ModelFn | None, keys: Sequence[str], batch_size: int, retr
 
 def run_inference(df: DataFrame, fn: ModelFn | None = None, keys: Sequence[str] = KEYS, messages: str = "messages",
                   params=None, batch_size: int = fixed.JUDGE_BATCH_SIZE, retries: int = 1, backoff_seconds: float = 5.0,
-                  partitions: int | None = None, fn_factory: Callable[[], ModelFn] | None = None) -> DataFrame:
-    """One reply per input row: ``(*keys, reply, error)``.
+                  partitions: int | None = None, fn_factory: Callable[[], ModelFn] | None = None,
+                  logprobs: bool = False) -> DataFrame:
+    """One reply per input row: ``(*keys, reply, error)``, with ``logprobs=True`` also ``logprobs`` (T14: JSON text).
 
     Pass either ``fn`` (a light function, pickled with the task) or ``fn_factory`` (called once per Python worker,
-    e.g. to load a model). ``partitions`` caps the number of concurrent calls (a rate limit): the input is
-    repartitioned to that many tasks by key hash."""
+    e.g. to load a model). An answer is a text or a dict with ``reply`` and ``logprobs``. Rows whose messages are NULL are
+    not sent and get a NULL reply without an error. ``partitions`` caps the number of concurrent calls (a rate limit): the
+    input is repartitioned to that many tasks by key hash."""
     if (fn is None) == (fn_factory is None):
         raise ValueError("pass exactly one of fn and fn_factory")
     p = params if params is not None else decoding_params()
@@ -113,9 +134,29 @@ def run_inference(df: DataFrame, fn: ModelFn | None = None, keys: Sequence[str]
         src = src.repartition(partitions, *keys)
     schema = T.StructType(
         [df.schema[k] for k in keys]
-        + [T.StructField("reply", T.StringType(), True), T.StructField("error", T.StringType(), True)]
+        + [T.StructField(c, T.StringType(), True) for c in ("reply", "logprobs", "error")]
+    )
+    run = _call_batches(fn, list(keys), batch_size, retries, backoff_seconds, fn_factory, uuid.uuid4().hex)
+    out = src.mapInPandas(run, schema)
+    return out if logprobs else out.drop("logprobs")
+
+
+def run_guess_two_stage(df: DataFrame, fn: ModelFn | None = None, keys: Sequence[str] = KEYS, **kwargs) -> DataFrame:
+    """C3 + C9 chained: asks the guess, puts its answer into the second chat and runs that. Rows of the ``runs`` schema:
+    ``(*keys, messages, temperature, reply, side_output, error)``, ``side_output`` the guess. A row whose guess failed keeps its
+    error and is not asked again."""
+    from replyscope.operators import prompts
+
+    asked = df.withColumn("messages", prompts.guess_question_chat(prompts.system_prompt("guess_native"), F.col("prompt_en")))
+    guess = run_inference(asked.withColumn("temperature", F.lit(0.0)), fn, keys, **kwargs)
+    guess = guess.withColumnsRenamed({"reply": "guess", "error": "guess_error"})
+    second = prompts.build_messages(df.join(guess, list(keys)), mode="guess_native")
+    second = second.withColumn("messages", F.when(F.col("guess").isNotNull(), F.col("messages")))
+    carried = second.withColumn("__id", F.struct(*keys, "messages", "temperature", "guess", "guess_error"))
+    out = run_inference(carried, fn, ("__id",), **kwargs)
+    return out.select("__id.*", "reply", "error").select(
+        *keys, "messages", "temperature", "reply", F.col("guess").alias("side_output"), F.coalesce("error", "guess_error").alias("error")
     )
-    return src.mapInPandas(_call_batches(fn, list(keys), batch_size, retries, backoff_seconds, fn_factory), schema)
 
 
 def pending(df: DataFrame, done: DataFrame | None, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -126,24 +167,33 @@ def pending(df: DataFrame, done: DataFrame | None, keys: Sequence[str] = KEYS) -
     return df.join(finished, list(keys), "left_anti")
 
 
-def run_resumable(spark: SparkSession, df: DataFrame, fn: ModelFn, path: str, keys: Sequence[str] = KEYS,
-                  **kwargs) -> DataFrame:
+def results(spark: SparkSession, path: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per key of a results folder: a finished reply if there is one, else a failed attempt."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in keys]
+    best = F.max_by(F.struct(*rest), F.col("reply").isNotNull()).alias("r")
+    return rows.groupBy(*keys).agg(best).select(*keys, "r.*")
+
+
+def run_resumable(spark: SparkSession, df: DataFrame, fn: ModelFn | None, path: str, keys: Sequence[str] = KEYS,
+                  chunks: int = 1, **kwargs) -> DataFrame:
     """Infer only the rows of ``df`` that have no reply at ``path`` yet and append their results there
-    (Parquet, partitioned by model and mode). Returns all results at ``path`` (read back, so the model is never
-    called twice for one row). Rerunning after a failure continues where it stopped; rerunning a finished job
-    writes nothing."""
-    done = spark.read.parquet(path) if _exists(spark, path) else None
-    todo = pending(df, done, keys)
-    out = run_inference(todo, fn, keys, **kwargs)
-    out.write.mode("append").partitionBy(*[k for k in ("model", "mode") if k in keys]).parquet(path)
-    return spark.read.parquet(path)
+    (Parquet, partitioned by model and mode). The rows are dealt to ``chunks`` by key hash, each inferred and committed by a
+    job of its own, so a run that dies keeps the chunks before. Returns one row per key at ``path`` (read back, so the model
+    is never called twice for one row). Rerunning a finished job writes no row."""
+    for i in range(chunks):
+        part = df.where(F.pmod(F.xxhash64(*keys), F.lit(chunks)) == i) if chunks > 1 else df
+        done = spark.read.parquet(path) if _exists(spark, path) else None
+        out = run_inference(pending(part, done, keys), fn, keys, **kwargs)
+        out.write.mode("append").partitionBy(*[k for k in ("model", "mode") if k in keys]).parquet(path)
+    return results(spark, path, keys)
 
 
 def stream_inference(spark: SparkSession, source_path: str, schema: T.StructType, fn: ModelFn, sink_path: str,
-                     checkpoint: str, keys: Sequence[str] = KEYS, **kwargs):
+                     checkpoint: str, keys: Sequence[str] = KEYS, files_per_batch: int = 8, **kwargs):
     """I1 as Structured Streaming: new Parquet files of prepared rows (with ``messages`` and ``temperature``)
-    are picked up, inferred and appended to ``sink_path``; the checkpoint records which files are done, and the
-    anti-join against the sink makes a replayed micro-batch write nothing twice. Runs all available input and
+    are picked up, inferred and appended to ``sink_path``, ``files_per_batch`` at a time; the checkpoint records which files are
+    done, and the anti-join against the sink makes a replayed micro-batch write nothing twice. Runs all available input and
     stops (``availableNow``)."""
 
     def batch(bdf: DataFrame, _epoch: int) -> None:
@@ -152,7 +202,7 @@ def stream_inference(spark: SparkSession, source_path: str, schema: T.StructType
         out.write.mode("append").partitionBy(*[k for k in ("model", "mode") if k in keys]).parquet(sink_path)
 
     q = (
-        spark.readStream.schema(schema).parquet(source_path)
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_path)
         .writeStream.foreachBatch(batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -163,22 +213,25 @@ def stream_inference(spark: SparkSession, source_path: str, schema: T.StructType
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a readable Parquet dataset exists at ``path`` (works for any file system Spark can read)."""
+    """Whether a Parquet dataset exists at ``path`` (any file system Spark can read). Only a missing or empty folder counts as
+    none; any other failure to read is raised, so that finished work is never taken for missing."""
     try:
-        spark.read.parquet(path).schema
+        spark.read.parquet(path)
         return True
-    except Exception:  # noqa: BLE001 - missing or empty path
-        return False
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 # ------------------------------------------------------------------------------------------------ stub model
 
 
 def echo_model(chats: list, params: list) -> list:
-    """A deterministic stand-in model for tests: ``"{len % 5 + 1} echo {len}: {first 40 chars}"`` of the last user
-    turn (its digit prefix doubles as a judge score)."""
+    """A deterministic stand-in model for tests: ``"{len % 5 + 1} echo {len}: {text}"`` of the whole last user turn
+    (its digit prefix doubles as a judge score)."""
     out = []
     for chat in chats:
         last = next((m.get("content") or "" for m in reversed(chat) if m.get("role") == "user"), "")
-        out.append(f"{len(last) % 5 + 1} echo {len(last)}: {last[:40]}")
+        out.append(f"{len(last) % 5 + 1} echo {len(last)}: {last}")
     return out

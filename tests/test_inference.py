@@ -93,3 +93,91 @@ def test_factory_built_once_per_worker(spark):
     assert len(tags) == len(pids)  # one model object per worker process, however many tasks and batches
     with pytest.raises(ValueError):
         inf.run_inference(_requests(spark, 2))
+
+
+def test_two_factories_in_one_session_stay_apart(spark):
+    def loader(tag):
+        return lambda: (lambda chats, params: [tag] * len(chats))
+
+    req = _requests(spark, 8)
+    for tag in ("model_A", "model_B", "model_A"):
+        assert {r["reply"] for r in inf.run_inference(req, fn_factory=loader(tag)).collect()} == {tag}
+
+
+def test_one_bad_row_costs_no_other(spark):
+    def picky(chats, params):
+        if any(c[-1]["content"].endswith("p5") for c in chats):
+            raise RuntimeError("bad row")
+        return inf.echo_model(chats, params)
+
+    out = inf.run_inference(_requests(spark, 32).coalesce(1), picky, batch_size=16, retries=0, backoff_seconds=0.0).collect()
+    assert {r["row_id"] for r in out if r["reply"] is None} == {5} and len(out) == 32
+
+
+def test_killed_run_keeps_its_finished_chunks(spark):
+    path = tempfile.mkdtemp(prefix="rs-kill-") + "/out"
+    req = _requests(spark, 40)
+    chunk = {r[0]: r[1] for r in req.select("row_id", F.pmod(F.xxhash64(*inf.KEYS), F.lit(4)).alias("c")).collect()}
+    third = min(i for i, c in chunk.items() if c == 2)
+
+    def dies(chats, params):
+        if any(c[-1]["content"].endswith(f"p{third}") for c in chats):
+            raise SystemExit("killed")  # not a model failure: ends the task
+        return inf.echo_model(chats, params)
+
+    with pytest.raises(Exception):
+        inf.run_resumable(spark, req, dies, path, chunks=4, batch_size=1)
+    kept = {r[0] for r in spark.read.parquet(path).select("row_id").collect()}
+    assert kept == {i for i, c in chunk.items() if c < 2}
+    out = inf.run_resumable(spark, req, inf.echo_model, path, chunks=4)
+    assert out.count() == 40 and out.where("reply is null").count() == 0
+
+
+def test_one_row_per_key_after_a_retry(spark):
+    path = tempfile.mkdtemp(prefix="rs-retry-") + "/out"
+
+    def down(chats, params):
+        raise RuntimeError("down")
+
+    req = _requests(spark, 5)
+    assert inf.run_resumable(spark, req, down, path, retries=0, backoff_seconds=0.0).where("error is not null").count() == 5
+    out = inf.run_resumable(spark, req, inf.echo_model, path).collect()
+    assert len(out) == 5 and all(r["reply"] and r["error"] is None for r in out)
+
+
+def test_unreadable_path_is_not_taken_for_missing(spark):
+    with pytest.raises(Exception):
+        inf.run_resumable(spark, _requests(spark, 2), inf.echo_model, "nosuchfs://bucket/runs")
+    assert not inf._exists(spark, "/tmp/does/not/exist/at/all")
+
+
+def test_null_prompts_are_not_sent(spark):
+    req = _requests(spark, 4).withColumn("messages", F.when(F.col("row_id") != 2, F.col("messages")))
+
+    def no_empty(chats, params):
+        assert all(chats)
+        return inf.echo_model(chats, params)
+
+    out = {r["row_id"]: r for r in inf.run_inference(req, no_empty, batch_size=4).collect()}
+    assert out[2]["reply"] is None and out[2]["error"] is None and out[1]["reply"]
+
+
+def test_logprobs_come_back_as_json(spark):
+    def scored(chats, params):
+        return [{"reply": "a", "logprobs": [{"token": "a", "logprob": -0.5}]} for _ in chats]
+
+    r = inf.run_inference(_requests(spark, 1), scored, logprobs=True).first()
+    assert r["reply"] == "a" and r["logprobs"] == '[{"token": "a", "logprob": -0.5}]'
+
+
+def test_guess_is_chained_and_kept(spark):
+    rows = [(i, i % 10, "Task.", "Answer: <markprompt>[Your Prompt]</markprompt>.", f"p{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "row_id long, dataset_id int, task_def string, instruction string, prompt_en string")
+    df = df.withColumn("model", F.lit("m")).withColumn("mode", F.lit("guess_native"))
+
+    def model(chats, params):
+        return ["a native one" if len(c) == 2 else c[2]["content"] + "!" for c in chats]
+
+    out = inf.run_guess_two_stage(df, model).collect()
+    assert len(out) == 6 and all(r["side_output"] == "a native one" and r["reply"] == "a native one!" for r in out)
+    assert all(len(r["messages"]) > 2 for r in out)

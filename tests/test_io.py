@@ -14,14 +14,29 @@ def test_request_shards_and_manifest(spark):
     path = tempfile.mkdtemp(prefix="rs-shards-") + "/batches"
     manifest = {r["shard"]: r["n_requests"] for r in io.write_request_shards(lines, path).collect()}
     assert manifest == {0: 60, 20: 60, 40: 15}
-    assert {"_manifest", "shard=0", "shard=20", "shard=40"} <= set(os.listdir(path))
-    text = spark.read.text(f"{path}/shard=20").collect()
     import json
 
-    first = json.loads(text[0][0])
+    text = [r["line"] for r in io.read_request_shard(spark, path, 20).collect()]
+    assert len(text) == 60
+    first = json.loads(text[0])
     assert first["method"] == "POST" and first["body"]["max_tokens"] == 1000
     assert first["body"]["messages"][0]["role"] == "system"
-    assert spark.read.parquet(f"{path}/_manifest").count() == 3
+    # A second write adds its shards and keeps the first ones.
+    more = spark.createDataFrame([(i, "task1553-1", f"reply {i}", "src") for i in range(45, 80)], df.schema)
+    io.write_request_shards(io.judge_request_lines(prompts.judge_prompts(more)), path)
+    assert spark.read.parquet(f"{path}/manifest").agg({"n_requests": "sum"}).first()[0] == 80 * 3
+    assert spark.read.parquet(f"{path}/requests").select("custom_id").distinct().count() == 80 * 3
+
+
+def test_request_ids_of_two_runs_are_unique(spark):
+    rows = [(1, "m", mode, "task1553-1", "r", "s") for mode in ("standard", "add_all_native")]
+    df = spark.createDataFrame(rows, "row_id long, model string, mode string, nat_instr_id string, reply string, final_prompt_en string")
+    keys = ("row_id", "model", "mode")
+    lines = io.judge_request_lines(prompts.judge_prompts(df, keys=keys), keys=keys)
+    assert lines.count() == lines.select("custom_id").distinct().count() == 6
+    answers = prompts.judge_prompts(df, keys=keys).withColumn("answer", F.concat_ws("/", "mode", "criterion"))
+    out = {r["mode"]: r["fluency"] for r in prompts.regroup_judgements(answers, keys).collect()}
+    assert out == {m: f"{m}/fluency" for m in ("standard", "add_all_native")}
 
 
 def test_partitioned_scores_pruning(spark):

@@ -12,14 +12,3 @@ def test_gold_join_semantics(spark):
     assert [r["nat_instr_id"] for r in joins.duplicate_keys(gold).collect()] == ["b"]
     unique = gold.dropDuplicates(["nat_instr_id"]).where("nat_instr_id IS NOT NULL")
     assert joins.join_gold(rows.where("row_id < 3"), unique).count() == 2  # row count kept when keys are unique
-
-
-def test_checked_broadcast(spark):
-    big = spark.range(50)
-    assert joins.checked_broadcast(big, max_rows=20, local_rows=10) is big  # above the bound: no hint
-    counted = joins.checked_broadcast(big, max_rows=100, local_rows=10)  # counted, then broadcast
-    assert "broadcast" in counted._jdf.queryExecution().logical().toString().lower()
-    local = joins.checked_broadcast(big, max_rows=100, local_rows=100)  # small: materialised once
-    analyzed = local._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" in analyzed.lower() and "Range" not in analyzed  # the original plan is not re-run
-    assert sorted(r[0] for r in local.collect()) == list(range(50))

@@ -6,6 +6,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
+from replyscope.plans.oracle import SQL
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from oracle_check import duck, rows_of  # noqa: E402
@@ -18,7 +19,7 @@ def con():
     return duck(SMOKE)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SMOKE)
     srows, scols = rows_of(df.columns, [tuple(r) for r in df.collect()])

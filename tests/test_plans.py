@@ -3,18 +3,22 @@ expected, filters and column pruning reach the scans."""
 
 import pytest
 
+import os
+import re
+
 import __spark_entry__ as entry
+from replyscope.plans.catalog import QUERIES
 
 SMOKE = "/root/testdata/sf0.001"
 PYTHON_OK = {"rouge_l", "rouge_lsum", "run_comparison", "comparison_pivot", "comparison_pivot_dataset", "greedy_match_score",
-             "cosine_knn", "pca_2d", "infer_stub", "chat_gold", "judge_regroup", "embed_texts"}
+             "cosine_knn", "pca_2d", "infer_stub", "chat_gold", "judge_regroup", "embed_texts", "guess_two_stage"}
 
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_shape(spark, name):
     plan = _plan(entry.queries()[name](spark, SMOKE))
     assert "CartesianProduct" not in plan
@@ -26,6 +30,39 @@ def test_plan_shape(spark, name):
     assert not python or name in PYTHON_OK, name
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_building_a_query_runs_no_job(spark, name):
+    """Only reading the schemas of the files may start a job."""
+    sc = spark.sparkContext
+    sc.setJobGroup(f"build-{name}", name)
+    try:
+        QUERIES[name](spark, SMOKE)
+        jobs = sc.statusTracker().getJobIdsForGroup(f"build-{name}")
+        stages = [sc.statusTracker().getStageInfo(s) for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
+        assert all(s is None or s.name.startswith("parquet at") for s in stages), [s.name for s in stages if s]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_library_never_pulls_rows_to_the_driver():
+    root = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "replyscope")
+    pulls = re.compile(r"(?<!F)\.(collect|first|toPandas|toLocalIterator|take|head)\(|\.count\(\)|localCheckpoint")
+    for folder, dirs, files in os.walk(root):
+        dirs[:] = [d for d in dirs if d != "llm"]
+        for f in files:
+            if f.endswith(".py"):
+                text = open(os.path.join(folder, f)).read()
+                assert not pulls.search(text), (f, pulls.search(text))
+
+
+def test_no_text_is_cut():
+    """The surrogate views and the catalogue use whole texts."""
+    root = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "replyscope")
+    for f in ("sources/fixtures.py", "plans/catalog.py", "streaming/inference.py"):
+        text = open(os.path.join(root, f)).read().replace("substr('ABC'", "").replace("F.substring(F.md5(", "")
+        assert not re.search(r"substr\(|substring\(|\[:\d+\]", text), f
+
+
 def _formatted(df):
     return df._jdf.queryExecution().explainString(
         df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))

@@ -45,8 +45,8 @@ def test_cohort_pool(spark):
 
 def test_reproducible_and_partition_independent(spark):
     df = _df(spark)
-    a = {r["row_id"]: r["history"] for r in sampling.sample_history(df.repartition(1), buckets=1).collect()}
-    b = {r["row_id"]: r["history"] for r in sampling.sample_history(df.repartition(9), buckets=1).collect()}
+    a = {r["row_id"]: r["history"] for r in sampling.sample_history(df.repartition(1), bucket_rows=10**6).collect()}
+    b = {r["row_id"]: r["history"] for r in sampling.sample_history(df.repartition(9), bucket_rows=10**6).collect()}
     assert a == b
     c = {r["row_id"]: r["history"] for r in sampling.sample_history(df, seed=7).collect()}
     assert c != a
@@ -79,3 +79,19 @@ def test_hot_writer(spark):
     for line in plan.splitlines():
         if "Window [row_number()" in line:
             assert "__b" in line.split("windowspecdefinition(")[1].split(",")[1], line
+
+
+def test_draws_reach_the_end_of_a_huge_pool(spark):
+    """Positions of a pool of 10^11 rows: every tenth of it is drawn about as often."""
+    m = 10**11
+    rows = spark.range(4000).select(F.array(*sampling.floyd_draws(F.lit(m), 5, 42, F.col("id"))).alias("d"))
+    tenth = Counter(r[0] for r in rows.select(F.explode("d").alias("d")).select(F.floor(F.col("d") / F.lit(m // 10))).collect())
+    assert set(tenth) == set(range(10)) and all(1700 < n < 2300 for n in tenth.values()), tenth
+
+
+def test_small_buckets_give_the_same_pools(spark):
+    df = _df(spark)
+    user = {r["row_id"]: r["user_id"] for r in df.collect()}
+    for r in sampling.sample_history(df, bucket_rows=8).where("history is not null").collect():
+        picked = _parse(r["history"])
+        assert len(set(picked)) == 5 and r["row_id"] not in picked and all(user[p] == r["user_id"] for p in picked)

@@ -76,3 +76,12 @@ def test_edge_cases(spark):
     # A no-break space separates words as str.split() does; non-ASCII digits are not digit runs (ASCII definition).
     assert ev(spark, text.word_count("x"), "a b", "a b c") == [2, 3]
     assert ev(spark, text.digit_sum("x").cast("long"), "٣ and 4") == [4]
+
+
+def test_digit_sum_has_no_limit(spark):
+    texts = ["9" * 20, "9" * 40 + " and 1", "7", "", "no digits", "0 " + "5" * 100 + " x " + "4" * 90, " ".join(["9" * 38] * 30)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    import re
+
+    want = [str(sum(int(d) for d in re.findall(r"[0-9]+", t))) for t in texts]
+    assert [r[0] for r in df.select(text.digit_sum_text("t")).collect()] == want

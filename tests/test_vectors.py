@@ -82,3 +82,12 @@ def test_embed_with_encoder(spark):
 
     out = {r["id"]: list(r["embedding"]) for r in vectors.embed(df, "t", encoder, batch_size=2).collect()}
     assert out == {1: [2.0, 1.0], 2: [4.0, 1.0], 3: [0.0, 1.0]}
+
+
+def test_text_keys_and_groups(spark):
+    rows = [(f"v{i}", f"g{i % 2}", [float(i), float(i * i % 7), 1.0]) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id string, label string, embedding array<float>")
+    scaled = vectors.standardize(df)
+    knn = vectors.cosine_knn(scaled, k=3).collect()
+    assert len(knn) == 36 and all(r["label"].startswith("g") and r["neighbor_id"].startswith("v") for r in knn)
+    assert vectors.project_2d(scaled).count() == 12
