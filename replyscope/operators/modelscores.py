@@ -13,6 +13,8 @@ matrix block-wise in numpy."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,37 +57,31 @@ def greedy_match(reply: np.ndarray, gold: np.ndarray, w_reply: np.ndarray, w_gol
     return p, r, f
 
 
-def _stack(items) -> tuple[np.ndarray, np.ndarray]:
-    if items is None or len(items) == 0:
-        return np.zeros((0, 0)), np.zeros(0)
-    vecs = np.array([np.asarray(x["vec"], dtype=np.float64) for x in items])
-    w = np.array([1.0 if x["w"] is None else float(x["w"]) for x in items])
-    return vecs, w
+def _rows(flat, weights) -> np.ndarray:
+    return np.asarray(flat, dtype=np.float64).reshape(len(weights), -1)
 
 
 @F.pandas_udf(MATCH_TYPE)
-def _match_udf(reply: pd.Series, gold: pd.Series) -> pd.DataFrame:
+def _match_udf(reply: pd.Series, reply_w: pd.Series, gold: pd.Series, gold_w: pd.Series) -> pd.DataFrame:
     out = []
-    for r_items, g_items in zip(reply, gold):
-        ra, rw = _stack(r_items)
-        ga, gw = _stack(g_items)
-        res = greedy_match(ra, ga, rw, gw) if len(ra) and len(ga) else None
+    for r, rw, g, gw in zip(reply, reply_w, gold, gold_w):
+        res = greedy_match(_rows(r, rw), _rows(g, gw), rw, gw) if len(rw) and len(gw) else None
         out.append(res if res is not None else (None, None, None))
     return pd.DataFrame(out, columns=["precision", "recall", "f1"])
 
 
-def score_embedding_match(tokens: DataFrame, key: str = "row_id", side: str = "side", vec: str = "vec",
+def score_embedding_match(tokens: DataFrame, keys: Sequence[str] = ("row_id",), side: str = "side", vec: str = "vec",
                           weight: str | None = None, reply_side: str = "reply", gold_side: str = "gold") -> DataFrame:
-    """M6 per row: ``(key, precision, recall, f1)`` from ``tokens(key, side, pos, vec[, weight])``."""
-    w = F.col(weight).cast("double") if weight else F.lit(None).cast("double")
+    """M6 per row: ``(*keys, precision, recall, f1)`` from ``tokens(*keys, side, pos, vec[, weight])``. A row's vectors reach
+    the UDF as one flat array per side; their number is bounded by its texts."""
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
     item = F.struct(F.col("pos"), F.col(vec).alias("vec"), w.alias("w"))
-    grouped = tokens.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col(side) == reply_side, item))).alias("__r"),
-        F.array_sort(F.collect_list(F.when(F.col(side) == gold_side, item))).alias("__g"),
-    )
-    return grouped.select(key, _match_udf("__r", "__g").alias("m")).select(
-        key, F.col("m.precision").alias("precision"), F.col("m.recall").alias("recall"), F.col("m.f1").alias("f1")
-    )
+    sides = {"__r": reply_side, "__g": gold_side}
+    grouped = tokens.groupBy(*keys).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col(side) == value, item))).alias(name) for name, value in sides.items()])
+    flat = [c for name in sides for c in (F.flatten(F.col(f"{name}.vec")), F.col(f"{name}.w"))]
+    m = grouped.select(*keys, _match_udf(*flat).alias("m"))
+    return m.select(*keys, *[F.col(f"m.{c}").alias(c) for c in ("precision", "recall", "f1")])
 
 
 def mean_loglik(logprobs: DataFrame, keys=("row_id", "direction"), logprob: str = "logprob",
@@ -98,10 +94,10 @@ def mean_loglik(logprobs: DataFrame, keys=("row_id", "direction"), logprob: str
     )
 
 
-def loglik_f1(logprobs: DataFrame, key: str = "row_id", direction: str = "direction") -> DataFrame:
-    """M8: ``(key, faithful, precision, recall, f1)``; F1 = 2PR/(P+R) on the (negative) scores, NULL if P+R = 0."""
-    per = mean_loglik(logprobs, keys=(key, direction))
-    wide = per.groupBy(key).agg(*[
+def loglik_f1(logprobs: DataFrame, keys: Sequence[str] = ("row_id",), direction: str = "direction") -> DataFrame:
+    """M8: ``(*keys, faithful, precision, recall, f1)``; F1 = 2PR/(P+R) on the (negative) scores, NULL if P+R = 0."""
+    per = mean_loglik(logprobs, keys=(*keys, direction))
+    wide = per.groupBy(*keys).agg(*[
         F.max(F.when(F.col(direction) == d, F.col("score"))).alias(d) for d in ("faithful", "precision", "recall")
     ])
     p, r = F.col("precision"), F.col("recall")

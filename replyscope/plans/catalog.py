@@ -12,7 +12,7 @@ from replyscope.functions import fixed
 from replyscope.functions import text as T
 from replyscope.operators import accuracy as acc
 from replyscope.operators import cohorts as coh
-from replyscope.operators import joins, overlap, report, sampling, stats, timing
+from replyscope.operators import joins, overlap, report, sampling, scores, stats, timing
 from replyscope.operators import modelscores as ms
 from replyscope.operators import prompts as P
 from replyscope.operators import vectors as vx
@@ -370,7 +370,8 @@ def judge_regroup(spark, sf):
 # ------------------------------------------------------------------------------------------------ overlap metrics
 
 
-COMPARED_METRICS = ("accuracy", "bleu", "rouge_1", "rouge_2", "rouge_l")
+# All metrics but ROUGE-Lsum, whose union of subsequences has no SQL form to check it by; ``run_comparison_all`` has all 13.
+COMPARED_METRICS = tuple(m for m in report.metric_columns("all") if m != "rouge_lsum")
 
 
 def _overlap_rows(spark, sf, **kw):
@@ -386,20 +387,60 @@ query("rouge_lsum")(lambda spark, sf: _overlap_rows(spark, sf, bleu=False, rouge
                     .select("row_id", "dataset_id", "rouge_lsum"))
 
 
+@query("dataset_8")
+def dataset_8(spark, sf):
+    """the rows of one dataset."""
+    return fx.annotations(spark, sf).where(F.col("dataset_id") == 8).select("row_id", "dataset_id", "prompt_en", "reply")
+
+
+@query("full_instruction")
+def full_instruction(spark, sf):
+    """The source text of a caller's scorer."""
+    df = fx.annotations(spark, sf).withColumn("final_prompt_en", T.fill_placeholder("instruction", "prompt_en"))
+    return df.select("row_id", P.full_instruction(P.task_definition()).alias("full_instruction"))
+
+
+@query("filled_accuracy")
+def filled_accuracy(spark, sf):
+    """P20: macro accuracy of the runs, classification rows without a score counted as wrong."""
+    filled = report.fill_missing_accuracy(scored_runs(spark, sf))
+    return report.compare_runs(filled, metrics=("accuracy",))
+
+
+@query("model_names")
+def model_names(spark, sf):
+    """Rows dealt to the model aliases, with display name and checkpoint."""
+    aliases = F.array(*[F.lit(a) for a, _, _ in fixed.MODEL_ALIASES], F.lit("other"))
+    rows = fx.annotations(spark, sf).select("row_id", F.element_at(aliases, (F.col("row_id") % F.size(aliases) + 1).cast("int")).alias("model"))
+    return wide.with_model_names(rows).select("row_id", "model", "display", "checkpoint")
+
+
 @query("gold_join")
 def gold_join(spark, sf):
     ann = fx.annotations(spark, sf)
     return joins.join_gold(ann, fx.gold(ann)).select("row_id", "nat_instr_id", "generated_req_output")
 
 
-def scored_runs_full(spark, sf):
-    """Runs scored against the generated gold (approach 2): accuracy on the original gold, overlap metrics against
+def scored_runs_full(spark, sf, rouge_lsum=False):
+    """Runs scored against the generated gold (approach 2): accuracy on the original gold, all other metrics against
     the gold join's answer, cohort and guess labels."""
     ann = fx.annotations(spark, sf)
     runs = joins.join_gold(fx.runs(ann), fx.gold(ann))
     runs = report.with_guess(coh.label_cohorts(runs))
-    runs = acc.score_accuracy(runs)
-    return overlap.score_overlap(runs, reply="reply", gold="generated_req_output", keys=RUN_KEYS, rouge_l=True)
+    pairs = fx.run_pairs(runs)
+    vectors, logprobs = fx.token_vectors(pairs, keys=RUN_KEYS), fx.token_logprobs(pairs, refs=1, keys=RUN_KEYS)
+    return scores.score_all(runs, vectors, logprobs, "generated_req_output", RUN_KEYS, rouge_lsum)
+
+
+@query("scores_all")
+def scores_all(spark, sf):
+    """The score table of all runs."""
+    return scored_runs_full(spark, sf).select(*RUN_KEYS, *COMPARED_METRICS)
+
+
+@query("run_comparison_all")
+def run_comparison_all(spark, sf):
+    return report.compare_runs(scored_runs_full(spark, sf, rouge_lsum=True), metrics=report.metric_columns("all"))
 
 
 @query("run_comparison")
@@ -415,7 +456,10 @@ def comparison_pivot(spark, sf):
 
 @query("missing_counts")
 def missing_counts(spark, sf):
-    return report.missing_counts(scored_runs_full(spark, sf))
+    """Only accuracy and BLEU are needed, so only they are computed."""
+    ann = fx.annotations(spark, sf)
+    runs = acc.score_accuracy(joins.join_gold(fx.runs(ann), fx.gold(ann)))
+    return report.missing_counts(overlap.score_overlap(runs, gold="generated_req_output", keys=RUN_KEYS, rouge_n=False))
 
 
 # ------------------------------------------------------------------------------------------------ model-based scores

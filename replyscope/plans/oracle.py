@@ -609,10 +609,77 @@ SELECT a.row_id, a.dataset_id, CASE WHEN {_APPL} THEN {rouge_l_expr('lcs')} END
 FROM annotations a LEFT JOIN lcs ON lcs.row_id = a.row_id
 """
 
+SQL["dataset_8"] = with_views("annotations") + "SELECT row_id, dataset_id, prompt_en, reply FROM annotations WHERE dataset_id = 8"
+
+SQL["full_instruction"] = with_views("annotations") + f"SELECT row_id, {task_def()} || ' ' || {_FINAL} AS full_instruction FROM annotations"
+
+SQL["filled_accuracy"] = with_views("annotations", "runs", "runs_labeled") + f"""
+, sc AS (SELECT *, CASE WHEN dataset_id IN (0, 2, 3, 4, 5, 9) THEN coalesce({accuracy()}, 0) ELSE {accuracy()} END AS acc,
+     coalesce({guess_label('side_output')} = native_or_not, false) AS correct FROM runs_labeled),
+ex AS (SELECT *, unnest(CASE WHEN mode = 'guess_native' AND correct THEN ['guess_native', 'guess_native_correct']
+                             ELSE [CASE mode WHEN 'standard' THEN 'standard' WHEN 'add_all_native' THEN 'native'
+                                             WHEN 'add_all_non_native' THEN 'non_native' ELSE mode END] END) AS run FROM sc),
+per AS (SELECT model, run, native_or_not, example_id, avg(acc) AS a FROM ex WHERE example_id IS NOT NULL GROUP BY ALL)
+SELECT model, run, native_or_not, avg(a) AS accuracy FROM per GROUP BY model, run, native_or_not
+"""
+
+_ALIASES = ", ".join(f"({i}, {lit(a)}, {lit(d)}, {lit(c)})" for i, (a, d, c) in enumerate([*fixed.MODEL_ALIASES, ("other", "other", "other")]))
+SQL["model_names"] = with_views("annotations") + f"""
+, names(i, model, display, checkpoint) AS (VALUES {_ALIASES})
+SELECT row_id, model, display, checkpoint FROM annotations JOIN names ON names.i = row_id % {len(fixed.MODEL_ALIASES) + 1}
+"""
+
 SQL["gold_join"] = with_views("annotations", "gold") + """
 SELECT a.row_id, a.nat_instr_id, g.generated_req_output FROM annotations a JOIN gold g ON g.nat_instr_id = a.nat_instr_id
 """
 
+def hash_unit(*parts: str) -> str:
+    key = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"(CAST(('0x' || substr(md5({key}), 1, 4)) AS INT) / 65535.0 - 0.5)"
+
+
+def match_sql(tv: str, keys: str, name: str) -> str:
+    """CTE ``name`` (keys..., precision, recall, f1) of the greedy token match over ``tv`` (keys..., side, pos, vec)."""
+    ks = [k.strip() for k in keys.split(",")]
+    on = " AND ".join(f"g.{k} = r.{k}" for k in ks)
+    rk = ", ".join(f"r.{k}" for k in ks)
+    return f"""{name}_s AS (SELECT {rk}, r.pos AS rp, g.pos AS gp, list_cosine_similarity(CAST(r.vec AS DOUBLE[]), CAST(g.vec AS DOUBLE[])) AS s
+         FROM {tv} r JOIN {tv} g ON {on} AND r.side = 'reply' AND g.side = 'gold'),
+{name}_p AS (SELECT {keys}, avg(m) AS precision FROM (SELECT {keys}, rp, max(s) AS m FROM {name}_s GROUP BY {keys}, rp) GROUP BY {keys}),
+{name}_r AS (SELECT {keys}, avg(m) AS recall FROM (SELECT {keys}, gp, max(s) AS m FROM {name}_s GROUP BY {keys}, gp) GROUP BY {keys}),
+{name} AS (SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) END AS f1
+       FROM (SELECT DISTINCT {keys} FROM {tv}) LEFT JOIN {name}_p USING ({keys}) LEFT JOIN {name}_r USING ({keys}))"""
+
+
+def tokens_of(pairs: str, keys: str) -> str:
+    return f"""side_text AS (SELECT {keys}, 'reply' AS side, reply AS t FROM {pairs} UNION ALL SELECT {keys}, 'gold', gold FROM {pairs}),
+toks AS (SELECT {keys}, side, CAST(unnest(range(len(tk))) AS INT) AS pos, unnest(tk) AS token
+         FROM (SELECT {keys}, side, {rtok("t")} AS tk FROM side_text))"""
+
+
+def logprobs_of(pairs: str, keys: str, refs: int) -> str:
+    ks = [k.strip() for k in keys.split(",")]
+    row = " || ':' || ".join(f"CAST(s.{k} AS VARCHAR)" for k in ks)
+    on = " AND ".join(f"t.{k} = s.{k}" for k in ks)
+    return f"""lp AS (SELECT {', '.join('s.' + k for k in ks)}, s.direction, s.ref_idx, t.pos,
+     ({hash_unit('s.direction', 's.ref_idx', row, 't.pos', 't.token')} - 0.5) * 8.0 AS logprob,
+     {hash_unit("'pad'", row, 's.direction', 's.ref_idx', 't.pos')} > 0.4 AS is_pad
+   FROM (SELECT {keys}, d.direction, d.side, unnest(range({refs})) AS ref_idx FROM {pairs},
+         (SELECT 'faithful' AS direction, 'reply' AS side UNION ALL SELECT 'precision', 'reply'
+          UNION ALL SELECT 'recall', 'gold') d) s
+   JOIN toks t ON {on} AND t.side = s.side)"""
+
+
+def loglik_sql(keys: str, name: str) -> str:
+    return f"""{name}_per AS (SELECT {keys}, direction, sum(CASE WHEN NOT is_pad THEN logprob END) / nullif(count_if(NOT is_pad), 0) AS score
+        FROM lp GROUP BY {keys}, direction),
+{name} AS (SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) END AS f1 FROM (
+  SELECT {keys}, max(CASE WHEN direction = 'faithful' THEN score END) AS faithful, max(CASE WHEN direction = 'precision' THEN score END) AS precision,
+         max(CASE WHEN direction = 'recall' THEN score END) AS recall FROM {name}_per GROUP BY {keys}))"""
+
+
+_TV_OF_TOKS = f"tv AS (SELECT *, list_transform(range(0, 8), lambda i: CAST({hash_unit('token', 'i')} AS FLOAT)) AS vec FROM toks)"
+
 _RUN_APPL = "(reply IS NOT NULL AND generated_req_output IS NOT NULL AND dataset_id IN (1, 6, 7, 8))"
 _RUN_SRC = f"(SELECT * FROM lab WHERE {_RUN_APPL}) s"
 _SCORED_RUNS = with_views("annotations", "gold", "runs") + f"""
@@ -623,27 +690,40 @@ _SCORED_RUNS = with_views("annotations", "gold", "runs") + f"""
 """ + tokens_sql("tok", _RUN_SRC, "row_id, model, mode", "reply", "generated_req_output") + lcs_sql("lcs", "tok") \
     + overlap_sql("oc", "tok", "row_id, model, mode", "char", (1, 2, 3, 4)) \
     + overlap_sql("ow", "tok", "row_id, model, mode", "word", (1, 2)) + f"""
+, pairs AS (SELECT row_id, model, mode, reply, generated_req_output AS gold FROM lab WHERE dataset_id IN (1, 6, 7, 8) AND reply IS NOT NULL),
+{tokens_of('pairs', 'row_id, model, mode')},
+{_TV_OF_TOKS},
+{match_sql('tv', 'row_id, model, mode', 'bert')},
+{logprobs_of('pairs', 'row_id, model, mode', 1)},
+{loglik_sql('row_id, model, mode', 'bart')}
 , scored AS (
   SELECT l.*, coalesce({guess_label('l.side_output')} = l.native_or_not, false) AS correct,
     CASE WHEN {_RUN_APPL} THEN {bleu_expr('oc', 'reply', 'generated_req_output')} END AS bleu,
     CASE WHEN {_RUN_APPL} THEN {rouge_n_expr('ow', 'lcs', 1)} END AS rouge_1,
     CASE WHEN {_RUN_APPL} THEN {rouge_n_expr('ow', 'lcs', 2)} END AS rouge_2,
-    CASE WHEN {_RUN_APPL} THEN {rouge_l_expr('lcs')} END AS rouge_l
+    CASE WHEN {_RUN_APPL} THEN {rouge_l_expr('lcs')} END AS rouge_l,
+    bert.precision AS bertscore_precision, bert.recall AS bertscore_recall, bert.f1 AS bertscore_f1,
+    bart.faithful AS bartscore_faithful, bart.precision AS bartscore_precision, bart.recall AS bartscore_recall, bart.f1 AS bartscore_f1
   FROM lab l
+  LEFT JOIN bert ON bert.row_id = l.row_id AND bert.model = l.model AND bert.mode = l.mode
+  LEFT JOIN bart ON bart.row_id = l.row_id AND bart.model = l.model AND bart.mode = l.mode
   LEFT JOIN oc ON oc.row_id = l.row_id AND oc.model = l.model AND oc.mode = l.mode
   LEFT JOIN ow ON ow.row_id = l.row_id AND ow.model = l.model AND ow.mode = l.mode
   LEFT JOIN lcs ON lcs.row_id = l.row_id AND lcs.model = l.model AND lcs.mode = l.mode)
 """
 
-_METRICS5 = ("accuracy", "bleu", "rouge_1", "rouge_2", "rouge_l")
+_METRICS = tuple(m for m in fixed.ALL_METRICS if m != "rouge_lsum")
+
+SQL["scores_all"] = _SCORED_RUNS + f"SELECT row_id, model, mode, {', '.join(_METRICS)} FROM scored"
+
 _RUN_LONG = _SCORED_RUNS + f"""
 , ex AS (SELECT *, unnest(CASE WHEN mode = 'guess_native' AND correct THEN ['guess_native', 'guess_native_correct']
                                ELSE [CASE mode WHEN 'standard' THEN 'standard' WHEN 'add_all_native' THEN 'native'
                                                WHEN 'add_all_non_native' THEN 'non_native' ELSE mode END] END) AS run
          FROM scored),
-per_ex AS (SELECT model, run, native_or_not, example_id, {', '.join(f'avg({m}) AS {m}' for m in _METRICS5)}
+per_ex AS (SELECT model, run, native_or_not, example_id, {', '.join(f'avg({m}) AS {m}' for m in _METRICS)}
            FROM ex WHERE example_id IS NOT NULL GROUP BY model, run, native_or_not, example_id),
-long AS (SELECT model, run, native_or_not, {', '.join(f'avg({m}) AS {m}' for m in _METRICS5)}
+long AS (SELECT model, run, native_or_not, {', '.join(f'avg({m}) AS {m}' for m in _METRICS)}
          FROM per_ex GROUP BY model, run, native_or_not)
 """
 
@@ -654,60 +734,30 @@ SQL["comparison_pivot"] = _RUN_LONG + "\nUNION ALL ".join(
     f"SELECT '{m}' AS metric, " + ", ".join(
         f"round_even(max(CASE WHEN run = '{r}' AND native_or_not = '{c}' THEN {m} END) * 100, 0) / 100 AS model_a_{r}_{c}"
         for r, c in _PIVOT_COLS) + " FROM long"
-    for m in _METRICS5)
+    for m in _METRICS)
 SQL["comparison_pivot"] = SQL["comparison_pivot"].replace(_RUN_LONG, _RUN_LONG + "SELECT * FROM (", 1) + ")"
 
-SQL["missing_counts"] = _SCORED_RUNS + """
+SQL["missing_counts"] = with_views("annotations", "gold", "runs") + f"""
+, s AS (SELECT r.*, {accuracy()} AS accuracy, g.generated_req_output FROM runs r JOIN gold g ON g.nat_instr_id = r.nat_instr_id)
 SELECT model, mode, CAST(count_if(dataset_id IN (0, 2, 3, 4, 5, 9) AND accuracy IS NULL) AS BIGINT) AS missing_accuracy,
-       CAST(count_if(dataset_id IN (1, 6, 7, 8) AND bleu IS NULL) AS BIGINT) AS missing_bleu
-FROM scored GROUP BY model, mode
+       CAST(count_if(dataset_id IN (1, 6, 7, 8) AND (reply IS NULL OR generated_req_output IS NULL)) AS BIGINT) AS missing_bleu
+FROM s GROUP BY model, mode
 """
 
 
 # ------------------------------------------------------------------------------------------------ model-based scores
 
 
-def hash_unit(*parts: str) -> str:
-    key = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"(CAST(('0x' || substr(md5({key}), 1, 4)) AS INT) / 65535.0 - 0.5)"
-
-
 _PAIRS = """pairs AS (SELECT CAST(a.conv_id AS VARCHAR) || ':' || CAST(a.turn AS VARCHAR) AS row_id, a.text AS reply, u.text AS gold
   FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user'
   WHERE a.role = 'assistant'),
-side_text AS (SELECT row_id, 'reply' AS side, reply AS t FROM pairs UNION ALL SELECT row_id, 'gold', gold FROM pairs),
-toks AS (SELECT row_id, side, CAST(unnest(range(len(tk))) AS INT) AS pos, unnest(tk) AS token
-         FROM (SELECT row_id, side, """ + rtok("t") + """ AS tk FROM side_text))"""
-
-_TV = f"""tv AS (SELECT *, list_transform(range(0, 8), lambda i: CAST({hash_unit('token', 'i')} AS FLOAT)) AS vec FROM toks)"""
-
-SQL["greedy_match_score"] = f"WITH {_PAIRS},\n{_TV}" + """,
-sims AS (SELECT r.row_id, r.pos AS rp, g.pos AS gp, list_cosine_similarity(CAST(r.vec AS DOUBLE[]), CAST(g.vec AS DOUBLE[])) AS s
-         FROM tv r JOIN tv g ON g.row_id = r.row_id AND r.side = 'reply' AND g.side = 'gold'),
-p AS (SELECT row_id, avg(m) AS precision FROM (SELECT row_id, rp, max(s) AS m FROM sims GROUP BY row_id, rp) GROUP BY row_id),
-r AS (SELECT row_id, avg(m) AS recall FROM (SELECT row_id, gp, max(s) AS m FROM sims GROUP BY row_id, gp) GROUP BY row_id)
-SELECT k.row_id, p.precision, r.recall,
-       CASE WHEN p.precision + r.recall <> 0 THEN 2 * p.precision * r.recall / (p.precision + r.recall) END AS f1
-FROM (SELECT DISTINCT row_id FROM tv) k LEFT JOIN p ON p.row_id = k.row_id LEFT JOIN r ON r.row_id = k.row_id
-"""
-
-_LP = f"""lp AS (SELECT s.row_id, s.direction, s.ref_idx, t.pos,
-     ({hash_unit('s.direction', 's.ref_idx', 's.row_id', 't.pos', 't.token')} - 0.5) * 8.0 AS logprob,
-     {hash_unit("'pad'", 's.row_id', 's.direction', 's.ref_idx', 't.pos')} > 0.4 AS is_pad
-   FROM (SELECT row_id, d.direction, d.side, unnest([0, 1]) AS ref_idx FROM pairs,
-         (SELECT 'faithful' AS direction, 'reply' AS side UNION ALL SELECT 'precision', 'reply'
-          UNION ALL SELECT 'recall', 'gold') d) s
-   JOIN toks t ON t.row_id = s.row_id AND t.side = s.side)"""
+""" + tokens_of("pairs", "row_id")
 
-SQL["loglik_score"] = f"WITH {_PAIRS},\n{_LP}" + """,
-per AS (SELECT row_id, direction, sum(CASE WHEN NOT is_pad THEN logprob END) / nullif(count_if(NOT is_pad), 0) AS score
-        FROM lp WHERE ref_idx = 0 GROUP BY row_id, direction),
-w AS (SELECT row_id, max(CASE WHEN direction = 'faithful' THEN score END) AS faithful,
-             max(CASE WHEN direction = 'precision' THEN score END) AS precision,
-             max(CASE WHEN direction = 'recall' THEN score END) AS recall FROM per GROUP BY row_id)
-SELECT *, CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) END AS f1 FROM w
-"""
+SQL["greedy_match_score"] = f"WITH {_PAIRS},\n{_TV_OF_TOKS},\n{match_sql('tv', 'row_id', 'm')}\nSELECT row_id, precision, recall, f1 FROM m"
+
+SQL["loglik_score"] = f"WITH {_PAIRS},\n{logprobs_of('pairs', 'row_id', 1)},\n{loglik_sql('row_id', 'w')}\nSELECT * FROM w"
 
+_LP = logprobs_of("pairs", "row_id", 2)
 SQL["multi_ref_score"] = f"WITH {_PAIRS},\n{_LP}" + """,
 per AS (SELECT row_id, ref_idx, sum(CASE WHEN NOT is_pad THEN logprob END) / nullif(count_if(NOT is_pad), 0) AS score
         FROM lp WHERE direction = 'precision' GROUP BY row_id, ref_idx)
@@ -738,10 +788,10 @@ _RUN_LONG_DS = _SCORED_RUNS + f"""
                                ELSE [CASE mode WHEN 'standard' THEN 'standard' WHEN 'add_all_native' THEN 'native'
                                                WHEN 'add_all_non_native' THEN 'non_native' ELSE mode END] END) AS run
          FROM scored),
-per_ex AS (SELECT model, run, native_or_not, dataset_id, example_id, {', '.join(f'avg({m}) AS {m}' for m in _METRICS5)}
+per_ex AS (SELECT model, run, native_or_not, dataset_id, example_id, {', '.join(f'avg({m}) AS {m}' for m in _METRICS)}
            FROM ex WHERE example_id IS NOT NULL AND dataset_id IS NOT NULL
            GROUP BY model, run, native_or_not, dataset_id, example_id),
-long AS (SELECT model, run, native_or_not, dataset_id, {', '.join(f'avg({m}) AS {m}' for m in _METRICS5)}
+long AS (SELECT model, run, native_or_not, dataset_id, {', '.join(f'avg({m}) AS {m}' for m in _METRICS)}
          FROM per_ex GROUP BY model, run, native_or_not, dataset_id)
 """
 
@@ -749,7 +799,7 @@ SQL["comparison_pivot_dataset"] = _RUN_LONG_DS + "SELECT * FROM (" + "\nUNION AL
     f"SELECT dataset_id, '{m}' AS metric, " + ", ".join(
         f"round_even(max(CASE WHEN run = '{r}' AND native_or_not = '{c}' THEN {m} END) * 100, 0) / 100 AS model_a_{r}_{c}"
         for r, c in _PIVOT_COLS) + " FROM long GROUP BY dataset_id"
-    for m in _METRICS5) + ")"
+    for m in _METRICS) + ")"
 
 
 # ------------------------------------------------------------------------------------------------ wide files, E1, S9

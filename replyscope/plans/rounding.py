@@ -35,7 +35,10 @@ DOUBLE_COLUMNS = {
     'rouge2': ('rouge_2',),
     'rouge_l': ('rouge_l',),
     'rouge_lsum': ('rouge_lsum',),
-    'run_comparison': ('accuracy', 'bleu', 'rouge_1', 'rouge_2', 'rouge_l'),
+    'run_comparison': ('accuracy', 'bleu', 'rouge_1', 'rouge_2', 'rouge_l', 'bertscore_precision', 'bertscore_recall', 'bertscore_f1', 'bartscore_faithful', 'bartscore_precision', 'bartscore_recall', 'bartscore_f1'),
+    'run_comparison_all': ('accuracy', 'bleu', 'rouge_1', 'rouge_2', 'rouge_l', 'rouge_lsum', 'bertscore_precision', 'bertscore_recall', 'bertscore_f1', 'bartscore_faithful', 'bartscore_precision', 'bartscore_recall', 'bartscore_f1'),
+    'scores_all': ('accuracy', 'bleu', 'rouge_1', 'rouge_2', 'rouge_l', 'bertscore_precision', 'bertscore_recall', 'bertscore_f1', 'bartscore_faithful', 'bartscore_precision', 'bartscore_recall', 'bartscore_f1'),
+    'filled_accuracy': ('accuracy',),
     'standardize_vectors': ('value',),
     'temperature': ('temperature',),
     'total_time_by_group': ('mean_total_seconds',),

@@ -116,6 +116,7 @@ def cohorts(ann: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------------------------------ token tables
 
 TOKEN_DIM = 8
+GENERATION = (1, 6, 7, 8)
 
 
 def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,38 +135,45 @@ def _hash_unit(*parts) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("double") / F.lit(65535.0) - F.lit(0.5)
 
 
-def _side_tokens(pairs: DataFrame) -> DataFrame:
+def run_pairs(scored: DataFrame) -> DataFrame:
+    """Reply/gold pairs of the generation rows of ``scored`` runs, keyed by (row_id, model, mode)."""
+    rows = scored.where(F.col("dataset_id").isin(*GENERATION) & F.col("reply").isNotNull())
+    return rows.select("row_id", "model", "mode", "reply", F.col("generated_req_output").alias("gold"))
+
+
+def _side_tokens(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     from replyscope.functions.text import rouge_tokens
 
     sides = F.explode(F.array(
         F.struct(F.lit("reply").alias("side"), F.col("reply").alias("t")),
         F.struct(F.lit("gold").alias("side"), F.col("gold").alias("t")),
     ))
-    s = pairs.select("row_id", sides.alias("s")).select("row_id", "s.side", "s.t")
-    return s.select("row_id", "side", F.posexplode(rouge_tokens("t")).alias("pos", "token"))
+    s = pairs.select(*keys, sides.alias("s")).select(*keys, "s.side", "s.t")
+    return s.select(*keys, "side", F.posexplode(rouge_tokens("t")).alias("pos", "token"))
 
 
-def token_vectors(pairs: DataFrame, dim: int = TOKEN_DIM) -> DataFrame:
-    """Stand-in for an encoder's token embeddings: (row_id, side, pos, token, vec ARRAY<FLOAT>), vectors from token
+def token_vectors(pairs: DataFrame, dim: int = TOKEN_DIM, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """Stand-in for an encoder's token embeddings: (*keys, side, pos, token, vec ARRAY<FLOAT>), vectors from token
     hashes (equal tokens get equal vectors)."""
-    toks = _side_tokens(pairs)
+    toks = _side_tokens(pairs, keys)
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: _hash_unit(F.col("token"), i).cast("float"))
     return toks.withColumn("vec", vec)
 
 
-def token_logprobs(pairs: DataFrame, refs: int = 2) -> DataFrame:
-    """Stand-in for a scorer's target-token log-probabilities: (row_id, direction, ref_idx, pos, logprob, is_pad)
+def token_logprobs(pairs: DataFrame, refs: int = 2, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """Stand-in for a scorer's target-token log-probabilities: (*keys, direction, ref_idx, pos, logprob, is_pad)
     for directions faithful/precision (target = reply) and recall (target = gold), ``refs`` references each."""
-    toks = _side_tokens(pairs)
+    toks = _side_tokens(pairs, keys)
     dirs = F.explode(F.array(
         F.struct(F.lit("faithful").alias("d"), F.lit("reply").alias("side")),
         F.struct(F.lit("precision").alias("d"), F.lit("reply").alias("side")),
         F.struct(F.lit("recall").alias("d"), F.lit("gold").alias("side")),
     ))
-    spec = pairs.select("row_id", dirs.alias("x")).select("row_id", F.col("x.d").alias("direction"), F.col("x.side").alias("side"))
+    spec = pairs.select(*keys, dirs.alias("x")).select(*keys, F.col("x.d").alias("direction"), F.col("x.side").alias("side"))
     spec = spec.select("*", F.explode(F.array(*map(F.lit, range(refs)))).alias("ref_idx"))
-    j = spec.join(toks, ["row_id", "side"])
-    h = _hash_unit(F.col("direction"), F.col("ref_idx"), F.col("row_id"), F.col("pos"), F.col("token"))
-    pad = _hash_unit(F.lit("pad"), F.col("row_id"), F.col("direction"), F.col("ref_idx"), F.col("pos"))
-    return j.select("row_id", "direction", "ref_idx", "pos",
+    j = spec.join(toks, [*keys, "side"])
+    row = F.concat_ws(":", *keys)
+    h = _hash_unit(F.col("direction"), F.col("ref_idx"), row, F.col("pos"), F.col("token"))
+    pad = _hash_unit(F.lit("pad"), row, F.col("direction"), F.col("ref_idx"), F.col("pos"))
+    return j.select(*keys, "direction", "ref_idx", "pos",
                     ((h - F.lit(0.5)) * F.lit(8.0)).alias("logprob"), (pad > F.lit(0.4)).alias("is_pad"))

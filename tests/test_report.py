@@ -45,3 +45,27 @@ def test_drop_dataset_keeps_null(spark):
 def test_fill_missing_accuracy(spark):
     df = spark.createDataFrame([(3, None), (1, None), (4, 1.0)], "dataset_id int, accuracy double")
     assert [r[1] for r in report.fill_missing_accuracy(df).orderBy("dataset_id").collect()] == [None, 0.0, 1.0]
+
+
+def test_comparison_of_all_metrics_equals_direct_means(spark):
+    """The 13-metric report from the score table, against plain means of its rows."""
+    from collections import defaultdict
+
+    from replyscope.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    metrics = report.metric_columns("all")
+    assert len(metrics) == 13
+    rows = catalog.scored_runs_full(spark, sf, rouge_lsum=True).collect()
+    assert any(r["rouge_lsum"] for r in rows) and any(r["bertscore_f1"] for r in rows) and any(r["bartscore_f1"] for r in rows)
+    names = {"standard": "standard", "add_all_native": "native", "add_all_non_native": "non_native", "guess_native": "guess_native"}
+    per = defaultdict(lambda: defaultdict(list))
+    for r in rows:
+        for run in [names[r["mode"]]] + (["guess_native_correct"] if r["mode"] == "guess_native" and r["guess_correct"] else []):
+            for m in metrics:
+                if r[m] is not None:
+                    per[run, r["native_or_not"], m][r["example_id"]].append(r[m])
+    got = {(r["run"], r["native_or_not"], m): r[m] for r in catalog.run_comparison_all(spark, sf).collect() for m in metrics}
+    for key, value in got.items():
+        means = [sum(v) / len(v) for v in per[key].values()]
+        assert (value is None and not means) or abs(value - sum(means) / len(means)) < 1e-9
