@@ -163,6 +163,34 @@ def _partial_moments():
     return run
 
 
+def _summed_moments(df: DataFrame, vec: str, group: str) -> DataFrame:
+    """(grp, i, v): per group the count, sums and cross-products, from per-partition partials (groups x dim^2 numbers)."""
+    base = df.where(F.col(vec).isNotNull()).select(F.col(group).alias("grp"), F.col(vec).alias("v"))
+    grp = df.schema[group].dataType.simpleString()
+    return base.mapInPandas(_partial_moments(), f"grp {grp}, i int, v double").groupBy("grp", "i").agg(F.sum("v").alias("v"))
+
+
+def _covariance(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample covariance of one group's moments."""
+    vals = pdf.sort_values("i")["v"].to_numpy()
+    dim = int(round((np.sqrt(4 * len(vals) - 3) - 1) / 2))  # len = 1 + dim + dim^2
+    n, s, xx = vals[0], vals[1:1 + dim], vals[1 + dim:].reshape(dim, dim)
+    mean = s / n
+    return mean, (xx - n * np.outer(mean, mean)) / max(n - 1, 1)
+
+
+def group_covariance(df: DataFrame, vec: str = "scaled", group: str = "label") -> DataFrame:
+    """The input of E4: (group, i, j, cov) of every pair of dimensions i <= j, per group (sample covariance)."""
+    def cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, cov = _covariance(pdf)
+        i, j = np.triu_indices(len(cov))
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "i": i.astype(np.int32), "j": j.astype(np.int32), "cov": cov[i, j]})
+
+    grp = df.schema[group].dataType.simpleString()
+    out = _summed_moments(df, vec, group).groupBy("grp").applyInPandas(cells, f"grp {grp}, i int, j int, cov double")
+    return out.withColumnRenamed("grp", group)
+
+
 def project_2d(df: DataFrame, vec: str = "scaled", group: str = "label", key: str = "vec_id") -> DataFrame:
     """E4 (stands in for the single-machine layout step): per group, the projection on the two leading principal
     components. Moments are summed from per-partition partials (groups x dim^2 numbers), the 2 x dim components
@@ -170,22 +198,17 @@ def project_2d(df: DataFrame, vec: str = "scaled", group: str = "label", key: st
     base = df.where(F.col(vec).isNotNull()).select(
         F.col(group).alias("grp"), F.col(key).alias("__k"), F.col(vec).alias("v"))
     grp = df.schema[group].dataType.simpleString()
-    partials = base.select("grp", "v").mapInPandas(_partial_moments(), f"grp {grp}, i int, v double")
-    moments = partials.groupBy("grp", "i").agg(F.sum("v").alias("v"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        vals = pdf.sort_values("i")["v"].to_numpy()
-        dim = int(round((np.sqrt(4 * len(vals) - 3) - 1) / 2))  # len = 1 + dim + dim^2
-        n, s, xx = vals[0], vals[1:1 + dim], vals[1 + dim:].reshape(dim, dim)
-        mean = s / n
-        cov = (xx - n * np.outer(mean, mean)) / max(n - 1, 1)
+        mean, cov = _covariance(pdf)
+        dim = len(mean)
         w, v = np.linalg.eigh(cov)
         comps = v[:, np.argsort(w)[::-1][:2]].T
         comps = comps * np.sign(comps[np.arange(len(comps)), np.abs(comps).argmax(axis=1)])[:, None]
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "mean": [mean.tolist()],
                              "c1": [comps[0].tolist()], "c2": [comps[1].tolist() if len(comps) > 1 else [0.0] * dim]})
 
-    comps = moments.groupBy("grp").applyInPandas(
+    comps = _summed_moments(df, vec, group).groupBy("grp").applyInPandas(
         solve, f"grp {grp}, mean array<double>, c1 array<double>, c2 array<double>")
     j = base.join(comps, "grp")
     centered = F.zip_with(F.col("v"), F.col("mean"), lambda x, m: x - m)

@@ -31,8 +31,9 @@ def display_name(alias: str) -> str:
 
 def wide_to_long(df: DataFrame, model: str, modes: Sequence[str] = tuple(fixed.REPLY_SUFFIX), key: str = "row_id",
                  keep: Sequence[str] = ()) -> DataFrame:
-    """Long rows ``(key, *keep, model, mode, reply, side_output, accuracy)`` from a wide table whose reply column of
-    each mode is ``"<display> replies<suffix>"``. Absent columns read as NULL (P4); the accuracy column may be
+    """Long rows ``(key, *keep, model, mode, reply, side_output, accuracy, logprobs)`` from a wide table whose reply column of
+    each mode is ``"<display> replies<suffix>"`` and whose log-probabilities are in ``"<display> logprobs<suffix>"``, for guess
+    runs ``"guess_native logprobs<suffix>"``. Absent columns read as NULL (P4); the accuracy column may be
     named ``accuracy_score_<reply column>`` or ``accuracy`` (P3). Modes without a reply column are skipped."""
     name = display_name(model)
     cols = set(df.columns)
@@ -51,8 +52,9 @@ def wide_to_long(df: DataFrame, model: str, modes: Sequence[str] = tuple(fixed.R
         acc_col = acc if acc in cols else ("accuracy" if "accuracy" in cols else None)
         items.append(F.struct(
             F.lit(mode).alias("mode"), col_or_null(reply_col).alias("reply"), col_or_null(side).alias("side_output"),
-            col_or_null(acc_col, "double").alias("accuracy")))
+            col_or_null(acc_col, "double").alias("accuracy"),
+            col_or_null(f"{mode if mode == 'guess_native' else name} logprobs{fixed.REPLY_SUFFIX[mode]}").alias("logprobs")))
     if not items:
         raise ValueError(f"no reply column of model {model!r} in {sorted(cols)[:10]}…")
     return df.select(key, *keep, F.explode(F.array(*items)).alias("__r")).select(
-        key, *keep, F.lit(model).alias("model"), "__r.mode", "__r.reply", "__r.side_output", "__r.accuracy")
+        key, *keep, F.lit(model).alias("model"), "__r.mode", "__r.reply", "__r.side_output", "__r.accuracy", "__r.logprobs")

@@ -501,6 +501,11 @@ def cosine_knn(spark, sf):
     return vx.cosine_knn(scaled_embeddings(spark, sf), k=15).select("label", "vec_id", "rank", "neighbor_id")
 
 
+@query("group_covariance")
+def group_covariance(spark, sf):
+    return vx.group_covariance(scaled_embeddings(spark, sf))
+
+
 @query("pca_2d")
 def pca_2d(spark, sf):
     return vx.project_2d(scaled_embeddings(spark, sf))

@@ -774,6 +774,11 @@ scaled AS (SELECT e.vec_id, e.label, e.dim, (e.x - st.m) / CASE WHEN st.s = 0 TH
 
 SQL["standardize_vectors"] = f"WITH {_SCALED}\nSELECT vec_id, label, dim, value FROM scaled"
 
+SQL["group_covariance"] = f"WITH {_SCALED}" + """
+SELECT a.label, a.dim AS i, b.dim AS j, CASE WHEN count(*) > 1 THEN covar_samp(a.value, b.value) ELSE 0.0 END AS cov
+FROM scaled a JOIN scaled b ON a.vec_id = b.vec_id AND a.label = b.label AND a.dim <= b.dim GROUP BY a.label, a.dim, b.dim
+"""
+
 SQL["cosine_knn"] = f"WITH {_SCALED}" + """,
 sc AS (SELECT vec_id, label, list(value ORDER BY dim) AS v FROM scaled GROUP BY vec_id, label),
 pairs AS (SELECT a.label, a.vec_id, b.vec_id AS neighbor_id, list_cosine_similarity(a.v, b.v) AS sim

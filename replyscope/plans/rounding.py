@@ -22,6 +22,7 @@ DOUBLE_COLUMNS = {
     'comparison_pivot': ('model_a_standard_native', 'model_a_standard_non_native', 'model_a_native_native', 'model_a_native_non_native', 'model_a_non_native_native', 'model_a_non_native_non_native', 'model_a_guess_native_native', 'model_a_guess_native_non_native', 'model_a_guess_native_correct_native', 'model_a_guess_native_correct_non_native'),
     'comparison_pivot_dataset': ('model_a_standard_native', 'model_a_standard_non_native', 'model_a_native_native', 'model_a_native_non_native', 'model_a_non_native_native', 'model_a_non_native_non_native', 'model_a_guess_native_native', 'model_a_guess_native_non_native', 'model_a_guess_native_correct_native', 'model_a_guess_native_correct_non_native'),
     'guess_two_stage': ('temperature',),
+    'group_covariance': ('cov',),
     'greedy_match_score': ('precision', 'recall', 'f1'),
     'loglik_score': ('faithful', 'precision', 'recall', 'f1'),
     'macro_accuracy_dataset': ('accuracy',),

@@ -16,3 +16,12 @@ def test_model_names(spark):
     df = spark.createDataFrame([("qwen7B_chat",), ("mine",)], "model string")
     out = {r["model"]: (r["display"], r["checkpoint"]) for r in wide.with_model_names(df).collect()}
     assert out == {"qwen7B_chat": ("Qwen1.5-7B-Chat", "Qwen/Qwen1.5-7B-Chat"), "mine": ("mine", "mine")}
+
+
+def test_history_columns_and_logprobs(spark):
+    df = spark.createDataFrame(
+        [(1, "h", "texts", "n", "native texts", "[-1]", "[-2]")],
+        "row_id long, `gpt3.5 replies_history` string, added_history string, `gpt3.5 replies_history_native` string, "
+        "added_history_native string, `gpt3.5 logprobs_history` string, `gpt3.5 logprobs_history_native` string")
+    out = {r["mode"]: (r["reply"], r["side_output"], r["logprobs"]) for r in wide.wide_to_long(df, "gpt3").collect()}
+    assert out == {"add_history": ("h", "texts", "[-1]"), "add_history_native": ("n", "native texts", "[-2]")}
