@@ -54,8 +54,8 @@ def remove_lines(docs: DataFrame, min_bytes: int = 24) -> DataFrame:
     """Remove the lines of ``docs`` (doc_id, text, any further columns) that an earlier line of the table equals when normalised.
 
     One row per row: doc_id, k, k2 (the row's key, see ``row_key``), n_bytes, n_units, removed (array of (start, stop) in bytes of
-    the input, ascending) and kept (the rest, binary). Lines of fewer than ``min_bytes`` normalised bytes, such as empty
-    ones, stay. Null ids rank last. Rows with one id rank by place in the text and then by key; rows equal in id and text
+    the input, ascending) and kept (the rest, binary). Lines of fewer than ``min_bytes`` normalised bytes stay: with 1, as
+    op6_line_dedup asks for, only empty ones. Null ids rank last. Rows with one id rank by place in the text and then by key; rows equal in id and text
     count as one text, so they keep the same. Null texts count as empty."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), text_bytes().alias("t"))
     u = save(unit_table(src, min_bytes))

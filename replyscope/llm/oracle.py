@@ -70,7 +70,7 @@ WITH doc AS (
 ), placed AS (
   SELECT *, CAST(sum(strlen(part) + 1) OVER (PARTITION BY doc_id ORDER BY i) - strlen(part) - 1 AS BIGINT) AS start FROM line
 ), ranked AS (
-  SELECT *, strlen(norm) >= 24 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS gone,
+  SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS gone,
          least(start + strlen(part) + 1, n) AS stop
   FROM placed
 )

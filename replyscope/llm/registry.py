@@ -47,7 +47,7 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from replyscope.llm.line_dedup import digest, remove_lines
 
-    return digest(remove_lines(documents(spark, sf_dir)))
+    return digest(remove_lines(documents(spark, sf_dir), min_bytes=1))
 
 
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,23 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.remove_lines(empty_documents(spark)).count() == 0
 
 
+def test_every_line_but_empty_ones_is_a_unit(spark, tmp_path):
+    import duckdb
+
+    from replyscope.llm.registry import QUERIES, SQL
+
+    rows = [(1, "Les.\nown\n\n \t\nx"), (2, "x\n\nles. \n}\n}"), (3, "}"), (4, " \t\n\n"), (5, "É\né\nÉ"), (6, None)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op6_line_dedup"](spark, str(tmp_path)).collect()}
+    kept = {1: "Les.\nown\n\n \t\nx", 2: "\n}\n", 3: "", 4: " \t\n\n", 5: "É\né\n", 6: ""}
+    assert {d: r.kept_sha256 for d, r in got.items()} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in kept.items()}
+    assert [tuple(s) for s in got[2].removed] == [(0, 2), (3, 9), (11, 12)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    twin = con.execute(f"SELECT doc_id, n_removed, kept_sha256 FROM ({SQL['op6_line_dedup']})").fetchall()
+    assert sorted(twin) == sorted((d, r.n_removed, r.kept_sha256) for d, r in got.items())
+
+
 def test_license_sequences(spark):
     apache = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance."""
     header = (
