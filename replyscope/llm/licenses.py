@@ -1,7 +1,9 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
-A text is split into sentences, each normalised to its letters and digits. Known sentences have identifiers; a text's identifiers in
-order are its sequence. Rules, in order, name a licence for a run of identifiers; the run they match is taken out of the
+A text is normalised to its letters and digits, with borders where a sentence or a unit of its own may begin and end: at line feeds,
+behind . ! ? : before white space and behind list marks. A known sentence is found from border to border and may run over
+borders inside, so that wrapped lines, comment marks and blank lines before an address do not hide it, while headings and
+one-line notices still stand alone. A ; before white space is a border too, but its two sides count only if both are known. Known sentences have identifiers; a text's identifiers in order are its sequence. Rules, in order, name a licence for a run of identifiers; the run they match is taken out of the
 sequence, so that a longer rule placed first keeps a shorter one from matching its parts.
 """
 
@@ -12,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Sentences of public licences, normalised, by identifier.
+# Sentences of public licences, normalised, by identifier; * stands for one to twelve words.
 SENTENCES = {
     "mit-released": "released under the mit license",
     "mit-licensed": "licensed under the mit license",
@@ -33,6 +35,9 @@ SENTENCES = {
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-endorse": "neither the * nor the names of * may be used to endorse or promote products derived from this software without * prior written permission",
+    "bsd-name": "the name of * may not be used to endorse or promote products derived from this software without * prior written permission",
+    "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
     "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
 }
 # Ordered rules, licence and run of sentence identifiers.
@@ -52,19 +57,41 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
     ("CC-BY-4.0", ("cc-by-4",)),
+    ("BSD-4-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse")),
+    ("BSD-4-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-name")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("MPL-2.0", ("mpl-2",)),
 )
 #: Every known sentence holds one of these, so texts without them hold none.
-TRIGGERS = ("licen", "copyright", "permission", "redistribut", "this program")
+TRIGGERS = ("licen", "copyright", "permission", "redistribut", "this program", "advertis")
+#: Comment marks made of letters, at the start of a line; other marks are no letters or digits.
+COMMENT = r"(^|[\r\n])[ \t]*@?(?:rem|dnl|c)[ \t]"
+#: The conjunction of a list whose parts end in ; (at the start of a line, ; is a comment mark).
+PART = r"(?<=[^\s;]);\s+(?:and|or)(?=\s)"
+#: Borders: line ends, ends of sentences, and list marks such as (a) or 1).
+BORDER = r"""[\r\n]+|[.!?:]["')\]]*\s+|(?<!\S)\(?[0-9a-z]{1,2}\)\s"""
+
+
+def pattern(sentence: str) -> str:
+    """Regular expression of a known sentence, with the borders beside it, in a text normalised by ``sequence``."""
+    some = "[a-z0-9]+(?:[ |;]+[a-z0-9]+){0,11}?"
+    return "([|;])" + "[ |;]+".join(some if w == "*" else w for w in sentence.split()) + "([|;])"
 
 
 def sequence(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
-    """Identifiers of the known sentences of a text, in order. Sentences end at line feeds and behind . ! ? before white space."""
-    known = F.create_map(*[F.lit(x) for ident, s in sentences.items() for x in (s, ident)])
-    parts = F.split(F.regexp_replace(text, r"([.!?])[ \t\r]+", "$1\n"), "\n")
-    norm = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(norm, lambda s: F.element_at(known, s)), lambda x: x.isNotNull())
+    """Identifiers of the known sentences of a text, in order; of sentences that overlap, the longer one's."""
+    # Units stand between signs, "|a b||c;;d|", so that neighbours do not share one.
+    norm = F.regexp_replace(F.lower(text), r"[|]|;(?!\s|$)", " ")
+    norm = F.regexp_replace(F.regexp_replace(norm, COMMENT, "$1 "), PART, ";")
+    norm = F.concat(F.lit("|"), F.regexp_replace(norm, BORDER, "|"), F.lit("|"))
+    norm = F.regexp_replace(norm, "[^a-z0-9|;]+", " ")
+    norm = F.regexp_replace(F.regexp_replace(norm, r"[ ;]*\|[ |;]*", "||"), " ?;[ ;]*", ";;")
+    for ident, s in sorted(sentences.items(), key=lambda x: -len(x[1])):
+        norm = F.regexp_replace(norm, pattern(s), f"$1<{ident}>$2")
+    known = F.array_join(F.regexp_extract_all(norm, F.lit(r"\|(<[^>|]*>(?:;;<[^>|]*>)*)(?:;;[0-9a-z]{1,2})?\|"), F.lit(1)), "")
+    return F.regexp_extract_all(known, F.lit("<([^>]*)>"), F.lit(1))
 
 
 def license_scan(

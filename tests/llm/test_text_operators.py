@@ -69,6 +69,92 @@ def test_license_sequences(spark):
     assert licenses.license_scan(documents(spark, odd_rows())).count() == len(odd_rows())
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND
+"""
+APACHE = """Copyright 2020 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+CLAUSE = """3. Neither the name of the {} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+"""
+
+
+def test_wrapped_license_texts(spark):
+    texts = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-2.0-or-later": GPL, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + CLAUSE.format("copyright holder"), "MPL-2.0": MPL}
+    texts["GPL-3.0-or-later"] = GPL.replace("software;", "software:").replace("version 2", "version 3")
+    rows, want = [], {}
+    for name, t in texts.items():
+        lines = t.split("\n")
+        layouts = [t, t.replace("\n", "\r\n"), "\n\n".join(" ".join(x.split()) for x in t.split("\n\n")), *("".join(m + x + "\n" for x in lines) for m in (" * ", "// ", "# ", "; ", "dnl ", "REM "))]
+        for layout in layouts:
+            want[len(rows)] = [name]
+            rows.append((len(rows), layout))
+    bsd = [
+        (BSD + CLAUSE.format("University of X, Y and Z"), "BSD-3-Clause"), (BSD.replace("1.", "(a)").replace("2.", "b)") + CLAUSE.format("x").replace("3.", "* "), "BSD-3-Clause"),
+        (BSD + "3. All advertising materials mentioning features or use of this software\n   must display the following acknowledgement:\n   x\n" + CLAUSE.format("x"), "BSD-4-Clause"),
+        (BSD + "3. The name of the author may not be used to endorse or promote products\nderived from this software without specific prior written permission.", "BSD-3-Clause"),
+    ]
+    bsd.append((BSD.replace("disclaimer.", "disclaimer;").replace("distribution.", "distribution; and") + CLAUSE.format("x"), "BSD-3-Clause"))
+    bsd.append((" ".join(bsd[-1][0].split()), "BSD-3-Clause"))
+    notes = [("A heading\nLicensed under CC BY-NC 4.0\nmore text", "CC-BY-NC-4.0"), ("x y\nReleased under the\nMIT License\nz", "MIT")]
+    for t, name in bsd + notes:
+        want[len(rows)] = [name]
+        rows.append((len(rows), t))
+    for t in ("It is not released under the MIT License.", "Released under the MIT License of old.", "Released under\nthe old MIT License", "Released under the MIT License; not so."):
+        want[len(rows)] = []
+        rows.append((len(rows), t))
+    got = {r.doc_id: r for r in licenses.license_scan(documents(spark, rows)).collect()}
+    assert {i: r.licenses for i, r in got.items()} == want
+    assert all(r.unmatched == [] for r in got.values())
+
+
 def test_license_tables():
     assert all(any(t in s for t in licenses.TRIGGERS) for s in licenses.SENTENCES.values())
     assert all(i in licenses.SENTENCES for _, run in licenses.RULES for i in run)
