@@ -214,13 +214,13 @@ def settle(a: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def repeated_spans(docs: DataFrame, length: int, spread: int, step: int) -> DataFrame:
     """(k, k2, spans: array of (start, n)): runs of starts in ``docs`` (k, k2, t binary) whose ``length`` bytes also start
-    elsewhere; runs may touch."""
+    elsewhere; runs may touch. Rows equal in key share one list, in which each run stands once."""
     done, rest = settle(save(block_table(docs, length, spread)))
     for s in (step, 1):
         more, rest = settle(save(finer_table(docs, rest, length, s)))
         done = done.unionByName(more)
     size = F.col("shape").bitwiseAND(F.lit(0xFFFF))
-    return done.select("k", *split_p(), size.alias("n")).groupBy("k", "k2").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    return done.select("k", *split_p(), size.alias("n")).groupBy("k", "k2").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

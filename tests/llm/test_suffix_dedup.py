@@ -49,6 +49,18 @@ def test_low_entropy_and_odd_rows(spark):
     check(spark, rows + odd_rows())
 
 
+def test_spans_of_a_repeated_row_are_those_of_one_text(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(1, text)] * 60 + [(2, text[:100] + "#" + text[101:]), (3, text)]
+    src = documents(spark, rows).select("doc_id", F.xxhash64("doc_id", "text").alias("k"), F.hash("text", "doc_id").alias("k2"), F.col("text").cast("binary").alias("t"))
+    spans = {r.k: [tuple(s) for s in r.spans] for r in S.repeated_spans(src.select("k", "k2", "t"), 40, 17, 4).collect()}
+    assert len(spans) == 3 and all(len(s) == len(set(s)) <= 300 for s in spans.values())
+    check(spark, rows)
+
+
 def test_default_parameters(spark):
     rng = random.Random(3)
     base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
