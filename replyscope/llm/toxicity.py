@@ -168,7 +168,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes: int = 16_384, words: int = 8) -> Model:
     """Fit on ``docs`` with ``labels`` (doc_id, toxic), rows of the held-out part left out. The sample is bounded: the first
-    ``per_class`` labelled ids of each class by hash, and of them the texts of at most ``max_bytes`` bytes. Conflicting or null
+    ``per_class`` labelled ids of each class by hash, and of each the text of at most ``max_bytes`` bytes that comes first by hash. Conflicting or null
     labels of an id are left out."""
     lab = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     lab = lab.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
@@ -177,9 +177,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, max_bytes:
     text = docs.select("doc_id", text_bytes().alias("t")).where(F.octet_length("t").between(1, max_bytes))
     count = lab.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).where("toxic in (0, 1)").collect()
     n = {r.toxic: r.n for r in count}
-    rows = text.join(F.broadcast(pick), "doc_id").select("toxic", "t", "doc_id").collect()  # at most 2 * per_class rows
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.t)))
-    toxic, ordinary = ([bytes(r.t) for r in rows if r.toxic == c][:per_class] for c in (1, 0))
+    one = F.min(F.struct(F.xxhash64("t"), "t"))["t"].alias("t")
+    rows = text.join(F.broadcast(pick), "doc_id").groupBy("doc_id", "toxic").agg(one).collect()  # at most 2 * per_class rows
+    rows.sort(key=lambda r: r.doc_id)
+    toxic, ordinary = ([bytes(r.t) for r in rows if r.toxic == c] for c in (1, 0))
     return fit(toxic, ordinary, n.get(1, 0) / max(1, sum(n.values())), words)
 
 

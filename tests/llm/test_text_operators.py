@@ -191,6 +191,21 @@ def test_toxicity_of_separable_classes(model):
     assert 0 <= m.scores([b""])[0] < 0.5 and m.scores([b"river stone"])[0] < 0.5
 
 
+def test_toxicity_sample_has_one_row_of_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary, *a: seen.append((toxic, ordinary)))
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    rows = [(ids[0], f"copy {n}") for n in range(300)] + [(i, f"text {i}") for i in ids[1:]]
+    for order in (rows, rows[::-1]):
+        toxicity.train(documents(spark, order), labels, per_class=len(ids))
+    for toxic, ordinary in seen:
+        texts = sorted(toxic + ordinary)
+        assert sum(t.startswith(b"copy") for t in texts) == 1 and len(texts) == len(ids)
+        assert {t for t in texts if t.startswith(b"text")} == {f"text {i}".encode() for i in ids[1:]}
+    assert seen[0] == seen[1]
+
+
 def test_toxicity_odd_rows(spark, model):
     m = model[0]
     got = documents(spark, odd_rows()).select("doc_id", toxicity.toxicity(m).alias("s")).collect()
