@@ -64,8 +64,8 @@ RULES = (
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("MPL-2.0", ("mpl-2",)),
 )
-#: Every known sentence holds one of these, so texts without them hold none.
-TRIGGERS = ("licen", "copyright", "permission", "redistribut", "this program", "advertis")
+#: Every known sentence holds one of these, so texts without them hold none. No white space: triggers are sought in the text as it is.
+TRIGGERS = ("licen", "copyright", "permission", "redistribut", "warrant", "advertis")
 #: Comment marks made of letters, at the start of a line; other marks are no letters or digits.
 COMMENT = r"(^|[\r\n])[ \t]*@?(?:rem|dnl|c)[ \t]"
 #: The conjunction of a list whose parts end in ; (at the start of a line, ; is a comment mark).

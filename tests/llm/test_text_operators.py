@@ -155,6 +155,13 @@ def test_wrapped_license_texts(spark):
     assert all(r.unmatched == [] for r in got.values())
 
 
+def test_triggers_bear_any_space(spark):
+    warranty = licenses.SENTENCES["gpl-warranty"]
+    rows = [(i, warranty.replace("this program", x) + ".") for i, x in enumerate(("this  program", "This\tprogram", "this\nprogram", '"this" program'))]
+    assert all(r.sentence_ids == ["gpl-warranty"] for r in licenses.license_scan(documents(spark, rows)).collect())
+    assert not any(t.split() != [t] for t in licenses.TRIGGERS)
+
+
 def test_license_tables():
     assert all(any(t in s for t in licenses.TRIGGERS) for s in licenses.SENTENCES.values())
     assert all(i in licenses.SENTENCES for _, run in licenses.RULES for i in run)
