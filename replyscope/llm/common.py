@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder under the shared one that nothing else uses; not made yet."""
+    return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+
+
 def save(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet under the shared folder and read it back: lineage ends there, and a lost
     executor only costs its own unfinished tasks."""

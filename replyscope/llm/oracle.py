@@ -81,6 +81,57 @@ SELECT doc_id, any_value(n) AS n_bytes, CASE WHEN any_value(n) > 0 THEN any_valu
 FROM ranked GROUP BY doc_id
 """
 
+AUDIT = r"""
+WITH doc AS (
+  SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), first AS (
+  SELECT t, min(doc_id) AS first_id FROM doc GROUP BY t
+), mark AS (
+  SELECT doc_id, COALESCE(bool_or(quality = 1), false) AS good, COALESCE(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), class AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+                regexp_matches(t, '[#$%&*|]'), COALESCE(first_id < doc.doc_id, false)] AS fails,
+         COALESCE(good, false) AS good, COALESCE(toxic, false) AS toxic, count(*) AS n
+  FROM doc JOIN first USING (t) LEFT JOIN mark ON doc.doc_id = mark.doc_id GROUP BY ALL
+), letter AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), fate AS (
+  SELECT part, filter_order, good, toxic, n, fails, list_transform(string_split(filter_order, ''), lambda x: fails[ascii(x) - 64]) AS hit
+  FROM class, orders
+), step AS (
+  SELECT *, unnest([1, 2, 3, 4, 5]) AS step, COALESCE(NULLIF(list_position(hit, true), 0), 6) AS gone FROM fate
+), total AS (
+  SELECT part, filter_order, step, sum(n) FILTER (gone > step) AS kept, sum(n) FILTER (gone = step) AS removed,
+         sum(n) FILTER (hit[step] AND gone < step) AS redundant, sum(n) FILTER (hit[step] AND len(list_filter(hit, lambda x: x)) = 1) AS unique_fails,
+         sum(n) FILTER (gone = step AND good) AS good_lost, sum(n) FILTER (gone = step AND toxic) AS toxic_lost
+  FROM step GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(COALESCE(kept, 0) AS BIGINT) AS kept, CAST(COALESCE(removed, 0) AS BIGINT) AS removed,
+       CAST(COALESCE(redundant, 0) AS BIGINT) AS redundant, CAST(COALESCE(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(COALESCE(good_lost, 0) AS BIGINT) AS good_lost, CAST(COALESCE(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(COALESCE(sum(removed) OVER (PARTITION BY part, filter_order[step]), 0) AS BIGINT) AS shapley
+FROM total
+"""
+
+WARC = """
+WITH p AS (
+  SELECT page_id, COALESCE(html, '') AS html FROM pages
+), one AS (
+  SELECT html, max(page_id) AS last_id, strlen(html) AS payload_bytes, sha1(html) AS h FROM p GROUP BY html
+), digest AS (
+  SELECT html, last_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(h, CAST(1 + 10 * (i // 8) AS BIGINT), 10) AS UBIGINT) >> (35 - 5 * (i % 8))::UBIGINT) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest
+  FROM one
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN last_id IS NULL OR page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last_id IS NULL OR page_id = last_id THEN NULL ELSE last_id END AS refers_to
+FROM p JOIN digest USING (html)
+"""
+
 
 def _scan() -> str:
     quoted = ", ".join(f"'{s}'" for s in SENTENCES.values())
@@ -111,4 +162,6 @@ SQL = {
     "op5_exact_top_k": TOP_K,
     "op6_line_dedup": LINES,
     "op9_embedding_dedup": NEAR,
+    "op11_filter_audit": AUDIT,
+    "op13_warc_archive": WARC,
 }

@@ -82,6 +82,27 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from replyscope.llm.filter_audit import filter_audit, masks
+
+    return filter_audit(masks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from replyscope.llm.periodic_runs import digest, periodic_runs
+
+    return digest(periodic_runs(documents(spark, sf_dir), planted=True))
+
+
+def op13_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from replyscope.llm.common import new_folder
+    from replyscope.llm.warc import read_archive, write_archive
+
+    path = new_folder(spark, "warc")
+    write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return read_archive(spark, path).drop("url", "record_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
@@ -93,5 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bfd_packing": op8_bfd_packing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_warc_archive": op13_warc_archive,
 }
 
