@@ -20,6 +20,7 @@ from replyscope.operators import wide
 from replyscope.sources import fixtures as fx
 from replyscope.sources import io
 from replyscope.streaming import inference as inf
+from replyscope.streaming import stages as st
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -325,9 +326,36 @@ def infer_stub(spark, sf):
 
 @query("guess_two_stage")
 def guess_two_stage(spark, sf):
-    """C3 chained: the stub's guess goes into the second chat, and both answers are kept."""
+    """The stub's committed guess goes into the second chat, and both answers are kept."""
     df = validated(spark, sf).withColumn("model", F.lit(fx.RUN_MODEL)).withColumn("mode", F.lit("guess_native"))
-    return inf.run_guess_two_stage(df, inf.echo_model).select(*RUN_KEYS, "temperature", "side_output", "reply", "error")
+    out = st.run_two_stage(spark, df, st.guess_stages(), inf.echo_model, io.new_folder(spark, "guess"), chunks=2)
+    return out.select(*RUN_KEYS, "temperature", "side_output", "reply", "error")
+
+
+@query("gold_two_stage")
+def gold_two_stage(spark, sf):
+    """The stub's committed prompt fills the prompt instruction, and is kept beside the answer."""
+    df = fx.annotations(spark, sf).withColumn("prompt_instruction", fx.prompt_instruction())
+    df = df.withColumn("model", F.lit(fx.RUN_MODEL)).withColumn("mode", F.lit("gold"))
+    out = st.run_two_stage(spark, df, st.gold_stages(), inf.echo_model, io.new_folder(spark, "gold"), chunks=2)
+    return out.select(*RUN_KEYS, "temperature", "side_output", "reply", "error")
+
+
+@query("chat_gold_true")
+def chat_gold_true(spark, sf):
+    """Gold mode True answers the instruction as it stands."""
+    return _flat(P.build_messages(validated(spark, sf), gold_mode="True"))
+
+
+@query("stream_resume")
+def stream_resume(spark, sf):
+    """I1 as a stream: the requests arrive as files, half of them in a first run and all, the first ones again, in a second."""
+    base = io.new_folder(spark, "stream")
+    req = standard_requests(spark, sf).select(*RUN_KEYS, "messages", "temperature")
+    for part in (req.where(F.col("row_id") % 2 == 0), req):
+        part.write.mode("append").parquet(f"{base}/requests")
+        inf.stream_inference(spark, f"{base}/requests", req.schema, inf.echo_model, f"{base}/replies", f"{base}/log")
+    return spark.read.parquet(f"{base}/replies").select(*RUN_KEYS, "reply", "error")
 
 
 @query("resume_pending")

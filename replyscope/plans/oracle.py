@@ -450,6 +450,22 @@ SELECT row_id, 'model_a' AS model, 'guess_native' AS mode, {temperature()} AS te
 FROM annotations WHERE validated = 1
 """
 
+_PROMPT_INSTRUCTION = "('Write it for <markprompt>[Your Prompt]</markprompt>. ' || instruction)"
+_GOLD_USER = (f"{lit(fixed.WRITER_TASK)} || {task_def()} || {lit(fixed.WRITER_INSTRUCTION)} || {strip_tags(_PROMPT_INSTRUCTION)}"
+              f" || {lit(fixed.WRITER_DESIRED)} || req_output")
+SQL["gold_two_stage"] = with_views("annotations") + f"""
+, asked AS (SELECT *, {_GOLD_USER} AS wu, {_PROMPT_INSTRUCTION} AS pi FROM annotations),
+written AS (SELECT *, {echo('wu')} AS written FROM asked)
+SELECT row_id, 'model_a' AS model, 'gold' AS mode, {temperature()} AS temperature, written AS side_output, {echo(fill('pi', 'written'))} AS reply,
+       CAST(NULL AS VARCHAR) AS error
+FROM written
+"""
+
+SQL["chat_gold_true"] = with_views("annotations") + chat_rows(_VALID + " v", [
+    ("system", lit(fixed.SYSTEM_DEFAULT)), ("user", task_def()), ("assistant", lit(fixed.ACK_UNDERSTOOD)), ("user", "instruction")])
+
+SQL["stream_resume"] = SQL["infer_stub"]
+
 SQL["resume_pending"] = with_views("annotations", "runs") + """
 , wanted AS (SELECT row_id, 'model_a' AS model,
    unnest(['standard', 'add_all_native', 'add_all_non_native', 'guess_native', 'add_history']) AS mode

@@ -12,6 +12,7 @@ DOUBLE_COLUMNS = {
     'annotation_gap': ('gap_seconds',),
     'char_bleu': ('bleu',),
     'chat_gold': ('temperature',),
+    'chat_gold_true': ('temperature',),
     'chat_guess': ('temperature',),
     'chat_history': ('temperature',),
     'chat_history_native': ('temperature',),
@@ -21,6 +22,7 @@ DOUBLE_COLUMNS = {
     'chat_trial': ('temperature',),
     'comparison_pivot': ('model_a_standard_native', 'model_a_standard_non_native', 'model_a_native_native', 'model_a_native_non_native', 'model_a_non_native_native', 'model_a_non_native_non_native', 'model_a_guess_native_native', 'model_a_guess_native_non_native', 'model_a_guess_native_correct_native', 'model_a_guess_native_correct_non_native'),
     'comparison_pivot_dataset': ('model_a_standard_native', 'model_a_standard_non_native', 'model_a_native_native', 'model_a_native_non_native', 'model_a_non_native_native', 'model_a_non_native_non_native', 'model_a_guess_native_native', 'model_a_guess_native_non_native', 'model_a_guess_native_correct_native', 'model_a_guess_native_correct_non_native'),
+    'gold_two_stage': ('temperature',),
     'guess_two_stage': ('temperature',),
     'group_covariance': ('cov',),
     'greedy_match_score': ('precision', 'recall', 'f1'),

@@ -59,6 +59,11 @@ GUESS_TEXTS = ("a native one", "a non-native writer", "non-native, not a native"
 COHORT_RULES = {"western": (5, 0), "african": (7, 3), "student": (3, 1)}
 
 
+def prompt_instruction() -> Column:
+    """Invented instruction for the writer of a prompt."""
+    return F.concat(F.lit("Write it for <markprompt>[Your Prompt]</markprompt>. "), F.col("instruction"))
+
+
 def event_language() -> Column:
     """Invented language of an event's writer."""
     u = F.col("user_id")

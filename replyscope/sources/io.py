@@ -113,14 +113,19 @@ def read_request_shard(spark: SparkSession, path: str, shard: int) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/requests").where(F.col("shard") == shard)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` once as Parquet under the cluster's shared ``spark.checkpoint.dir`` and read it
-    back, so later reports over the same table (e.g. scores used by several comparisons) do not recompute it, and a
-    lost executor only re-reads files. Each call writes a fresh folder."""
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder under the cluster's shared ``spark.checkpoint.dir`` that nothing else uses; not made yet."""
     import uuid
 
     from replyscope.session import shared_dir
 
-    path = shared_dir(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
+    return shared_dir(spark, f"tables/{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write ``df`` once as Parquet under the cluster's shared ``spark.checkpoint.dir`` and read it
+    back, so later reports over the same table (e.g. scores used by several comparisons) do not recompute it, and a
+    lost executor only re-reads files. Each call writes a fresh folder."""
+    path = new_folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -5,7 +5,7 @@ The model function is the caller's: ``fn(chats, params) -> list[str]`` receives
 ``mapInPandas`` on the executors, in batches of ``batch_size`` chats; nothing is collected to the driver. A failing
 batch is retried with back-off and then chat by chat; rows that still fail come back with a NULL reply and the error text,
 and stay pending for the next run. Results are keyed by (row_id, model, mode), so a rerun recomputes only missing keys
-(``pending``) and appends; a lost task is simply recomputed by Spark.
+(``pending``) and appends; a lost task is simply recomputed by Spark. Runs of several stages are in ``stages``.
 """
 
 from __future__ import annotations
@@ -141,24 +141,6 @@ def run_inference(df: DataFrame, fn: ModelFn | None = None, keys: Sequence[str]
     return out if logprobs else out.drop("logprobs")
 
 
-def run_guess_two_stage(df: DataFrame, fn: ModelFn | None = None, keys: Sequence[str] = KEYS, **kwargs) -> DataFrame:
-    """C3 + C9 chained: asks the guess, puts its answer into the second chat and runs that. Rows of the ``runs`` schema:
-    ``(*keys, messages, temperature, reply, side_output, error)``, ``side_output`` the guess. A row whose guess failed keeps its
-    error and is not asked again."""
-    from replyscope.operators import prompts
-
-    asked = df.withColumn("messages", prompts.guess_question_chat(prompts.system_prompt("guess_native"), F.col("prompt_en")))
-    guess = run_inference(asked.withColumn("temperature", F.lit(0.0)), fn, keys, **kwargs)
-    guess = guess.withColumnsRenamed({"reply": "guess", "error": "guess_error"})
-    second = prompts.build_messages(df.join(guess, list(keys)), mode="guess_native")
-    second = second.withColumn("messages", F.when(F.col("guess").isNotNull(), F.col("messages")))
-    carried = second.withColumn("__id", F.struct(*keys, "messages", "temperature", "guess", "guess_error"))
-    out = run_inference(carried, fn, ("__id",), **kwargs)
-    return out.select("__id.*", "reply", "error").select(
-        *keys, "messages", "temperature", "reply", F.col("guess").alias("side_output"), F.coalesce("error", "guess_error").alias("error")
-    )
-
-
 def pending(df: DataFrame, done: DataFrame | None, keys: Sequence[str] = KEYS) -> DataFrame:
     """Rows without a finished reply (anti-join on the run keys)."""
     if done is None:
@@ -168,42 +150,70 @@ def pending(df: DataFrame, done: DataFrame | None, keys: Sequence[str] = KEYS) -
 
 
 def results(spark: SparkSession, path: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per key of a results folder: a finished reply if there is one, else a failed attempt."""
+    """One row per key of a results folder: a finished reply if there is one (of several always the same), else a failed attempt."""
     rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.col("reply").isNotNull()).alias("r")
+    rest = [c for c in rows.columns if c not in (*keys, *BUCKET_COLUMNS)]
+    order = F.struct(F.col("reply").isNotNull(), F.xxhash64(*rest))
+    best = F.max_by(F.struct(*rest), order).alias("r")
     return rows.groupBy(*keys).agg(best).select(*keys, "r.*")
 
 
+# A results folder is laid out by (model, mode,) buckets, bucket: ``bucket`` is the row's key hash modulo ``buckets``.
+BUCKET_COLUMNS = ("buckets", "bucket")
+
+
+def key_bucket(keys: Sequence[str], buckets: int):
+    """The bucket of a row's key."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def finished_in(spark: SparkSession, path: str, buckets: int, bucket: int) -> DataFrame | None:
+    """The results at ``path`` that may hold keys of one bucket: its own folder and rows dealt to another number of buckets. Other buckets'
+    folders are pruned, not read. None if there is no result yet."""
+    if not _exists(spark, path):
+        return None
+    rows = spark.read.parquet(path)
+    if "bucket" not in rows.columns:
+        return rows
+    return rows.where(((F.col("buckets") == buckets) & (F.col("bucket") == bucket)) | (F.col("buckets") != buckets))
+
+
 def run_resumable(spark: SparkSession, df: DataFrame, fn: ModelFn | None, path: str, keys: Sequence[str] = KEYS,
-                  chunks: int = 1, **kwargs) -> DataFrame:
-    """Infer only the rows of ``df`` that have no reply at ``path`` yet and append their results there
-    (Parquet, partitioned by model and mode). The rows are dealt to ``chunks`` by key hash, each inferred and committed by a
-    job of its own, so a run that dies keeps the chunks before. Returns one row per key at ``path`` (read back, so the model
-    is never called twice for one row). Rerunning a finished job writes no row."""
+                  chunks: int = 8, **kwargs) -> DataFrame:
+    """Infer only the rows of ``df`` that have no reply at ``path`` yet and append their results there
+    (Parquet, partitioned by model, mode and key bucket). The rows are dealt to ``chunks`` buckets by key hash, each inferred and committed by
+    a job of its own that reads the finished keys of its bucket only; a run that dies keeps the chunks before. Returns one row per key at
+    ``path`` (read back, so the model is never called twice for one row). Rerunning a finished job writes no row."""
     for i in range(chunks):
-        part = df.where(F.pmod(F.xxhash64(*keys), F.lit(chunks)) == i) if chunks > 1 else df
-        done = spark.read.parquet(path) if _exists(spark, path) else None
-        out = run_inference(pending(part, done, keys), fn, keys, **kwargs)
-        out.write.mode("append").partitionBy(*[k for k in ("model", "mode") if k in keys]).parquet(path)
+        part = df.where(key_bucket(keys, chunks) == i) if chunks > 1 else df
+        out = run_inference(pending(part, finished_in(spark, path, chunks, i), keys), fn, keys, **kwargs)
+        out = out.withColumns({"buckets": F.lit(chunks), "bucket": F.lit(i)})
+        out.write.mode("append").partitionBy(*[k for k in ("model", "mode") if k in keys], *BUCKET_COLUMNS).parquet(path)
     return results(spark, path, keys)
 
 
-def stream_inference(spark: SparkSession, source_path: str, schema: T.StructType, fn: ModelFn, sink_path: str,
-                     checkpoint: str, keys: Sequence[str] = KEYS, files_per_batch: int = 8, **kwargs):
-    """I1 as Structured Streaming: new Parquet files of prepared rows (with ``messages`` and ``temperature``)
-    are picked up, inferred and appended to ``sink_path``, ``files_per_batch`` at a time; the checkpoint records which files are
-    done, and the anti-join against the sink makes a replayed micro-batch write nothing twice. Runs all available input and
-    stops (``availableNow``)."""
+def stream_inference(spark: SparkSession, source_path: str, schema: T.StructType, fn: ModelFn | None, sink_path: str,
+                     checkpoint: str, keys: Sequence[str] = KEYS, files_per_batch: int = 8,
+                     watermark: tuple[str, str] | None = None, **kwargs):
+    """I1 as Structured Streaming: new Parquet files of prepared rows (with ``messages`` and ``temperature``) are picked up and
+    inferred, ``files_per_batch`` at a time, until all available input is done (``availableNow``).
+
+    Keys seen so far are kept in the query's state store (a keyed ``dropDuplicates``), so a micro-batch looks up its own keys and reads
+    nothing of the sink, however large that is. Each micro-batch writes the folder ``epoch=<id>``, overwriting it when
+    it is replayed after a failure, so a replay adds no row. The state holds every key; with ``watermark=(time column, delay)`` keys older than
+    the delay are forgotten. A key is sent once: rows whose call failed stay without a reply and are for ``run_resumable``."""
 
-    def batch(bdf: DataFrame, _epoch: int) -> None:
-        done = spark.read.parquet(sink_path) if _exists(spark, sink_path) else None
-        out = run_inference(pending(bdf, done, keys), fn, keys, **kwargs)
-        out.write.mode("append").partitionBy(*[k for k in ("model", "mode") if k in keys]).parquet(sink_path)
+    def batch(bdf: DataFrame, epoch: int) -> None:
+        out = run_inference(bdf, fn, keys, **kwargs)
+        out.write.mode("overwrite").partitionBy(*[k for k in ("model", "mode") if k in keys]).parquet(f"{sink_path.rstrip('/')}/epoch={epoch}")
 
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_path)
+    if watermark:
+        new = rows.withWatermark(*watermark).dropDuplicatesWithinWatermark(list(keys))
+    else:
+        new = rows.dropDuplicates(list(keys))
     q = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_path)
-        .writeStream.foreachBatch(batch)
+        new.writeStream.foreachBatch(batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -170,14 +170,49 @@ def test_logprobs_come_back_as_json(spark):
     assert r["reply"] == "a" and r["logprobs"] == '[{"token": "a", "logprob": -0.5}]'
 
 
-def test_guess_is_chained_and_kept(spark):
-    rows = [(i, i % 10, "Task.", "Answer: <markprompt>[Your Prompt]</markprompt>.", f"p{i}") for i in range(6)]
-    df = spark.createDataFrame(rows, "row_id long, dataset_id int, task_def string, instruction string, prompt_en string")
-    df = df.withColumn("model", F.lit("m")).withColumn("mode", F.lit("guess_native"))
+def test_a_chunk_reads_only_its_bucket(spark):
+    path = tempfile.mkdtemp(prefix="rs-bucket-") + "/out"
+    req = _requests(spark, 40)
+    inf.run_resumable(spark, req, inf.echo_model, path, chunks=4)
+    plan = inf.pending(req, inf.finished_in(spark, path, 4, 1))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan
+    assert len(inf.finished_in(spark, path, 4, 1).inputFiles()) > 0
+    files = set(inf.finished_in(spark, path, 4, 1).select(F.input_file_name()).distinct().toPandas().iloc[:, 0])
+    assert all("/bucket=1/" in f for f in files)
+    # Another number of chunks still finds every finished key.
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(chats, params):
+        calls.add(len(chats))
+        return inf.echo_model(chats, params)
+
+    assert inf.run_resumable(spark, req, counting, path, chunks=3).count() == 40 and calls.value == 0
+
+
+def test_of_two_replies_always_the_same(spark):
+    path = tempfile.mkdtemp(prefix="rs-two-") + "/out"
+    rows = [(1, "m", "standard", r, None, 1, 0) for r in ("b", "a", "c")] + [(1, "m", "standard", None, "down", 1, 0)]
+    df = spark.createDataFrame(rows, "row_id long, model string, mode string, reply string, error string, buckets int, bucket int")
+    for part in (df, df.orderBy("reply")):
+        part.write.mode("append").partitionBy("model", "mode", "buckets", "bucket").parquet(path)
+    picked = {inf.results(spark, path).first()["reply"] for _ in range(3)}
+    assert len(picked) == 1 and picked <= {"a", "b", "c"}
 
-    def model(chats, params):
-        return ["a native one" if len(c) == 2 else c[2]["content"] + "!" for c in chats]
 
-    out = inf.run_guess_two_stage(df, model).collect()
-    assert len(out) == 6 and all(r["side_output"] == "a native one" and r["reply"] == "a native one!" for r in out)
-    assert all(len(r["messages"]) > 2 for r in out)
+def test_stream_batches_do_not_read_the_sink(spark):
+    """A replayed micro-batch overwrites its own folder, and keys of earlier runs are known from the state."""
+    base = tempfile.mkdtemp(prefix="rs-state-")
+    src, sink, ckpt = f"{base}/in", f"{base}/out", f"{base}/ckpt"
+    req = _requests(spark).select("row_id", "model", "mode", "messages", "temperature")
+    for i in range(3):
+        req.where(F.col("row_id") % 3 <= i).coalesce(1).write.mode("append").parquet(src)
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(chats, params):
+        calls.add(len(chats))
+        return inf.echo_model(chats, params)
+
+    inf.stream_inference(spark, src, req.schema, counting, sink, ckpt, files_per_batch=1)
+    inf.stream_inference(spark, src, req.schema, counting, sink, ckpt, files_per_batch=1)
+    out = spark.read.parquet(sink)
+    assert out.count() == calls.value == 30 and out.select("epoch").distinct().count() == 3

@@ -13,6 +13,9 @@ SMOKE = "/root/testdata/sf0.001"
 PYTHON_OK = {"rouge_l", "rouge_lsum", "run_comparison", "comparison_pivot", "comparison_pivot_dataset", "greedy_match_score",
              "cosine_knn", "pca_2d", "infer_stub", "chat_gold", "judge_regroup", "embed_texts", "guess_two_stage", "scores_all", "run_comparison_all", "group_covariance"}
 
+# Queries whose feature is to write and commit tables: they run jobs when built.
+WRITES = {"guess_two_stage", "gold_two_stage", "stream_resume"}
+
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -30,7 +33,7 @@ def test_plan_shape(spark, name):
     assert not python or name in PYTHON_OK, name
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))
 def test_building_a_query_runs_no_job(spark, name):
     """Only reading the schemas of the files may start a job."""
     sc = spark.sparkContext
