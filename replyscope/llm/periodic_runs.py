@@ -3,7 +3,7 @@
 A run of period q holds at least four periods, so at the scale B (a power of two) with B <= q < 2 B it contains a whole block of B words,
 one of the blocks that start at multiples of B, and that block's copy q words later. For all blocks of a scale the sum of squared
 differences with each place of the following window, sum (u[i] - w[d + i])^2, comes from a number-theoretic transform modulo a prime, in
-integers without rounding; it is zero where the block occurs again. Each such distance d seeds an extension, which compares words
+whole numbers without rounding; it is zero where the block occurs again. Each such distance d seeds an extension, which compares words
 themselves: so a sum that is only zero modulo the prime finds nothing, and no occurrence is missed.
 """
 
@@ -18,62 +18,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 3 * 2**30 + 1 is prime and 5 generates its units: transforms of up to 2**30 terms, enough for any text of at most 2 GB.
-PRIME, GENERATOR = 3221225473, 5
+#: The modulus of the transforms, 2**16 + 1, and a generator of its units; transforms have up to 2**16 terms.
+PRIME, GENERATOR = 65537, 3
+#: Terms that one matrix product transforms. RADIX * PRIME**2 is far below 2**53, so the products' sums are exact integers in doubles.
+RADIX = 16
+#: Words of a block that are compared: a longer block is sought by its first so many words, and the extension compares the rest.
+BLOCK = 1 << 15
 #: Words of one pass over the scales, and terms transformed at once.
 PASS_WORDS, TERMS = 1 << 16, 1 << 16
 
 
-@lru_cache(maxsize=64)
-def _roots(half: int, inverse: bool) -> np.ndarray:
-    """The powers of a root of unity of order 2 * half, or of its inverse."""
-    root = pow(GENERATOR, (PRIME - 1) // (2 * half), PRIME)
-    root = pow(root, PRIME - 2, PRIME) if inverse else root
-    out = np.ones(1, np.uint64)
-    while len(out) < half:
-        out = np.concatenate([out, out * np.uint64(pow(root, len(out), PRIME)) % PRIME])
-    return out
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Whole numbers modulo the prime, in doubles: between 0 and the prime itself, which stands for 0 where the quotient is rounded down."""
+    return x - np.floor(x * (1 / PRIME)) * PRIME
 
 
-def _less(x: np.ndarray) -> np.ndarray:
-    """x below twice the prime, reduced: where the difference is negative, its sign bits let the prime be added again."""
-    y = x.view(np.int64) - PRIME
-    return (y + (y >> 63 & PRIME)).view(np.uint64)
+@lru_cache(maxsize=64)
+def _powers(n: int, rows: int, cols: int, inverse: bool) -> np.ndarray:
+    """w ** (i * j) for i < rows and j < cols, w a root of unity of order n or its inverse."""
+    root = pow(GENERATOR, (PRIME - 1) // n, PRIME)
+    root = pow(root, PRIME - 2, PRIME) if inverse else root
+    powers = np.array([pow(root, e, PRIME) for e in range(n)], float)
+    return powers[np.outer(np.arange(rows), np.arange(cols)) % n]
 
 
 def transform(a: np.ndarray) -> np.ndarray:
-    """Number-theoretic transform of each row (a power of two of terms), in bit-reversed order."""
-    rows, n = a.shape
-    while n > 1:
-        half = n // 2
-        a = a.reshape(-1, 2, half)
-        u, v = a[:, 0], a[:, 1]
-        a = np.stack([_less(u + v), _less(u + np.uint64(PRIME) - v) * _roots(half, False) % PRIME], axis=1)
-        n = half
-    return a.reshape(rows, -1)
+    """Number-theoretic transform along the last axis but one (a power of two of terms), its terms in an order of their own."""
+    *lead, n, r = a.shape
+    if n <= RADIX:
+        return reduced(_powers(n, n, n, False) @ a)
+    m = n // RADIX
+    a = reduced(_powers(RADIX, RADIX, RADIX, False) @ a.reshape(*lead, RADIX, m * r))
+    a = reduced(a.reshape(*lead, RADIX, m, r) * _powers(n, RADIX, m, False)[:, :, None])
+    return transform(a).reshape(*lead, n, r)
 
 
 def inverse(a: np.ndarray) -> np.ndarray:
-    """The rows whose ``transform`` is ``a``."""
-    rows, n = a.shape
-    half = 1
-    while half < n:
-        a = a.reshape(-1, 2, half)
-        u, v = a[:, 0], a[:, 1] * _roots(half, True) % PRIME
-        a = np.stack([_less(u + v), _less(u + np.uint64(PRIME) - v)], axis=1)
-        half *= 2
-    return a.reshape(rows, n) * np.uint64(pow(n, PRIME - 2, PRIME)) % PRIME
+    """What ``transform`` made ``a`` of, times the number of terms."""
+    *lead, n, r = a.shape
+    if n <= RADIX:
+        return reduced(_powers(n, n, n, True) @ a)
+    m = n // RADIX
+    a = reduced(inverse(a.reshape(*lead, RADIX, m, r)) * _powers(n, RADIX, m, True)[:, :, None])
+    return reduced(_powers(RADIX, RADIX, RADIX, True) @ a.reshape(*lead, RADIX, m * r)).reshape(*lead, n, r)
 
 
 def mismatch(blocks: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Per row the sums of squared differences, modulo the prime, of a block of B terms with the places 0 to B - 1 of its window of 2 B terms."""
-    b = blocks.shape[1]
+    """Per column the sums of squared differences, modulo the prime, of a block of b terms with the places 0 to b - 1 of its window of 2 b terms."""
+    b = len(blocks)
     turned = np.zeros_like(windows)
-    turned[:, 0], turned[:, 2 * b - b + 1 :] = blocks[:, 0], blocks[:, :0:-1]
-    products = inverse(transform(turned) * transform(windows) % PRIME)[:, :b]
-    sums = np.concatenate([np.zeros((len(windows), 1), np.uint64), np.cumsum(windows * windows % PRIME, axis=1)], axis=1)
-    own = (blocks * blocks % PRIME).sum(axis=1, dtype=np.uint64, keepdims=True)
-    return (own + (sums[:, b : 2 * b] - sums[:, :b]) + 2 * (np.uint64(PRIME) - products)) % PRIME
+    turned[0], turned[b + 1 :] = blocks[0], blocks[:0:-1]
+    products = reduced(inverse(reduced(transform(turned) * transform(windows)))[:b] * (2 * pow(2 * b, PRIME - 2, PRIME) % PRIME))
+    sums = np.concatenate([np.zeros((1, windows.shape[1])), np.cumsum(reduced(windows * windows), axis=0)])
+    own = reduced(blocks * blocks).sum(axis=0)
+    total = reduced(own + (sums[b : 2 * b] - sums[:b]) + (PRIME - products))
+    return np.where(total == PRIME, 0, total)
 
 
 def seeds(words: np.ndarray, ends: np.ndarray, starts: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,15 +81,19 @@ def seeds(words: np.ndarray, ends: np.ndarray, starts: np.ndarray, b: int) -> tu
     room = np.maximum((ends - starts - 2 * b - 1) // b, 0)  # blocks x with x + 3 b < end
     x = np.repeat(starts, room) + b * (np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room))
     end = np.repeat(ends, room)
-    found = []
-    for lo in range(0, len(x), max(TERMS // (2 * b), 1)):
-        at, stop = x[lo : lo + max(TERMS // (2 * b), 1), None], end[lo : lo + max(TERMS // (2 * b), 1), None]
-        windows = words[np.minimum(at + b + np.arange(2 * b), len(words) - 1)]
-        row, d = np.nonzero(mismatch(words[at + np.arange(b)], windows) == 0)
-        d += b
-        # The first block of a run starts less than b words after the run, which holds four periods.
-        fits = at[row, 0] + 4 * d - b < stop[row, 0]
-        found.append((at[row[fits], 0], d[fits]))
+    size = min(b, BLOCK)
+    found, some = [], max(TERMS // (2 * size), 1)
+    terms = (words % PRIME).astype(float)
+    for lo in range(0, len(x), some):
+        at, stop = x[lo : lo + some], end[lo : lo + some]
+        blocks = terms[at + np.arange(size)[:, None]]
+        for first in range(b, 2 * b, size):
+            windows = terms[np.minimum(at + first + np.arange(2 * size)[:, None], len(words) - 1)]
+            d, col = np.nonzero(mismatch(blocks, windows) == 0)
+            d += first
+            # The first block of a run starts less than b words after the run, which holds four periods.
+            fits = at[col] + 4 * d - b < stop[col]
+            found.append((at[col[fits]], d[fits]))
     return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (x, x)
 
 
@@ -120,7 +123,7 @@ def _prime_factors(n: int) -> Iterator[int]:
 
 
 def find_runs(words: np.ndarray, bounds: np.ndarray, periods: int = 4, least: int = 6) -> list[list[tuple[int, int, int]]]:
-    """The runs (start, length, period) of each text, by start and then period: text i is words[bounds[i]:bounds[i + 1]], as numbers below the prime.
+    """The runs (start, length, period) of each text, by start and then period: text i is words[bounds[i]:bounds[i + 1]], as numbers.
 
     A run is a stretch with smallest period q of at least ``periods`` (four or more) times q and ``least`` words that cannot be longer."""
     if periods < 4:

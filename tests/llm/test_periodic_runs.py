@@ -71,15 +71,25 @@ def test_runs_against_every_period(seed):
     assert pr.find_runs(np.array([x for t in texts for x in t], np.uint64), bounds) == [plain_runs(t) for t in texts]
 
 
-@pytest.mark.parametrize("b", [1, 2, 8, 64])
+@pytest.mark.parametrize("b", [1, 2, 8, 64, 512])
 def test_mismatch_is_exact(b):
     rng = np.random.default_rng(b)
-    blocks, windows = (rng.integers(0, 50_000, (7, k * b)).astype(np.uint64) for k in (1, 2))
-    windows[3, b // 2 : b // 2 + b] = blocks[3]
-    got = pr.mismatch(blocks, windows)
-    want = [[sum((int(u) - int(w)) ** 2 for u, w in zip(blocks[r], windows[r, d : d + b])) % pr.PRIME for d in range(b)] for r in range(7)]
-    assert got.tolist() == want and got[3, b // 2] == 0
-    assert (pr.inverse(pr.transform(windows)) == windows).all()
+    blocks, windows = (rng.integers(0, pr.PRIME, (k * b, 7)) for k in (1, 2))
+    windows[b // 2 : b // 2 + b, 3] = blocks[:, 3]
+    got = pr.mismatch(blocks.astype(float), windows.astype(float))
+    want = [[sum((int(u) - int(w)) ** 2 for u, w in zip(blocks[:, c], windows[d : d + b, c])) % pr.PRIME for c in range(7)] for d in range(b)]
+    assert got.tolist() == want and got[b // 2, 3] == 0
+    back = pr.reduced(pr.inverse(pr.transform(windows.astype(float))) * pow(2 * b, pr.PRIME - 2, pr.PRIME)) % pr.PRIME
+    assert (back == windows).all()
+
+
+def test_extreme_terms_stay_exact():
+    """All terms as large as they get, in the longest transform."""
+    n = 2 * pr.BLOCK
+    blocks, windows = np.full((n // 2, 1), pr.PRIME - 1.0), np.full((n, 1), pr.PRIME - 1.0)
+    assert (pr.mismatch(blocks, windows) == 0).all()
+    windows[5, 0] -= 1
+    assert np.flatnonzero(pr.mismatch(blocks, windows)[:, 0]).tolist() == list(range(6))
 
 
 def test_a_long_text_with_a_long_period():
@@ -87,6 +97,10 @@ def test_a_long_text_with_a_long_period():
     u = [rng.randint(0, 10**6) for _ in range(30_000)]
     w = np.array([1, 2, 3, *u * 4, u[0], u[1], 5, 6], np.uint64)
     assert pr.find_runs(w, np.array([0, len(w)])) == [[(3, 120_002, 30_000)]]
+    # Blocks longer than those compared, and more words than the prime.
+    u = rng.sample(range(10**6), 70_000)
+    w = np.array([*u[:9], *u * 4, *u[:3]], np.uint64)
+    assert pr.find_runs(w, np.array([0, len(w)])) == [[(9, 280_003, 70_000)]]
     same = np.full(100_000, 9, np.uint64)
     assert pr.find_runs(same, np.array([0, len(same)])) == [[(0, 100_000, 1)]]
 
