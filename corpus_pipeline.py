@@ -17,6 +17,11 @@ from replyscope.llm.suffix_dedup import clean_documents
 from replyscope.llm.toxicity import toxicity, train
 
 
+#: A passage of over 50 words that repeats across documents has to go: 95 of 100 stretches of 51 words that do have 254 bytes or
+#: more (sf0.1). Strings of 400 bytes, op1's length, would leave half of them.
+PASSAGE_BYTES = 250
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on this input's labelled rows, scores below 0.5."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -29,8 +34,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 400 bytes that occur more than once."""
-    return clean_documents(docs, length=400)
+    """Documents without the strings of PASSAGE_BYTES bytes that occur more than once."""
+    return clean_documents(docs, length=PASSAGE_BYTES, spread=129)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
