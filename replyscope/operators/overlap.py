@@ -133,6 +133,12 @@ def explode_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def scorable(reply: str = "reply", gold: str = "req_output", datasets: Sequence[int] | None = fixed.GENERATION_DATASETS) -> Column:
+    """Whether a row gets overlap scores: both texts are there and its dataset is one of ``datasets``."""
+    both = F.col(reply).isNotNull() & F.col(gold).isNotNull()
+    return both if datasets is None else both & F.coalesce(F.col("dataset_id").isin(*datasets), F.lit(False))
+
+
 def score_overlap(df: DataFrame, reply: str = "reply", gold: str = "req_output", keys: Sequence[str] = ("row_id",),
                   datasets: Sequence[int] | None = fixed.GENERATION_DATASETS, bleu: bool = True, rouge_n: bool = True,
                   rouge_l: bool = False, rouge_lsum: bool = False, partitions: int | None = None) -> DataFrame:
@@ -143,9 +149,7 @@ def score_overlap(df: DataFrame, reply: str = "reply", gold: str = "req_output",
     number is explicit on purpose: the n-gram explode multiplies a partition's size about 20-fold, so the
     partitioning must not be coalesced by the (pre-explode) input size."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    applicable = F.col(reply).isNotNull() & F.col(gold).isNotNull()
-    if datasets is not None:
-        applicable = applicable & F.col("dataset_id").isin(*datasets)
+    applicable = scorable(reply, gold, datasets)
     n_parts = partitions or explode_partitions(df)
     # One struct key, computed below the exchange: the aggregates and joins below then see exactly the
     # partitioning expression of the repartition, even when a key column is a constant that Catalyst would fold.

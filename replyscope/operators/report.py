@@ -44,6 +44,28 @@ def macro_average(df: DataFrame, cohort: str, by: Sequence[str] = (), metrics: S
     return inner.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in metrics])
 
 
+def macro_average_sets(df: DataFrame, cohort: str, by: Sequence[str] = (), sets: Sequence[str] = ("set_id", "dataset_id"),
+                       metrics: Sequence[str] = ("accuracy",), example: str = "example_id") -> DataFrame:
+    """A1-A3 in one pass: ``macro_average`` overall and per each column of ``sets``, with ``GROUPING SETS`` for both stages.
+
+    ``level`` names the column that a row is broken down by (``overall`` for none); the other columns of ``sets`` are NULL. The first
+    stage's partial sums of all levels come from one scan and are the only data shuffled at full width."""
+    keys = [cohort, *by]
+    rows = df.where(_not_null([*keys, example]))
+    levels = [[F.col(c) for c in (*keys, example, *extra)] for extra in [(), *[(c,) for c in sets]]]
+    bit = {c: len(sets) - 1 - i for i, c in enumerate(sets)}  # a column's place in grouping_id: 1 where it is rolled up
+    inner = rows.groupingSets(levels, *keys, example, *sets).agg(
+        F.grouping_id().alias("__level"), *[F.avg(F.col(m).cast("double")).alias(m) for m in metrics])
+    everything = (1 << len(sets)) - 1
+    name = F.lit("overall")
+    for c in sets:
+        here = F.col("__level") == everything - (1 << bit[c])
+        # Rows whose own key is NULL are dropped, as in the single reports.
+        inner = inner.where(~here | F.col(c).isNotNull())
+        name = F.when(here, F.lit(c)).otherwise(name)
+    return inner.withColumn("level", name).groupBy("level", *keys, *sets).agg(*[F.avg(m).alias(m) for m in metrics])
+
+
 def metric_columns(kind: str = "all") -> tuple[str, ...]:
     """A4: classification -> accuracy; generation -> bertscore_f1; all -> the 13 metric columns."""
     if kind == "classification":
@@ -137,10 +159,11 @@ def fill_missing_accuracy(scores: DataFrame) -> DataFrame:
 
 
 def multi_ref(scores: DataFrame, key: str = "row_id", ref: str = "ref_idx", score: str = "score",
-              agg="mean") -> DataFrame:
+              agg="mean", refs: int | None = None) -> DataFrame:
     """Combine the scores of several references per row by mean or max (``agg`` may also be a sequence,
     giving one ``<score>_<agg>`` column each, from one aggregate). Every row must have the same number of
-    references; the plan compares each row's number with the largest and fails the job otherwise."""
+    references, or the job fails: ``refs`` if given, which takes one pass over ``scores``, else the largest number of any
+    row, for which the references are counted in a pass of their own."""
     aggs = [agg] if isinstance(agg, str) else list(agg)
     if any(a not in ("mean", "max") for a in aggs):
         raise NotImplementedError(agg)
@@ -148,6 +171,6 @@ def multi_ref(scores: DataFrame, key: str = "row_id", ref: str = "ref_idx", scor
     names = [score] if isinstance(agg, str) else [f"{score}_{a}" for a in aggs]
     per_row = scores.groupBy(key).agg(
         F.count(F.col(ref)).alias("n_refs"), *[fns[a](score).alias(n) for a, n in zip(aggs, names)])
-    most = scores.groupBy(key).agg(F.count(F.col(ref)).alias("n")).agg(F.max("n")).scalar()
+    most = F.lit(refs) if refs is not None else scores.groupBy(key).agg(F.count(F.col(ref)).alias("n")).agg(F.max("n")).scalar()
     guard = F.when(F.col("n_refs") != most, F.raise_error(F.lit("rows have different numbers of references")).cast("double"))
     return per_row.select(key, *[F.coalesce(guard, F.col(n)).alias(n) for n in names])

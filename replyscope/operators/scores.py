@@ -1,15 +1,25 @@
-"""The score table (J4): every metric of a run's row in one place, keyed by (row_id, model, mode)."""
+"""The score table (J4, S4): every metric of a run's row in one place, keyed by (row_id, model, mode).
+
+``update_scores`` keeps a stored table up to date: only rows that it does not hold yet are scored and appended. A stored score carries a
+fingerprint of the values it was made from, so a row whose reply or gold answer changed is scored again and its old score is not
+read any more. Reports attach the stored scores with ``with_scores`` and compute no metric themselves.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from replyscope.functions import fixed
 from replyscope.operators import accuracy, modelscores, overlap
+from replyscope.sources import io
 
 KEYS = ("row_id", "model", "mode")
+# What a row's scores depend on, and the column that holds the fingerprint of it.
+INPUTS = ("dataset_id", "reply", "req_output", "generated_req_output")
+INPUT = "input_hash"
 
 
 def score_all(runs: DataFrame, vectors: DataFrame, logprobs: DataFrame, gold: str = "req_output", keys: Sequence[str] = KEYS,
@@ -24,3 +34,42 @@ def score_all(runs: DataFrame, vectors: DataFrame, logprobs: DataFrame, gold: st
         renamed = part.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in part.columns if c not in keys])
         out = out.join(renamed, list(keys), "left")
     return out
+
+
+def read_scored(spark: SparkSession, path: str, keys: Sequence[str] = KEYS) -> DataFrame | None:
+    """The stored score table, one row per key and fingerprint; None if there is none yet."""
+    if not io.exists(spark, path):
+        return None
+    return spark.read.parquet(path).dropDuplicates([*keys, INPUT])
+
+
+def with_input(runs: DataFrame, inputs: Sequence[str] = INPUTS) -> DataFrame:
+    return runs.withColumn(INPUT, F.xxhash64(*inputs))
+
+
+def pending_scores(runs: DataFrame, path: str, keys: Sequence[str] = KEYS, inputs: Sequence[str] = INPUTS) -> DataFrame:
+    """The rows of ``runs`` (with their fingerprint) that the table at ``path`` holds no score of."""
+    rows = with_input(runs, inputs)
+    done = read_scored(runs.sparkSession, path, keys)
+    return rows if done is None else rows.join(done.select(*keys, INPUT), [*keys, INPUT], "left_anti")
+
+
+def update_scores(runs: DataFrame, path: str, score: Callable[[DataFrame], DataFrame], keys: Sequence[str] = KEYS,
+                  inputs: Sequence[str] = INPUTS, metrics: Sequence[str] = fixed.ALL_METRICS) -> None:
+    """Append the ``metrics`` of the rows of ``runs`` that the table at ``path`` (Parquet, partitioned by model and mode) does not
+    hold yet. ``score`` adds them to the rows it is given and keeps the other columns, e.g. ``score_all`` with its token tables. The rows to
+    score are written once before, as they are read several times. A run that finds nothing new calls ``score`` not at all; one that dies
+    appends nothing and is simply repeated."""
+    new = pending_scores(runs, path, keys, inputs)
+    if new.isEmpty():
+        return
+    scored = score(io.materialize(new, "to-score")).select(*keys, INPUT, *metrics)
+    scored.write.mode("append").partitionBy(*[k for k in ("model", "mode") if k in keys]).parquet(path)
+
+
+def with_scores(runs: DataFrame, path: str, keys: Sequence[str] = KEYS, inputs: Sequence[str] = INPUTS) -> DataFrame:
+    """``runs`` with the metrics stored at ``path`` (NULL for rows not scored yet)."""
+    stored = read_scored(runs.sparkSession, path, keys)
+    if stored is None:
+        raise ValueError(f"no score table at {path}: run update_scores first")
+    return with_input(runs, inputs).join(stored, [*keys, INPUT], "left").drop(INPUT)

@@ -24,21 +24,20 @@ def gap_to_previous(df: DataFrame, user: str = "user_id", ts: str = "time", tie:
     A gap equal to the cap or above becomes the cap (strict ``<``); a writer's first row, a NULL time and a NULL
     writer get the cap. ``bucket`` is the ``date_trunc`` unit of the first phase."""
     cap = float(cap_minutes) * 60.0
-    b = F.date_trunc(bucket, F.col(ts))
-    rows = df.withColumn("__tb", b)
-    order = [F.col(ts).asc_nulls_last(), *[F.col(t).asc_nulls_last() for t in tie]]
+    # Rows without a writer or a time need no order: they stay out of the windows, where they would all share one.
+    placed = F.col(user).isNotNull() & F.col(ts).isNotNull()
+    rest = df.where(~placed).withColumn(out, F.lit(cap))
+    rows = df.where(placed).withColumn("__tb", F.date_trunc(bucket, F.col(ts)))
+    order = [F.col(ts).asc(), *[F.col(t).asc_nulls_last() for t in tie]]
     rows = rows.withColumn("__prev", F.lag(ts).over(Window.partitionBy(user, "__tb").orderBy(*order)))
     last = rows.groupBy(user, "__tb").agg(F.max(ts).alias("__last"))
-    last = last.withColumn(
-        "__carry", F.lag("__last").over(Window.partitionBy(user).orderBy(F.col("__tb").asc_nulls_last()))
-    ).drop("__last")
+    last = last.withColumn("__carry", F.lag("__last").over(Window.partitionBy(user).orderBy("__tb"))).drop("__last")
     # Rows of a bucket other than its first have an in-bucket predecessor; the first takes the carried time.
     rows = rows.join(last, [user, "__tb"], "left")
     prev = F.coalesce(F.col("__prev"), F.col("__carry"))
     gap = F.timestamp_diff("MICROSECOND", prev, F.col(ts)) / F.lit(1e6)
-    valid = F.col(user).isNotNull()
-    capped = F.when(valid & (gap < F.lit(cap)), gap).otherwise(F.lit(cap))
-    return rows.withColumn(out, capped).drop("__tb", "__prev", "__carry")
+    rows = rows.withColumn(out, F.when(gap < F.lit(cap), gap).otherwise(F.lit(cap)))
+    return rows.select(*df.columns, out).unionByName(rest)
 
 
 def mean_gap(df: DataFrame, keys: Sequence[str], gap: str = GAP) -> DataFrame:

@@ -1,21 +1,22 @@
-"""Embedding statistics: encode texts through a caller's encoder (E1), per-dataset standardisation (E2), exact
-cosine k-nearest-neighbour graph per dataset (E3), 2-D projection (E4) and scatter data (E5).
+"""Embedding statistics: encode texts through a caller's encoder (E1), per-dataset standardisation (E2), exact and
+approximate cosine k-nearest-neighbour graph per dataset (E3), 2-D projection (E4) and scatter data (E5).
 
 E3 is exact without materialising vector pairs as rows: each dataset's vectors are cut into hash blocks of bounded
 size; for every pair of blocks (i <= j) one task multiplies the two blocks in numpy and keeps only each row's k
 best candidates; a final top-k per row merges the blocks. Work is the unavoidable n^2 * d of exact kNN, but shuffled
-data is n * blocks * d and the candidate rows are n * k * blocks."""
+data is n * blocks * d and the candidate rows are n * k * blocks. Where n^2 is too much, ``cosine_knn_lsh`` compares only vectors
+that share a bucket of random hyperplanes."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,31 +119,96 @@ def _block_topk(k: int):
     return run
 
 
-def cosine_knn(df: DataFrame, vec: str = "scaled", group: str = "label", key: str = "vec_id", k: int = 15,
-               block_rows: int = 1024) -> DataFrame:
-    """For every vector its k most cosine-similar other vectors of the same group: ``(group, key, rank,
-    neighbor_id, sim)``, ties broken by the smaller neighbour id."""
-    base = df.where(F.col(vec).isNotNull() & F.col(group).isNotNull()).select(
+def _unit_rows(df: DataFrame, vec: str, group: str, key: str) -> DataFrame:
+    """(grp, id, v): the vectors scaled to length 1."""
+    return df.where(F.col(vec).isNotNull() & F.col(group).isNotNull()).select(
         F.col(group).alias("grp"), F.col(key).alias("id"), normalize(vec).alias("v"))
-    sizes = base.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).select(
-        "grp", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("long").alias("nb"))
-    blocked = base.join(sizes, "grp").withColumn("b", F.pmod(hash60(F.col("id")), F.col("nb")))
-    blocks = blocked.groupBy("grp", "b", "nb").agg(
+
+
+def _cell_candidates(base: DataFrame, cell: Sequence[str], k: int, block_rows: int) -> DataFrame:
+    """(grp, vec_id, neighbor_id, sim): for each row of ``base`` (grp, id, v and the columns of ``cell``) at least its ``k`` most
+    similar other rows of the same cell. Cells are cut into hash blocks of about ``block_rows`` rows, and each pair of blocks of a cell is
+    one row, multiplied in numpy: no cell, however large, meets in one task."""
+    by = list(cell)
+    sizes = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).select(
+        *by, F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("long").alias("nb"))
+    blocked = base.join(sizes, by).withColumn("b", F.pmod(hash60(F.col("id")), F.col("nb")))
+    blocks = blocked.groupBy(*by, "b", "nb").agg(
         F.collect_list("id").alias("ids"), F.collect_list("v").alias("vecs"))
     # Pair keys (i <= j): block i is sent to pairs (i, j>=i), block j to pairs (i<=j, j); one row per pair each side.
-    left = blocks.select("grp", F.col("b").alias("bi"), F.explode(F.sequence(F.col("b"), F.col("nb") - 1)).alias("bj"),
+    left = blocks.select(*by, F.col("b").alias("bi"), F.explode(F.sequence(F.col("b"), F.col("nb") - 1)).alias("bj"),
                          F.col("ids").alias("ids_a"), F.col("vecs").alias("vecs_a"))
-    right = blocks.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("bi"),
+    right = blocks.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("bi"),
                           F.col("b").alias("bj"), F.col("ids").alias("ids_b"), F.col("vecs").alias("vecs_b"))
-    pairs = left.join(right, ["grp", "bi", "bj"])
-    kinds = [df.schema[c].dataType for c in (group, key, key)] + [T.DoubleType()]
+    pairs = left.join(right, [*by, "bi", "bj"]).select("grp", "bi", "bj", "ids_a", "vecs_a", "ids_b", "vecs_b")
+    kinds = [base.schema[c].dataType for c in ("grp", "id", "id")] + [T.DoubleType()]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(("grp", "vec_id", "neighbor_id", "sim"), kinds)])
-    cands = pairs.mapInPandas(_block_topk(k), schema)
+    return pairs.mapInPandas(_block_topk(k), schema)
+
+
+def _ranked(candidates: DataFrame, group: str, key: str, k: int) -> DataFrame:
     w = Window.partitionBy("grp", "vec_id").orderBy(F.col("sim").desc(), F.col("neighbor_id"))
-    ranked = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("grp").alias(group), F.col("vec_id").alias(key), "rank", "neighbor_id", "sim")
 
 
+def cosine_knn(df: DataFrame, vec: str = "scaled", group: str = "label", key: str = "vec_id", k: int = 15,
+               block_rows: int = 1024) -> DataFrame:
+    """For every vector its k most cosine-similar other vectors of the same group: ``(group, key, rank,
+    neighbor_id, sim)``, ties broken by the smaller neighbour id."""
+    return _ranked(_cell_candidates(_unit_rows(df, vec, group, key), ["grp"], k, block_rows), group, key, k)
+
+
+def hyperplane(table: int, bit: int, dim: int, seed: int) -> np.ndarray:
+    """The normal of one random hyperplane: Gaussian, the same wherever it is drawn."""
+    return np.random.default_rng([seed, table, bit, dim]).standard_normal(dim)
+
+
+def _bucket_codes(tables: int, probes: int, seed: int):
+    """From (grp, bits, id, v) a row for each table and probed bucket: (grp, table, code, id, v). A vector's own bucket has the signs of ``bits``
+    hyperplanes; its further ones have the least certain signs turned, one at a time."""
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes: dict = {}
+        for pdf in it:
+            dims = pdf["v"].map(len).to_numpy()
+            for (bits, dim), rows in pdf.groupby([pdf["bits"].to_numpy(), dims]):
+                x = np.vstack(rows["v"].to_numpy()).astype(np.float64)
+                for t in range(tables if bits else 1):
+                    if (t, bits, dim) not in planes:
+                        planes[t, bits, dim] = np.array([hyperplane(t, i, dim, seed) for i in range(bits)]).reshape(bits, dim)
+                    side = x @ planes[t, bits, dim].T
+                    own = (side > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64)
+                    unsure = np.argsort(np.abs(side), axis=1, kind="stable")[:, :probes]
+                    for code in [own, *(own ^ (1 << unsure[:, p]) for p in range(unsure.shape[1]))]:
+                        yield pd.DataFrame({"grp": rows["grp"], "table": np.int32(t), "code": code.astype(np.int64), "id": rows["id"], "v": rows["v"]})
+
+    return run
+
+
+def cosine_knn_lsh(df: DataFrame, vec: str = "scaled", group: str = "label", key: str = "vec_id", k: int = 15,
+                   bucket_rows: int = 1024, tables: int = 8, probes: int = 3, seed: int = 0) -> DataFrame:
+    """E3 for groups too large for all pairs: the output of ``cosine_knn``, neighbours sought in random-hyperplane buckets only.
+
+    A group of n vectors gets log2(n / bucket_rows) hyperplanes per table, so that buckets hold about ``bucket_rows`` whatever n is, and each
+    vector lies in 1 + ``probes`` buckets of each of ``tables`` tables: the work is n * bucket_rows * tables * (1 + probes)^2 similarities instead
+    of n^2. A bucket that is larger (many vectors on one spot) is cut into blocks like a group of ``cosine_knn``, so no task holds
+    it whole. Similarities of all candidates are exact; a neighbour that shares no bucket is missed, so rows of few or no
+    candidates may come short of ``k``. More tables and probes find more. A group of at most ``bucket_rows`` vectors is one bucket, and exact."""
+    base = _unit_rows(df, vec, group, key)
+    sizes = base.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(bucket_rows)))).cast("int")
+    rows = base.join(sizes.select("grp", bits.alias("bits")), "grp").select("grp", "bits", "id", "v")
+    schema = T.StructType([
+        T.StructField("grp", base.schema["grp"].dataType), T.StructField("table", T.IntegerType()), T.StructField("code", T.LongType()),
+        T.StructField("id", base.schema["id"].dataType), T.StructField("v", T.ArrayType(T.DoubleType())),
+    ])
+    cells = rows.mapInPandas(_bucket_codes(tables, probes, seed), schema)
+    found = _cell_candidates(cells, ["grp", "table", "code"], k, bucket_rows)
+    # A pair may meet in several buckets.
+    found = found.where(F.col("vec_id") != F.col("neighbor_id")).groupBy("grp", "vec_id", "neighbor_id").agg(F.max("sim").alias("sim"))
+    return _ranked(found, group, key, k)
+
+
 # ------------------------------------------------------------------------------------------------ E4
 
 def _partial_moments():
@@ -191,12 +257,13 @@ def group_covariance(df: DataFrame, vec: str = "scaled", group: str = "label") -
     return out.withColumnRenamed("grp", group)
 
 
-def project_2d(df: DataFrame, vec: str = "scaled", group: str = "label", key: str = "vec_id") -> DataFrame:
-    """E4 (stands in for the single-machine layout step): per group, the projection on the two leading principal
-    components. Moments are summed from per-partition partials (groups x dim^2 numbers), the 2 x dim components
-    per group are solved on that small table and joined back. Each component's largest loading is positive."""
-    base = df.where(F.col(vec).isNotNull()).select(
-        F.col(group).alias("grp"), F.col(key).alias("__k"), F.col(vec).alias("v"))
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def principal_components(df: DataFrame, vec: str = "scaled", group: str = "label") -> DataFrame:
+    """(group, mean, c1, c2): the mean and the two leading principal components of each group, from its summed moments: one dim x dim
+    matrix per group, however many rows it has. Each component's largest loading is positive."""
     grp = df.schema[group].dataType.simpleString()
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -208,9 +275,17 @@ def project_2d(df: DataFrame, vec: str = "scaled", group: str = "label", key: st
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "mean": [mean.tolist()],
                              "c1": [comps[0].tolist()], "c2": [comps[1].tolist() if len(comps) > 1 else [0.0] * dim]})
 
-    comps = _summed_moments(df, vec, group).groupBy("grp").applyInPandas(
-        solve, f"grp {grp}, mean array<double>, c1 array<double>, c2 array<double>")
-    j = base.join(comps, "grp")
+    out = _summed_moments(df, vec, group).groupBy("grp").applyInPandas(solve, f"grp {grp}, mean array<double>, c1 array<double>, c2 array<double>")
+    return out.withColumnRenamed("grp", group)
+
+
+def project_2d(df: DataFrame, vec: str = "scaled", group: str = "label", key: str = "vec_id") -> DataFrame:
+    """E4 (stands in for the single-machine layout step): per group, the projection of the centred vectors on the two leading principal
+    components: (group, key, pc1, pc2). Moments are summed from per-partition partials (groups x dim^2 numbers), the 2 x dim
+    components per group come from that small table and are joined back with the means."""
+    base = df.where(F.col(vec).isNotNull()).select(
+        F.col(group).alias("grp"), F.col(key).alias("__k"), F.col(vec).alias("v"))
+    parts = principal_components(df, vec, group).withColumnRenamed(group, "grp")
+    j = base.join(parts, "grp")
     centered = F.zip_with(F.col("v"), F.col("mean"), lambda x, m: x - m)
-    dot = lambda c: F.aggregate(F.zip_with(centered, F.col(c), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return j.select(F.col("grp").alias(group), F.col("__k").alias(key), dot("c1").alias("pc1"), dot("c2").alias("pc2"))
+    return j.select(F.col("grp").alias(group), F.col("__k").alias(key), _dot(centered, F.col("c1")).alias("pc1"), _dot(centered, F.col("c2")).alias("pc2"))

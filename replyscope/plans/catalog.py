@@ -101,6 +101,15 @@ query("macro_accuracy_dataset")(lambda spark, sf: _macro_accuracy(spark, sf, by=
 query("no3")(lambda spark, sf: _macro_accuracy(spark, sf, drop3=True))
 
 
+@query("macro_accuracy_sets")
+def macro_accuracy_sets(spark, sf):
+    """A1-A3: overall, per set and per dataset in one pass."""
+    df = acc.score_accuracy(labeled(spark, sf).where(F.col("validated") == 1))
+    long = coh.unpivot_cohorts(df, REPORT_COHORTS, keep=["example_id", "set_id", "dataset_id", "accuracy"])
+    return report.macro_average_sets(long, "cohort", by=["cohort_type"]).select(
+        "level", "cohort_type", "cohort", "set_id", "dataset_id", "accuracy")
+
+
 @query("guess_labels")
 def guess_labels(spark, sf):
     runs = fx.runs(fx.annotations(spark, sf)).where(F.col("mode") == "guess_native")
@@ -449,15 +458,22 @@ def gold_join(spark, sf):
     return joins.join_gold(ann, fx.gold(ann)).select("row_id", "nat_instr_id", "generated_req_output")
 
 
-def scored_runs_full(spark, sf, rouge_lsum=False):
+def score_runs(runs):
+    """All metrics of ``runs``, the model-based ones from the stand-in token tables."""
+    pairs = fx.run_pairs(runs)
+    vectors, logprobs = fx.token_vectors(pairs, keys=RUN_KEYS), fx.token_logprobs(pairs, refs=1, keys=RUN_KEYS)
+    return scores.score_all(runs, vectors, logprobs, "generated_req_output", RUN_KEYS)
+
+
+def scored_runs_full(spark, sf):
     """Runs scored against the generated gold (approach 2): accuracy on the original gold, all other metrics against
-    the gold join's answer, cohort and guess labels."""
+    the gold join's answer, cohort and guess labels. The scores are those of one table that all reports of an application
+    share: the first one that needs a score computes and stores it."""
     ann = fx.annotations(spark, sf)
     runs = joins.join_gold(fx.runs(ann), fx.gold(ann))
-    runs = report.with_guess(coh.label_cohorts(runs))
-    pairs = fx.run_pairs(runs)
-    vectors, logprobs = fx.token_vectors(pairs, keys=RUN_KEYS), fx.token_logprobs(pairs, refs=1, keys=RUN_KEYS)
-    return scores.score_all(runs, vectors, logprobs, "generated_req_output", RUN_KEYS, rouge_lsum)
+    path = io.application_folder(spark, f"scores/{sf.strip('/').replace('/', '-')}")
+    scores.update_scores(runs, path, score_runs, RUN_KEYS)
+    return scores.with_scores(report.with_guess(coh.label_cohorts(runs)), path, RUN_KEYS)
 
 
 @query("scores_all")
@@ -468,7 +484,7 @@ def scores_all(spark, sf):
 
 @query("run_comparison_all")
 def run_comparison_all(spark, sf):
-    return report.compare_runs(scored_runs_full(spark, sf, rouge_lsum=True), metrics=report.metric_columns("all"))
+    return report.compare_runs(scored_runs_full(spark, sf), metrics=report.metric_columns("all"))
 
 
 @query("run_comparison")
@@ -484,10 +500,10 @@ def comparison_pivot(spark, sf):
 
 @query("missing_counts")
 def missing_counts(spark, sf):
-    """Only accuracy and BLEU are needed, so only they are computed."""
+    """Which rows have no BLEU score is known without computing one."""
     ann = fx.annotations(spark, sf)
     runs = acc.score_accuracy(joins.join_gold(fx.runs(ann), fx.gold(ann)))
-    return report.missing_counts(overlap.score_overlap(runs, gold="generated_req_output", keys=RUN_KEYS, rouge_n=False))
+    return report.missing_counts(runs.withColumn("bleu", F.when(overlap.scorable(gold="generated_req_output"), F.lit(0.0))))
 
 
 # ------------------------------------------------------------------------------------------------ model-based scores
@@ -507,7 +523,7 @@ def loglik_score(spark, sf):
 def multi_ref_score(spark, sf):
     lp = fx.token_logprobs(fx.conversation_pairs(spark, sf)).where(F.col("direction") == "precision")
     per_ref = ms.mean_loglik(lp, keys=("row_id", "ref_idx"))
-    both = report.multi_ref(per_ref, agg=("mean", "max"))
+    both = report.multi_ref(per_ref, agg=("mean", "max"), refs=2)
     return both.select("row_id", F.col("score_mean").alias("mean_score"), F.col("score_max").alias("max_score"))
 
 
@@ -529,6 +545,12 @@ def cosine_knn(spark, sf):
     return vx.cosine_knn(scaled_embeddings(spark, sf), k=15).select("label", "vec_id", "rank", "neighbor_id")
 
 
+@query("cosine_knn_lsh")
+def cosine_knn_lsh(spark, sf):
+    """E3 by hyperplane buckets; exact where a group fits in one bucket."""
+    return vx.cosine_knn_lsh(scaled_embeddings(spark, sf), k=15).select("label", "vec_id", "rank", "neighbor_id")
+
+
 @query("group_covariance")
 def group_covariance(spark, sf):
     return vx.group_covariance(scaled_embeddings(spark, sf))
@@ -539,6 +561,13 @@ def pca_2d(spark, sf):
     return vx.project_2d(scaled_embeddings(spark, sf))
 
 
+@query("projected_points")
+def projected_points(spark, sf):
+    """E5: the projected points with the cohort of their annotation, as a scatter plot by cohort needs them."""
+    rows = labeled(spark, sf).select(F.col("row_id").alias("vec_id"), coh.NATIVE, coh.STRICT)
+    return vx.project_2d(scaled_embeddings(spark, sf)).join(rows, "vec_id").select("label", "vec_id", coh.NATIVE, coh.STRICT, "pc1", "pc2")
+
+
 @query("comparison_pivot_dataset")
 def comparison_pivot_dataset(spark, sf):
     """U2 in dataset mode: one row per (dataset, metric), columns per run and cohort."""
@@ -578,6 +607,38 @@ def embed_texts(spark, sf):
 
 @query("judge_request_manifest")
 def judge_request_manifest(spark, sf):
+    """The manifest of the written shards; the second write, as after a failure, adds nothing."""
     lines = io.judge_request_lines(P.judge_prompts(judged_rows(spark, sf), keys=RUN_KEYS), keys=RUN_KEYS)
-    return lines.groupBy("model", "mode", "shard").agg(F.count(F.lit(1)).alias("n_requests"),
-                                      F.sum(F.octet_length("line") + F.lit(1)).alias("n_bytes"))
+    path = io.new_folder(spark, "requests")
+    io.write_request_shards(lines.where(F.col("mode") == "standard"), path)
+    return io.write_request_shards(lines, path).select("model", "mode", "shard", "n_requests", "n_bytes")
+
+
+@query("scores_selected")
+def scores_selected(spark, sf):
+    """Accuracy rows of two approaches written by run, and the runs that a table of runs selects."""
+    ann = fx.annotations(spark, sf)
+    rows = acc.score_accuracy(fx.runs(ann)).select("row_id", F.lit("generated").alias("approach"), "model", "mode", "accuracy")
+    rows = rows.unionByName(rows.withColumn("approach", F.lit("original")).withColumn("accuracy", F.lit(1.0) - F.col("accuracy")))
+    base = io.new_folder(spark, "selected")
+    io.write_table(rows, f"{base}/scores", partition_by=("approach", "model", "mode"), sort_within=("row_id",))
+    runs = rows.select("approach", "model", "mode").distinct()
+    chosen = (F.col("approach") == "generated") & F.col("mode").isin("standard", "guess_native")
+    io.write_table(runs.withColumn("report", F.when(chosen, F.lit("main"))), f"{base}/runs")
+    return io.read_scores_selected(spark, f"{base}/scores", spark.read.parquet(f"{base}/runs").where("report = 'main'")).select(
+        "row_id", "approach", "model", "mode", "report", "accuracy")
+
+
+@query("report_csv")
+def report_csv(spark, sf):
+    """Annotations and gold written and read with their readers, joined, and the macro accuracy against the
+    generated gold as a CSV report, read back."""
+    base = io.new_folder(spark, "csv")
+    ann = fx.annotations(spark, sf)
+    io.write_table(ann.withColumn("time", F.lit(None).cast("timestamp")).withColumn("prompt_instruction", fx.prompt_instruction()), f"{base}/annotations")
+    io.write_table(fx.gold(ann).withColumnRenamed("generated_req_output", "answer"), f"{base}/gold")
+    rows = io.read_annotations(spark, f"{base}/annotations").where(F.col("validated") == 1)
+    rows = coh.label_cohorts(joins.join_gold(rows, io.read_gold(spark, f"{base}/gold", "answer")))
+    scored = acc.score_accuracy(rows.withColumn("reply", F.col("generated_req_output")))
+    io.write_report_csv(report.macro_average(scored, coh.NATIVE, by=["dataset_id"]), f"{base}/report")
+    return spark.read.option("header", True).schema("native_or_not string, dataset_id int, accuracy double").csv(f"{base}/report")

@@ -141,6 +141,10 @@ SELECT cohort_type, cohort{by_cols}, avg(accuracy) AS accuracy FROM per_example
 SQL["macro_accuracy_overall"] = _macro()
 SQL["macro_accuracy_set"] = _macro("set_id")
 SQL["macro_accuracy_dataset"] = _macro("dataset_id")
+SQL["macro_accuracy_sets"] = " UNION ALL ".join(f"SELECT * FROM ({x})" for x in (
+    f"SELECT 'overall' AS level, *, CAST(NULL AS INT) AS set_id, CAST(NULL AS INT) AS dataset_id FROM ({_macro()})",
+    f"SELECT 'set_id', cohort_type, cohort, accuracy, set_id, NULL FROM ({_macro('set_id')})",
+    f"SELECT 'dataset_id', cohort_type, cohort, accuracy, NULL, dataset_id FROM ({_macro('dataset_id')})"))
 SQL["no3"] = _macro(where="AND dataset_id IS DISTINCT FROM 3")
 
 SQL["guess_labels"] = with_views("annotations", "runs") + f"""
@@ -625,6 +629,38 @@ SELECT a.row_id, a.dataset_id, CASE WHEN {_APPL} THEN {rouge_l_expr('lcs')} END
 FROM annotations a LEFT JOIN lcs ON lcs.row_id = a.row_id
 """
 
+def lsum_sql(name: str, src: str, keys: str, reply: str, gold: str) -> str:
+    """CTE ``name`` (keys..., rouge_lsum): ROUGE-Lsum of the rows of ``src``. ``path_expr`` fills the table of a reference and a reply line, each cell
+    with the length and the reference places that backtracking from it would visit."""
+    def lines(x: str, words: str, no: str) -> str:
+        return (f"(SELECT {keys}, unnest(range(1, len(l) + 1)) AS {no}, unnest(list_transform(l, lambda x: {rtok('x')})) AS {words} "
+                f"FROM (SELECT {keys}, list_filter(string_split({x}, chr(10)), lambda x: length(x) > 0) AS l FROM {src}))")
+
+    cell = ("CASE WHEN rt[i] = tok THEN {'n': prev[i].n + 1, 'p': list_append(prev[i].p, i)} "
+            "WHEN prev[i + 1].n > acc[i].n THEN prev[i + 1] WHEN acc[i].n >= prev[i + 1].n THEN acc[i] END")
+    # Places in the table are counted from 1: prev[i + 1] is the cell left of the one to fill, acc[i] the one above.
+    zero = "{'n': 0::BIGINT, 'p': CAST([] AS BIGINT[])}"
+    path = (f"list_reduce(ht, lambda prev, tok: list_reduce(range(1, len(rt) + 1), lambda acc, i: list_append(acc, {cell}), [{zero}]), "
+            f"list_transform(range(len(rt) + 1), lambda x: {zero}))[-1].p")
+    return f""", {name}_r AS MATERIALIZED {lines(gold, 'rt', 'rl')}, {name}_h AS MATERIALIZED {lines(reply, 'ht', 'hl')},
+{name}_pair AS MATERIALIZED (SELECT DISTINCT rt, ht FROM {name}_r JOIN {name}_h USING ({keys}) WHERE len(rt) > 0 AND len(ht) > 0 AND list_has_any(rt, ht)),
+{name}_path AS MATERIALIZED (SELECT rt, ht, {path} AS p FROM {name}_pair),
+{name}_hit AS (SELECT {keys}, tok, count(*) AS n FROM (
+    SELECT DISTINCT {keys}, rl, i, rt[i] AS tok FROM (SELECT {keys}, rl, rt, unnest(p) AS i FROM {name}_r JOIN {name}_h USING ({keys}) JOIN {name}_path USING (rt, ht)))
+  GROUP BY {keys}, tok),
+{name}_cnt AS (SELECT {keys}, tok, count(*) AS c FROM (SELECT {keys}, unnest(ht) AS tok FROM {name}_h) GROUP BY {keys}, tok),
+{name}_sum AS (SELECT {keys}, sum(least(n, c)) AS hits FROM {name}_hit JOIN {name}_cnt USING ({keys}, tok) GROUP BY {keys}),
+{name}_len AS (SELECT {keys}, sum(m) AS m, sum(n) AS n FROM (SELECT {keys}, len(rt) AS m, 0 AS n FROM {name}_r UNION ALL SELECT {keys}, 0, len(ht) FROM {name}_h) GROUP BY {keys}),
+{name} AS (SELECT {keys}, CASE WHEN coalesce(m, 0) = 0 OR coalesce(n, 0) = 0 THEN 0.0
+             ELSE {f1('coalesce(hits, 0) / n::DOUBLE', 'coalesce(hits, 0) / m::DOUBLE')} END AS rouge_lsum
+           FROM (SELECT {keys} FROM {src}) LEFT JOIN {name}_len USING ({keys}) LEFT JOIN {name}_sum USING ({keys}))
+"""
+
+
+SQL["rouge_lsum"] = with_views("annotations") + lsum_sql("ls", _APPL_SRC, "row_id", "reply", "req_output") + f"""
+SELECT a.row_id, a.dataset_id, CASE WHEN {_APPL} THEN ls.rouge_lsum END AS rouge_lsum FROM annotations a LEFT JOIN ls ON ls.row_id = a.row_id
+"""
+
 SQL["dataset_8"] = with_views("annotations") + "SELECT row_id, dataset_id, prompt_en, reply FROM annotations WHERE dataset_id = 8"
 
 SQL["full_instruction"] = with_views("annotations") + f"SELECT row_id, {task_def()} || ' ' || {_FINAL} AS full_instruction FROM annotations"
@@ -732,19 +768,30 @@ _METRICS = tuple(m for m in fixed.ALL_METRICS if m != "rouge_lsum")
 
 SQL["scores_all"] = _SCORED_RUNS + f"SELECT row_id, model, mode, {', '.join(_METRICS)} FROM scored"
 
-_RUN_LONG = _SCORED_RUNS + f"""
+def _run_long(scored: str, metrics: tuple[str, ...]) -> str:
+    return scored + f"""
 , ex AS (SELECT *, unnest(CASE WHEN mode = 'guess_native' AND correct THEN ['guess_native', 'guess_native_correct']
                                ELSE [CASE mode WHEN 'standard' THEN 'standard' WHEN 'add_all_native' THEN 'native'
                                                WHEN 'add_all_non_native' THEN 'non_native' ELSE mode END] END) AS run
          FROM scored),
-per_ex AS (SELECT model, run, native_or_not, example_id, {', '.join(f'avg({m}) AS {m}' for m in _METRICS)}
+per_ex AS (SELECT model, run, native_or_not, example_id, {', '.join(f'avg({m}) AS {m}' for m in metrics)}
            FROM ex WHERE example_id IS NOT NULL GROUP BY model, run, native_or_not, example_id),
-long AS (SELECT model, run, native_or_not, {', '.join(f'avg({m}) AS {m}' for m in _METRICS)}
+long AS (SELECT model, run, native_or_not, {', '.join(f'avg({m}) AS {m}' for m in metrics)}
          FROM per_ex GROUP BY model, run, native_or_not)
 """
 
+
+_RUN_LONG = _run_long(_SCORED_RUNS, _METRICS)
+
 SQL["run_comparison"] = _RUN_LONG + "SELECT * FROM long"
 
+_RUN_TEXTS = f"(SELECT DISTINCT row_id, reply, generated_req_output FROM lab WHERE {_RUN_APPL}) s"
+SQL["run_comparison_all"] = _run_long(
+    _SCORED_RUNS.replace(", scored AS (", ", scored12 AS (")
+    + lsum_sql("ls", _RUN_TEXTS, "row_id, reply, generated_req_output", "reply", "generated_req_output")
+    + ", scored AS (SELECT s.*, ls.rouge_lsum FROM scored12 s LEFT JOIN ls USING (row_id, reply, generated_req_output))\n",
+    fixed.ALL_METRICS) + "SELECT * FROM long"
+
 _PIVOT_COLS = [(r, c) for r in fixed.RUN_LABELS for c in fixed.NATIVE_LABELS]
 SQL["comparison_pivot"] = _RUN_LONG + "\nUNION ALL ".join(
     f"SELECT '{m}' AS metric, " + ", ".join(
@@ -803,6 +850,55 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY label, vec_id ORDER BY sim
 SELECT label, vec_id, CAST(rank AS INT) AS rank, neighbor_id FROM ranked WHERE rank <= 15
 """
 
+SQL["cosine_knn_lsh"] = SQL["cosine_knn"]  # its groups fit in one bucket here
+
+
+# Squarings of a matrix: as many steps of power iteration as 2 to this number.
+ROUNDS = 14
+
+
+def leading_sql(name: str, src: str, m: str) -> str:
+    """CTE ``name``: the rows of ``src`` with ``v``, the leading unit eigenvector of the matrix ``m`` (its largest entry positive)."""
+    def trace(x: str) -> str:
+        return f"list_sum(list_transform(range(1, len({x}) + 1), lambda i: {x}[i][i]))"
+
+    def scaled(x: str) -> str:
+        return f"(CASE WHEN {trace(x)} = 0 THEN {x} ELSE list_transform({x}, lambda r: list_transform(r, lambda y: y / {trace(x)})) END)"
+
+    # Each round squares, then scales: two steps, so that the square is computed once.
+    rounds = ""
+    for k in range(ROUNDS):
+        last = f"{name}_s{k - 1}" if k else f"{name}_s"
+        rounds += (f"{name}_q{k} AS MATERIALIZED (SELECT label, list_transform(s, lambda r: list_transform(s, lambda c: list_dot_product(r, c))) AS q FROM {last}),\n"
+                   f"{name}_t{k} AS MATERIALIZED (SELECT label, q, {trace('q')} AS t FROM {name}_q{k}),\n"
+                   f"{name}_s{k} AS MATERIALIZED (SELECT label, CASE WHEN t = 0 THEN q ELSE list_transform(q, lambda r: list_transform(r, lambda y: y / t)) END AS s FROM {name}_t{k}),\n")
+    return f"""{name}_s AS MATERIALIZED (SELECT label, {scaled(m)} AS s FROM {src}),
+{rounds}{name}_d AS (SELECT label, s, list_transform(range(1, len(s) + 1), lambda i: s[i][i]) AS d FROM {name}_s{ROUNDS - 1}),
+{name}_c AS (SELECT label, s[list_position(d, list_max(d))] AS c FROM {name}_d),
+{name}_u AS (SELECT label, c, sqrt(list_dot_product(c, c)) AS size, list_transform(c, lambda y: abs(y)) AS a FROM {name}_c),
+{name} AS MATERIALIZED (SELECT {src}.*, CASE WHEN size = 0 THEN c ELSE list_transform(c, lambda y: y * CASE WHEN c[list_position(a, list_max(a))] < 0 THEN -1.0 ELSE 1.0 END / size) END AS v
+  FROM {src} JOIN {name}_u USING (label))"""
+
+
+_PCA = f"WITH {_SCALED}" + f""",
+cell AS (SELECT a.label, a.dim AS i, b.dim AS j, CASE WHEN count(*) > 1 THEN covar_samp(a.value, b.value) ELSE 0.0 END AS cov
+         FROM scaled a JOIN scaled b ON a.vec_id = b.vec_id AND a.label = b.label GROUP BY a.label, a.dim, b.dim),
+mat AS MATERIALIZED (SELECT label, list(r ORDER BY i) AS m FROM (SELECT label, i, list(cov ORDER BY j) AS r FROM cell GROUP BY label, i) GROUP BY label),
+{leading_sql('one', 'mat', 'm')},
+eig AS MATERIALIZED (SELECT label, m, v AS c1, list_dot_product(list_transform(m, lambda r: list_dot_product(r, v)), v) AS l FROM one),
+rest AS MATERIALIZED (SELECT label, c1, list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j: m[i][j] - l * c1[i] * c1[j])) AS m FROM eig),
+{leading_sql('two', 'rest', 'm')},
+mean AS (SELECT label, dim, avg(value) AS mu FROM scaled GROUP BY label, dim),
+points AS (SELECT s.label, s.vec_id, sum((s.value - mu) * c1[s.dim + 1]) AS pc1, sum((s.value - mu) * v[s.dim + 1]) AS pc2
+           FROM scaled s JOIN mean USING (label, dim) JOIN two USING (label) GROUP BY s.label, s.vec_id)
+"""
+SQL["pca_2d"] = _PCA + "SELECT label, vec_id, pc1, pc2 FROM points"
+SQL["projected_points"] = _PCA + f""", a AS ({V['annotations']})
+SELECT label, vec_id, CASE WHEN contains(nat_lang, 'en') THEN 'native' ELSE 'non_native' END AS native_or_not,
+       CASE WHEN nat_lang = '{{en}}' THEN 'strict native' ELSE 'not strict native' END AS strict_native_or_not, pc1, pc2
+FROM points JOIN a ON a.row_id = vec_id
+"""
+
 
 _RUN_LONG_DS = _SCORED_RUNS + f"""
 , ex AS (SELECT *, unnest(CASE WHEN mode = 'guess_native' AND correct THEN ['guess_native', 'guess_native_correct']
@@ -837,5 +933,17 @@ SELECT doc_id, CAST(unnest(range(3)) AS INT) AS dim,
 FROM documents
 """
 
+SQL["scores_selected"] = with_views("annotations", "runs") + f"""
+SELECT row_id, 'generated' AS approach, model, mode, 'main' AS report, {accuracy()} AS accuracy FROM runs WHERE mode IN ('standard', 'guess_native')
+"""
+
+SQL["report_csv"] = with_views("annotations", "gold") + f"""
+, s AS (SELECT dataset_id, example_id, CASE WHEN contains(nat_lang, 'en') THEN 'native' ELSE 'non_native' END AS native_or_not,
+          {accuracy('generated_req_output')} AS accuracy
+        FROM annotations JOIN gold USING (nat_instr_id) WHERE validated = 1),
+per AS (SELECT native_or_not, dataset_id, example_id, avg(accuracy) AS accuracy FROM s WHERE dataset_id IS NOT NULL AND example_id IS NOT NULL GROUP BY ALL)
+SELECT native_or_not, dataset_id, avg(accuracy) AS accuracy FROM per GROUP BY native_or_not, dataset_id
+"""
+
 SQL["judge_request_manifest"] = "SELECT model, mode, shard, count(*) AS n_requests, CAST(sum(strlen(line) + 1) AS BIGINT) AS n_bytes FROM (" + \
     SQL["judge_requests_jsonl"] + ") GROUP BY model, mode, shard"

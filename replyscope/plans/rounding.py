@@ -30,10 +30,13 @@ DOUBLE_COLUMNS = {
     'macro_accuracy_dataset': ('accuracy',),
     'macro_accuracy_overall': ('accuracy',),
     'macro_accuracy_set': ('accuracy',),
+    'macro_accuracy_sets': ('accuracy',),
     'mean_gap_by_group': ('mean_gap_seconds',),
     'multi_ref_score': ('mean_score', 'max_score'),
     'no3': ('accuracy',),
     'pca_2d': ('pc1', 'pc2'),
+    'projected_points': ('pc1', 'pc2'),
+    'report_csv': ('accuracy',),
     'rouge1': ('rouge_1',),
     'rouge2': ('rouge_2',),
     'rouge_l': ('rouge_l',),
@@ -41,6 +44,7 @@ DOUBLE_COLUMNS = {
     'run_comparison': ('accuracy', 'bleu', 'rouge_1', 'rouge_2', 'rouge_l', 'bertscore_precision', 'bertscore_recall', 'bertscore_f1', 'bartscore_faithful', 'bartscore_precision', 'bartscore_recall', 'bartscore_f1'),
     'run_comparison_all': ('accuracy', 'bleu', 'rouge_1', 'rouge_2', 'rouge_l', 'rouge_lsum', 'bertscore_precision', 'bertscore_recall', 'bertscore_f1', 'bartscore_faithful', 'bartscore_precision', 'bartscore_recall', 'bartscore_f1'),
     'scores_all': ('accuracy', 'bleu', 'rouge_1', 'rouge_2', 'rouge_l', 'bertscore_precision', 'bertscore_recall', 'bertscore_f1', 'bartscore_faithful', 'bartscore_precision', 'bartscore_recall', 'bartscore_f1'),
+    'scores_selected': ('accuracy',),
     'filled_accuracy': ('accuracy',),
     'standardize_vectors': ('value',),
     'temperature': ('temperature',),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,17 @@ def read_scores(spark: SparkSession, path: str, approach: str | None = None, mod
     return df
 
 
+def read_scores_selected(spark: SparkSession, path: str, selection: DataFrame) -> DataFrame:
+    """The rows of the runs that the table ``selection`` names by any of the dataset's partition columns (``approach``, ``model``,
+    ``mode``, ``run``), with its further columns. The run table is joined on the partition columns, so only the folders of runs that it
+    holds at run time are read (dynamic partition pruning); no run is named in the plan. One row of ``selection`` per run."""
+    df = spark.read.parquet(path)
+    by = [c for c in ("approach", "model", "mode", "run") if c in df.columns and c in selection.columns]
+    if not by:
+        raise ValueError("selection names none of the partition columns")
+    return df.join(selection, by)
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite",
                 sort_within: Sequence[str] = ()) -> None:
     """Write Parquet, partitioned by the given columns (dynamic partition overwrite keeps other partitions)."""
@@ -94,23 +106,62 @@ def judge_request_lines(prompts: DataFrame, model: str = fixed.JUDGE_REQUEST_MOD
 
 
 def write_request_shards(lines: DataFrame, path: str) -> DataFrame:
-    """S8 + S9: append request lines to ``path/requests`` (Parquet, ``shard`` a column, rows of a shard together and in
-    order) and their manifest ``(*run, shard, n_requests, n_bytes)`` to ``path/manifest``; returns the manifest of these lines.
-    Earlier writes stay."""
-    base = path.rstrip("/")
+    """S8 + S9: add the request lines that ``path`` does not hold yet (by ``custom_id``) and return the manifest of all published
+    requests: ``(*run, shard, n_requests, n_bytes)``.
+
+    The new lines go to a folder of their own, ``requests/commit=<id>`` (Parquet, ``shard`` a column, rows of a shard
+    together and in order). They are published by the rows of ``manifest`` that name the commit, written last, in one file,
+    and counted from the lines as stored. So a run that dies before leaves nothing that readers see, a rerun adds only
+    what is missing, and one without anything new adds nothing. Lines repeated within the input count once."""
+    import uuid
+
+    spark, base = lines.sparkSession, path.rstrip("/")
     run = [c for c in lines.columns if c not in ("shard", "custom_id", "line")]
-    lines.repartition(*run, "shard").sortWithinPartitions(*run, "shard", "custom_id").write.mode("append").parquet(f"{base}/requests")
-    manifest = lines.groupBy(*run, "shard").agg(
+    new = lines.dropDuplicates(["custom_id"])
+    if exists(spark, f"{base}/manifest"):
+        new = new.join(read_requests(spark, base).select("custom_id"), "custom_id", "left_anti")
+    folder = f"{base}/requests/commit={uuid.uuid4().hex}"
+    new = new.select(*run, "shard", "custom_id", "line")
+    new.repartition(*run, "shard").sortWithinPartitions(*run, "shard", "custom_id").write.parquet(folder)
+    stored = spark.read.schema(new.schema).parquet(folder).groupBy(*run, "shard").agg(
         F.count(F.lit(1)).alias("n_requests"),
         F.sum(F.octet_length("line") + F.lit(1)).alias("n_bytes"),
     )
-    manifest.write.mode("append").parquet(f"{base}/manifest")
-    return manifest
+    # One row per shard: few rows, in one file, so that a commit is published as a whole.
+    stored.withColumn("commit", F.lit(folder.rsplit("=", 1)[1])).coalesce(1).write.mode("append").parquet(f"{base}/manifest")
+    return read_manifest(spark, base)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The published requests and bytes per run and shard."""
+    m = spark.read.parquet(f"{path.rstrip('/')}/manifest")
+    by = [c for c in m.columns if c not in ("n_requests", "n_bytes", "commit")]
+    return m.groupBy(*by).agg(F.sum("n_requests").alias("n_requests"), F.sum("n_bytes").alias("n_bytes"))
+
+
+def read_requests(spark: SparkSession, path: str) -> DataFrame:
+    """The published request lines: those of the commits that the manifest names. Folders of other commits are not read (dynamic
+    partition pruning on ``commit``)."""
+    base = path.rstrip("/")
+    commits = spark.read.parquet(f"{base}/manifest").where("n_requests > 0").select("commit").distinct()
+    return spark.read.parquet(f"{base}/requests").join(commits, "commit", "left_semi").drop("commit")
 
 
 def read_request_shard(spark: SparkSession, path: str, shard: int) -> DataFrame:
-    """The request lines of one shard, one JSON text per row; the filter reaches the files."""
-    return spark.read.parquet(f"{path.rstrip('/')}/requests").where(F.col("shard") == shard)
+    """The published request lines of one shard, one JSON text per row; the filter reaches the files."""
+    return read_requests(spark, path).where(F.col("shard") == shard)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a Parquet dataset exists at ``path`` (any file system Spark can read). Only a missing or empty folder counts as
+    none; any other failure to read is raised, so that finished work is never taken for missing."""
+    try:
+        spark.read.parquet(path)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -122,6 +173,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return shared_dir(spark, f"tables/{name}-{uuid.uuid4().hex}")
 
 
+def application_folder(spark: SparkSession, name: str) -> str:
+    """The folder ``name`` of this Spark application under the shared ``spark.checkpoint.dir``, the same at each call."""
+    from replyscope.session import shared_dir
+
+    return shared_dir(spark, f"tables/{spark.sparkContext.applicationId}/{name}")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` once as Parquet under the cluster's shared ``spark.checkpoint.dir`` and read it
     back, so later reports over the same table (e.g. scores used by several comparisons) do not recompute it, and a

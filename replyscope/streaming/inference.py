@@ -17,12 +17,12 @@ from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from replyscope.functions import fixed
+from replyscope.sources import io
 
 KEYS = ("row_id", "model", "mode")
 ModelFn = Callable[[list, list], list]
@@ -170,7 +170,7 @@ def key_bucket(keys: Sequence[str], buckets: int):
 def finished_in(spark: SparkSession, path: str, buckets: int, bucket: int) -> DataFrame | None:
     """The results at ``path`` that may hold keys of one bucket: its own folder and rows dealt to another number of buckets. Other buckets'
     folders are pruned, not read. None if there is no result yet."""
-    if not _exists(spark, path):
+    if not io.exists(spark, path):
         return None
     rows = spark.read.parquet(path)
     if "bucket" not in rows.columns:
@@ -222,18 +222,6 @@ def stream_inference(spark: SparkSession, source_path: str, schema: T.StructType
     return q
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a Parquet dataset exists at ``path`` (any file system Spark can read). Only a missing or empty folder counts as
-    none; any other failure to read is raised, so that finished work is never taken for missing."""
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
-        raise
-
-
 # ------------------------------------------------------------------------------------------------ stub model
 
 

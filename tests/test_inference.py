@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from replyscope.operators import prompts
+from replyscope.sources import io
 from replyscope.streaming import inference as inf
 
 
@@ -148,7 +149,7 @@ def test_one_row_per_key_after_a_retry(spark):
 def test_unreadable_path_is_not_taken_for_missing(spark):
     with pytest.raises(Exception):
         inf.run_resumable(spark, _requests(spark, 2), inf.echo_model, "nosuchfs://bucket/runs")
-    assert not inf._exists(spark, "/tmp/does/not/exist/at/all")
+    assert not io.exists(spark, "/tmp/does/not/exist/at/all")
 
 
 def test_null_prompts_are_not_sent(spark):

@@ -25,7 +25,52 @@ def test_request_shards_and_manifest(spark):
     more = spark.createDataFrame([(i, "task1553-1", f"reply {i}", "src") for i in range(45, 80)], df.schema)
     io.write_request_shards(io.judge_request_lines(prompts.judge_prompts(more)), path)
     assert spark.read.parquet(f"{path}/manifest").agg({"n_requests": "sum"}).first()[0] == 80 * 3
-    assert spark.read.parquet(f"{path}/requests").select("custom_id").distinct().count() == 80 * 3
+    assert io.read_requests(spark, path).select("custom_id").distinct().count() == 80 * 3
+
+
+def _lines(spark, ids):
+    rows = [(i, "task1553-1", f"reply {i}", "src") for i in ids]
+    return io.judge_request_lines(prompts.judge_prompts(spark.createDataFrame(rows, "row_id long, nat_instr_id string, reply string, final_prompt_en string")))
+
+
+def test_a_rerun_adds_no_request(spark):
+    path = tempfile.mkdtemp(prefix="rs-shards-") + "/batches"
+    lines = _lines(spark, range(30))
+    first = sorted(map(tuple, io.write_request_shards(lines, path).collect()))
+    assert sorted(map(tuple, io.write_request_shards(lines.union(lines), path).collect())) == first
+    more = {r["shard"]: r["n_requests"] for r in io.write_request_shards(_lines(spark, range(25, 50)), path).collect()}
+    assert more == {0: 60, 20: 60, 40: 30} and io.read_requests(spark, path).count() == 150
+    sent = io.read_requests(spark, path).where("shard = 20")
+    assert sent.selectExpr("sum(octet_length(line) + 1)").first()[0] == io.read_manifest(spark, path).where("shard = 20").first()["n_bytes"]
+
+
+def test_unpublished_lines_are_not_seen(spark):
+    """A run that dies after its lines and before its manifest."""
+    path = tempfile.mkdtemp(prefix="rs-shards-") + "/batches"
+    lines = _lines(spark, range(10))
+    lines.write.parquet(f"{path}/requests/commit=dead")
+    assert io.write_request_shards(lines, path).first()["n_requests"] == 30
+    lines.write.parquet(f"{path}/requests/commit=dead2")
+    assert io.read_requests(spark, path).count() == 30
+    plan = io.read_request_shard(spark, path, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "PushedFilters: [" in plan
+
+
+def test_runs_selected_by_a_table(spark):
+    base = tempfile.mkdtemp(prefix="rs-select-")
+    df = spark.range(400).selectExpr("id as row_id", "concat('a', id % 2) approach", "concat('m', id % 5) model", "concat('mode', id % 4) mode", "id / 400 accuracy")
+    io.write_table(df, f"{base}/scores", partition_by=("approach", "model", "mode"))
+    runs = spark.createDataFrame([("a0", "m1", "x"), ("a1", "m3", "x"), ("a0", "m2", "y")], "approach string, model string, report string")
+    io.write_table(runs, f"{base}/runs")
+    got = io.read_scores_selected(spark, f"{base}/scores", spark.read.parquet(f"{base}/runs").where("report = 'x'"))
+    want = {r["row_id"] for r in df.collect() if (r["approach"], r["model"]) in (("a0", "m1"), ("a1", "m3"))}
+    assert {r["row_id"] for r in got.collect()} == want and want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    import pytest
+
+    with pytest.raises(ValueError):
+        io.read_scores_selected(spark, f"{base}/scores", runs.select("report"))
 
 
 def test_request_ids_of_two_runs_are_unique(spark):

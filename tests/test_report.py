@@ -56,7 +56,7 @@ def test_comparison_of_all_metrics_equals_direct_means(spark):
     sf = "/root/testdata/sf0.001"
     metrics = report.metric_columns("all")
     assert len(metrics) == 13
-    rows = catalog.scored_runs_full(spark, sf, rouge_lsum=True).collect()
+    rows = catalog.scored_runs_full(spark, sf).collect()
     assert any(r["rouge_lsum"] for r in rows) and any(r["bertscore_f1"] for r in rows) and any(r["bartscore_f1"] for r in rows)
     names = {"standard": "standard", "add_all_native": "native", "add_all_non_native": "non_native", "guess_native": "guess_native"}
     per = defaultdict(lambda: defaultdict(list))
@@ -69,3 +69,26 @@ def test_comparison_of_all_metrics_equals_direct_means(spark):
     for key, value in got.items():
         means = [sum(v) / len(v) for v in per[key].values()]
         assert (value is None and not means) or abs(value - sum(means) / len(means)) < 1e-9
+
+
+def test_macro_averages_of_all_levels_in_one_scan(spark, tmp_path):
+    rows = [(c, e, s, d, a) for i, (c, e, s, d, a) in enumerate(
+        (("x" if i % 3 else "y"), i % 7, i % 2 if i % 11 else None, i % 5 if i % 13 else None, (i * 7 % 10) / 10 if i % 4 else None) for i in range(200))]
+    spark.createDataFrame(rows, "c string, example_id long, set_id int, dataset_id int, accuracy double").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    got = report.macro_average_sets(df, "c")
+    assert str(got._jdf.queryExecution().executedPlan().toString()).count("FileScan") == 1
+    got = {(r["level"], r["c"], r["set_id"], r["dataset_id"]): r["accuracy"] for r in got.collect()}
+    want = {("overall", r["c"], None, None): r["accuracy"] for r in report.macro_average(df, "c").collect()}
+    want |= {("set_id", r["c"], r["set_id"], None): r["accuracy"] for r in report.macro_average(df, "c", by=["set_id"]).collect()}
+    want |= {("dataset_id", r["c"], None, r["dataset_id"]): r["accuracy"] for r in report.macro_average(df, "c", by=["dataset_id"]).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_multi_ref_with_a_given_number(spark):
+    df = spark.createDataFrame([(1, 0, -1.0), (1, 1, -3.0), (2, 0, -2.0)], "row_id long, ref_idx int, score double")
+    assert report.multi_ref(df.where("row_id = 1"), refs=2).first()["score"] == -2.0
+    with pytest.raises(Exception, match="different numbers of references"):
+        report.multi_ref(df, refs=2).collect()
+    plan = report.multi_ref(df, refs=2)._jdf.queryExecution().executedPlan().toString()
+    assert "Subquery" not in plan

@@ -46,3 +46,13 @@ def test_time_statistics(spark):
     mean = {r["set_id"]: r["mean_gap_seconds"] for r in timing.mean_gap(df, ["set_id", "c"]).collect()}
     total = {r["set_id"]: r["mean_total_seconds"] for r in timing.total_time(df, ["set_id", "c"]).collect()}
     assert mean == {0: 30.0, 1: 5.0} and total == {0: 45.0, 1: 5.0}
+
+
+def test_rows_without_writer_or_time_stay_out_of_the_windows(spark):
+    df = spark.createDataFrame([(1, None, None), (2, None, "2024-01-01 00:00:10"), (3, 7, None), (4, 7, "2024-01-01 00:00:00"), (5, 7, "2024-01-01 00:01:00")],
+                               "row_id long, user_id long, t string").withColumn("time", F.to_timestamp("t")).drop("t")
+    out = timing.gap_to_previous(df)
+    assert {r["row_id"]: r[timing.GAP] for r in out.collect()} == {1: 600.0, 2: 600.0, 3: 600.0, 4: 600.0, 5: 60.0}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windowed = plan[plan.index("Window"):]
+    assert "isnotnull(user_id" in windowed and "isnotnull(cast(t" in windowed

@@ -51,6 +51,47 @@ def test_cosine_knn_exact(spark):
         assert [n for _, n in sorted(got[i])] == [int(n) for _, n in order]
 
 
+def _clusters(n, d, centres, spread, seed):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(centres, d))[rng.integers(0, centres, n)] + spread * rng.normal(size=(n, d))
+
+
+def _neighbours(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["vec_id"], set()).add(r["neighbor_id"])
+    return out
+
+
+def test_lsh_recall_against_exact(spark):
+    x = _clusters(6000, 32, 60, 0.4, 3)
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, scaled array<double>")
+    exact, near = _neighbours(vectors.cosine_knn(df)), vectors.cosine_knn_lsh(df, bucket_rows=256)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    rows = near.collect()
+    assert all(r["vec_id"] != r["neighbor_id"] for r in rows) and len({(r["vec_id"], r["rank"]) for r in rows}) == len(rows)
+    found = {}
+    for r in rows:
+        found.setdefault(r["vec_id"], set()).add(r["neighbor_id"])
+    recall = sum(len(exact[i] & found.get(i, set())) for i in exact) / sum(map(len, exact.values()))
+    assert recall >= 0.9, recall
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert all(abs(u[r["vec_id"]] @ u[r["neighbor_id"]] - r["sim"]) < 1e-9 for r in rows)
+
+
+def test_lsh_is_exact_in_one_bucket_and_splits_a_hot_one(spark):
+    df, _ = _emb(spark, n=300)
+    scaled = vectors.standardize(df)
+    cols = ["label", "vec_id", "rank", "neighbor_id"]
+    assert sorted(map(tuple, vectors.cosine_knn_lsh(scaled).select(cols).collect())) == sorted(map(tuple, vectors.cosine_knn(scaled).select(cols).collect()))
+    # Half of all vectors on one spot: their bucket is cut into blocks, and each still gets its nearest, smallest ids first.
+    rows = [(i, 0, [1.0, 2.0, 3.0] if i % 2 else [float(i % 97), 1.0, -float(i % 89)]) for i in range(800)]
+    hot = spark.createDataFrame(rows, "vec_id long, label int, scaled array<double>")
+    got = {r["vec_id"]: r for r in vectors.cosine_knn_lsh(hot, k=3, bucket_rows=64, tables=2).where("rank = 3").collect()}
+    assert all(got[i]["neighbor_id"] == (5 if i not in (1, 3, 5) else 7) and got[i]["sim"] > 1 - 1e-9 for i in range(1, 800, 2))
+
+
 def test_knn_small_group(spark):
     rows = [(1, 0, [1.0, 0.0]), (2, 0, [0.0, 1.0]), (3, 1, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, label int, scaled array<double>")
