@@ -89,6 +89,59 @@ def test_top_k_against_brute_force(spark):
     assert got == sorted(want)
 
 
+def expected_top(rows, asked, k):
+    """Brute force in Python's integers."""
+    seen = {(i, tuple(math.floor(64 * x) for x in v)) for i, v in rows}
+    out = []
+    for q, v in seen:
+        if asked(q):
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in seen if i != q and len(w) == len(v))[:k]
+            out += [(q, r + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_large_components_are_exact(spark):
+    """Scores above 2**53 in all arithmetics, far above the range of long too, next to small ones."""
+    rng = np.random.default_rng(8)
+    rows = [(0, [1e12, 1.0]), (20, [1e12, 1.0]), (1, [1e12, 1.0 + 1 / 64]), (2, [-1e12, 2.0]), (3, [1e300, -1e300]), (40, [-1e300, 1e200]), (4, [3e305, 0.0])]
+    rows += [(100 + i, [float(x) for x in rng.normal(size=2) * 10.0 ** rng.integers(0, 11)]) for i in range(200)]
+    rows += [(400 + i, [2.0**24 + i, 2.0**24 - i]) for i in range(60)]
+    schema = "vec_id long, embedding array<double>"
+    got = ball_tree.top_k(spark.createDataFrame(rows, schema), F.col("vec_id") % 20 == 0, k=7, shard_rows=16)
+    assert got.schema["score"].dataType.simpleString() == "bigint"
+    got = sorted(tuple(r) for r in got.collect())
+    assert got == expected_top(rows, lambda q: q % 20 == 0, 7)
+    assert any(2**53 < s < 2**63 - 1 and s % 2 for *_, s in got) and any(s == 2**63 - 1 for *_, s in got)
+    # A component that scaled is not finite has no integer.
+    assert ball_tree.top_k(spark.createDataFrame([(0, [1e307]), (1, [1.0])], schema), F.col("vec_id") == 0).count() == 0
+
+
+def test_shards_out_of_reach_are_dropped(spark):
+    """Clusters in different directions: most (query, shard) pairs go before the shuffle, and the result stays exact."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(16, 8)) * 4
+    rows = [(i, [float(x) for x in centres[i % 16] + rng.normal(size=8) * 0.05]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    counted = []
+    plain = ball_tree.away_rows
+    ball_tree.away_rows = lambda asked, trees, balls: counted.append((asked.count(), sum(b["parts"] for b in balls), plain(asked, trees, balls).count())) or plain(asked, trees, balls)
+    try:
+        got = sorted(tuple(r) for r in ball_tree.top_k(df, F.col("vec_id") % 20 == 0, k=5, shard_rows=100).collect())
+    finally:
+        ball_tree.away_rows = plain
+    assert got == expected_top(rows, lambda q: q % 20 == 0, 5)
+    (asked, shards, sent), = counted
+    assert shards >= 16 and sent < asked * (shards - 1) / 2, counted
+
+
+def test_one_vector_repeated_is_dealt_out(spark):
+    """Half of all rows share one vector: their leaf is dealt to several shards."""
+    rows = [(i, [1.0, 2.0] if i % 2 else [float(i % 13), float(i % 7)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ball_tree.top_k(df, F.col("vec_id") % 20 == 0, k=9, shard_rows=50).collect())
+    assert got == expected_top(rows, lambda q: q % 20 == 0, 9)
+
+
 def test_ties_and_few_candidates(spark):
     rows = [(i, [1.0, 0.0]) for i in range(0, 30)]
     got = ball_tree.top_k(table(spark, rows), F.col("vec_id") == 0, k=40, shard_rows=4).orderBy("rank").collect()
