@@ -4,7 +4,8 @@ from replyscope.llm.licenses import RULES, SENTENCES
 
 MIX = r"""
 WITH sizes AS (
-  SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5('7:' || CAST(doc_id AS VARCHAR)) AS r
+  SELECT doc_id, source, CAST(COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5('7:' || COALESCE(CAST(doc_id AS VARCHAR), '') || ':' || md5(COALESCE(text, ''))) AS r
   FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no
@@ -18,14 +19,36 @@ WITH sizes AS (
   FROM weighed
 ), target AS (
   SELECT *, least(cap, COALESCE((SELECT max(level) FROM levels WHERE level * w <= cap) * w, cap)) AS target FROM levels
+), size_of_block AS (
+  SELECT CAST(least(greatest(floor(sum(target) / 262144), 1), 1024) AS BIGINT) AS block FROM target
+), need AS (
+  SELECT no, source_size, CAST(ceil(target / block) AS HUGEINT) AS need FROM target, size_of_block
+), parts AS (
+  SELECT no, source_size, COALESCE(sum(need) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, need, sum(need) OVER () AS total FROM need
+), edges AS (
+  SELECT no, source_size, CAST(lo AS HUGEINT) * 18446744073709551616 // CAST(total AS HUGEINT) AS a,
+         CAST(lo + need AS HUGEINT) * 18446744073709551616 // CAST(total AS HUGEINT) AS b
+  FROM parts WHERE need > 0
+), points AS (
+  SELECT slot, CAST(slot AS HUGEINT) * 11400714819323198485 % 18446744073709551616 AS u
+  FROM (SELECT unnest(range(0, (SELECT CAST(sum(need) AS BIGINT) FROM need))) AS slot)
+), slots AS (
+  SELECT no, source_size, slot, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS nth FROM points JOIN edges ON u >= a AND u < b
+), ends AS (
+  SELECT no, least(count(*) * (SELECT block FROM size_of_block), 2 * any_value(source_size)) AS stop FROM slots GROUP BY no
 ), placed AS (
-  SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS stop,
-         CAST(sum(size) OVER (PARTITION BY no ORDER BY r, doc_id) AS BIGINT) - size AS first
-  FROM sizes JOIN target ON sizes.source IS NOT DISTINCT FROM target.source
+  SELECT s.doc_id, size, target.no, target.source_size, target, COALESCE(stop, 0) AS stop, r,
+         CAST(sum(size) OVER (PARTITION BY target.no ORDER BY r, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS place, row_number() OVER () AS row_no
+  FROM sizes s JOIN target ON s.source IS NOT DISTINCT FROM target.source LEFT JOIN ends ON ends.no = target.no
+), passes AS (
+  SELECT row_no, no, place + p * source_size AS lo, least(place + p * source_size + size, stop) AS hi
+  FROM placed, (SELECT unnest([0, 1]) AS p) WHERE size > 0 AND place + p * source_size < stop
+), cut AS (
+  SELECT row_no, sum(hi - lo) AS taken, sum((hi - 1) // block - lo // block + 1) AS n_slots, min(lo // block) AS nth, any_value(no) AS no
+  FROM passes, size_of_block GROUP BY row_no
 )
-SELECT doc_id, size, source_size, target,
-       greatest(0, least(stop - first, size)) + greatest(0, least(stop - source_size - first, size)) AS taken
-FROM placed
+SELECT doc_id, size, placed.source_size, target, CAST(COALESCE(taken, 0) AS BIGINT) AS taken, slot AS first_slot, CAST(COALESCE(n_slots, 0) AS BIGINT) AS n_slots
+FROM placed LEFT JOIN cut USING (row_no) LEFT JOIN slots ON slots.no = cut.no AND slots.nth = cut.nth
 """
 
 TOP_K = """

@@ -7,6 +7,7 @@ import pytest
 from cases import documents, empty_documents, odd_rows, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from replyscope.llm import bfd_packing, mixing, packing
@@ -56,12 +57,59 @@ def test_targets_and_takes(spark):
     for r in pieces.collect():
         words_of[source[r["no"]]] += r.words
         assert 0 < r.words <= 16
-    assert {s: words_of[s] for s in size} == {s: int(t + 1e-9) for s, t in target.items()}
-    assert all(0 <= r.taken <= 2 * r.size for r in got)
+    # As many words as the slots hold, which is the target but for a few blocks, and at most twice the source.
+    hits = Counter(r["no"] for r in mixing.schedule(placed.select("no", "target").distinct(), 16).collect())
+    assert {s: words_of[s] for s in size} == {s: min(hits[n] * 16, 2 * size[s]) for n, s in source.items()}
+    assert all(abs(words_of[s] - t) <= 2 * 16 for s, t in target.items())
+    assert all(0 <= r.taken <= 2 * r.size for r in got) and sum(r.taken for r in got) == sum(words_of.values())
+    first, n = defaultdict(list), Counter()
+    for r in pieces.collect():
+        first[r["no"], r["at"]].append(r.slot)
+        n[r["no"], r["at"]] += 1
+    assert Counter((min(v), len(v)) for v in first.values()) == Counter((r.first_slot, r.n_slots) for r in got if r.taken)
+    assert all(r.first_slot is None and r.n_slots == 0 for r in got if not r.taken)
     by = {source[r["no"]]: r for r in placed.collect()}
     assert all(abs(by[s].target - t) < 1e-6 and by[s].source_size == size[s] for s, t in target.items())
 
 
+def test_another_generator_makes_another_mix(spark):
+    rows = rows_of_sources(300)
+    docs, placed, pieces = mixed(spark, rows, block=4)
+    other = mixing.mix_pieces(placed, 2.0, 4, multiplier=3 * mixing.GOLDEN % mixing.CIRCLE)
+    a, b = ({(r.doc_id, r.size, r.first_slot, r.n_slots) for r in mixing.taken(placed, p).collect()} for p in (pieces, other))
+    assert a != b and {x[:2] for x in a} == {x[:2] for x in b}
+    for p in (pieces, other):
+        got = {r["no"]: r.words for r in p.groupBy("no").agg({"words": "sum"}).withColumnRenamed("sum(words)", "words").collect()}
+        assert all(abs(got.get(r["no"], 0) - r.target) <= 4 * 4 for r in placed.select("no", "target").distinct().collect())
+
+
+def test_points_are_exact_at_large_numbers(spark):
+    """The parts of the circle and the points in whole numbers: against Python's integers."""
+    per = spark.createDataFrame([(0, 5.0e4), (1, 1.0), (2, 0.0), (3, 3.1e4)], "no int, target double")
+    got = {r.slot: (r["no"], r.block) for r in mixing.schedule(per, 3).collect()}
+    need = [-(-int(t) // 3) if t == int(t) else 0 for t in (5.0e4, 1.0, 0.0, 3.1e4)]
+    total, lo, want, rank = sum(need), 0, {}, Counter()
+    edges = []
+    for n in need:
+        edges.append((lo * mixing.CIRCLE // total, (lo + n) * mixing.CIRCLE // total))
+        lo += n
+    for slot in range(total):
+        u = slot * mixing.GOLDEN % mixing.CIRCLE
+        no = next(i for i, (a, b) in enumerate(edges) if a <= u < b)
+        want[slot] = (no, rank[no])
+        rank[no] += 1
+    assert got == want
+
+
+def test_a_row_repeated_often(spark):
+    rows = [(7, "one two three", "a")] * 500 + [(i, f"w{i} x y z", "b") for i in range(500)]
+    docs, placed, pieces = mixed(spark, rows, block=5)
+    got = mixing.taken(placed, pieces).collect()
+    assert len(got) == 1000 and all(r.taken <= 2 * r.size for r in got)
+    out = Counter(r.text for r in mixing.mixed_documents(docs, block=5).collect() if r.doc_id == 7 and r.text == "one two three")
+    assert abs(out["one two three"] * 3 - next(r.target for r in got if r.doc_id == 7)) <= 15
+
+
 def test_slots_are_a_permutation_and_follow_the_shares(spark):
     rows = [(i, words(__import__("random").Random(i), 50), "abc"[i % 3]) for i in range(600)]
     _, placed, pieces = mixed(spark, rows, block=10)
@@ -72,7 +120,7 @@ def test_slots_are_a_permutation_and_follow_the_shares(spark):
         seen = Counter(s["no"] for s in slots[:part])
         assert all(abs(seen[n] - part * share[n] / len(slots)) < 8 for n in share)
     for n in share:
-        assert [s.block for s in slots if s["no"] == n][: share[n] - 4] == list(range(share[n] - 4))
+        assert [s.block for s in slots if s["no"] == n] == list(range(share[n]))
 
 
 def test_reruns_agree_and_documents_follow(spark):
@@ -85,6 +133,13 @@ def test_reruns_agree_and_documents_follow(spark):
     total = sum(len(r.text.encode().split()) for r in out.collect())
     assert total == pieces.agg({"words": "sum"}).first()[0]
     assert all(r.n_chars == len(r.text) for r in out.collect())
+    # Rows come in the order of their first slots.
+    part = pieces.groupBy("no", "at", "pass").agg(F.min("slot").alias("slot"), F.first("doc_id").alias("doc_id")).collect()
+    by_slot = defaultdict(set)
+    for r in part:
+        by_slot[r.slot].add(r.doc_id)
+    order = [d for s in sorted(by_slot) for d in [by_slot[s]] for _ in range(sum(r.slot == s for r in part))]
+    assert len(order) == out.count() and all(r.doc_id in ids for r, ids in zip(out.collect(), order))
 
 
 def test_mix_of_nothing(spark):
