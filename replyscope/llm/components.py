@@ -12,7 +12,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges`` (a long, b long) to (node, root): the smallest node of each node's component, for nodes with an edge
     to another one. A round joins every node with the minimum of its neighbours (large star) and then of its smaller
     neighbours (small star); the edges are saved to the shared folder after each round, and rounds end when
-    the edge set stays the same. A hot node is pre-aggregated for its minimum and split by the skew join."""
+    the edge set stays the same. The minima are saved before they are joined: the join is then one of two plain shuffles, which Spark
+    can split at a hot node, however many edges that has."""
     e = save(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -21,9 +22,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = save(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = save(large.groupBy("a").agg(F.min("b").alias("m")))
         small = (
             large.join(least, "a")
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))

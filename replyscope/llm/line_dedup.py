@@ -2,7 +2,8 @@
 
 A text's units are its lines. Each unit is normalised (A-Z lower-cased, runs of ASCII white space made one blank) and named by a
 128-bit digest. Digests are grouped over all texts; the earliest unit of a digest, by doc_id and then by place in the text, stays and
-all others are removed with their line feeds, their places in the original text kept.
+all others are removed with their line feeds, their places in the original text kept. Lines of over 50 words are passages: what of them
+stands elsewhere in the table is counted apart, in the earliest text too, from which it is not removed.
 """
 
 from __future__ import annotations
@@ -12,12 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from replyscope.llm.common import row_key, save, text_bytes
 
 
+#: Lines of more words than this are passages.
+PASSAGE_WORDS = 50
+
+
 def units(text: bytes, min_bytes: int) -> Iterator[tuple[int, int, bytes]]:
     """(start, stop, normalised) of each line of at least ``min_bytes`` normalised bytes; stop is behind the line feed."""
     at = 0
@@ -30,42 +35,55 @@ def units(text: bytes, min_bytes: int) -> Iterator[tuple[int, int, bytes]]:
 
 
 def unit_table(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """(h1, h2, doc_id, k, p, size): every unit's digest and place; ``p`` holds k2 and the start."""
+    """(h1, h2, doc_id, k, p, size, passage): every unit's digest and place; ``p`` holds k2 and the start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, digest, start, size = [], [], [], []
+            row, digest, start, size, passage = [], [], [], [], []
             for i, t in enumerate(b.column(3)):
                 for lo, hi, norm in units(t.as_py(), min_bytes):
                     row.append(i)
                     digest.append(xxhash.xxh3_128_digest(norm))
                     start.append(lo)
                     size.append(hi - lo)
+                    passage.append(norm.count(b" ") >= PASSAGE_WORDS)
             h = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
             at = pa.array(row, pa.int32())
             p = b.column(2).take(at).to_numpy().astype(np.int64) << 32 | np.array(start, np.int64)
-            cols = [pa.array(h[:, 0]), pa.array(h[:, 1]), b.column(0).take(at), b.column(1).take(at), pa.array(p), pa.array(size, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "doc_id", "k", "p", "size"])
+            cols = [pa.array(h[:, 0]), pa.array(h[:, 1]), b.column(0).take(at), b.column(1).take(at), pa.array(p), pa.array(size, pa.int32()), pa.array(passage, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, ["h1", "h2", "doc_id", "k", "p", "size", "passage"])
 
-    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, k long, p long, size int")
+    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, k long, p long, size int, passage boolean")
 
 
-def remove_lines(docs: DataFrame, min_bytes: int = 24) -> DataFrame:
+def remove_lines(docs: DataFrame, min_bytes: int = 1) -> DataFrame:
     """Remove the lines of ``docs`` (doc_id, text, any further columns) that an earlier line of the table equals when normalised.
 
     One row per row: doc_id, k, k2 (the row's key, see ``row_key``), n_bytes, n_units, removed (array of (start, stop) in bytes of
-    the input, ascending) and kept (the rest, binary). Lines of fewer than ``min_bytes`` normalised bytes stay: with 1, as
-    op6_line_dedup asks for, only empty ones. Null ids rank last. Rows with one id rank by place in the text and then by key; rows equal in id and text
+    the input, ascending), kept (the rest, binary), shared_passages (bytes of its lines of over PASSAGE_WORDS words that stand elsewhere in the
+    table too, removed or not) and removed_passages (those of them that are removed). Lines of fewer than ``min_bytes`` normalised bytes stay: with
+    1 only empty ones. Null ids rank last. Rows with one id rank by place in the text and then by key; rows equal in id and text
     count as one text, so they keep the same. Null texts count as empty."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(F.col("doc_id"), F.col("text")), text_bytes().alias("t"))
     u = save(unit_table(src, min_bytes))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("p").bitwiseAND(F.lit((1 << 32) - 1)).alias("start"), "k", "p")
     keep = u.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("one")).where("n > 1")
     keep = save(keep.select("h1", "h2", F.col("one.k").alias("k_"), F.col("one.p").alias("p_")))
-    gone = u.join(keep, ["h1", "h2"]).where("k <> k_ or p <> p_")
+    gone = F.col("k") != F.col("k_")
+    shared = u.join(keep, ["h1", "h2"]).withColumn("gone", gone | (F.col("p") != F.col("p_")))
     start = F.col("p").bitwiseAND(F.lit((1 << 32) - 1))
-    span = F.struct(start.alias("start"), (start + F.col("size")).alias("stop"))
-    spans = gone.groupBy("k", F.shiftright("p", 32).cast("int").alias("k2")).agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    # A set: a place counts once in its text, also where rows repeat.
+    unit = F.struct(start.alias("start"), (start + F.col("size")).alias("stop"), "passage", "gone")
+    by = shared.where("gone or passage").groupBy("k", F.shiftright("p", 32).cast("int").alias("k2")).agg(F.array_sort(F.collect_set(unit)).alias("units"))
+
+    def bytes_of(passages: Column) -> Column:
+        return F.aggregate(passages, F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+
+    passages = F.filter("units", lambda x: x["passage"])
+    spans = by.select(
+        "k", "k2", F.transform(F.filter("units", lambda x: x["gone"]), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))).alias("spans"),
+        bytes_of(passages).alias("shared_passages"), bytes_of(F.filter(passages, lambda x: x["gone"])).alias("removed_passages"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -77,16 +95,20 @@ def remove_lines(docs: DataFrame, min_bytes: int = 24) -> DataFrame:
                 n_units.append(t.count(b"\n") + 1 if t else 0)
             size = pa.array([len(t.as_py()) for t in b.column("t")], pa.int64())
             cols = [*(b.column(c) for c in ("doc_id", "k", "k2")), size, pa.array(n_units, pa.int64()), b.column("removed"), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k", "k2", "n_bytes", "n_units", "removed", "kept"])
+            cols += [b.column("shared_passages"), b.column("removed_passages")]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k", "k2", "n_bytes", "n_units", "removed", "kept", "shared_passages", "removed_passages"])
 
     empty = F.array().cast("array<struct<start:long,stop:long>>")
-    joined = src.join(spans, ["k", "k2"], "left").select("doc_id", "k", "k2", "t", F.coalesce("spans", empty).alias("removed"))
-    return joined.mapInArrow(run, "doc_id long, k long, k2 int, n_bytes long, n_units long, removed array<struct<start:long,stop:long>>, kept binary")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("shared_passages", "removed_passages")]
+    joined = src.join(spans, ["k", "k2"], "left").select("doc_id", "k", "k2", "t", F.coalesce("spans", empty).alias("removed"), *counts)
+    out = "doc_id long, k long, k2 int, n_bytes long, n_units long, removed array<struct<start:long,stop:long>>, kept binary"
+    return joined.mapInArrow(run, f"{out}, shared_passages long, removed_passages long")
 
 
 def digest(removed: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_units, n_removed (bytes), n_spans, removed ([start, stop] pairs) and kept_sha256 of ``remove_lines``."""
+    """doc_id, n_bytes, n_units, n_removed (bytes), n_spans, removed ([start, stop] pairs), kept_sha256, shared_passages and removed_passages of
+    ``remove_lines``."""
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, r: acc + r["stop"] - r["start"])
     spans = F.size("removed").cast("long").alias("n_spans")
     pairs = F.transform("removed", lambda r: F.array(r["start"], r["stop"])).alias("removed")
-    return removed.select("doc_id", "n_bytes", "n_units", gone.alias("n_removed"), spans, pairs, F.sha2("kept", 256).alias("kept_sha256"))
+    return removed.select("doc_id", "n_bytes", "n_units", gone.alias("n_removed"), spans, pairs, F.sha2("kept", 256).alias("kept_sha256"), "shared_passages", "removed_passages")

@@ -27,12 +27,21 @@ def test_lines_against_brute_force(spark):
         gone = [(lo, hi) for _, m, lo, hi, norm in units if m == n and first[norm] != (r[:2], lo)]
         kept = b"".join(t[a:b] for a, b in zip([0, *(h for _, h in gone)], [*(lo for lo, _ in gone), len(t)]))
         want.append((r[0], len(t), sum(h - lo for lo, h in gone), len(gone), gone, hashlib.sha256(kept).hexdigest()))
-    got = line_dedup.digest(line_dedup.remove_lines(documents(spark, rows))).collect()
+    got = line_dedup.digest(line_dedup.remove_lines(documents(spark, rows), min_bytes=24)).collect()
     got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, [tuple(s) for s in r.removed], r.kept_sha256) for r in got]
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert line_dedup.remove_lines(empty_documents(spark)).count() == 0
 
 
+def test_passages_are_counted_apart(spark):
+    """Lines of over 50 words that stand elsewhere too, with the earliest holder; a short line does not count."""
+    long, other, fifty = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 51), ("b", 60), ("c", 50)))
+    rows = [(1, f"{long}\nshort"), (2, f"x\n{long.upper()}\n{other}\nshort"), (3, f"{fifty}\nshort"), (4, fifty), (5, f"{long}\n{long}"), (6, None), (6, None)]
+    got = {r.doc_id: (r.shared_passages, r.removed_passages) for r in line_dedup.digest(line_dedup.remove_lines(documents(spark, rows))).collect()}
+    n = len(long) + 1
+    assert got == {1: (n, 0), 2: (n, n), 3: (0, 0), 4: (0, 0), 5: (2 * n - 1, 2 * n - 1), 6: (0, 0)}
+
+
 def test_every_line_but_empty_ones_is_a_unit(spark, tmp_path):
     import duckdb
 
