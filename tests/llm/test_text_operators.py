@@ -222,6 +222,45 @@ def test_toxicity_sample_has_one_row_of_an_id(spark, monkeypatch):
     assert seen[0] == seen[1]
 
 
+def plain_score(m, text):
+    """The score of one text from the model's dictionaries and plane, window by window."""
+    import math
+    import re
+
+    import zstandard as zstd
+
+    params = dict(window_log=17, hash_log=17, chain_log=17, search_log=1, min_match=6, strategy=zstd.STRATEGY_DFAST, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_checksum=0, write_content_size=0, write_dict_id=0)
+
+    def packed(front, window):
+        d = zstd.ZstdCompressionDict(front, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        return len(zstd.ZstdCompressor(dict_data=d, compression_params=zstd.ZstdCompressionParameters(**params)).compress(window))
+
+    w = re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda c: c[0].lower(), text))
+    saved = []
+    for i in range(0, len(w), m.words):
+        window = b" " + b" ".join(w[i : i + m.words]) + b" "
+        zeros = b"\0" * ((24 - len(m.toxic) % 24) % 24)
+        saved.append(packed(m.ordinary, window) - packed(zeros + m.toxic + m.ordinary, window))
+    top = [max(x, 0) for x in (sorted(saved, reverse=True) + [0, 0, 0])[:3]]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(m.plane, [*top, math.log1p(len(saved)), 1]))))
+
+
+def test_toxicity_scores_against_plain_version(spark):
+    """Every score of the query's own path, with null, empty and very long texts."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.train(docs, labels)
+    assert m.plane and len(m.plane) == 5
+    texts = [r.text for r in docs.limit(60).collect()]
+    long = " ".join(t for t in texts if t)[:200_000]
+    rows = [(i, t) for i, t in enumerate([*texts, None, "", " \n", "\x00 \x00", long, "word " * 20_000])]
+    got = {r.doc_id: r.s for r in documents(spark, rows).select("doc_id", toxicity.toxicity(m).alias("s")).collect()}
+    want = {i: plain_score(m, (t or "").encode()) for i, t in rows}
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-12 and len(got) == len(rows)
+    same = {r.doc_id: r.score for r in toxicity.score_documents(docs, labels).collect()}
+    assert all(abs(same[r.doc_id] - plain_score(m, (r.text or "").encode())) < 1e-12 for r in docs.orderBy("doc_id").limit(40).collect())
+
+
 def test_toxicity_odd_rows(spark, model):
     m = model[0]
     got = documents(spark, odd_rows()).select("doc_id", toxicity.toxicity(m).alias("s")).collect()
