@@ -240,20 +240,29 @@ def remove_repeats(docs: DataFrame, length: int = 400, spread: int = 257, step:
     characters of which only a part is left). Repeated rows count as
     occurrences of each other, so both lose what they share; rows that share only an id, or have none, are texts of their own. Texts
     shorter than ``length`` are kept whole. An empty table gives no row."""
-    src = save_by_key(keyed(docs).withColumn("t", text_bytes("doc.text")).withColumn("doc", F.col("doc").dropFields("text")), ["k", "k2"])
+    rows = keyed(docs).withColumn("t", text_bytes("doc.text")).withColumn("doc", F.col("doc").dropFields("text"))
+    # Rows equal in id and text are one text until the end, so that no key of a join or bucket has more than one text.
+    often = save(rows.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    copies = rows.join(often, ["k", "k2"]).groupBy("k", "k2").agg(F.any_value("t").alias("t"), F.max("copies").alias("copies"))
+    texts = rows.join(often, ["k", "k2"], "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    src = save_by_key(texts.unionByName(copies, allowMissingColumns=True), ["k", "k2"])
     spans = repeated_spans(src.select("k", "k2", "t"), length, spread, step)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, kept, n_bytes = [], [], []
-            lists = batch.column("spans")
+            lists, copies = batch.column("spans"), batch.column("copies").to_numpy()
             at, flat = lists.offsets.to_numpy(), lists.flatten()
             start, n = flat.field("start").to_numpy().astype(np.int64), flat.field("n").to_numpy()
             for i, t in enumerate(batch.column("t")):
                 t = t.as_py()
                 lo, hi = at[i] - at[0], at[i + 1] - at[0]
                 n_bytes.append(len(t))
+                if copies[i] > 1 and len(t) >= length:
+                    removed.append([{"start": 0, "stop": len(t)}])
+                    kept.append(b"")
+                    continue
                 if hi == lo:
                     removed.append([])
                     kept.append(t)
@@ -262,13 +271,20 @@ def remove_repeats(docs: DataFrame, length: int = 400, spread: int = 257, step:
                 removed.append([{"start": int(x), "stop": int(y)} for x, y in zip(a, b, strict=True)])
                 kept.append(b"".join(t[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(t)], strict=True)))
             rest = pa.array([t.decode("utf-8", "ignore") for t in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-            cols = [batch.column("doc"), pa.array(n_bytes, pa.int64()), pa.array(removed, kind), rest]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "n_bytes", "removed", "kept"])
+            cols = [*(batch.column(c) for c in ("k", "k2", "doc")), pa.array(n_bytes, pa.int64()), pa.array(removed, kind), rest]
+            yield pa.RecordBatch.from_arrays(cols, ["k", "k2", "doc", "n_bytes", "removed", "kept"])
 
     empty = F.array().cast("array<struct<start:int,n:int>>")
-    joined = src.join(spans, ["k", "k2"], "left").select("doc", "t", F.coalesce("spans", empty).alias("spans"))
-    kind_of = src.schema["doc"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc {kind_of}, n_bytes long, removed array<struct<start:long,stop:long>>, kept {'string' if as_text else 'binary'}")
+    spans = save(spans)
+    out = f"k long, k2 int, doc {src.schema['doc'].dataType.simpleString()}, n_bytes long, removed array<struct<start:long,stop:long>>"
+
+    def cleaned(part: DataFrame) -> DataFrame:
+        joined = part.join(spans, ["k", "k2"], "left").select("k", "k2", "doc", "t", "copies", F.coalesce("spans", empty).alias("spans"))
+        return joined.mapInArrow(run, f"{out}, kept {'string' if as_text else 'binary'}")
+
+    result = ["doc", "n_bytes", "removed", "kept"]
+    again = save(cleaned(src.where("copies > 1")).drop("doc")).join(rows.join(often, ["k", "k2"], "left_semi").select("k", "k2", "doc"), ["k", "k2"])
+    return cleaned(src.where("copies = 1")).select(result).unionByName(again.select(result))
 
 
 def digest(removed: DataFrame) -> DataFrame:

@@ -88,3 +88,24 @@ def test_long_text():
         h = xxhash.xxh64_intdigest(f"w{i} w{i + 1} w{i + 2}".encode(), 42)
         ones += [(h >> k) & 1 for k in range(64)]
     assert S.fingerprint(text.encode()) == sum(1 << k for k in range(64) if 2 * ones[k] > len(w) - 2)
+
+
+def test_components_of_stars_and_chains(spark):
+    """A star of many leaves, chains, a cycle and edges in both directions, against union-find."""
+    from replyscope.llm.components import connected_components
+
+    edges = [(0, i) for i in range(1, 20_001)] + [(30_000 + i, 30_001 + i) for i in range(40)] + [(40_000 + i, 40_000 + (i + 1) % 9) for i in range(9)]
+    edges += [(7, 50_000), (50_001, 50_000), (60_001, 60_000), (60_000, 60_001), (70_000, 70_000)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {x: find(x) for x in parent if x != 70_000}
+    assert got == {x: r for x, r in want.items() if x != r}

@@ -92,3 +92,23 @@ def test_identifiers_name_contents():
     assert len(set(ids[8][:3].tolist())) == 3 and ids[16][0] == ids[16][8]
     a = S.at_depth(S.refine(data, set(S.powers(25))), 25, np.array([0, 8, 1]))
     assert a[0] == a[1] != a[2]
+
+
+def test_half_of_all_rows_equal(spark):
+    """A text in hundreds of equal rows, one shorter than the length too, with columns of their own, and texts that share parts of it."""
+    rng = random.Random(11)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = [(1, text)] * 300 + [(2, text[:30])] * 100 + [(None, None)] * 50 + [(3, text[40:90] + "#"), (4, text[:39] + "%"), (5, "zzz" + text[:30])]
+    check(spark, rows)
+    docs = documents(spark, [(d, t, f"s{i}") for i, (d, t) in enumerate(rows)])
+    out = S.clean_documents(docs, length=40, spread=17, step=4)
+    assert out.columns == docs.columns and sorted(r.source for r in out.collect()) == sorted(f"s{i}" for i in range(len(rows)))
+    # The table that the refinements work on holds each text once.
+    texts = []
+    plain = S.repeated_spans
+    S.repeated_spans = lambda src, *a: texts.append(src.count()) or plain(src, *a)
+    try:
+        S.remove_repeats(docs, 40, 17, 4).count()
+    finally:
+        S.repeated_spans = plain
+    assert texts == [6]
