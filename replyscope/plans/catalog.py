@@ -333,6 +333,26 @@ def infer_stub(spark, sf):
     return inf.run_inference(standard_requests(spark, sf), inf.echo_model)
 
 
+def logprob_model(chats: list, params: list) -> list:
+    """Stand-in model that answers with log-probabilities: one token, the length of the last turn."""
+    lengths = [len(c[-1]["content"]) for c in chats]
+    return [{"reply": str(n), "logprobs": [{"token": str(n), "logprob": -n / 8}]} for n in lengths]
+
+
+@query("infer_logprobs")
+def infer_logprobs(spark, sf):
+    """Replies with their token log-probabilities as JSON text."""
+    return inf.run_inference(standard_requests(spark, sf), logprob_model, logprobs=True)
+
+
+@query("decoding_parameters")
+def decoding_parameters(spark, sf):
+    """The decoding parameters of each row's request and of its judge."""
+    rows = fx.annotations(spark, sf).withColumn("temperature", P.temperature())
+    out = rows.select("row_id", "dataset_id", inf.decoding_params().alias("p"), inf.judge_params().alias("j"))
+    return out.select("row_id", "dataset_id", "p.*", *[F.col(f"j.{c}").alias(f"judge_{c}") for c in ("temperature", "top_p", "max_tokens", "seed")])
+
+
 @query("guess_two_stage")
 def guess_two_stage(spark, sf):
     """The stub's committed guess goes into the second chat, and both answers are kept."""
@@ -593,6 +613,18 @@ def wide_results_roundtrip(spark, sf):
     return wide.wide_to_long(wide_df, WIDE_MODEL).select("row_id", "model", "mode", "reply", "side_output")
 
 
+@query("wide_scores_roundtrip")
+def wide_scores_roundtrip(spark, sf):
+    """A wide table with accuracy and log-probability columns read back to long rows, absent columns as NULL."""
+    rows = acc.score_accuracy(fx.runs(fx.annotations(spark, sf)).where(F.col("mode").isin("standard", "add_all_native")))
+    name = wide.display_name(WIDE_MODEL)
+    w = rows.groupBy("row_id").pivot("mode", ["standard", "add_all_native"]).agg(F.first("reply").alias("r"), F.first("accuracy").alias("a"))
+    reply = {m: f"{name} replies{fixed.REPLY_SUFFIX[m]}" for m in ("standard", "add_all_native")}
+    wide_df = w.select("row_id", *[F.col(f"{m}_r").alias(c) for m, c in reply.items()], F.col("standard_a").alias(f"accuracy_score_{reply['standard']}"),
+                       F.concat(F.lit("[-"), F.length("standard_r"), F.lit("]")).alias(f"{name} logprobs{fixed.REPLY_SUFFIX['standard']}"))
+    return wide.wide_to_long(wide_df, WIDE_MODEL).select("row_id", "model", "mode", "reply", "accuracy", "logprobs")
+
+
 def text_features(texts: list) -> list:
     """Stand-in encoder for tests: (characters, spaces, newlines) of each text."""
     return [[float(len(t)), float(t.count(" ")), float(t.count("\n"))] for t in texts]

@@ -925,6 +925,27 @@ SQL["wide_results_roundtrip"] = with_views("annotations", "runs") + """
 SELECT row_id, 'gpt3' AS model, mode, reply, side_output FROM runs
 """
 
+SQL["wide_scores_roundtrip"] = with_views("annotations", "runs") + f"""
+SELECT row_id, 'gpt3' AS model, mode, reply, CASE WHEN mode = 'standard' THEN {accuracy()} END AS accuracy,
+       CASE WHEN mode = 'standard' THEN '[-' || length(reply) || ']' END AS logprobs
+FROM runs WHERE mode IN ('standard', 'add_all_native')
+"""
+
+SQL["infer_logprobs"] = with_views("annotations") + f"""
+, asked AS (SELECT row_id, length({_FINAL}) AS n FROM annotations WHERE validated = 1)
+SELECT row_id, 'model_a' AS model, 'standard' AS mode, CAST(n AS VARCHAR) AS reply,
+       '[{{"token": "' || n || '", "logprob": ' || CAST(-n / 8.0::DOUBLE AS VARCHAR) || '}}]' AS logprobs, CAST(NULL AS VARCHAR) AS error
+FROM asked
+"""
+
+SQL["decoding_parameters"] = with_views("annotations") + f"""
+SELECT row_id, dataset_id, {temperature()} AS temperature, CASE WHEN {temperature()} = 0 THEN NULL ELSE {fixed.SAMPLING_TOP_P}::DOUBLE END AS top_p,
+       CAST(CASE WHEN {temperature()} = 0 THEN NULL ELSE {fixed.SAMPLING_TOP_K} END AS INT) AS top_k, CAST({fixed.MAX_NEW_TOKENS} AS INT) AS max_tokens,
+       CAST({fixed.SEED} AS INT) AS seed, CAST({fixed.TOP_LOGPROBS} AS INT) AS top_logprobs, {fixed.JUDGE_TEMPERATURE}::DOUBLE AS judge_temperature,
+       {fixed.JUDGE_TOP_P}::DOUBLE AS judge_top_p, CAST({fixed.JUDGE_MAX_TOKENS} AS INT) AS judge_max_tokens, CAST({fixed.SEED} AS INT) AS judge_seed
+FROM annotations
+"""
+
 SQL["embed_texts"] = """
 SELECT doc_id, CAST(unnest(range(3)) AS INT) AS dim,
        unnest([CAST(length(coalesce(text, '')) AS FLOAT),

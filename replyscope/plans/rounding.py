@@ -22,6 +22,7 @@ DOUBLE_COLUMNS = {
     'chat_trial': ('temperature',),
     'comparison_pivot': ('model_a_standard_native', 'model_a_standard_non_native', 'model_a_native_native', 'model_a_native_non_native', 'model_a_non_native_native', 'model_a_non_native_non_native', 'model_a_guess_native_native', 'model_a_guess_native_non_native', 'model_a_guess_native_correct_native', 'model_a_guess_native_correct_non_native'),
     'comparison_pivot_dataset': ('model_a_standard_native', 'model_a_standard_non_native', 'model_a_native_native', 'model_a_native_non_native', 'model_a_non_native_native', 'model_a_non_native_non_native', 'model_a_guess_native_native', 'model_a_guess_native_non_native', 'model_a_guess_native_correct_native', 'model_a_guess_native_correct_non_native'),
+    'decoding_parameters': ('temperature', 'top_p', 'judge_temperature', 'judge_top_p'),
     'gold_two_stage': ('temperature',),
     'guess_two_stage': ('temperature',),
     'group_covariance': ('cov',),
@@ -49,5 +50,6 @@ DOUBLE_COLUMNS = {
     'standardize_vectors': ('value',),
     'temperature': ('temperature',),
     'total_time_by_group': ('mean_total_seconds',),
+    'wide_scores_roundtrip': ('accuracy',),
     'word_count_by_group': ('avg_words_prompt', 'avg_words_reply'),
 }

@@ -11,7 +11,7 @@ from replyscope.plans.catalog import QUERIES
 
 SMOKE = "/root/testdata/sf0.001"
 PYTHON_OK = {"rouge_l", "rouge_lsum", "run_comparison", "comparison_pivot", "comparison_pivot_dataset", "greedy_match_score",
-             "cosine_knn", "pca_2d", "infer_stub", "chat_gold", "judge_regroup", "embed_texts", "guess_two_stage", "scores_all", "run_comparison_all", "group_covariance", "cosine_knn_lsh", "projected_points"}
+             "cosine_knn", "pca_2d", "infer_stub", "chat_gold", "judge_regroup", "embed_texts", "guess_two_stage", "scores_all", "run_comparison_all", "group_covariance", "cosine_knn_lsh", "projected_points", "infer_logprobs"}
 
 # Queries whose feature is to write and commit tables: they run jobs when built.
 WRITES = {"guess_two_stage", "gold_two_stage", "stream_resume", "scores_all", "run_comparison", "run_comparison_all", "comparison_pivot",
