@@ -20,20 +20,33 @@ KEYS = ("row_id", "model", "mode")
 # What a row's scores depend on, and the column that holds the fingerprint of it.
 INPUTS = ("dataset_id", "reply", "req_output", "generated_req_output")
 INPUT = "input_hash"
+PAIR = "__pair"
 
 
-def score_all(runs: DataFrame, vectors: DataFrame, logprobs: DataFrame, gold: str = "req_output", keys: Sequence[str] = KEYS,
-              rouge_lsum: bool = True) -> DataFrame:
+def score_all(runs: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame], logprobs: DataFrame, gold: str = "req_output",
+              keys: Sequence[str] = KEYS, rouge_lsum: bool = True) -> DataFrame:
     """``runs`` with accuracy (against ``req_output``), overlap metrics against ``gold``, ``bertscore_{precision,recall,f1}`` from
     ``vectors(*keys, side, pos, vec)`` and ``bartscore_{faithful,precision,recall,f1}`` from ``logprobs(*keys, direction, pos, logprob,
-    is_pad)``. Rows without tokens get NULL model-based scores."""
-    out = overlap.score_overlap(accuracy.score_accuracy(runs), gold=gold, keys=keys, rouge_l=True, rouge_lsum=rouge_lsum)
-    match = modelscores.score_embedding_match(vectors, keys)
-    loglik = modelscores.loglik_f1(logprobs, keys)
-    for name, part in (("bertscore", match), ("bartscore", loglik)):
-        renamed = part.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in part.columns if c not in keys])
-        out = out.join(renamed, list(keys), "left")
-    return out
+    is_pad)``. Rows without tokens get NULL model-based scores. Overlap metrics depend on the two texts alone, so each pair of texts is scored
+    once, however many runs gave that reply; so is the embedding match if ``vectors`` is a function, which is given the pairs (``PAIR``, reply,
+    gold) and returns their tokens (``PAIR``, side, pos, vec). The pairs and their scores are written before they are used and joined back; a
+    pair of many rows can then be split."""
+    rows = accuracy.score_accuracy(runs)
+    own = F.concat(F.lit("row:"), F.xxhash64(*keys).cast("string"))  # rows without a pair do not all share one key
+    rows = rows.withColumn(PAIR, F.coalesce(F.when(overlap.scorable("reply", gold), F.concat(F.md5("reply"), F.md5(gold))), own))
+    pairs = rows.where(overlap.scorable("reply", gold)).groupBy(PAIR).agg(F.any_value("reply").alias("reply"), F.any_value(gold).alias("gold"))
+    pairs = io.materialize(pairs, "pairs")
+    scored = overlap.score_overlap(pairs, gold="gold", keys=(PAIR,), datasets=None, rouge_l=True, rouge_lsum=rouge_lsum).drop("reply", "gold")
+    if callable(vectors):
+        scored = scored.join(_prefixed(modelscores.score_embedding_match(vectors(pairs), (PAIR,)), (PAIR,), "bertscore"), PAIR, "left")
+    out = rows.join(io.materialize(scored, "pair-scores"), PAIR, "left").drop(PAIR)
+    if not callable(vectors):
+        out = out.join(_prefixed(modelscores.score_embedding_match(vectors, keys), keys, "bertscore"), list(keys), "left")
+    return out.join(_prefixed(modelscores.loglik_f1(logprobs, keys), keys, "bartscore"), list(keys), "left")
+
+
+def _prefixed(part: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    return part.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in part.columns if c not in keys])
 
 
 def read_scored(spark: SparkSession, path: str, keys: Sequence[str] = KEYS) -> DataFrame | None:

@@ -97,3 +97,28 @@ def test_catalogue_reports_share_one_table(spark):
     finally:
         catalog.score_runs = plain
     assert len(calls) == 1
+
+
+def test_each_pair_of_texts_is_scored_once(spark):
+    """Equal replies of several runs: one pair for overlap and match, the same scores for all their rows, as without pairing."""
+    from replyscope.sources import fixtures as fx
+
+    rows = [(i, "m", mode, 1 + i % 2 * 2, "same reply here" if mode == "a" else f"reply {i % 2}", "3", "gold text here" if i else None, i) for i in range(12) for mode in ("a", "b")]
+    runs = spark.createDataFrame(rows, "row_id long, model string, mode string, dataset_id int, reply string, req_output string, generated_req_output string, example_id long")
+    pairs_seen = []
+
+    def vectors(pairs):
+        pairs_seen.append(pairs.count())
+        return fx.token_vectors(pairs, keys=(scores.PAIR,))
+
+    texts = fx.run_pairs(runs)
+    logprobs = fx.token_logprobs(texts, refs=1, keys=scores.KEYS)
+    once = scores.score_all(runs, vectors, logprobs, "generated_req_output")
+    each = scores.score_all(runs, fx.token_vectors(texts, keys=scores.KEYS), logprobs, "generated_req_output")
+    assert pairs_seen == [2]  # generation rows have even ids
+    cols = [*runs.columns, *report.metric_columns("all")]
+    plain = overlap.score_overlap(runs, gold="generated_req_output", keys=scores.KEYS, rouge_l=True, rouge_lsum=True)
+    one, two = (sorted(map(tuple, df.select(cols).collect()), key=repr) for df in (once, each))
+    assert one == two and len(one) == 24
+    names = ["row_id", "mode", "bleu", "rouge_1", "rouge_2", "rouge_l", "rouge_lsum"]
+    assert sorted(map(tuple, once.select(names).collect()), key=repr) == sorted(map(tuple, plain.select(names).collect()), key=repr)
