@@ -199,13 +199,16 @@ def stream_inference(spark: SparkSession, source_path: str, schema: T.StructType
     inferred, ``files_per_batch`` at a time, until all available input is done (``availableNow``).
 
     Keys seen so far are kept in the query's state store (a keyed ``dropDuplicates``), so a micro-batch looks up its own keys and reads
-    nothing of the sink, however large that is. Each micro-batch writes the folder ``epoch=<id>``, overwriting it when
-    it is replayed after a failure, so a replay adds no row. The state holds every key; with ``watermark=(time column, delay)`` keys older than
-    the delay are forgotten. A key is sent once: rows whose call failed stay without a reply and are for ``run_resumable``."""
+    nothing of the sink, however large that is. Each micro-batch writes partitions of its own (``buckets=0``, ``bucket`` its number), overwriting
+    them when it is replayed after a failure, so a replay adds no row. The state holds every key; with ``watermark=(time column, delay)`` keys
+    older than the delay are forgotten. A key is sent once: rows whose call failed stay without a reply until ``run_resumable`` runs over the
+    same sink."""
 
     def batch(bdf: DataFrame, epoch: int) -> None:
         out = run_inference(bdf, fn, keys, **kwargs)
-        out.write.mode("overwrite").partitionBy(*[k for k in ("model", "mode") if k in keys]).parquet(f"{sink_path.rstrip('/')}/epoch={epoch}")
+        out = out.withColumns({"buckets": F.lit(0), "bucket": F.lit(int(epoch))})
+        by = [k for k in ("model", "mode") if k in keys]
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, *BUCKET_COLUMNS).parquet(sink_path)
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source_path)
     if watermark:

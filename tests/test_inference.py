@@ -216,4 +216,25 @@ def test_stream_batches_do_not_read_the_sink(spark):
     inf.stream_inference(spark, src, req.schema, counting, sink, ckpt, files_per_batch=1)
     inf.stream_inference(spark, src, req.schema, counting, sink, ckpt, files_per_batch=1)
     out = spark.read.parquet(sink)
-    assert out.count() == calls.value == 30 and out.select("epoch").distinct().count() == 3
+    assert out.count() == calls.value == 30 and out.select("bucket").distinct().count() == 3
+
+
+def test_a_stream_s_failures_are_for_the_batch_run(spark):
+    base = tempfile.mkdtemp(prefix="rs-heal-")
+    req = _requests(spark).select("row_id", "model", "mode", "messages", "temperature")
+    req.write.parquet(f"{base}/in")
+
+    def flaky(chats, params):
+        if any(c[-1]["content"].endswith("p7") for c in chats):
+            raise RuntimeError("down")
+        return inf.echo_model(chats, params)
+
+    inf.stream_inference(spark, f"{base}/in", req.schema, flaky, f"{base}/out", f"{base}/ckpt", batch_size=1, retries=0, backoff_seconds=0.0)
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(chats, params):
+        calls.add(len(chats))
+        return inf.echo_model(chats, params)
+
+    out = inf.run_resumable(spark, req, counting, f"{base}/out", chunks=2)
+    assert calls.value == 1 and out.count() == 30 and out.where("reply is null").count() == 0
