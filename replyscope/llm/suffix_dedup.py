@@ -131,17 +131,44 @@ NAMES = ["bucket", "whole", "k", "p", "shape"]
 TABLE = "bucket long, whole long, k long, p long, shape int"
 
 
-def block_table(docs: DataFrame, length: int, spread: int) -> DataFrame:
+def regions(spans: pa.ListArray, length: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's spans of repeated starts of ``length``-byte strings the maximal runs of bytes that they cover, those of at least ``least`` bytes:
+    (row and start in one number, stop), ascending."""
+    at, flat = spans.offsets.to_numpy(), spans.flatten()
+    start, n = flat.field("start").to_numpy().astype(np.int64), flat.field("n").to_numpy()
+    keys, stops = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(spans)):
+        lo, hi = at[i] - at[0], at[i + 1] - at[0]
+        if hi > lo:
+            a, b = merged(start[lo:hi], start[lo:hi] + n[lo:hi] + length - 1)
+            wide = b - a >= least
+            keys.append((i << 32) + a[wide])
+            stops.append(b[wide])
+    return np.concatenate(keys), np.concatenate(stops)
+
+
+def block_table(docs: DataFrame, length: int, spread: int, shorter: int | None = None) -> DataFrame:
     """The blocks of ``docs`` (k, k2, t): bucket, whole, k, ``p`` (k2 and the first start) and ``shape`` (the minimizer's distance
-    from the first start, and the number of starts)."""
+    from the first start, and the number of starts). With ``shorter``, ``docs`` also has the ``spans`` of repeated strings of that length: what repeats
+    lies inside of what they cover, so blocks without a start there are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
             texts = ((i, t.as_py()) for i, t in enumerate(b.column(2)))
+            key, stop = regions(b.column(3), shorter, length) if shorter else (None, None)
             for data, where in segments(texts, length):
                 w, first, shape, bucket, whole = blocks(data, where, length, spread)
                 row, offset, lo = (np.array(x)[w] for x in list(zip(*where, strict=True))[:3])
+                if shorter:
+                    # The last region that starts before the block's last start is the one to look at: it reaches farthest.
+                    own = (row.astype(np.int64) << 32) + first - offset + lo
+                    last = own + (shape & 0xFFFF) - 1
+                    i = np.searchsorted(key, last, "right") - 1
+                    keep = np.flatnonzero(i >= 0)
+                    i, own = i[keep], own[keep]
+                    keep = keep[(key[i] >> 32 == own >> 32) & (np.maximum(key[i], own) & 0xFFFFFFFF <= stop[i] - length)]
+                    first, shape, bucket, whole, row, offset, lo = (x[keep] for x in (first, shape, bucket, whole, row, offset, lo))
                 cols = [bucket.view(np.int64), whole.view(np.int64), k[row], _pack(k2[row], first - offset + lo), shape.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], NAMES)
 
@@ -212,12 +239,12 @@ def settle(a: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done, rest.groupBy("k", "k2").agg(F.collect_list(F.struct("bucket", "start", "shape")).alias("blocks"))
 
 
-def repeated_spans(docs: DataFrame, length: int, spread: int, step: int) -> DataFrame:
-    """(k, k2, spans: array of (start, n)): runs of starts in ``docs`` (k, k2, t binary) whose ``length`` bytes also start
-    elsewhere; runs may touch. Rows equal in key share one list, in which each run stands once."""
-    done, rest = settle(save(block_table(docs, length, spread)))
+def repeated_spans(docs: DataFrame, length: int, spread: int, step: int, shorter: int | None = None) -> DataFrame:
+    """(k, k2, spans: array of (start, n)): runs of starts in ``docs`` (k, k2, t binary; ``spans`` too with ``shorter``, see ``block_table``) whose
+    ``length`` bytes also start elsewhere; runs may touch. Rows equal in key share one list, in which each run stands once."""
+    done, rest = settle(save(block_table(docs, length, spread, shorter)))
     for s in (step, 1):
-        more, rest = settle(save(finer_table(docs, rest, length, s)))
+        more, rest = settle(save(finer_table(docs.select("k", "k2", "t"), rest, length, s)))
         done = done.unionByName(more)
     size = F.col("shape").bitwiseAND(F.lit(0xFFFF))
     return done.select("k", *split_p(), size.alias("n")).groupBy("k", "k2").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
@@ -231,7 +258,9 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, spread: int = 257, step: int = 16, as_text: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 400, spread: int = 257, step: int = 16, as_text: bool = False, shorter: int | None = None, shorter_spread: int = 129
+) -> DataFrame:
     """Remove from each text (as UTF-8 bytes; null: empty) every byte covered by a ``length``-byte string that also starts
     anywhere else in the table, the same text included.
 
@@ -239,14 +268,23 @@ def remove_repeats(docs: DataFrame, length: int = 400, spread: int = 257, step:
     (start, stop), the maximal removed runs in offsets of the input) and ``kept`` (the rest, binary; ``as_text``: decoded, without
     characters of which only a part is left). Repeated rows count as
     occurrences of each other, so both lose what they share; rows that share only an id, or have none, are texts of their own. Texts
-    shorter than ``length`` are kept whole. An empty table gives no row."""
+    shorter than ``length`` are kept whole. An empty table gives no row.
+
+    With ``shorter``, a smaller length, the bytes that repeated strings of that length cover are counted too, as ``n_shorter`` (else null); only what
+    they cover is then searched for the longer ones."""
     rows = keyed(docs).withColumn("t", text_bytes("doc.text")).withColumn("doc", F.col("doc").dropFields("text"))
     # Rows equal in id and text are one text until the end, so that no key of a join or bucket has more than one text.
     often = save(rows.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     copies = rows.join(often, ["k", "k2"]).groupBy("k", "k2").agg(F.any_value("t").alias("t"), F.max("copies").alias("copies"))
     texts = rows.join(often, ["k", "k2"], "left_anti").withColumn("copies", F.lit(1).cast("long"))
     src = save_by_key(texts.unionByName(copies, allowMissingColumns=True), ["k", "k2"])
-    spans = repeated_spans(src.select("k", "k2", "t"), length, spread, step)
+    texts = src.select("k", "k2", "t")
+    if shorter:
+        near = save(repeated_spans(texts, shorter, shorter_spread, step))
+        spans = repeated_spans(texts.join(near, ["k", "k2"]).select("k", "k2", "t", "spans"), length, spread, step, shorter)
+        spans = spans.join(near.withColumnRenamed("spans", "near"), ["k", "k2"], "right")
+    else:
+        spans = repeated_spans(texts, length, spread, step).withColumn("near", F.lit(None).cast("array<struct<start:int,n:int>>"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +293,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, spread: int = 257, step:
             lists, copies = batch.column("spans"), batch.column("copies").to_numpy()
             at, flat = lists.offsets.to_numpy(), lists.flatten()
             start, n = flat.field("start").to_numpy().astype(np.int64), flat.field("n").to_numpy()
+            covered = np.zeros(batch.num_rows, np.int64)
+            if shorter:
+                key, stop = regions(batch.column("near"), shorter, 0)
+                np.add.at(covered, key >> 32, stop - (key & 0xFFFFFFFF))
             for i, t in enumerate(batch.column("t")):
                 t = t.as_py()
+                if shorter and copies[i] > 1 and len(t) >= shorter:
+                    covered[i] = len(t)
                 lo, hi = at[i] - at[0], at[i + 1] - at[0]
                 n_bytes.append(len(t))
                 if copies[i] > 1 and len(t) >= length:
@@ -272,26 +316,28 @@ def remove_repeats(docs: DataFrame, length: int = 400, spread: int = 257, step:
                 kept.append(b"".join(t[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(t)], strict=True)))
             rest = pa.array([t.decode("utf-8", "ignore") for t in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
             cols = [*(batch.column(c) for c in ("k", "k2", "doc")), pa.array(n_bytes, pa.int64()), pa.array(removed, kind), rest]
-            yield pa.RecordBatch.from_arrays(cols, ["k", "k2", "doc", "n_bytes", "removed", "kept"])
+            cols.append(pa.array(covered) if shorter else pa.nulls(batch.num_rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(cols, ["k", "k2", "doc", "n_bytes", "removed", "kept", "n_shorter"])
 
     empty = F.array().cast("array<struct<start:int,n:int>>")
     spans = save(spans)
     out = f"k long, k2 int, doc {src.schema['doc'].dataType.simpleString()}, n_bytes long, removed array<struct<start:long,stop:long>>"
 
     def cleaned(part: DataFrame) -> DataFrame:
-        joined = part.join(spans, ["k", "k2"], "left").select("k", "k2", "doc", "t", "copies", F.coalesce("spans", empty).alias("spans"))
-        return joined.mapInArrow(run, f"{out}, kept {'string' if as_text else 'binary'}")
+        lists = [F.coalesce(c, empty).alias(c) for c in ("spans", "near")]
+        joined = part.join(spans, ["k", "k2"], "left").select("k", "k2", "doc", "t", "copies", *lists)
+        return joined.mapInArrow(run, f"{out}, kept {'string' if as_text else 'binary'}, n_shorter long")
 
-    result = ["doc", "n_bytes", "removed", "kept"]
+    result = ["doc", "n_bytes", "removed", "kept", "n_shorter"]
     again = save(cleaned(src.where("copies > 1")).drop("doc")).join(rows.join(often, ["k", "k2"], "left_semi").select("k", "k2", "doc"), ["k", "k2"])
     return cleaned(src.where("copies = 1")).select(result).unionByName(again.select(result))
 
 
 def digest(removed: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of ``remove_repeats``."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_shorter of ``remove_repeats``."""
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, r: acc + r["stop"] - r["start"])
     spans = F.size("removed").cast("long").alias("n_spans")
-    return removed.select("doc.doc_id", "n_bytes", gone.alias("n_removed"), spans, F.sha2("kept", 256).alias("kept_sha256"))
+    return removed.select("doc.doc_id", "n_bytes", gone.alias("n_removed"), spans, F.sha2("kept", 256).alias("kept_sha256"), "n_shorter")
 
 
 def clean_documents(docs: DataFrame, **options) -> DataFrame:

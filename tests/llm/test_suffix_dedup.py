@@ -24,8 +24,13 @@ def brute(texts: list[bytes], length: int) -> list[tuple[int, int, int, str]]:
 
 def check(spark, rows, length=40, spread=17, step=4):
     docs = documents(spark, rows)
-    got = [tuple(r) for r in S.digest(S.remove_repeats(docs, length, spread, step)).collect()]
-    want = [(r[0], *w) for r, w in zip(rows, brute([(r[1] or "").encode() for r in rows], length))]
+    got = [tuple(r) for r in S.digest(S.remove_repeats(docs, length, spread, step)).drop("n_shorter").collect()]
+    texts = [(r[1] or "").encode() for r in rows]
+    want = [(r[0], *w) for r, w in zip(rows, brute(texts, length))]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    # With a shorter length counted too: the same, and the bytes that it covers.
+    got = [tuple(r) for r in S.digest(S.remove_repeats(docs, length, spread, step, shorter=30, shorter_spread=9)).collect()]
+    want = [(*w, short[1]) for w, short in zip(want, brute(texts, 30))]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
@@ -72,7 +77,7 @@ def test_long_text_is_cut_into_segments(spark):
     rng = np.random.default_rng(1)
     long = rng.integers(97, 123, S.SEGMENT + 5000).astype(np.uint8).tobytes().decode()
     text = long + long[S.SEGMENT - 700 : S.SEGMENT + 500]
-    got = S.digest(S.remove_repeats(documents(spark, [(1, text), (2, "short")]))).where("doc_id = 1").first()
+    got = S.digest(S.remove_repeats(documents(spark, [(1, text), (2, "short")]))).where("doc_id = 1").drop("n_shorter").first()
     want = brute([text.encode()], 400)[0]
     assert tuple(got)[1:] == want
 
