@@ -163,7 +163,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     kept = keyed(docs).join(single, ["k", "k2"]).select(cols).unionByName(several.join(save(one), ["k", "k2"]).select(cols))
     first = F.slice(F.regexp_extract_all("doc.text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("words").cast("int"))
     text = F.when(F.col("words") < F.col("size"), F.array_join(first, " ")).otherwise(F.col("doc.text"))
-    out = kept.select("slot", "doc", text.alias("text"))
+    # The old text stays behind, so that the sort moves each text once.
+    out = kept.select("slot", F.col("doc").dropFields("text").alias("doc"), text.alias("text"))
     n_chars = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     cols = {"text": F.col("text"), "n_chars": n_chars}
     return out.orderBy("slot").select(*[(cols[c] if c in cols else F.col("doc").getField(c)).alias(c) for c in docs.columns])
