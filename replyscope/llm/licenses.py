@@ -39,6 +39,24 @@ SENTENCES = {
     "bsd-name": "the name of * may not be used to endorse or promote products derived from this software without * prior written permission",
     "bsd-advertising": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
     "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "lgpl-2-redistribute": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-3-redistribute": "this * is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-warranty": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "agpl-redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "epl-2": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "epl-1": "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
+    "zlib-warranty": "this software is provided as is without any express or implied warranty",
+    "zlib-liable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "artistic-2": "this program is free software you can redistribute it and or modify it under the terms of the artistic license 2 0",
+    "artistic-2-the": "this program is free software you can redistribute it and or modify it under the terms of the the artistic license 2 0",
+    "bsl-distributed": "distributed under the boost software license version 1 0",
+    "bsl-see": "see accompanying file license 1 0 txt or copy at http www boost org license 1 0 txt",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
 }
 # Ordered rules, licence and run of sentence identifiers.
 RULES = (
@@ -63,9 +81,29 @@ RULES = (
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD-2-Clause", ("bsd-redistribution", "bsd-source", "bsd-binary")),
     ("MPL-2.0", ("mpl-2",)),
+    ("ISC", ("isc-grant", "isc-warranty")),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant", "isc-warranty")),
+    ("0BSD", ("0bsd-grant",)),
+    ("LGPL-2.1-or-later", ("lgpl-2-redistribute", "lgpl-warranty")),
+    ("LGPL-2.1-or-later", ("lgpl-2-redistribute",)),
+    ("LGPL-3.0-or-later", ("lgpl-3-redistribute", "lgpl-warranty")),
+    ("LGPL-3.0-or-later", ("lgpl-3-redistribute", "gpl-warranty")),
+    ("LGPL-3.0-or-later", ("lgpl-3-redistribute",)),
+    ("AGPL-3.0-or-later", ("agpl-redistribute", "gpl-warranty")),
+    ("AGPL-3.0-or-later", ("agpl-redistribute",)),
+    ("EPL-2.0", ("epl-2",)),
+    ("EPL-1.0", ("epl-1",)),
+    ("Zlib", ("zlib-warranty", "zlib-liable", "zlib-grant")),
+    ("Unlicense", ("unlicense-free",)),
+    ("Artistic-2.0", ("artistic-2",)),
+    ("Artistic-2.0", ("artistic-2-the",)),
+    ("BSL-1.0", ("bsl-distributed", "bsl-see")),
+    ("BSL-1.0", ("bsl-distributed",)),
+    ("BSL-1.0", ("bsl-grant",)),
 )
 #: Every known sentence holds one of these, so texts without them hold none. No white space: triggers are sought in the text as it is.
-TRIGGERS = ("licen", "copyright", "permission", "redistribut", "warrant", "advertis")
+TRIGGERS = ("licen", "copyright", "permission", "redistribut", "warrant", "advertis", "liable", "unencumbered")
 #: Comment marks made of letters, at the start of a line; other marks are no letters or digits.
 COMMENT = r"(^|[\r\n])[ \t]*@?(?:rem|dnl|c)[ \t]"
 #: The conjunction of a list whose parts end in ; (at the start of a line, ; is a comment mark).

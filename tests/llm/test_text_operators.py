@@ -222,6 +222,80 @@ def test_toxicity_sample_has_one_row_of_an_id(spark, monkeypatch):
     assert seen[0] == seen[1]
 
 
+NOTICES = {
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.""",
+    "LGPL-2.1-or-later": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "LGPL-3.0-or-later": """This file is free software: you can redistribute it and/or modify it under
+the terms of the GNU Lesser General Public License as published by the Free
+Software Foundation, either version 3 of the License, or (at your option) any
+later version.""",
+    "AGPL-3.0-or-later": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Affero General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/""",
+    "EPL-1.0": """All rights reserved. This program and the accompanying materials
+are made available under the terms of the Eclipse Public License v1.0
+which accompanies this distribution, and is available at
+http://www.eclipse.org/legal/epl-v10.html""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented;""",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Artistic-2.0": """This program is free software; you can redistribute it and/or modify it
+under the terms of the the Artistic License (2.0). You may obtain a copy""",
+    "BSL-1.0": """//          Copyright Some Body 2008 - 2013.
+// Distributed under the Boost Software License, Version 1.0.
+//    (See accompanying file LICENSE_1_0.txt or copy at
+//          http://www.boost.org/LICENSE_1_0.txt)""",
+}
+
+
+def test_notices_of_many_licences(spark):
+    rows = [(i, f"{t}\n\nint main() {{}}\n") for i, t in enumerate(NOTICES.values())]
+    rows += [(100, "\n\n".join(NOTICES.values())), (101, "They redistribute it freely and are liable for the unencumbered estate.")]
+    got = {r.doc_id: r for r in licenses.license_scan(documents(spark, rows)).collect()}
+    assert {i: list(got[i].licenses) for i in range(len(NOTICES))} == {i: [n] for i, n in enumerate(NOTICES)}
+    assert all(not got[i].unmatched for i in got) and set(got[100].licenses) == set(NOTICES) and not got[101].licenses
+
+
+def test_every_sentence_holds_a_trigger_and_is_in_a_rule():
+    assert all(any(t in s for t in licenses.TRIGGERS) for s in licenses.SENTENCES.values())
+    used = {i for _, run in licenses.RULES for i in run}
+    assert used <= set(licenses.SENTENCES) and all(s == " ".join(s.split()) for s in licenses.SENTENCES.values())
+
+
 def plain_score(m, text):
     """The score of one text from the model's dictionaries and plane, window by window."""
     import math
