@@ -23,28 +23,31 @@ PASSAGE_BYTES = 250
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on this input's labelled rows, scores below 0.5."""
+    """Documents that the classifier, fitted on this input's labelled rows, scores below 0.5. Null and empty texts score low and stay."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity(model) < 0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: three-word shingles, at most three differing bits."""
+    """One document of each SimHash component: three-word shingles, at most three differing bits. Null, empty and blank texts have fingerprint
+    zero and are one component, of which one row stays."""
     return one_of_each(docs, words=3, radius=3)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of PASSAGE_BYTES bytes that occur more than once."""
+    """Documents without the strings of PASSAGE_BYTES bytes that occur more than once. No row goes; a text that repeats whole is left empty, and a null
+    text becomes empty."""
     return clean_documents(docs, length=PASSAGE_BYTES, spread=129)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of all sources, a row for each pass over a document."""
+    """The mix of all sources, a row for each pass over a document, in the order of the schedule. Texts without words take no part; other clean
+    documents are left out only where their source's target is smaller than the source."""
     return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of at most 4096 ids."""
+    """Pieces of the mixed documents in sequences of at most 4096 ids; every id of every row lies in one piece."""
     return digest(pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
