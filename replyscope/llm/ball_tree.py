@@ -28,6 +28,8 @@ BLOCK = 512
 #: Squared lengths below which a vector is of class 0 (products below 2**52) and of class 1 (below 2**62); the others are of class 2.
 SHORT, MIDDLE = 2.0**52, 2.0**62
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
+#: Components of the sample that fits the first splits, at most: vectors of many dimensions give fewer rows.
+SAMPLE_COMPONENTS = 1 << 21
 #: Shards that one leaf can have, in the numbering of shards.
 PARTS = 1 << 32
 
@@ -204,12 +206,13 @@ def integer_vector(v: Column, scale: float) -> Column:
 
 def fit_trees(base: DataFrame, shard_rows: int, max_leaves: int, sample: int) -> dict[tuple[int, int], Node]:
     """By (dim, class) of more than ``shard_rows`` rows the first splits of their ball tree, at most ``max_leaves`` leaves together, from at most
-    ``sample`` rows: those with the smallest hashes. Long vectors are not pruned and get none."""
+    ``sample`` rows (SAMPLE_COMPONENTS components): those with the smallest hashes. Long vectors are not pruned and get none."""
     sizes = base.where(F.col("class") < 2).groupBy("dim", "class").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
     few = sizes.orderBy(F.desc("n"), "dim", "class").limit(max_leaves).collect()
     if not few:
         return {}
     rows = base.join(F.broadcast(base.sparkSession.createDataFrame([(r["dim"], r["class"]) for r in few], "dim int, class int")), ["dim", "class"])
+    sample = min(sample, max(SAMPLE_COMPONENTS // max(r["dim"] for r in few), 1))
     held: dict[tuple[int, int], list] = {}
     for r in rows.orderBy(F.xxhash64("vec_id", "h"), "vec_id").limit(sample).select("dim", "class", "v").collect():
         held.setdefault((r["dim"], r["class"]), []).append(r["v"])
