@@ -94,9 +94,13 @@ WITH doc AS (
   SELECT *, CAST(sum(strlen(part) + 1) OVER (PARTITION BY doc_id ORDER BY i) - strlen(part) - 1 AS BIGINT) AS start FROM line
 ), ranked AS (
   SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS gone,
-         len(string_split(norm, ' ')) > 50 AND count(*) OVER (PARTITION BY norm) > 1 AS passage,
+         norm <> '' AND count(*) OVER (PARTITION BY norm) > 1 AS shared, len(string_split(norm, ' ')) AS words,
          least(start + strlen(part) + 1, n) AS stop
   FROM placed
+), runs AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, shared ORDER BY i) AS run FROM ranked
+), passages AS (
+  SELECT *, shared AND sum(words) OVER (PARTITION BY doc_id, shared, run) > 20 AS passage FROM runs
 )
 SELECT doc_id, any_value(n) AS n_bytes, CASE WHEN any_value(n) > 0 THEN any_value(n_parts) ELSE 0 END AS n_units,
        CAST(COALESCE(sum(stop - start) FILTER (gone), 0) AS BIGINT) AS n_removed, count(*) FILTER (gone) AS n_spans,
@@ -104,7 +108,7 @@ SELECT doc_id, any_value(n) AS n_bytes, CASE WHEN any_value(n) > 0 THEN any_valu
        sha256(COALESCE(string_agg(part || CASE WHEN i < n_parts THEN chr(10) ELSE '' END, '' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256,
        CAST(COALESCE(sum(stop - start) FILTER (passage), 0) AS BIGINT) AS shared_passages,
        CAST(COALESCE(sum(stop - start) FILTER (passage AND gone), 0) AS BIGINT) AS removed_passages
-FROM ranked GROUP BY doc_id
+FROM passages GROUP BY doc_id
 """
 
 AUDIT = r"""

@@ -34,12 +34,16 @@ def test_lines_against_brute_force(spark):
 
 
 def test_passages_are_counted_apart(spark):
-    """Lines of over 50 words that stand elsewhere too, with the earliest holder; a short line does not count."""
-    long, other, fifty = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 51), ("b", 60), ("c", 50)))
-    rows = [(1, f"{long}\nshort"), (2, f"x\n{long.upper()}\n{other}\nshort"), (3, f"{fifty}\nshort"), (4, fifty), (5, f"{long}\n{long}"), (6, None), (6, None)]
+    """Runs of neighbouring lines of over 20 words together that all stand elsewhere too, the earliest holder's as well; short ones do not count."""
+    long, other, half, rest = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 21), ("b", 60), ("c", 11), ("d", 10)))
+    rows = [
+        (1, f"{long}\nshort"), (2, f"x\n{long.upper()}\n{other}\nshort"), (3, f"{half}\n{rest}\nown line"), (4, f"{half}\n\n{rest}\nshort"),
+        (5, f"{long}\n{long}"), (6, None), (6, None), (7, f"{rest}\nmine\n{half}\n{rest}"),
+    ]
     got = {r.doc_id: (r.shared_passages, r.removed_passages) for r in line_dedup.digest(line_dedup.remove_lines(documents(spark, rows))).collect()}
-    n = len(long) + 1
-    assert got == {1: (n, 0), 2: (n, n), 3: (0, 0), 4: (0, 0), 5: (2 * n - 1, 2 * n - 1), 6: (0, 0)}
+    n, both = len(long) + 1, len(half) + len(rest) + 2
+    first = n + len("short")  # the line "short" is next to the long one
+    assert got == {1: (first, 0), 2: (n, n), 3: (both, 0), 4: (0, 0), 5: (2 * n - 1, 2 * n - 1), 6: (0, 0), 7: (both - 1, both - 1)}
 
 
 def test_every_line_but_empty_ones_is_a_unit(spark, tmp_path):
