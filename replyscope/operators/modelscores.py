@@ -73,7 +73,8 @@ def _match_udf(reply: pd.Series, reply_w: pd.Series, gold: pd.Series, gold_w: pd
 def score_embedding_match(tokens: DataFrame, keys: Sequence[str] = ("row_id",), side: str = "side", vec: str = "vec",
                           weight: str | None = None, reply_side: str = "reply", gold_side: str = "gold") -> DataFrame:
     """M6 per row: ``(*keys, precision, recall, f1)`` from ``tokens(*keys, side, pos, vec[, weight])``. A row's vectors reach
-    the UDF as one flat array per side; their number is bounded by its texts."""
+    the UDF as one flat array per side; their number is bounded by its texts. An encoder that gives a row's vectors at once needs no row
+    per token: see ``score_embedding_rows``."""
     w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
     item = F.struct(F.col("pos"), F.col(vec).alias("vec"), w.alias("w"))
     sides = {"__r": reply_side, "__g": gold_side}
@@ -84,6 +85,15 @@ def score_embedding_match(tokens: DataFrame, keys: Sequence[str] = ("row_id",),
     return m.select(*keys, *[F.col(f"m.{c}").alias(c) for c in ("precision", "recall", "f1")])
 
 
+def score_embedding_rows(rows: DataFrame, keys: Sequence[str] = ("row_id",), reply: str = "reply_vecs", gold: str = "gold_vecs",
+                         reply_n: str = "reply_n", gold_n: str = "gold_n") -> DataFrame:
+    """M6 as ``score_embedding_match``, from one row per key that has the vectors of each side as one flat array, in order, and their number.
+    No token becomes a row: nothing is shuffled, sorted or gathered."""
+    ones = [F.array_repeat(F.lit(1.0), F.col(n)) for n in (reply_n, gold_n)]
+    m = rows.select(*keys, _match_udf(F.col(reply), ones[0], F.col(gold), ones[1]).alias("m"))
+    return m.select(*keys, *[F.col(f"m.{c}").alias(c) for c in ("precision", "recall", "f1")])
+
+
 def mean_loglik(logprobs: DataFrame, keys=("row_id", "direction"), logprob: str = "logprob",
                 pad: str = "is_pad") -> DataFrame:
     """M7: sum of non-pad log-probabilities over the number of non-pad target tokens, per key (one partial

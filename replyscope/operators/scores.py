@@ -29,16 +29,19 @@ def score_all(runs: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFr
     ``vectors(*keys, side, pos, vec)`` and ``bartscore_{faithful,precision,recall,f1}`` from ``logprobs(*keys, direction, pos, logprob,
     is_pad)``. Rows without tokens get NULL model-based scores. Overlap metrics depend on the two texts alone, so each pair of texts is scored
     once, however many runs gave that reply; so is the embedding match if ``vectors`` is a function, which is given the pairs (``PAIR``, reply,
-    gold) and returns their tokens (``PAIR``, side, pos, vec). The pairs and their scores are written before they are used and joined back; a
+    gold) and returns their tokens (``PAIR``, side, pos, vec) or one row per pair (``PAIR``, reply_vecs, reply_n, gold_vecs, gold_n). The pairs and their scores are written before they are used and joined back; a
     pair of many rows can then be split."""
     rows = accuracy.score_accuracy(runs)
     own = F.concat(F.lit("row:"), F.xxhash64(*keys).cast("string"))  # rows without a pair do not all share one key
     rows = rows.withColumn(PAIR, F.coalesce(F.when(overlap.scorable("reply", gold), F.concat(F.md5("reply"), F.md5(gold))), own))
     pairs = rows.where(overlap.scorable("reply", gold)).groupBy(PAIR).agg(F.any_value("reply").alias("reply"), F.any_value(gold).alias("gold"))
     pairs = io.materialize(pairs, "pairs")
-    scored = overlap.score_overlap(pairs, gold="gold", keys=(PAIR,), datasets=None, rouge_l=True, rouge_lsum=rouge_lsum).drop("reply", "gold")
+    scored = overlap.score_overlap(pairs, gold="gold", keys=(PAIR,), datasets=None, rouge_l=True, rouge_lsum=rouge_lsum,
+                                   row_local=True).drop("reply", "gold")
     if callable(vectors):
-        scored = scored.join(_prefixed(modelscores.score_embedding_match(vectors(pairs), (PAIR,)), (PAIR,), "bertscore"), PAIR, "left")
+        given = vectors(pairs)
+        match = modelscores.score_embedding_rows if "reply_vecs" in given.columns else modelscores.score_embedding_match
+        scored = scored.join(_prefixed(match(given, (PAIR,)), (PAIR,), "bertscore"), PAIR, "left")
     out = rows.join(io.materialize(scored, "pair-scores"), PAIR, "left").drop(PAIR)
     if not callable(vectors):
         out = out.join(_prefixed(modelscores.score_embedding_match(vectors, keys), keys, "bertscore"), list(keys), "left")

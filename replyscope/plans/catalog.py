@@ -481,7 +481,7 @@ def gold_join(spark, sf):
 def score_runs(runs):
     """All metrics of ``runs``, the model-based ones from the stand-in token tables."""
     logprobs = fx.token_logprobs(fx.run_pairs(runs), refs=1, keys=RUN_KEYS)
-    return scores.score_all(runs, lambda pairs: fx.token_vectors(pairs, keys=(scores.PAIR,)), logprobs, "generated_req_output", RUN_KEYS)
+    return scores.score_all(runs, lambda pairs: fx.pair_vectors(pairs, keys=(scores.PAIR,)), logprobs, "generated_req_output", RUN_KEYS)
 
 
 def scored_runs_full(spark, sf):

@@ -8,8 +8,14 @@ The annotation view is one SQL text that runs unchanged on Spark SQL and DuckDB.
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -165,20 +171,51 @@ def token_vectors(pairs: DataFrame, dim: int = TOKEN_DIM, keys: tuple[str, ...]
     return toks.withColumn("vec", vec)
 
 
+@lru_cache(maxsize=1 << 17)
+def _token_vector(token: str, dim: int) -> bytes:
+    """``token_vectors``' vector of one token, as the bytes of its floats."""
+    digits = "".join([hashlib.md5(f"{token}:{i}".encode()).hexdigest()[0:4] for i in range(dim)])
+    return (np.frombuffer(bytes.fromhex(digits), dtype=">u2") / 65535.0 - 0.5).astype(np.float32).tobytes()
+
+
+@F.pandas_udf(T.StructType([T.StructField("vecs", T.ArrayType(T.FloatType())), T.StructField("n", T.IntegerType())]))
+def _flat_vectors(text: pd.Series, dim: pd.Series) -> pd.DataFrame:
+    from replyscope.operators.overlap import line_words
+
+    tokens = [None if t is None else line_words(t).split() for t in text]
+    vecs = [None if ts is None else np.frombuffer(b"".join([_token_vector(t, d) for t in ts]), dtype=np.float32) for ts, d in zip(tokens, dim)]
+    return pd.DataFrame({"vecs": pd.Series(vecs, dtype=object), "n": pd.Series([None if ts is None else len(ts) for ts in tokens], dtype="Int32")})
+
+
+def pair_vectors(pairs: DataFrame, dim: int = TOKEN_DIM, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """``token_vectors`` as an encoder gives them, one row per pair: (*keys, reply_vecs, reply_n, gold_vecs, gold_n), the vectors of
+    each side's tokens in order as one flat ARRAY<FLOAT> and their number."""
+    both = pairs.select(*keys, _flat_vectors("reply", F.lit(dim)).alias("r"), _flat_vectors("gold", F.lit(dim)).alias("g"))
+    return both.select(*keys, F.col("r.vecs").alias("reply_vecs"), F.col("r.n").alias("reply_n"),
+                       F.col("g.vecs").alias("gold_vecs"), F.col("g.n").alias("gold_n"))
+
+
 def token_logprobs(pairs: DataFrame, refs: int = 2, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """Stand-in for a scorer's target-token log-probabilities: (*keys, direction, ref_idx, pos, logprob, is_pad)
-    for directions faithful/precision (target = reply) and recall (target = gold), ``refs`` references each."""
-    toks = _side_tokens(pairs, keys)
-    dirs = F.explode(F.array(
-        F.struct(F.lit("faithful").alias("d"), F.lit("reply").alias("side")),
-        F.struct(F.lit("precision").alias("d"), F.lit("reply").alias("side")),
-        F.struct(F.lit("recall").alias("d"), F.lit("gold").alias("side")),
-    ))
-    spec = pairs.select(*keys, dirs.alias("x")).select(*keys, F.col("x.d").alias("direction"), F.col("x.side").alias("side"))
-    spec = spec.select("*", F.explode(F.array(*map(F.lit, range(refs)))).alias("ref_idx"))
-    j = spec.join(toks, [*keys, "side"])
-    row = F.concat_ws(":", *keys)
-    h = _hash_unit(F.col("direction"), F.col("ref_idx"), row, F.col("pos"), F.col("token"))
-    pad = _hash_unit(F.lit("pad"), row, F.col("direction"), F.col("ref_idx"), F.col("pos"))
+    for directions faithful/precision (target = reply) and recall (target = gold), ``refs`` references each. A row's targets are
+    unfolded where the row is: no token is shuffled."""
+    from replyscope.functions.text import rouge_tokens
+
+    named = pairs
+    for k in keys:
+        named = named.where(F.col(k).isNotNull())
+    toks = named.select(*keys, rouge_tokens("reply").alias("__r"), rouge_tokens("gold").alias("__g"))
+
+    def target(d: str, i: int, tokens: str) -> Column:
+        # The parts of the two hash keys that a target's tokens share are joined once, in the value that is exploded.
+        return F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.col(tokens).alias("t"), F.concat_ws(":", F.lit(d), F.lit(i), *keys).alias("h"),
+                        F.concat_ws(":", F.lit("pad"), *keys, F.lit(d), F.lit(i)).alias("p"))
+
+    dirs = F.explode(F.array(*[target(d, i, t) for d, t in (("faithful", "__r"), ("precision", "__r"), ("recall", "__g")) for i in range(refs)]))
+    spec = toks.select(*keys, dirs.alias("x"))
+    j = spec.select(*keys, F.col("x.d").alias("direction"), F.col("x.i").alias("ref_idx"), F.col("x.h").alias("__h"), F.col("x.p").alias("__pad"),
+                    F.posexplode("x.t").alias("pos", "token"))
+    h = _hash_unit(F.col("__h"), F.col("pos"), F.col("token"))
+    pad = _hash_unit(F.col("__pad"), F.col("pos"))
     return j.select(*keys, "direction", "ref_idx", "pos",
                     ((h - F.lit(0.5)) * F.lit(8.0)).alias("logprob"), (pad > F.lit(0.4)).alias("is_pad"))
