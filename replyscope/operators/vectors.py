@@ -2,7 +2,7 @@
 approximate cosine k-nearest-neighbour graph per dataset (E3), 2-D projection (E4) and scatter data (E5).
 
 E3 is exact without materialising vector pairs as rows: each dataset's vectors are cut into hash blocks of bounded
-size; for every pair of blocks (i <= j) one task multiplies the two blocks in numpy and keeps only each row's k
+size; every pair of blocks (i <= j) is one group, of which numpy multiplies the two blocks, a stretch at a time, and keeps only each row's k
 best candidates; a final top-k per row merges the blocks. Work is the unavoidable n^2 * d of exact kNN, but shuffled
 data is n * blocks * d and the candidate rows are n * k * blocks. Where n^2 is too much, ``cosine_knn_lsh`` compares only vectors
 that share a bucket of random hyperplanes."""
@@ -14,11 +14,14 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from replyscope.operators.sampling import hash60
 
@@ -87,34 +90,60 @@ def normalize(vec) -> F.Column:
 
 # ------------------------------------------------------------------------------------------------ E3
 
-def _block_topk(k: int):
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for row in pdf.itertuples(index=False):
-                ids_a, ids_b = np.asarray(row.ids_a), np.asarray(row.ids_b)
-                a = np.vstack(row.vecs_a).astype(np.float64)
-                b = np.vstack(row.vecs_b).astype(np.float64)
-                sims = a @ b.T
-                same = row.bi == row.bj
-                if same:
-                    np.fill_diagonal(sims, -np.inf)
-                pairs = [(ids_a, ids_b, sims)] if same else [(ids_a, ids_b, sims), (ids_b, ids_a, sims.T)]
-                for qa, cb, s in pairs:
-                    kk = min(k, s.shape[1] - (1 if same else 0))
-                    if kk <= 0:
-                        continue
-                    # Candidates: ties at the k-th similarity are all kept, so the final order by (sim, id) is exact.
-                    part = np.argpartition(-s, kk - 1, axis=1)[:, :kk] if kk < s.shape[1] else np.tile(
-                        np.arange(s.shape[1]), (s.shape[0], 1))
-                    kth = np.take_along_axis(s, part, axis=1).min(axis=1)
-                    qi, ci = np.nonzero(s >= kth[:, None])
-                    out.append(pd.DataFrame({
-                        "grp": row.grp, "vec_id": qa[qi], "neighbor_id": cb[ci], "sim": s[qi, ci],
-                    }))
-            if out:
-                res = pd.concat(out, ignore_index=True)
-                yield res[np.isfinite(res["sim"].to_numpy())]
+#: Similarities held at a time, and rows of a block of ``cosine_knn``: a task holds two blocks and so many similarities.
+CHUNK = 1 << 21
+BLOCK_ROWS = 4096
+
+
+def best_columns(s: np.ndarray, k: int, starts: np.ndarray, eps: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the ``k`` largest numbers of each row of ``s``. The columns are in order of their ids, ``starts`` says where an id begins;
+    of numbers within ``eps`` of the k-th the smallest ids stay, all columns of an id together."""
+    s = np.where(np.isnan(s), -np.inf, s)
+    m = s.shape[1]
+    kth = np.partition(s, m - k, axis=1)[:, m - k] if k < m else s.min(axis=1)
+    hit = s >= (kth - eps)[:, None]
+    crowded = np.flatnonzero(hit.sum(axis=1) > k)
+    if len(crowded):
+        ties = hit[crowded] & (s[crowded] <= (kth[crowded] + eps)[:, None])
+        room = k - (hit[crowded] & ~ties).sum(axis=1)
+        of_id = np.logical_or.reduceat(ties, starts, axis=1)
+        kept = of_id & (np.cumsum(of_id, axis=1) <= room[:, None])
+        hit[crowded] &= ~ties | np.repeat(kept, np.diff(starts, append=m), axis=1)
+    return np.nonzero(hit & np.isfinite(s))
+
+
+def _side(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The ids of one block in order, its vectors, and where each id begins."""
+    table = table.take(pc.sort_indices(table["id"]))
+    ids, v = table["id"].combine_chunks(), table["v"].combine_chunks()
+    lengths = pc.min_max(pc.list_value_length(v)).as_py()
+    if lengths["min"] != lengths["max"]:
+        raise ValueError(f"vectors of {lengths['min']} and of {lengths['max']} components in one group")
+    x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(ids), -1)
+    new = np.concatenate([[True], pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)])
+    return ids, x, np.flatnonzero(new)
+
+
+def _pair_topk(k: int, schema: pa.Schema):
+    """From the rows (grp, id, v, second) of one pair of blocks (or of one block, if none is ``second``) each row's ``k`` best of the other."""
+    def run(table: pa.Table) -> pa.Table:
+        a, second = _side(table.filter(pc.invert(table["second"]))), table.filter(table["second"])
+        b = _side(second) if len(second) else None
+        found = []
+        for q, c in ([(a, a)] if b is None else [(a, b), (b, a)]):
+            kk = min(k, len(c[0]) - (b is None))
+            step = max(1, CHUNK // len(c[0]))
+            for at in range(0, len(q[0]) if kk > 0 else 0, step):
+                sims = q[1][at:at + step] @ c[1].T
+                if b is None:
+                    own = np.arange(len(sims))
+                    sims[own, at + own] = -np.inf
+                # A matrix product rounds equal pairs unequally, by place; those kept are computed again, each alike.
+                qi, ci = best_columns(sims, kk, c[2], c[1].shape[1] * 2.0 ** -52)
+                qi = at + qi
+                exact = np.einsum("ij,ij->i", q[1][qi], c[1][ci])
+                found.append(pa.table([pa.repeat(table["grp"][0], len(qi)), q[0].take(pa.array(qi)), c[0].take(pa.array(ci)), pa.array(exact)], schema=schema))
+        return pa.concat_tables(found) if found else schema.empty_table()
 
     return run
 
@@ -125,25 +154,27 @@ def _unit_rows(df: DataFrame, vec: str, group: str, key: str) -> DataFrame:
         F.col(group).alias("grp"), F.col(key).alias("id"), normalize(vec).alias("v"))
 
 
-def _cell_candidates(base: DataFrame, cell: Sequence[str], k: int, block_rows: int) -> DataFrame:
+def _cell_candidates(base: DataFrame, cell: Sequence[str], k: int, large: DataFrame) -> DataFrame:
     """(grp, vec_id, neighbor_id, sim): for each row of ``base`` (grp, id, v and the columns of ``cell``) at least its ``k`` most
-    similar other rows of the same cell. Cells are cut into hash blocks of about ``block_rows`` rows, and each pair of blocks of a cell is
-    one row, multiplied in numpy: no cell, however large, meets in one task."""
+    similar other rows of the same cell. A cell named in ``large`` (its columns and ``nb``, see ``_large_cells``) is cut into ``nb`` hash blocks, and
+    each pair of its blocks is one group, multiplied in numpy: no cell, however large, meets in one task. A row moves once for each
+    block of its cell, so once if the cell is one block."""
     by = list(cell)
-    sizes = base.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).select(
-        *by, F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(block_rows))).cast("long").alias("nb"))
-    blocked = base.join(sizes, by).withColumn("b", F.pmod(hash60(F.col("id")), F.col("nb")))
-    blocks = blocked.groupBy(*by, "b", "nb").agg(
-        F.collect_list("id").alias("ids"), F.collect_list("v").alias("vecs"))
-    # Pair keys (i <= j): block i is sent to pairs (i, j>=i), block j to pairs (i<=j, j); one row per pair each side.
-    left = blocks.select(*by, F.col("b").alias("bi"), F.explode(F.sequence(F.col("b"), F.col("nb") - 1)).alias("bj"),
-                         F.col("ids").alias("ids_a"), F.col("vecs").alias("vecs_a"))
-    right = blocks.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("b"))).alias("bi"),
-                          F.col("b").alias("bj"), F.col("ids").alias("ids_b"), F.col("vecs").alias("vecs_b"))
-    pairs = left.join(right, [*by, "bi", "bj"]).select("grp", "bi", "bj", "ids_a", "vecs_a", "ids_b", "vecs_b")
+    nb = F.coalesce(F.col("nb"), F.lit(1).cast("long"))
+    blocked = base.join(F.broadcast(large), by, "left").withColumn("nb", nb).withColumn("b", F.pmod(hash60(F.col("id")), F.col("nb")))
+    # The block is the first of the pairs (b, j >= b) and the second of the pairs (i < b, b).
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("o")
+    sent = blocked.select(*by, "b", "id", "v", other).select(
+        *by, F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "id", "v", (F.col("o") < F.col("b")).alias("second"))
     kinds = [base.schema[c].dataType for c in ("grp", "id", "id")] + [T.DoubleType()]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(("grp", "vec_id", "neighbor_id", "sim"), kinds)])
-    return pairs.mapInPandas(_block_topk(k), schema)
+    return sent.groupBy(*by, "bi", "bj").applyInArrow(_pair_topk(k, to_arrow_schema(schema)), schema)
+
+
+def _large_cells(ids: DataFrame, cell: Sequence[str], block_rows: int) -> DataFrame:
+    """The cells of more than ``block_rows`` rows and the number of their blocks: at most one row for every ``block_rows`` of ``ids``."""
+    sizes = ids.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows)
+    return sizes.select(*cell, F.ceil(F.col("n") / F.lit(block_rows)).cast("long").alias("nb"))
 
 
 def _ranked(candidates: DataFrame, group: str, key: str, k: int) -> DataFrame:
@@ -153,10 +184,11 @@ def _ranked(candidates: DataFrame, group: str, key: str, k: int) -> DataFrame:
 
 
 def cosine_knn(df: DataFrame, vec: str = "scaled", group: str = "label", key: str = "vec_id", k: int = 15,
-               block_rows: int = 1024) -> DataFrame:
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """For every vector its k most cosine-similar other vectors of the same group: ``(group, key, rank,
     neighbor_id, sim)``, ties broken by the smaller neighbour id."""
-    return _ranked(_cell_candidates(_unit_rows(df, vec, group, key), ["grp"], k, block_rows), group, key, k)
+    base = _unit_rows(df, vec, group, key)
+    return _ranked(_cell_candidates(base, ["grp"], k, _large_cells(base, ["grp"], block_rows)), group, key, k)
 
 
 def hyperplane(table: int, bit: int, dim: int, seed: int) -> np.ndarray:
@@ -165,14 +197,15 @@ def hyperplane(table: int, bit: int, dim: int, seed: int) -> np.ndarray:
 
 
 def _bucket_codes(tables: int, probes: int, seed: int):
-    """From (grp, bits, id, v) a row for each table and probed bucket: (grp, table, code, id, v). A vector's own bucket has the signs of ``bits``
-    hyperplanes; its further ones have the least certain signs turned, one at a time."""
+    """From (grp, bits, id, v) each row with its buckets: (grp, id, v, cells), a ``table`` and ``code`` for each table and probed bucket. A vector's
+    own bucket has the signs of ``bits`` hyperplanes; its further ones have the least certain signs turned, one at a time."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict = {}
         for pdf in it:
             dims = pdf["v"].map(len).to_numpy()
             for (bits, dim), rows in pdf.groupby([pdf["bits"].to_numpy(), dims]):
                 x = np.vstack(rows["v"].to_numpy()).astype(np.float64)
+                numbers, codes = [], []
                 for t in range(tables if bits else 1):
                     if (t, bits, dim) not in planes:
                         planes[t, bits, dim] = np.array([hyperplane(t, i, dim, seed) for i in range(bits)]).reshape(bits, dim)
@@ -180,7 +213,10 @@ def _bucket_codes(tables: int, probes: int, seed: int):
                     own = (side > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64)
                     unsure = np.argsort(np.abs(side), axis=1, kind="stable")[:, :probes]
                     for code in [own, *(own ^ (1 << unsure[:, p]) for p in range(unsure.shape[1]))]:
-                        yield pd.DataFrame({"grp": rows["grp"], "table": np.int32(t), "code": code.astype(np.int64), "id": rows["id"], "v": rows["v"]})
+                        numbers.append(t)
+                        codes.append(code.astype(np.int64))
+                tables_of = np.array(numbers, dtype=np.int32)
+                yield pd.DataFrame({"grp": rows["grp"], "id": rows["id"], "v": rows["v"], "tables": [tables_of] * len(rows), "codes": list(np.stack(codes, axis=1))})
 
     return run
 
@@ -199,13 +235,18 @@ def cosine_knn_lsh(df: DataFrame, vec: str = "scaled", group: str = "label", key
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(bucket_rows)))).cast("int")
     rows = base.join(sizes.select("grp", bits.alias("bits")), "grp").select("grp", "bits", "id", "v")
     schema = T.StructType([
-        T.StructField("grp", base.schema["grp"].dataType), T.StructField("table", T.IntegerType()), T.StructField("code", T.LongType()),
-        T.StructField("id", base.schema["id"].dataType), T.StructField("v", T.ArrayType(T.DoubleType())),
+        *[T.StructField(c, base.schema[c].dataType) for c in ("grp", "id")], T.StructField("v", T.ArrayType(T.DoubleType())),
+        T.StructField("tables", T.ArrayType(T.IntegerType())), T.StructField("codes", T.ArrayType(T.LongType())),
     ])
-    cells = rows.mapInPandas(_bucket_codes(tables, probes, seed), schema)
-    found = _cell_candidates(cells, ["grp", "table", "code"], k, bucket_rows)
-    # A pair may meet in several buckets.
-    found = found.where(F.col("vec_id") != F.col("neighbor_id")).groupBy("grp", "vec_id", "neighbor_id").agg(F.max("sim").alias("sim"))
+    placed = rows.mapInPandas(_bucket_codes(tables, probes, seed), schema)
+    cell = ["grp", "table", "code"]
+    cells = placed.select("grp", "id", "v", F.explode(F.arrays_zip(F.col("tables").alias("table"), F.col("codes").alias("code"))).alias("c"))
+    cells = cells.select("grp", "c.table", "c.code", "id", "v")
+    # Probing fills a bucket (1 + probes)-fold: blocks of twice that, so that the vectors of nearly all buckets move once.
+    found = _cell_candidates(cells, cell, k, _large_cells(cells, cell, 2 * (1 + probes) * bucket_rows))
+    # A pair may meet in several buckets. Dealt by the vector, its candidates move once for both steps.
+    found = found.where(F.col("vec_id") != F.col("neighbor_id")).repartition("grp", "vec_id")
+    found = found.groupBy("grp", "vec_id", "neighbor_id").agg(F.max("sim").alias("sim"))
     return _ranked(found, group, key, k)
 
 
