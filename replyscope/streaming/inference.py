@@ -2,7 +2,7 @@
 
 The model function is the caller's: ``fn(chats, params) -> list[str]`` receives a list of chats (each a list of
 ``{"role", "content"}`` dicts) and a list of parameter dicts, and returns one reply per chat. It runs inside
-``mapInPandas`` on the executors, in batches of ``batch_size`` chats; nothing is collected to the driver. A failing
+``mapInArrow`` on the executors, in batches of ``batch_size`` chats; nothing is collected to the driver. A failing
 batch is retried with back-off and then chat by chat; rows that still fail come back with a NULL reply and the error text,
 and stay pending for the next run. Results are keyed by (row_id, model, mode), so a rerun recomputes only missing keys
 (``pending``) and appends; a lost task is simply recomputed by Spark. Runs of several stages are in ``stages``.
@@ -16,7 +16,7 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,23 +94,26 @@ def _answers(model: ModelFn, chats: list, params: list, retries: int, backoff: f
 
 def _call_batches(fn: ModelFn | None, kept: Sequence[str], batch_size: int, retries: int, backoff: float,
                   fn_factory: Callable[[], ModelFn] | None, name: str):
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = fn if fn is not None else per_worker(fn_factory, name)
-        for pdf in it:
-            for start in range(0, len(pdf), batch_size):
-                part = pdf.iloc[start:start + batch_size]
-                sent = [i for i, m in enumerate(part["__messages"]) if m is not None]
-                chats = [json.loads(part["__messages"].iloc[i]) for i in sent]
-                params = [json.loads(part["__params"].iloc[i] or "{}") for i in sent]
-                got: list[tuple] = [(None, None)] * len(part)
-                for i, answer in zip(sent, _answers(model, chats, params, retries, backoff) if sent else []):
+        for rows in it:
+            # Spark's batch stays in Arrow; only the chats of one call become Python objects.
+            for start in range(0, rows.num_rows, batch_size):
+                part = rows.slice(start, batch_size)
+                messages, params = (part.column(c).to_pylist() for c in ("__messages", "__params"))
+                sent = [i for i, m in enumerate(messages) if m is not None]
+                chats = [json.loads(messages[i]) for i in sent]
+                got: list[tuple] = [(None, None)] * len(messages)
+                asked = [json.loads(params[i] or "{}") for i in sent]
+                for i, answer in zip(sent, _answers(model, chats, asked, retries, backoff) if sent else []):
                     got[i] = answer
                 full = [r if isinstance(r, dict) else {"reply": r} for r, _ in got]
-                out = part[list(kept)].copy()
-                out["reply"] = [None if r.get("reply") is None else str(r["reply"]) for r in full]
-                out["logprobs"] = [None if r.get("logprobs") is None else json.dumps(r["logprobs"]) for r in full]
-                out["error"] = [e for _, e in got]
-                yield out
+                texts = {
+                    "reply": [None if r.get("reply") is None else str(r["reply"]) for r in full],
+                    "logprobs": [None if r.get("logprobs") is None else json.dumps(r["logprobs"]) for r in full],
+                    "error": [e for _, e in got],
+                }
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], *[pa.array(t, pa.string()) for t in texts.values()]], names=[*kept, *texts])
 
     return run
 
@@ -137,7 +140,7 @@ def run_inference(df: DataFrame, fn: ModelFn | None = None, keys: Sequence[str]
         + [T.StructField(c, T.StringType(), True) for c in ("reply", "logprobs", "error")]
     )
     run = _call_batches(fn, list(keys), batch_size, retries, backoff_seconds, fn_factory, uuid.uuid4().hex)
-    out = src.mapInPandas(run, schema)
+    out = src.mapInArrow(run, schema)
     return out if logprobs else out.drop("logprobs")
 
 
