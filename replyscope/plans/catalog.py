@@ -366,6 +366,8 @@ def gold_two_stage(spark, sf):
     """The stub's committed prompt fills the prompt instruction, and is kept beside the answer."""
     df = fx.annotations(spark, sf).withColumn("prompt_instruction", fx.prompt_instruction())
     df = df.withColumn("model", F.lit(fx.RUN_MODEL)).withColumn("mode", F.lit("gold"))
+    # Both stages' chunks and the result read the rows: built once, their label join broadcasts the labels once.
+    df = io.materialize(df.select(*RUN_KEYS, "dataset_id", "task_def", "instruction", "prompt_instruction", "req_output"), "gold-rows")
     out = st.run_two_stage(spark, df, st.gold_stages(), inf.echo_model, io.new_folder(spark, "gold"), chunks=2)
     return out.select(*RUN_KEYS, "temperature", "side_output", "reply", "error")
 

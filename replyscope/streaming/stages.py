@@ -49,7 +49,8 @@ def run_stages(spark: SparkSession, df: DataFrame, stages: Sequence[Stage], fn:
             sent = sent.where(F.col(name).isNotNull())
         answers = inference.run_resumable(spark, sent, fn, f"{path.rstrip('/')}/{stage.name}", stage_keys, **kwargs)
         answers = answers.select(*stage_keys, F.col("reply").alias(stage.name), F.col("error").alias(f"{stage.name}_error"))
-        done = asked.join(answers, stage_keys, "left")
+        # Both sides have a row per request: neither is sent whole to the driver, however well short answers compress.
+        done = asked.join(answers.hint("merge"), stage_keys, "left")
     return done.drop(AFTER)
 
 
