@@ -114,7 +114,7 @@ def best_columns(s: np.ndarray, k: int, starts: np.ndarray, eps: float = 0.0) ->
 
 def _side(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The ids of one block in order, its vectors, and where each id begins."""
-    table = table.take(pc.sort_indices(table["id"]))
+    table = table.sort_by("id")
     ids, v = table["id"].combine_chunks(), table["v"].combine_chunks()
     lengths = pc.min_max(pc.list_value_length(v)).as_py()
     if lengths["min"] != lengths["max"]:
@@ -142,7 +142,7 @@ def _pair_topk(k: int, schema: pa.Schema):
                 qi, ci = best_columns(sims, kk, c[2], c[1].shape[1] * 2.0 ** -52)
                 qi = at + qi
                 exact = np.einsum("ij,ij->i", q[1][qi], c[1][ci])
-                found.append(pa.table([pa.repeat(table["grp"][0], len(qi)), q[0].take(pa.array(qi)), c[0].take(pa.array(ci)), pa.array(exact)], schema=schema))
+                found.append(pa.table([pa.repeat(table["grp"][0], len(qi)), pc.array_take(q[0], pa.array(qi)), pc.array_take(c[0], pa.array(ci)), pa.array(exact)], schema=schema))
         return pa.concat_tables(found) if found else schema.empty_table()
 
     return run
