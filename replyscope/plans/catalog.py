@@ -481,9 +481,9 @@ def gold_join(spark, sf):
 
 
 def score_runs(runs):
-    """All metrics of ``runs``, the model-based ones from the stand-in token tables."""
-    logprobs = fx.token_logprobs(fx.run_pairs(runs), refs=1, keys=RUN_KEYS)
-    return scores.score_all(runs, lambda pairs: fx.pair_vectors(pairs, keys=(scores.PAIR,)), logprobs, "generated_req_output", RUN_KEYS)
+    """All metrics of ``runs``, the model-based ones from the stand-in models, whose vectors and log-probabilities come one row per text pair."""
+    logprobs = fx.row_logprobs(fx.run_pairs(runs), keys=RUN_KEYS)
+    return scores.score_all(runs, lambda pairs: fx.row_vectors(pairs, keys=(scores.PAIR,)), logprobs, "generated_req_output", RUN_KEYS)
 
 
 def scored_runs_full(spark, sf):

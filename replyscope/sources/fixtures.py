@@ -8,8 +8,7 @@ The annotation view is one SQL text that runs unchanged on Spark SQL and DuckDB.
 
 from __future__ import annotations
 
-import hashlib
-from functools import lru_cache
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from replyscope.functions import digits
+
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -171,20 +172,56 @@ def token_vectors(pairs: DataFrame, dim: int = TOKEN_DIM, keys: tuple[str, ...]
     return toks.withColumn("vec", vec)
 
 
-@lru_cache(maxsize=1 << 17)
-def _token_vector(token: str, dim: int) -> bytes:
-    """``token_vectors``' vector of one token, as the bytes of its floats."""
-    digits = "".join([hashlib.md5(f"{token}:{i}".encode()).hexdigest()[0:4] for i in range(dim)])
-    return (np.frombuffer(bytes.fromhex(digits), dtype=">u2") / 65535.0 - 0.5).astype(np.float32).tobytes()
+def _vectors(tokens: Sequence[str], dim: int) -> np.ndarray:
+    """``token_vectors``' vectors of different tokens, one per row."""
+    out = np.empty((len(tokens), dim), np.uint16)
+    for lo in range(0, len(tokens), digits.CHUNK):
+        part = tokens[lo:lo + digits.CHUNK]
+        token, sizes, long = digits.token_bytes(part)
+        rows = np.arange(len(part))
+        for i in range(dim):
+            tail = f":{i}".encode()
+            m = digits.table(len(part), token.shape[1] + len(tail))
+            m[:, :token.shape[1]] = token
+            for k, c in enumerate(tail):
+                m[rows, sizes + k] = c
+            out[lo:lo + len(part), i] = digits.md5_digits(m, sizes + len(tail))
+            for j in long:
+                out[lo + j, i] = digits.digits_of(part[j].encode() + tail)
+    return (out / 65535.0 - 0.5).astype(np.float32)
+
+
+def _text_vectors(text: pd.Series, dim: int) -> tuple[list, list]:
+    """The vectors of each text's tokens in order as one flat array, and their number."""
+    from replyscope.operators.overlap import line_words
+
+    tokens = [None if t is None else line_words(t).split() for t in text]
+    known = {t: i for i, t in enumerate(dict.fromkeys(t for ts in tokens if ts for t in ts))}
+    table = _vectors(list(known), dim)
+    return [None if ts is None else table[[known[t] for t in ts]].ravel() for ts in tokens], [None if ts is None else len(ts) for ts in tokens]
+
 
+VECTORS = T.StructType([T.StructField("vecs", T.ArrayType(T.FloatType())), T.StructField("n", T.IntegerType())])
 
-@F.pandas_udf(T.StructType([T.StructField("vecs", T.ArrayType(T.FloatType())), T.StructField("n", T.IntegerType())]))
+
+@F.pandas_udf(VECTORS)
 def _flat_vectors(text: pd.Series, dim: pd.Series) -> pd.DataFrame:
-    from replyscope.operators.overlap import line_words
+    vecs, n = _text_vectors(text, int(dim.max()) if len(dim) else 1)
+    return pd.DataFrame({"vecs": pd.Series(vecs, dtype=object), "n": pd.Series(n, dtype="Int32")})
 
-    tokens = [None if t is None else line_words(t).split() for t in text]
-    vecs = [None if ts is None else np.frombuffer(b"".join([_token_vector(t, d) for t in ts]), dtype=np.float32) for ts, d in zip(tokens, dim)]
-    return pd.DataFrame({"vecs": pd.Series(vecs, dtype=object), "n": pd.Series([None if ts is None else len(ts) for ts in tokens], dtype="Int32")})
+
+@F.pandas_udf(T.StructType([T.StructField(f"{side}_{f.name}", f.dataType) for side in ("reply", "gold") for f in VECTORS]))
+def _row_vectors(reply: pd.Series, gold: pd.Series, dim: pd.Series) -> pd.DataFrame:
+    out = {}
+    for side, text in (("reply", reply), ("gold", gold)):
+        vecs, n = _text_vectors(text, int(dim.max()) if len(dim) else 1)
+        out |= {f"{side}_vecs": pd.Series(vecs, dtype=object), f"{side}_n": pd.Series(n, dtype="Int32")}
+    return pd.DataFrame(out)
+
+
+def row_vectors(pairs: DataFrame, dim: int = TOKEN_DIM, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """``pair_vectors`` with both sides in one struct: (*keys, vectors), which a scorer in Python is given without a way through the JVM."""
+    return pairs.select(*keys, _row_vectors("reply", "gold", F.lit(dim)).alias("vectors"))
 
 
 def pair_vectors(pairs: DataFrame, dim: int = TOKEN_DIM, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
@@ -219,3 +256,87 @@ def token_logprobs(pairs: DataFrame, refs: int = 2, keys: tuple[str, ...] = ("ro
     pad = _hash_unit(F.col("__pad"), F.col("pos"))
     return j.select(*keys, "direction", "ref_idx", "pos",
                     ((h - F.lit(0.5)) * F.lit(8.0)).alias("logprob"), (pad > F.lit(0.4)).alias("is_pad"))
+
+
+DIRECTIONS = ("faithful", "precision", "recall")
+TARGETS = T.StructType([f for d in DIRECTIONS for f in (
+    T.StructField(d, T.ArrayType(T.DoubleType())), T.StructField(f"{d}_pad", T.ArrayType(T.BooleanType())))])
+
+
+def _stacked(parts: list[np.ndarray]) -> np.ndarray:
+    """The rows of all ``parts``, as wide as the widest."""
+    out = np.zeros((sum(map(len, parts)), max(m.shape[1] for m in parts)), np.uint8)
+    at = 0
+    for m in parts:
+        out[at:at + len(m), :m.shape[1]] = m
+        at += len(m)
+    return out
+
+
+def _targets(jobs: list[tuple[bytes, bytes, list[str]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``token_logprobs``' logprob and is_pad of each job's tokens; a job is the parts of its two hash keys before the position, and its tokens."""
+    hashed, padded, of_hash, of_pad, late = [], [], [], [], []
+    at = 0
+    ready = None
+    for h, p, ts in jobs:
+        if ready is not ts:  # two directions have one text
+            ready, (token, sizes, long) = ts, digits.token_bytes(ts)
+        n = len(h)
+        m = digits.table(len(ts), n + 8 + token.shape[1])
+        m[:, :n] = np.frombuffer(h, np.uint8)
+        behind = np.empty(len(ts), np.int64)
+        for lo, hi, k in digits.put_numbers(m, n):
+            m[lo:hi, n + k] = ord(":")
+            m[lo:hi, n + k + 1:n + k + 1 + token.shape[1]] = token[lo:hi]
+            behind[lo:hi] = k
+        hashed.append(m)
+        of_hash.append(behind + n + 1 + sizes)
+        late += [(at + j, h + f"{j}:{ts[j]}".encode()) for j in long]
+        m = digits.table(len(ts), len(p) + 8)
+        m[:, :len(p)] = np.frombuffer(p, np.uint8)
+        digits.put_numbers(m, len(p))
+        padded.append(m)
+        of_pad.append(behind + len(p))
+        at += len(ts)
+    h = digits.md5_digits(_stacked(hashed), np.concatenate(of_hash))
+    for j, message in late:
+        h[j] = digits.digits_of(message)
+    pad = digits.md5_digits(_stacked(padded), np.concatenate(of_pad)) / 65535.0 - 0.5 > 0.4
+    logprob = (h / 65535.0 - 0.5 - 0.5) * 8.0
+    ends = np.cumsum([len(ts) for _, _, ts in jobs])[:-1]
+    return list(zip(np.split(logprob, ends), np.split(pad, ends)))
+
+
+@F.pandas_udf(TARGETS)
+def _row_targets(reply: pd.Series, gold: pd.Series, key: pd.Series) -> pd.DataFrame:
+    from replyscope.operators.overlap import line_words
+
+    out = {f.name: [None] * len(key) for f in TARGETS}
+    jobs, places, waiting = [], [], 0
+
+    def flush() -> None:
+        for (i, d), (logprob, pad) in zip(places, _targets(jobs) if jobs else ()):
+            out[d][i], out[f"{d}_pad"][i] = logprob, pad
+        jobs.clear(), places.clear()
+
+    for i, (r, g, k) in enumerate(zip(reply, gold, key)):
+        words = [[] if t is None else line_words(t).split() for t in (r, g)]
+        for d, ts in zip(DIRECTIONS, (words[0], *words)):
+            if ts:
+                jobs.append((f"{d}:0:{k}:".encode(), f"pad:{k}:{d}:0:".encode(), ts))
+                places.append((i, d))
+                waiting += len(ts)
+        if waiting >= digits.CHUNK:
+            flush()
+            waiting = 0
+    flush()
+    return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in out.items()})
+
+
+def row_logprobs(pairs: DataFrame, keys: tuple[str, ...] = ("row_id",)) -> DataFrame:
+    """``token_logprobs`` with one reference as a scorer gives them, one row per pair: (*keys, targets), the log-probabilities of each direction's
+    target tokens in order as one ARRAY<DOUBLE> and which of them are padding; NULL for a text without tokens."""
+    named = pairs
+    for k in keys:
+        named = named.where(F.col(k).isNotNull())
+    return named.select(*keys, _row_targets("reply", "gold", F.concat_ws(":", *keys)).alias("targets"))
