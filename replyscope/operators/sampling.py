@@ -5,10 +5,13 @@ No pair of pool rows is ever materialised. Each pool gets dense positions (two p
 (pool, hash bucket) plus per-bucket offsets, so a hot pool is spread over many tasks); each row then draws n
 positions with Floyd's algorithm from seeded 60-bit md5 hashes (uniform to within 2^-60 of the pool size, reproducible,
 portable to SQL);
-one equi-join on (pool, position) fetches the texts. Cost is linear in rows: n draws per row."""
+draws meet positions as keys, without texts. The rows of a pool are dealt to groups; a text then moves once to its key and once to each group that
+drew it, however many of the group's rows did. Cost is linear in rows: n draws per row, at most n moves per text drawn n times."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ from replyscope.functions import fixed, text
 from replyscope.operators.cohorts import NATIVE, native_label
 
 BUCKET_ROWS = 4096
+#: Rows of a writer that are given their texts together. The fewer groups a pool has, the fewer times a text moves; a group's drawn texts are
+#: sorted in one task.
+GROUP_ROWS = 24576
 
 
 def hash60(*parts) -> Column:
@@ -26,8 +32,8 @@ def hash60(*parts) -> Column:
 
 def pool_positions(pool_rows: DataFrame, pool: str, key: str = "row_id", bucket_rows: int = BUCKET_ROWS,
                    size: Column | None = None) -> DataFrame:
-    """Dense positions ``__pos`` 0..size-1 within each pool, ordered by (hash bucket, key), and the pool's ``__size``.
-    ``size`` is given when there is one pool only.
+    """Dense positions ``__pos`` 0..size-1 within each pool, ordered by (hash bucket, key), the pool's ``__size``, and ``__nth``, the row's number
+    (from 0) among those of its pool with the same key. ``size`` is given when there is one pool only.
 
     A pool has a bucket for every ``bucket_rows`` of its rows. The window runs per (pool, bucket), never over a whole
     pool; the offset table has one row per bucket and is the only table that moves for the join back."""
@@ -38,6 +44,7 @@ def pool_positions(pool_rows: DataFrame, pool: str, key: str = "row_id", bucket_
     buckets = F.ceil(F.col("__size") / F.lit(bucket_rows)).cast("bigint")
     b = sized.withColumn("__b", F.pmod(hash60(F.col(key)), buckets)).drop("__size")
     ranked = b.withColumn("__r", F.row_number().over(Window.partitionBy(pool, "__b").orderBy(key)) - 1)
+    ranked = ranked.withColumn("__nth", F.row_number().over(Window.partitionBy(pool, "__b", key).orderBy("__r")) - 1)
     counts = b.groupBy(pool, "__b").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(pool).orderBy("__b")
     offsets = counts.select(
@@ -47,7 +54,7 @@ def pool_positions(pool_rows: DataFrame, pool: str, key: str = "row_id", bucket_
     )
     # ``ranked`` is already hash-partitioned by (pool, bucket) by its window, so only the small offset table moves.
     return ranked.join(offsets, [pool, "__b"]).select(
-        *pool_rows.columns, (F.col("__off") + F.col("__r")).alias("__pos"), "__size"
+        *pool_rows.columns, (F.col("__off") + F.col("__r")).alias("__pos"), "__size", "__nth"
     )
 
 
@@ -65,11 +72,13 @@ def floyd_draws(m: Column, n: int, seed, row_id: Column) -> list[Column]:
 
 def sample_history(df: DataFrame, pool: str = "user", n: int = 5, seed=fixed.SEED, text_col: str = "prompt_en",
                    key: str = "row_id", user: str = "user_id", bucket_rows: int = BUCKET_ROWS,
-                   out: str = "history") -> DataFrame:
-    """Add ``out`` (n texts of other pool rows joined with ', ') and ``out + '_error'``.
+                   out: str = "history", keep: Sequence[str] | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The columns ``keep`` of ``df`` (default: all) with ``out`` (n texts of other pool rows joined with ', ') and ``out + '_error'``.
 
     ``pool``: ``user`` (other rows of the same writer), ``native`` or ``non_native`` (other rows of that cohort,
-    whatever the row's own cohort). A row with fewer than n candidates gets a NULL history and an error text."""
+    whatever the row's own cohort). A row with fewer than n candidates gets a NULL history and an error text. Rows equal in key and pool
+    share all their texts; a row without a key or a writer draws none. A writer's rows are dealt to groups of about ``group_rows``, all rows
+    to groups of a quarter of that if the pool is a cohort."""
     if pool == "user":
         pool_expr = F.col(user)
         pool_rows = df.where(F.col(user).isNotNull())
@@ -80,35 +89,64 @@ def sample_history(df: DataFrame, pool: str = "user", n: int = 5, seed=fixed.SEE
     else:
         raise ValueError("pool must be user, native or non_native")
 
-    members = pool_rows.select(F.col(key).alias("__k"), pool_expr.alias("__pool"), F.col(text_col).alias("__text"))
+    # Places are found from keys alone: no text moves for them.
+    members = pool_rows.select(F.col(key).alias("__k"), pool_expr.alias("__pool"))
     # A cohort is one pool, whose size is a scalar subquery of the plan.
     whole = None if pool == "user" else F.coalesce(members.agg(F.count(F.lit(1))).scalar(), F.lit(0))
     positioned = pool_positions(members, "__pool", "__k", bucket_rows, whole)
     own = positioned.select("__k", "__pool", F.col("__pos").alias("__own"), "__size")
+
+    def groups(size: Column) -> Column:
+        return F.greatest(F.ceil(size / F.lit(group_rows)).cast("bigint"), F.lit(1))
+
     if pool == "user":
         # Every row with a writer is a row of its pool: its position and pool size are there already.
         rows, size = own, F.col("__size")
+        parts = groups(size)
+        # A row for each pool of more than one group, one per ``group_rows`` rows at most.
+        large = members.groupBy("__pool").agg(groups(F.count(F.lit(1))).alias("__parts")).where("__parts > 1")
+        asking = df.join(F.broadcast(large), df[user] == large["__pool"], "left")
+        asking_parts = F.coalesce("__parts", F.lit(1))
     else:
         # Rows outside the pool have no own position.
         rows = df.select(F.col(key).alias("__k"), F.lit(pool).alias("__pool")).join(own, ["__k", "__pool"], "left")
         size = whole
+        # Few rows of a group draw the same text of a large cohort, so larger groups would save little.
+        parts = groups(F.lit(4) * df.agg(F.count(F.lit(1))).scalar())
+        asking, asking_parts = df, parts
     m = size - F.when(F.col("__own").isNotNull(), 1).otherwise(0)
-    rows = rows.withColumn("__m", m)
+    rows = rows.withColumn("__m", m).where(F.col("__k").isNotNull() & (F.col("__m") >= n))
     draws = floyd_draws(F.col("__m"), n, seed, F.col("__k"))
     skip = [d + F.when(F.col("__own").isNotNull() & (d >= F.col("__own")), 1).otherwise(0) for d in draws]
-    # Every row passes through one explode (outer: rows with too few candidates keep one empty line), one join to
-    # fetch the picked texts and one aggregate, so ``rows`` is consumed once.
-    exploded = rows.select("__k", "__pool", "__m", F.posexplode_outer(
-        F.when(F.col("__m") >= n, F.array(*skip))).alias("__i", "__pos"))
-    picked = F.when(F.col("__i").isNotNull(), F.struct("__i", "__text"))
-    per_row = (
-        exploded.join(positioned.select("__pool", "__pos", "__text"), ["__pool", "__pos"], "left")
-        .groupBy("__k")
-        .agg(F.first("__m").alias("__m"), F.array_sort(F.collect_list(picked)).alias("__picked"))
-        .select("__k", "__m", F.when(F.col("__m") >= n, text.join_texts(F.col("__picked.__text"))).alias(out))
+
+    drawn = rows.select("__k", "__pool", F.pmod(F.xxhash64("__k"), parts).alias("__part"), F.posexplode(F.array(*skip)).alias("__i", "__pos"))
+    member = F.struct(F.col("__pool").alias("pool"), F.col("__k").alias("k"))  # a NULL key equals itself inside
+    wanted = (
+        drawn.join(positioned.select("__pool", "__pos", member.alias("__by"), "__nth"), ["__pool", "__pos"])
+        .groupBy("__by", "__nth", "__part")
+        .agg(F.collect_list(F.struct("__k", "__i")).alias("__for"))
     )
-    result = df.join(per_row, df[key] == per_row["__k"], "left").drop("__k")
-    return result.withColumn(
-        f"{out}_error",
-        F.when(F.coalesce(F.col("__m"), F.lit(0)) < n, F.lit(f"fewer than {n} other rows in the {pool} pool")),
-    ).drop("__m")
+    texts = pool_rows.select(F.struct(pool_expr.alias("pool"), F.col(key).alias("k")).alias("__by"), F.col(text_col).alias("__text"))
+    texts = texts.withColumn("__at", F.row_number().over(Window.partitionBy("__by").orderBy("__by")) - 1)
+
+    # The rows themselves, and each text once for all rows of a group that drew it, come together group by group.
+    kept = df.select(F.struct(*(keep or df.columns)).alias("__row"))
+    none = F.lit(None).cast(kept.schema["__row"].dataType)
+    # ``between``, not ``==``: the texts stay where their window put them, by ``__by`` alone.
+    sent = texts.join(wanted, "__by").where(F.col("__at").between(F.col("__nth"), F.col("__nth"))).select(
+        F.struct(F.col("__by.pool").alias("pool"), F.col("__part").alias("part")).alias("__g"), "__for", "__text", none.alias("__row"))
+    part = F.when(pool_expr.isNull(), F.xxhash64(key)).otherwise(F.pmod(F.xxhash64(key), asking_parts))
+    itself = F.array(F.struct(F.col(key).alias("__k"), F.lit(None).cast("int").alias("__i")))
+    asked = asking.select(
+        F.struct(pool_expr.alias("pool"), part.alias("part")).alias("__g"), itself.alias("__for"),
+        F.lit(None).cast(df.schema[text_col].dataType).alias("__text"), F.struct(*(keep or df.columns)).alias("__row"))
+    # The number is explicit: unfolding the rows of a text multiplies a partition's size, so it must not be coalesced by its size before.
+    met = sent.unionByName(asked).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__g")
+    met = met.select("__g", F.explode("__for").alias("__x"), "__text", "__row")
+    met = met.select("__g", F.col("__x.__k").alias("__k"), F.col("__x.__i").alias("__i"), "__text", "__row")
+    # A window sorts a group's texts once; an aggregate would sort them before and after its (local) merge.
+    picked = F.collect_list(F.when(F.col("__i").isNotNull(), F.struct("__i", "__text"))).over(Window.partitionBy("__g", "__k"))
+    result = met.withColumn("__picked", picked).where(F.col("__i").isNull()).withColumn("__picked", F.array_sort("__picked"))
+    history = F.when(F.size("__picked") > 0, text.join_texts(F.col("__picked.__text")))
+    error = F.when(F.size("__picked") == 0, F.lit(f"fewer than {n} other rows in the {pool} pool"))
+    return result.select("__row.*", history.alias(out), error.alias(f"{out}_error"))

@@ -288,9 +288,13 @@ def chat_guess(spark, sf):
     return P.flatten_messages(a.unionByName(b), keys=("row_id", "stage", "temperature"))
 
 
+# What a chat is built from: a row takes these columns, and no others, to where its history is.
+CHAT_COLUMNS = ("row_id", "dataset_id", "task_def", "instruction", "prompt_en")
+
+
 @query("chat_history")
 def chat_history(spark, sf):
-    df = sampling.sample_history(validated(spark, sf), pool="user").where(F.col("history").isNotNull())
+    df = sampling.sample_history(validated(spark, sf), pool="user", keep=CHAT_COLUMNS).where(F.col("history").isNotNull())
     return _flat(P.build_messages(df, mode="add_history"))
 
 

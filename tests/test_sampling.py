@@ -95,3 +95,40 @@ def test_small_buckets_give_the_same_pools(spark):
     for r in sampling.sample_history(df, bucket_rows=8).where("history is not null").collect():
         picked = _parse(r["history"])
         assert len(set(picked)) == 5 and r["row_id"] not in picked and all(user[p] == r["user_id"] for p in picked)
+
+
+def _odd(spark):
+    """Rows without a key, a writer or a text, rows that come twice, and a text for each row else."""
+    rows = [(i, i % 3, "{en}" if i % 4 else "{nl}", f"t{i}") for i in range(90)]
+    rows += rows[:10] + [(None, 1, "{en}", "nameless"), (200, None, "{en}", "writerless"), (201, 2, "{en}", None), (202, 50, "{nl}", "lonely")]
+    return spark.createDataFrame(rows, "row_id long, user_id long, nat_lang string, prompt_en string")
+
+
+def test_groups_do_not_change_the_draws(spark):
+    df = _odd(spark)
+    for pool in ("user", "native"):
+        found = [sorted(map(str, sampling.sample_history(df, pool=pool, group_rows=g).collect())) for g in (1, 7, 10**6)]
+        assert found[0] == found[1] == found[2] and len(found[0]) == df.count()
+
+
+def test_rows_without_key_or_writer_and_rows_that_come_twice(spark):
+    out = {}
+    for r in sampling.sample_history(_odd(spark), group_rows=9).collect():
+        out.setdefault(r["row_id"], []).append(r)
+    for k in (None, 200, 202):
+        assert [(r["history"], r["history_error"]) for r in out[k]] == [(None, "fewer than 5 other rows in the user pool")]
+    for k in range(10):
+        twice = Counter(out[k][0]["history"].split(", "))
+        assert len(out[k]) == 2 and out[k][0] == out[k][1] and sum(twice.values()) == 10 and out[k][0]["history_error"] is None
+    assert len(out[50]) == 1 and len(out[50][0]["history"].split(", ")) == 5
+    assert any("nameless" in (r["history"] or "") for rs in out.values() for r in rs)
+
+
+def test_a_text_moves_twice(spark):
+    """Once to its key and once to each group whose rows drew it; places are found without it, and only kept columns go to a row's group."""
+    df = _df(spark).withColumn("other", F.lit("x").cast("string"))
+    for pool in ("user", "native"):
+        out = sampling.sample_history(df, pool=pool, keep=("row_id",)).select("row_id", "history")
+        plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = [node for node in plan.split("\n\n") if "Exchange\n" in node and ("__text" in node or "prompt_en" in node)]
+        assert len(moved) == 2 and not any("other" in node for node in moved), moved
