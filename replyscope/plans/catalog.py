@@ -235,17 +235,17 @@ def rating_histogram(spark, sf):
 
 @query("history_sample_user")
 def history_sample_user(spark, sf):
-    return sampling.sample_history(fx.annotations(spark, sf), pool="user").select("row_id", "history")
+    return sampling.sample_history(fx.annotations(spark, sf), pool="user", keep=("row_id",)).select("row_id", "history")
 
 
 @query("history_sample_cohort")
 def history_sample_cohort(spark, sf):
-    return sampling.sample_history(fx.annotations(spark, sf), pool="native").select("row_id", "history")
+    return sampling.sample_history(fx.annotations(spark, sf), pool="native", keep=("row_id",)).select("row_id", "history")
 
 
 @query("history_sample_non_native")
 def history_sample_non_native(spark, sf):
-    return sampling.sample_history(fx.annotations(spark, sf), pool="non_native").select("row_id", "history")
+    return sampling.sample_history(fx.annotations(spark, sf), pool="non_native", keep=("row_id",)).select("row_id", "history")
 
 
 # ------------------------------------------------------------------------------------------------ chats
