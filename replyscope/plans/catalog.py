@@ -301,7 +301,7 @@ def chat_history(spark, sf):
 @query("chat_history_native")
 def chat_history_native(spark, sf):
     """The chat of every row with texts of the native pool."""
-    df = sampling.sample_history(validated(spark, sf), pool="native").where(F.col("history").isNotNull())
+    df = sampling.sample_history(validated(spark, sf), pool="native", keep=CHAT_COLUMNS).where(F.col("history").isNotNull())
     return _flat(P.build_messages(df, mode="add_history_native"))
 
 
