@@ -93,6 +93,10 @@ def guess_answer_chat(system: Column, prompt_en: Column, guess: Column, task: Co
     )
 
 
+#: The turn of ``history_chat`` that holds the history; no other turn does, and it holds nothing else of the row.
+HISTORY_TURN = 1
+
+
 def history_chat(system: Column, history: Column, task: Column, prompt: Column) -> Column:
     """Earlier texts of the writer (no separator after the intro), then C1's tail."""
     return chat(

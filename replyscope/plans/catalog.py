@@ -300,9 +300,14 @@ def chat_history(spark, sf):
 
 @query("chat_history_native")
 def chat_history_native(spark, sf):
-    """The chat of every row with texts of the native pool."""
-    df = sampling.sample_history(validated(spark, sf), pool="native", keep=CHAT_COLUMNS).where(F.col("history").isNotNull())
-    return _flat(P.build_messages(df, mode="add_history_native"))
+    """The chat of every row with texts of the native pool. The turn with the history is built where the drawn texts meet, the other turns where
+    the row is, so that its own text does not move."""
+    rows = validated(spark, sf)
+    drawn = sampling.sample_history(rows, pool="native", keep=("row_id", "dataset_id"), meet="text").where(F.col("history").isNotNull())
+    drawn = drawn.withColumns({c: F.lit(None).cast("string") for c in ("task_def", "instruction", "prompt_en")})
+    asked = rows.where(sampling.has_history(rows, "native")).select(*CHAT_COLUMNS, F.lit(None).cast("string").alias("history"))
+    told, others = [_flat(P.build_messages(df, mode="add_history_native")) for df in (drawn, asked)]
+    return told.where(F.col("turn") == P.HISTORY_TURN).unionByName(others.where(F.col("turn") != P.HISTORY_TURN))
 
 
 @query("chat_non_native")

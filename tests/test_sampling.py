@@ -132,3 +132,38 @@ def test_a_text_moves_twice(spark):
         plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         moved = [node for node in plan.split("\n\n") if "Exchange\n" in node and ("__text" in node or "prompt_en" in node)]
         assert len(moved) == 2 and not any("other" in node for node in moved), moved
+
+
+def test_texts_that_meet_at_a_text_give_the_same_rows(spark):
+    df = _odd(spark)
+    for pool in ("user", "native"):
+        group, text = [sorted(map(str, sampling.sample_history(df, pool=pool, meet=m, home_rows=7).collect())) for m in ("group", "text")]
+        assert group == text and len(group) == df.count()
+
+
+def test_texts_at_their_keys_are_shuffled_once(spark):
+    """With ``meet="text"`` the texts at their keys are read twice, but no cast of a key makes Spark shuffle them again."""
+    out = sampling.sample_history(_df(spark), pool="native", keep=("row_id",), meet="text")
+    assert "cast(__by" not in out._jdf.queryExecution().executedPlan().toString()
+    out.collect()
+    assert any("ReusedExchange [__by" in line for line in out._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_has_history_is_what_sample_history_gives(spark):
+    """Pools of fewer, as many and more rows than are drawn; rows without a key, and rows with the key of a row of the pool."""
+    for size in (4, 5, 6):
+        rows = [(i, 1, "{en}", "a") for i in range(size)] + [(2, 1, "{nl}", "b"), (50, 1, "{nl}", "c"), (50, 1, None, "d"), (None, 1, "{nl}", "e")]
+        df = spark.createDataFrame(rows, "row_id long, user_id long, nat_lang string, prompt_en string")
+        given = sampling.sample_history(df, pool="native", meet="text").where("history is not null")
+        told = df.where(sampling.has_history(df, "native"))
+        assert sorted(given.select("prompt_en").collect()) == sorted(told.select("prompt_en").collect()), size
+        assert told.count() == {4: 0, 5: 2, 6: 9}[size]
+
+
+def test_a_chat_s_own_text_does_not_move(spark):
+    """The rows that move to their histories take no text along."""
+    from replyscope.plans.catalog import QUERIES
+
+    plan = QUERIES["chat_history_native"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    rows = [line for line in plan.splitlines() if " AS __row#" in line and "struct(" in line]
+    assert rows and not any("prompt_en" in line for line in rows), rows
